@@ -6,11 +6,14 @@ rows, the ingest rules classify incoming drafts.  They are never merged.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import SPACE, all_matches, contains_any, distinct_in_order, first_match, nfkc, text_or, trim_all
+from .text import SPACE, all_matches, computed, contains_any, distinct_in_order, first_match, nfkc, text_or, trim_all
 
 
 def lookup_text(col: Column) -> Column:
@@ -36,69 +39,85 @@ def display_category(text: Column) -> Column:
     return first_match(text, C.DISPLAY_CATEGORY_RULES, F.lit(C.OTHER_CATEGORY))
 
 
-def display_groups(text: Column, category: Column) -> Column:
-    """Target groups of a lookup text and its display category, in rule order."""
+def matched_groups(text: Column, category: Column) -> Column:
+    """Target groups found in a lookup text or implied by its display category, in rule order."""
     work_group = F.when(contains_any(text, C.BLUE_CARD_NEEDLES), C.BLUE_CARD_GROUP).otherwise(C.WORK_VISA_GROUP)
     implied = F.when(category == C.WORK_CATEGORY, work_group)
     for name, group in C.CATEGORY_GROUPS.items():
         implied = implied.when(category == name, F.lit(group))
-    groups = distinct_in_order(all_matches(text, C.GROUP_RULES), F.array_compact(F.array(implied)))
-    return F.when(F.size(groups) > 0, groups).otherwise(F.array(F.lit(C.DEFAULT_GROUP)))
+    return distinct_in_order(all_matches(text, C.GROUP_RULES), F.array_compact(F.array(implied)))
 
 
-def _alias(text: Column, field: int) -> Column:
-    """Name (0), state (1) or level (2) of the first region alias found in the text."""
+def alias_index(text: Column) -> Column:
+    """Position of the first region alias found in a lookup text; null when there is none."""
     result = None
-    for alias in C.REGION_ALIASES:
+    for i, alias in enumerate(C.REGION_ALIASES):
         hit = text.rlike(alias[3])
-        result = F.when(hit, alias[field]) if result is None else result.when(hit, alias[field])
+        result = F.when(hit, F.lit(i)) if result is None else result.when(hit, F.lit(i))
     return result
 
 
-def region_level(level: Column, name: Column) -> Column:
-    """Valid levels stay; otherwise the alias level, otherwise the state level."""
-    return F.when(level.isin(C.REGION_LEVELS), level).otherwise(F.coalesce(_alias(lookup_text(name), 2), F.lit("州")))
-
-
-def region_name(name: Column, level: Column) -> Column:
-    text = lookup_text(name)
-    federal = (F.coalesce(level, F.lit("")) == C.FEDERAL) | contains_any(text, C.FEDERAL_NEEDLES)
-    return F.when(federal, C.FEDERAL).otherwise(F.coalesce(_alias(text, 0), trim_all(name)))
+def _alias_field(index: Column, field: int) -> Column:
+    """Name (0), state (1) or level (2) of an alias position."""
+    return F.get(F.array(*[F.lit(a[field]) for a in C.REGION_ALIASES]), index)
 
 
-def region_state(name: Column, level: Column) -> Column:
-    return F.when(level == C.FEDERAL, C.FEDERAL).otherwise(
-        F.coalesce(_alias(lookup_text(name), 1), region_name(name, level))
-    )
-
+def with_regions(df: DataFrame, name: str = "region_name", level: str = "region_level") -> DataFrame:
+    """Adds ``_level`` (valid, else alias, else state level), ``_region`` and ``_state``.
 
-def normalize_policies(df: DataFrame) -> DataFrame:
+    The region names follow the level given in ``level`` as it is stored.
+    """
+    rows = computed(df, {"_rtext": lookup_text(F.col(name))})
+    rows = computed(rows, {"_alias": alias_index(F.col("_rtext"))})
+    alias, text = F.col("_alias"), F.col("_rtext")
+    valid = F.when(F.col(level).isin(C.REGION_LEVELS), F.col(level))
+    is_federal = F.coalesce(F.col(level) == C.FEDERAL, F.lit(False))
+    federal = is_federal | contains_any(text, C.FEDERAL_NEEDLES)
+    region = F.when(federal, C.FEDERAL).otherwise(F.coalesce(_alias_field(alias, 0), trim_all(F.col(name))))
+    rows = computed(rows, {"_level": F.coalesce(valid, _alias_field(alias, 2), F.lit("州")), "_region": region})
+    state = F.when(is_federal, C.FEDERAL).otherwise(F.coalesce(_alias_field(alias, 1), F.col("_region")))
+    return computed(rows, {"_state": state}).drop("_rtext", "_alias")
+
+
+def normalize_regions(df: DataFrame) -> DataFrame:
+    """Display normalisation of region level and name; the name follows the normalised level."""
+    level = with_regions(df).withColumn("region_level", F.col("_level")).drop("_level", "_region", "_state")
+    named = with_regions(level).withColumn("region_name", F.col("_region"))
+    return named.drop("_level", "_region", "_state")
+
+
+def normalize_policies(df: DataFrame, regions: bool = True, groups: bool = True) -> DataFrame:
     """Display normalisation of stored policies: category, groups, region level and name.
 
-    The classified text is computed once per row in its own projection, so the rules read a
-    plain column.  Materialise the result to make every facet a pushable column.
+    Every step is computed once per row; parts that a query does not read can be left out.
+    Materialise the result to make every facet a pushable column.
     """
     source = taxonomy_source(
         F.col("title_zh"), F.col("title_de"), F.col("summary_zh"), F.col("key_changes"), F.col("content_de_summary")
     )
-    return (
-        df.withColumn("_text", lookup_text(source))
-        .withColumn("region_level", region_level(F.col("region_level"), F.col("region_name")))
-        .withColumn("category", display_category(F.col("_text")))
-        .withColumns(
-            {
-                "region_name": region_name(F.col("region_name"), F.col("region_level")),
-                "target_groups": display_groups(F.col("_text"), F.col("category")),
-            }
-        )
-        .drop("_text")
-    )
-
-
-def matches_region(name: Column, level: Column, wanted: str) -> Column:
-    """Own normalised region or own state equals the normalised wanted region."""
-    want = region_name(F.lit(wanted), F.lit(None).cast("string"))
-    return (region_name(name, level) == want) | (region_state(name, level) == want)
+    rows = computed(df, {"_text": lookup_text(source)})
+    rows = computed(rows, {"category": display_category(F.col("_text"))})
+    if groups:
+        rows = computed(rows, {"target_groups": matched_groups(F.col("_text"), F.col("category"))})
+        found = F.col("target_groups")
+        rows = rows.withColumn("target_groups", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(C.DEFAULT_GROUP))))
+    rows = rows.drop("_text")
+    return normalize_regions(rows) if regions else rows
+
+
+def wanted_region(wanted: str) -> str:
+    """Normalised form of a wanted region given by a user (driver side, one constant)."""
+    text = " ".join(unicodedata.normalize("NFKC", wanted.strip().lower()).split())
+    if any(n in text for n in C.FEDERAL_NEEDLES):
+        return C.FEDERAL
+    return next((a[0] for a in C.REGION_ALIASES if re.search(a[3], text)), wanted.strip())
+
+
+def where_region(df: DataFrame, wanted: str, name: str = "region_name", level: str = "region_level") -> DataFrame:
+    """Rows whose normalised region or state equals the normalised wanted region."""
+    want = wanted_region(wanted)
+    rows = with_regions(df, name, level)
+    return rows.where((F.col("_region") == want) | (F.col("_state") == want)).drop("_level", "_region", "_state")
 
 
 # --- ingest generation ------------------------------------------------------------

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,20 @@ MAY_CHANGE = (
 )
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add (or replace) costly columns so that they are evaluated exactly once per row.
+
+    Catalyst merges projections and substitutes aliases into filters pushed below them, which
+    would copy a long rule cascade into every place that reads it.  A one-element ``inline``
+    keeps the values behind a generator: later filters on them stay above it, filters on other
+    columns still reach the scan.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    order = df.columns + [c for c in columns if c not in df.columns]
+    return df.select(*kept, row).select(*order)
+
+
 def _normaliser(form: str):
     @F.pandas_udf(T.StringType())
     def normalise(values: pd.Series) -> pd.Series:

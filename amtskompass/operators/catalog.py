@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import within_days
-from ..functions.taxonomy import matches_region, normalize_policies
+from ..functions.taxonomy import normalize_policies, where_region
 from ..functions.text import escape_like, includes_text, normalize_text
 from .visibility import visible
 
@@ -98,7 +98,7 @@ def list_policies_v1(policies: DataFrame, filters: PolicyFilters, as_of: str, in
     if not normalized:
         rows = normalize_policies(rows)
     if f.region_name:
-        rows = rows.where(matches_region(F.col("region_name"), F.col("region_level"), f.region_name))
+        rows = where_region(rows, f.region_name)
     if f.category:
         rows = rows.where(F.col("category") == f.category)
     if f.target_group:

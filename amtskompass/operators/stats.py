@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.labels import literal_map
-from ..functions.taxonomy import region_state
+from ..functions.taxonomy import with_regions
 from .ranking import first_by
 
 
@@ -104,9 +104,8 @@ def region_tree(policies: DataFrame) -> DataFrame:
     stays.  States follow the fixed order, unknown ones come last; names sort as in German.
     """
     local = policies.where(F.coalesce(F.col("region_level"), F.lit("")) != C.FEDERAL)
-    pairs = local.select(
-        region_state(F.col("region_name"), F.col("region_level")).alias("state"), F.col("region_name").alias("city")
-    ).distinct()
+    names = local.select("region_name", "region_level").distinct()  # few pairs; classified after the aggregation
+    pairs = with_regions(names).select(F.col("_state").alias("state"), F.col("region_name").alias("city")).distinct()
     city = F.when(F.col("city") != F.col("state"), F.col("city"))
     order = {name: str(i) for i, name in enumerate(C.STATE_CODES)}
     name = F.collate(city, "de")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.dates import format_date, is_new
 from ..functions.labels import lookup as dim_lookup
-from ..functions.taxonomy import display_category, lookup_text, normalize_policies, region_state, taxonomy_source
+from ..functions.taxonomy import lookup_text, normalize_policies, normalize_regions, taxonomy_source, wanted_region, with_regions
 from ..functions.text import contains_any, normalize_text
 from ..operators import catalog as cat
 from ..operators import stats
@@ -170,11 +170,9 @@ SELECT id, ({region_name('region_name', 'region_level')} = 'Bayern' OR {sql_stat
 FROM policies_v1"""),
 )
 def f5(spark, d):
-    from ..functions.taxonomy import matches_region
-
-    return A.policies_v1(spark, d).select(
-        "id", matches_region(F.col("region_name"), F.col("region_level"), "Bavaria").alias("hit")
-    )
+    want = wanted_region("Bavaria")
+    rows = with_regions(A.policies_v1(spark, d))
+    return rows.select("id", ((F.col("_region") == want) | (F.col("_state") == want)).alias("hit"))
 
 
 @query(
@@ -327,7 +325,8 @@ def o5(spark, d):
 
 @query("A1_category_stats_v1", with_roles(NORM, "SELECT cat AS category, count(*) AS n FROM norm WHERE status = 'published' GROUP BY 1"))
 def a1(spark, d):
-    return stats.category_stats(cat.list_policies_v1(A.policies_v1(spark, d), cat.PolicyFilters(), AS_OF))
+    shown = vis.visible(A.policies_v1(spark, d), "policy_v1")
+    return stats.category_stats(normalize_policies(shown, regions=False, groups=False))
 
 
 @query("A1_category_stats_v2", with_roles(PAGES, "SELECT category, count(*) AS n FROM policy_pages WHERE translated GROUP BY 1"))
@@ -337,12 +336,12 @@ def a1_v2(spark, d):
 
 @query("A2_group_stats", with_roles(NORM, "SELECT target_group, count(*) AS n FROM (SELECT unnest(grp) AS target_group FROM norm WHERE status = 'published') GROUP BY 1"))
 def a2(spark, d):
-    return stats.group_stats(vis.visible(norm(spark, d), "policy_v1"))
+    return stats.group_stats(normalize_policies(vis.visible(A.policies_v1(spark, d), "policy_v1"), regions=False))
 
 
 @query("A3_region_stats", with_roles(NORM, "SELECT reg AS region_name, count(*) AS n FROM norm WHERE status = 'published' GROUP BY 1"))
 def a3(spark, d):
-    return stats.region_stats(vis.visible(norm(spark, d), "policy_v1"))
+    return stats.region_stats(normalize_regions(vis.visible(A.policies_v1(spark, d), "policy_v1")))
 
 
 @query(
@@ -381,7 +380,7 @@ SELECT state, coalesce(list_position({str(list(C.STATE_CODES))}, state) - 1, 999
 FROM (SELECT DISTINCT {sql_state('reg', 'lvl')} AS state, reg AS city FROM norm WHERE lvl <> '联邦') GROUP BY state"""),
 )
 def a8(spark, d):
-    return stats.region_tree(norm(spark, d))
+    return stats.region_tree(normalize_regions(A.policies_v1(spark, d)))
 
 
 @query(
@@ -431,15 +430,12 @@ def w1(spark, d):
     with_roles(NORM, "SELECT id, cat AS category FROM norm"),
 )
 def c1(spark, d):
-    text = lookup_text(
-        taxonomy_source(F.col("title_zh"), F.col("title_de"), F.col("summary_zh"), F.col("key_changes"), F.col("content_de_summary"))
-    )
-    return A.policies_v1(spark, d).select("id", text.alias("t")).select("id", display_category(F.col("t")).alias("category"))
+    return normalize_policies(A.policies_v1(spark, d), regions=False, groups=False).select("id", "category")
 
 
 @query("C2_display_groups", with_roles(NORM, "SELECT id, array_to_string(grp, '|') AS target_groups FROM norm"))
 def c2(spark, d):
-    return norm(spark, d).select("id", "target_groups")
+    return normalize_policies(A.policies_v1(spark, d), regions=False).select("id", "target_groups")
 
 
 @query(
@@ -447,21 +443,17 @@ def c2(spark, d):
     with_roles(V1, f"SELECT id, {region_name('region_name', 'region_level')} AS region FROM policies_v1"),
 )
 def c4(spark, d):
-    from ..functions.taxonomy import region_name as rn
-
-    return A.policies_v1(spark, d).select("id", rn(F.col("region_name"), F.col("region_level")).alias("region"))
+    return with_regions(A.policies_v1(spark, d)).select("id", F.col("_region").alias("region"))
 
 
 @query("C5_region_level", with_roles(NORM, "SELECT id, lvl AS region_level FROM norm"))
 def c5(spark, d):
-    from ..functions.taxonomy import region_level as rl
-
-    return A.policies_v1(spark, d).select("id", rl(F.col("region_level"), F.col("region_name")).alias("region_level"))
+    return with_regions(A.policies_v1(spark, d)).select("id", F.col("_level").alias("region_level"))
 
 
 @query("C6_region_state", with_roles(V1, f"SELECT id, {sql_state('region_name', 'region_level')} AS state FROM policies_v1"))
 def c6(spark, d):
-    return A.policies_v1(spark, d).select("id", region_state(F.col("region_name"), F.col("region_level")).alias("state"))
+    return with_regions(A.policies_v1(spark, d)).select("id", F.col("_state").alias("state"))
 
 
 @query(
