@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import SPACE, all_matches, computed, contains_any, distinct_in_order, first_match, nfkc, text_or, trim_all
+from .text import all_matches, collapse_spaces, computed, contains_any, distinct_in_order, first_match, nfkc, text_or, trim_all
 
 
 def lookup_text(col: Column) -> Column:
@@ -21,7 +21,7 @@ def lookup_text(col: Column) -> Column:
     text = nfkc(F.lower(trim_all(col)))
     for pattern in C.DISCLAIMER_PATTERNS:
         text = F.regexp_replace(text, pattern, " ")
-    return F.regexp_replace(text, SPACE + "+", " ")
+    return collapse_spaces(text)
 
 
 def taxonomy_source(

@@ -108,15 +108,17 @@ def region_tree(policies: DataFrame) -> DataFrame:
     pairs = with_regions(names).select(F.col("_state").alias("state"), F.col("region_name").alias("city")).distinct()
     city = F.when(F.col("city") != F.col("state"), F.col("city"))
     order = {name: str(i) for i, name in enumerate(C.STATE_CODES)}
-    name = F.collate(city, "de")
     return (
         pairs.groupBy("state")
         # only alias regions differ from their state, so a set holds a handful of names
-        .agg(F.array_sort(F.collect_set(name)).alias("sorted"))
+        .agg(F.collect_set(city).alias("found"))
         .select(
             "state",
             F.coalesce(F.try_element_at(literal_map(order), F.col("state")).cast("int"), F.lit(999)).alias("state_order"),
-            F.transform("sorted", lambda c: F.collate(c, "UTF8_BINARY")).alias("cities"),
+            F.transform(
+                F.array_sort(F.transform("found", lambda c: F.struct(F.collate(c, "de").alias("key"), c.alias("city")))),
+                lambda x: x["city"],
+            ).alias("cities"),
         )
     )
 

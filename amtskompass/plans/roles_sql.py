@@ -163,15 +163,15 @@ FROM pages"""
 
 # one row per search hit; the Spark side reads the same hits from nested JSON pages
 ROLES["hits"] = """
-SELECT min(l_returnflag) OVER w AS keyword, l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos,
-  CAST(l_partkey AS VARCHAR) AS refnr,
-  CASE WHEN l_linenumber <> 3 THEN 'Stelle ' || l_partkey ELSE 'Beruf' END AS title_de, 'Firma ' || l_suppkey AS employer,
-  CASE WHEN l_linenumber % 4 <> 0 THEN 'Ort ' || l_returnflag ELSE 'Stadt' END AS city,
-  CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus ELSE 'Region' END AS state_code,
-  CASE WHEN l_linenumber % 2 = 0 THEN ['全职'] ELSE ['兼职', '远程'] END AS work_type,
-  CAST(l_shipdate AS DATE) AS published_at,
-  CASE min(l_returnflag) OVER w WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS kw_ord
-FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)"""
+SELECT keyword, kw_ord, page, pos, refnr, CASE WHEN l_linenumber <> 3 THEN 'Stelle ' || refnr ELSE 'Beruf' END AS title_de,
+  employer, city, state_code, work_type, published_at
+FROM (SELECT l_returnflag AS keyword, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS kw_ord,
+    l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS page, l_linenumber, l_partkey, l_suppkey,
+    'Firma ' || l_suppkey AS employer, CASE WHEN l_linenumber % 4 <> 0 THEN 'Ort ' || l_returnflag ELSE 'Stadt' END AS city,
+    CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus ELSE 'Region' END AS state_code,
+    CASE WHEN l_linenumber % 2 = 0 THEN ['全职'] ELSE ['兼职', '远程'] END AS work_type, CAST(l_shipdate AS DATE) AS published_at,
+    unnest([0, 1]) AS pos, unnest([CAST(l_partkey AS VARCHAR), 'S' || l_suppkey]) AS refnr
+  FROM lineitem)"""
 
 ROLES["feed_lines"] = """
 SELECT source AS source_id, doc_id, 'https://' || source || '.example/rss/' || doc_id AS url,

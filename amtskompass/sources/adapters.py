@@ -248,38 +248,34 @@ def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job search responses: the lines of an order become the hits of one response page.
-
-    An order has at most seven lines, so a response stays small.
-    """
-    part = F.col("l_partkey").cast("string")
-    even = F.col("l_linenumber") % 2 == 0
-    item = F.struct(
-        F.when(even, part).alias("refnr"),
-        F.when(F.col("l_linenumber") != 3, F.concat(F.lit("Stelle "), part)).alias("titel"),
-        F.lit("Beruf").alias("berufsbezeichnung"),
-        F.concat(F.lit("Firma "), F.col("l_suppkey").cast("string")).alias("arbeitgeber"),
-        F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T08:00:00")).alias("aktuelleVeroeffentlichungsdatum"),
-        F.lit("Region").alias("region"),
-        F.struct(
-            F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("Ort "), "l_returnflag")).alias("ort"),
-            F.lit("Stadt").alias("stadt"),
-            F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linestatus")).otherwise("").alias("region"),
-        ).alias("arbeitsort"),
-        F.when(even, F.array(F.lit("VZ"), F.lit("xx"))).alias("arbeitszeit"),
-        F.struct(part.alias("refnr"), F.array(F.lit("tz"), F.lit("ho")).alias("arbeitszeit")).alias("arbeitsmarktdaten"),
-    )
-    hits = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("item")))), lambda x: x["item"])
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.to_json(F.struct(hits.alias("stellenangebote"))).alias("body"), F.min("l_returnflag").alias("keyword"))
-        .select(
-            "keyword",
-            F.when(F.col("keyword") == "A", 0).when(F.col("keyword") == "N", 1).otherwise(2).alias("kw_ord"),
-            F.col("l_orderkey").alias("page"),
-            "body",
+    """Job search responses: every line item is a response page with two hits, built from its own columns."""
+    part, supp = F.col("l_partkey").cast("string"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+    n = F.col("l_linenumber")
+    even = n % 2 == 0
+
+    def item(refnr: Column) -> Column:
+        return F.struct(
+            F.when(even, refnr).alias("refnr"),
+            F.when(n != 3, F.concat(F.lit("Stelle "), refnr)).alias("titel"),
+            F.lit("Beruf").alias("berufsbezeichnung"),
+            F.concat(F.lit("Firma "), F.col("l_suppkey").cast("string")).alias("arbeitgeber"),
+            F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T08:00:00")).alias("aktuelleVeroeffentlichungsdatum"),
+            F.lit("Region").alias("region"),
+            F.struct(
+                F.when(n % 4 != 0, F.concat(F.lit("Ort "), "l_returnflag")).alias("ort"),
+                F.lit("Stadt").alias("stadt"),
+                F.when(n % 3 != 0, F.col("l_linestatus")).otherwise("").alias("region"),
+            ).alias("arbeitsort"),
+            F.when(even, F.array(F.lit("VZ"), F.lit("xx"))).alias("arbeitszeit"),
+            F.struct(refnr.alias("refnr"), F.array(F.lit("tz"), F.lit("ho")).alias("arbeitszeit")).alias("arbeitsmarktdaten"),
         )
+
+    flag = F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").select(
+        flag.alias("keyword"),
+        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("kw_ord"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("page"),
+        F.to_json(F.struct(F.array(item(part), item(supp)).alias("stellenangebote"))).alias("body"),
     )
 
 
