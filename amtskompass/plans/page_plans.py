@@ -1 +1,426 @@
-"""placeholder"""
+"""Page and feed extraction queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions.keys import content_hash, visible_text_hash
+from ..functions.text import decode_entities, strip_cdata, strip_tags
+from ..operators import feeds, pages, snapshots, stats
+from ..sources import adapters as A
+from .registry import query
+from .roles_sql import any_of, with_roles
+
+AS_OF = "2024-07-01 00:00:00"
+STAMP = "'2024-07-01 00:00:00'"
+
+
+def decoded(expr: str) -> str:
+    for entity, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+        expr = f"replace({expr}, '{entity}', '{plain}')"
+    return expr
+
+
+def readable(expr: str) -> str:
+    for tag in ("script", "style", "nav", "footer"):
+        expr = f"regexp_replace({expr}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
+    return f"trim(regexp_replace({decoded(f'regexp_replace({expr}, $$<[^>]*>$$, $$ $$, $$g$$)')}, '\\s+', ' ', 'g'))"
+
+
+def title(expr: str) -> str:
+    h1 = f"regexp_extract({expr}, '(?i)<h1[^>]*>([^<]+)</h1>', 1)"
+    cut = f"regexp_replace(regexp_extract({expr}, '(?i)<title[^>]*>([^<]+)</title>', 1), '\\s*[-|][^\\n\\r]*$', '')"
+    return f"CASE WHEN {h1} <> '' THEN trim({h1}) ELSE trim({cut}) END"
+
+
+def content(expr: str) -> str:
+    found = f"list_transform(regexp_extract_all({expr}, '(?i)<p[^>]*>([^<]{{50,}})</p>', 1), lambda p: trim(p, ' ' || chr(10)))"
+    return (f"array_to_string(list_filter({found}, lambda p: NOT regexp_matches(p, '(?i)cookie|datenschutz|impressum|©'))[1:20],"
+            " chr(10) || chr(10))")
+
+
+@query("H1_readable_text", f"SELECT page_id, md5({readable('html')}) AS text_md5, length({readable('html')}) AS n FROM pages")
+def h1(spark, d):
+    out = pages.readable_text(A.table(spark, d, "pages"))
+    return out.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+
+
+@query(
+    "H2_basic_page",
+    f"SELECT page_id, {title('html')} AS title, md5({content('html')}) AS content_md5, regexp_extract(html, '\\b(\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1) AS published_date FROM pages",
+)
+def h2(spark, d):
+    return pages.basic_page(A.table(spark, d, "pages")).select("page_id", "title", F.md5("content").alias("content_md5"), "published_date")
+
+
+LOCAL_GUIDES = pages.GuideConfig(prefix="site", root=["article"], min_parts=3, title_within=["article"])
+
+
+@query("H3_extract_guides")
+def h3(spark, d):
+    return pages.extract_guides(A.table(spark, d, "pages"), LOCAL_GUIDES)
+
+
+@query("H3_extract_exchange_pages")
+def h3_exchange(spark, d):
+    return pages.extract_exchange_pages(A.table(spark, d, "pages"))
+
+
+@query("H4_office_pages")
+def h4(spark, d):
+    return pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig())
+
+
+@query("H4_keyed_office_pages")
+def h4_keyed(spark, d):
+    return pages.keyed_office_page(A.table(spark, d, "pages"))
+
+
+FEE_SQL = "(?i)([0-9]+[.,]?[0-9]*)[ \\t]*(€|euro|eur)|gebühren?pflichtig|gebühren?|kostenlos"
+DURATION_SQL = "(?i)([0-9]+)[ \\t]*(woche|monat|tag|jahr|wochen|monaten|tagen|jahren)|bearbeitungszeit|dauer"
+
+
+@query(
+    "H5_first_matching_line",
+    f"""SELECT doc_id, coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{FEE_SQL}'))[1], 1, 150), '') AS fee_line,
+  coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{DURATION_SQL}'))[1], 1, 150), '') AS duration_line,
+  coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)eur|de la|[0-9]+'))[1], 1, 150), '') AS other_line FROM documents""",
+)
+def h5(spark, d):
+    lines = F.split("text", "\n")
+    return A.table(spark, d, "documents").select(
+        "doc_id",
+        pages.first_matching_line(lines, C.FEE_PATTERNS).alias("fee_line"),
+        pages.first_matching_line(lines, C.DURATION_PATTERNS).alias("duration_line"),
+        pages.first_matching_line(lines, ["eur", "de la", "[0-9]+"]).alias("other_line"),
+    )
+
+
+@query("H6_news_pages")
+def h6(spark, d):
+    return pages.news_page(A.table(spark, d, "pages")).select("page_id", "news_title", "news_subtitle", "news_date", "paragraphs")
+
+
+@query("H6_news_pages_static")
+def h6_static(spark, d):
+    return pages.news_page(A.table(spark, d, "pages"), static=True).select("page_id", "news_title", "news_date", "paragraphs")
+
+
+@query(
+    "H7_page_links",
+    """SELECT page_id, href AS raw, pos FROM (
+  SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (
+    SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> '' AND x[1] <> '#') AS h FROM pages))""",
+)
+def h7(spark, d):
+    links = pages.page_links(A.table(spark, d, "pages"), resolve=False)
+    return links.select("page_id", F.col("link_url").alias("raw"), "pos")
+
+
+@query("H7_distinct_links")
+def h7_distinct(spark, d):
+    return pages.distinct_links(pages.page_links(A.table(spark, d, "pages")), "page_id")
+
+
+@query(
+    "H8_parse_feed",
+    with_roles(["feed_lines", "feed_items"], "SELECT source_id, doc_id, pos, md5(title) AS title_md5, link, md5(description) AS description_md5, published_at FROM feed_items"),
+)
+def h8(spark, d):
+    items = feeds.parse_feed(A.feed_fetches(spark, d))
+    return items.select(
+        "source_id", "doc_id", "pos", F.md5("title").alias("title_md5"), "link", F.md5("description").alias("description_md5"), "published_at"
+    )
+
+
+@query(
+    "H9_feed_health",
+    """SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR doc_id % 8 < 2 THEN 0 ELSE len(string_split(text, chr(10))) END AS item_count,
+  doc_id % 9 <> 0 AND doc_id % 8 >= 2 AS ok,
+  CASE WHEN doc_id % 9 = 0 THEN 'Fetch failed 500 for https://' || source || '.example/rss/' || doc_id WHEN doc_id % 8 = 0 THEN 'URL did not return RSS/Atom content.'
+    WHEN doc_id % 8 = 1 THEN 'Feed had no items.' ELSE '' END AS probe_error, doc_id % 9 <> 0 AND doc_id % 8 > 0 AS reachable FROM documents""",
+)
+def h9(spark, d):
+    return feeds.feed_health(A.feed_fetches(spark, d)).select("doc_id", "item_count", "ok", "probe_error", "reachable")
+
+
+def homepages(spark, d):
+    """Pages that announce feeds: typed links in both attribute orders, one plain link."""
+    i = F.col("page_id")
+    tag = F.when(i % 3 == 0, '<link type="application/rss+xml" href="/a.xml">').when(
+        i % 3 == 1, "<link href='b.xml' rel=alternate type='application/atom+xml'>"
+    ).otherwise("")
+    anchor = F.when(i % 2 == 0, '<a href="https://other.example/x/RSS?id=1">Abo</a>').otherwise("")
+    return A.table(spark, d, "pages").select("page_id", "url", F.concat(tag, anchor, "html").alias("body"))
+
+
+@query(
+    "H10_discover_feeds",
+    """WITH c AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin, regexp_extract(url, '^(https?://[^?#]*/)', 1) AS dir, url FROM pages),
+t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN origin || '/a.xml' WHEN page_id % 3 = 1 THEN CASE WHEN dir = '' OR dir LIKE '%://' THEN origin || '/' ELSE dir END || 'b.xml' END AS candidate FROM c)
+SELECT page_id, candidate FROM t WHERE candidate IS NOT NULL
+UNION ALL SELECT page_id, 'https://other.example/x/RSS?id=1' FROM pages WHERE page_id % 2 = 0""",
+)
+def h10(spark, d):
+    return feeds.discover_feeds(homepages(spark, d)).select("page_id", "candidate")
+
+
+RELEVANT = f"NOT {any_of('t', C.FEED_EXCLUDED)} AND {any_of('t', C.FEED_KEYWORDS)}"
+
+
+@query(
+    "F17_feed_relevance",
+    f"SELECT doc_id, ({RELEVANT}) AS relevant FROM (SELECT doc_id, lower(concat_ws(' ', 'Antrag', text)) AS t FROM documents)",
+)
+def f17(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", feeds.policy_relevant(F.lit("Antrag"), F.col("text")).alias("relevant"))
+
+
+@query(
+    "F18_since_keeps_undated",
+    with_roles(["feed_lines", "feed_items"], "SELECT link FROM feed_items WHERE published_at = '' OR published_at >= '2026-04-22'"),
+)
+def f18(spark, d):
+    from ..functions.dates import since
+
+    return feeds.parse_feed(A.feed_fetches(spark, d)).where(since(F.col("published_at"), "2026-04-22")).select("link")
+
+
+@query(
+    "F19_guide_url",
+    f"SELECT page_id, NOT {any_of('url', C.GUIDE_URL_SKIPS)} AND NOT {any_of('html', C.GUIDE_URL_SKIPS)} AS keep FROM pages",
+)
+def f19(spark, d):
+    return A.table(spark, d, "pages").select("page_id", (pages.guide_url(F.col("url")) & pages.guide_url(F.col("html"))).alias("keep"))
+
+
+BOILER = pages.GuideConfig(
+    prefix="x", root=["main"], boilerplate=["^Le ", "^De "], nav_words=["und", "the end."], nav_max=15, block_words=["schei", "cookie"]
+)
+
+
+@query(
+    "F20_drop_boilerplate",
+    """SELECT doc_id, len(k) AS kept, md5(array_to_string(k, '|')) AS kept_md5 FROM (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 5 AND NOT regexp_matches(x, '^Le |^De ')
+    AND NOT (length(x) < 15 AND lower(x) IN ('und', 'the end.')) AND NOT contains(lower(x), 'schei') AND NOT contains(lower(x), 'cookie')) AS k FROM documents)""",
+)
+def f20(spark, d):
+    kept = pages.drop_boilerplate(F.split("text", "\n"), BOILER)
+    return A.table(spark, d, "documents").select("doc_id", F.size(kept).alias("kept"), F.md5(F.array_join(kept, "|")).alias("kept_md5"))
+
+
+@query(
+    "W2_take_per_source",
+    with_roles(["feed_lines", "feed_items"], """
+SELECT source_id, link FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos, link) AS rn FROM feed_items
+  WHERE published_at = '' OR published_at >= '2026-04-22') WHERE rn <= 4"""),
+)
+def w2(spark, d):
+    from ..functions.dates import since
+
+    items = feeds.parse_feed(A.feed_fetches(spark, d)).where(since(F.col("published_at"), "2026-04-22"))
+    return feeds.take_per_source(items, 4).select("source_id", "link")
+
+
+@query(
+    "W2_select_feed_items",
+    with_roles(["feed_lines", "feed_items"], f"""
+SELECT source_id, link FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pos, link) AS rn FROM (
+  SELECT *, lower(title || ' ' || description) AS t FROM feed_items WHERE (published_at = '' OR published_at >= '2026-04-22')
+    AND link NOT IN (SELECT 'https://feed.example/' || doc_id || '/0' FROM labels)) WHERE {RELEVANT}) WHERE rn <= 4"""),
+)
+def w2_select(spark, d):
+    known = A.table(spark, d, "labels").select(
+        F.concat(F.lit("https://feed.example/"), F.col("doc_id").cast("string"), F.lit("/0")).alias("official_url")
+    )
+    return feeds.select_feed_items(feeds.parse_feed(A.feed_fetches(spark, d)), known, "2026-04-22", 4).select("source_id", "link")
+
+
+@query(
+    "H12_city_fee_guides",
+    """SELECT 'municipal_hundesteuer_' || lower(n_name) AS service_key, 'Hundesteuer ' || n_name || ' — Anmeldung, Gebühren & Pflichten' AS title_de,
+  n_name || '犬税指南 — 登记、费用与养犬义务' AS title_zh, '首犬：' || n || '€' || chr(10) || '额外犬只（第二只起）：' || (n * 2) || '€' || chr(10) || '危险犬种可能有附加费，请向当地 Ordnungsamt 确认。' AS fees_zh,
+  trim(regexp_replace('hundesteuer-' || lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(md5('https://city.example/' || n_name), 1, 6) AS slug, 'Stadt ' || n_name AS publisher
+FROM (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)""",
+)
+def h12(spark, d):
+    cities = (
+        A.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+        .join(A.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("n_name").alias("name"), F.concat(F.col("n").cast("string"), F.lit("€")).alias("first"),
+            F.concat((F.col("n") * 2).cast("string"), F.lit("€")).alias("extra"),
+            F.concat(F.lit("https://city.example/"), "n_name").alias("url"),
+        )
+    )
+    return pages.city_fee_guides(cities).select("service_key", "title_de", "title_zh", "fees_zh", "slug", "publisher")
+
+
+@query(
+    "H13_fill_defaults",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'Amt ' || source END AS publisher, 'Quelle ' || source AS source_name,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'cat-' || source END AS category, doc_id % 5 = 0 AS translated FROM documents""",
+)
+def h13(spark, d):
+    i = F.col("doc_id")
+    docs = A.table(spark, d, "documents")
+    entries = docs.select(
+        "doc_id", "source", F.when(i % 3 == 0, F.col("lang")).alias("publisher"), F.when(i % 4 == 0, "").alias("category"),
+        F.when(i % 5 == 0, True).alias("translated"),
+    )
+    configs = docs.select("source").distinct().select(
+        "source", F.concat(F.lit("Quelle "), "source").alias("source_name"), F.concat(F.lit("Amt "), "source").alias("publisher"),
+        F.lit("州").alias("region_level"), F.lit("R").alias("region_name"), F.concat(F.lit("cat-"), "source").alias("category"),
+    )
+    return pages.fill_defaults(entries, configs, "source", AS_OF).select("doc_id", "publisher", "source_name", "category", "translated")
+
+
+# --- snapshots ------------------------------------------------------------------------
+
+FETCHED = ["fetches", "page_state"]
+
+
+@query(
+    "N1_etag_gate",
+    with_roles(FETCHED, """
+SELECT page_id, f.error IS NULL AND status = 200 AS changed, CASE WHEN f.error IS NULL AND status = 200 THEN f.etag ELSE s.etag END AS next_etag
+FROM fetches f LEFT JOIN page_state s USING (url)"""),
+)
+def n1(spark, d):
+    return snapshots.etag_gate(A.page_state(spark, d), A.fetches(spark, d)).select("page_id", "changed", "next_etag")
+
+
+@query(
+    "N2_save_etags",
+    with_roles(FETCHED, """
+SELECT coalesce(s.url, f.url) AS url, coalesce(f.etag, s.etag) AS etag FROM page_state s FULL JOIN (SELECT * FROM fetches WHERE status = 200) f USING (url)"""),
+)
+def n2(spark, d):
+    state = A.page_state(spark, d).select("url", "etag")
+    written = snapshots.etag_gate(state, A.fetches(spark, d)).where("changed")
+    return snapshots.save_etags(state, written)
+
+
+OUTCOME = "CASE WHEN error IS NOT NULL THEN 'network_error' WHEN status = 304 THEN 'not_modified' WHEN status <> 200 OR coalesce(body, '') = '' THEN 'http_error' ELSE 'parsed' END"
+
+
+@query(
+    "N3_classify_fetch",
+    with_roles(["fetches"], f"""
+SELECT page_id, {OUTCOME} AS outcome, CASE WHEN {OUTCOME} = 'parsed' THEN {title('body')} END AS title,
+  CASE WHEN {OUTCOME} = 'parsed' THEN md5({content('body')}) END AS content_md5,
+  {OUTCOME} = 'parsed' AND length({content('body')}) < 100 AS short FROM fetches"""),
+)
+def n3(spark, d):
+    out = snapshots.classify_fetch(A.fetches(spark, d))
+    return out.select("page_id", "outcome", "title", F.md5("content").alias("content_md5"), F.coalesce("short", F.lit(False)).alias("short"))
+
+
+def page_diff(spark, d):
+    old = pages.basic_page(A.page_state(spark, d)).select("service_key", content_hash(F.col("content")).alias("content_hash"))
+    return snapshots.diff_pages(old, snapshots.classify_fetch(A.fetches(spark, d)), AS_OF)
+
+
+DIFF = with_roles(FETCHED, f""", old AS (SELECT service_key, md5({content('html')}) AS h FROM page_state),
+new AS (SELECT *, {OUTCOME} AS outcome FROM fetches),
+diff AS (SELECT n.service_key, n.url, n.outcome, CASE WHEN outcome = 'parsed' THEN md5({content('n.body')}) END AS new_hash,
+  CASE WHEN outcome IN ('network_error', 'http_error') THEN 'error' WHEN outcome = 'not_modified' THEN 'skipped'
+    WHEN o.h = md5({content('n.body')}) THEN 'skipped' WHEN o.service_key IS NOT NULL THEN 'updated' ELSE 'inserted' END AS action
+  FROM new n LEFT JOIN old o USING (service_key))""")
+
+
+@query("J4_diff_pages", DIFF + " SELECT service_key, action, new_hash FROM diff")
+def j4(spark, d):
+    return page_diff(spark, d).select("service_key", "action", "new_hash")
+
+
+@query(
+    "N4_apply_diff",
+    DIFF + f""" SELECT coalesce(o.service_key, x.service_key) AS service_key,
+  CASE WHEN x.action IN ('inserted', 'updated') THEN x.new_hash ELSE o.h END AS content_hash,
+  CASE WHEN x.action IN ('inserted', 'updated') THEN false ELSE true END AS translated,
+  CASE WHEN x.action IN ('inserted', 'updated', 'skipped') AND x.outcome = 'parsed' THEN {STAMP} END AS last_fetched_at
+FROM old o FULL JOIN (SELECT * FROM diff WHERE outcome = 'parsed') x USING (service_key)""",
+)
+def n4(spark, d):
+    parsed = pages.basic_page(A.page_state(spark, d))
+    null_time = F.lit(None).cast("timestamp")
+    target = parsed.select(
+        "service_key", content_hash(F.col("content")).alias("content_hash"), F.lit(True).alias("translated"),
+        null_time.alias("translated_at"), null_time.alias("last_fetched_at"), null_time.alias("updated_at"),
+        null_time.alias("created_at"), F.lit(1).alias("view_count"), F.col("title").alias("title_de"),
+        F.col("title").alias("title_zh"), F.col("title").alias("summary_zh"),
+    )
+    diff = snapshots.diff_pages(target, snapshots.classify_fetch(A.fetches(spark, d)), AS_OF)
+    return snapshots.apply_diff(target, diff.drop("last_fetched_at"), AS_OF).select(
+        "service_key", "content_hash", "translated", "last_fetched_at"
+    )
+
+
+@query(
+    "N5_full_scrape",
+    with_roles(["fetches"], "SELECT page_id, error IS NULL AND status = 200 AS changed, CASE WHEN error IS NULL AND status = 200 THEN etag END AS next_etag FROM fetches"),
+)
+def n5(spark, d):
+    return snapshots.etag_gate(A.page_state(spark, d), A.fetches(spark, d), full=True).select("page_id", "changed", "next_etag")
+
+
+@query(
+    "A6_diff_summary",
+    DIFF + """ SELECT count(*) AS processed, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'updated') AS updated,
+  count(*) FILTER (action = 'skipped') AS skipped, count(*) FILTER (action = 'error') AS errors FROM diff""",
+)
+def a6(spark, d):
+    return stats.diff_summary(page_diff(spark, d))
+
+
+@query(
+    "A6_scrape_summary",
+    with_roles(["fetches"], """
+SELECT count(*) AS fetched, count(*) FILTER (status = 200 AND coalesce(body, '') <> '') AS changed,
+  count(*) FILTER (status = 200 AND contains(body, '<article>')) AS written, count(*) FILTER (status <> 200) AS skipped FROM fetches"""),
+)
+def a6_scrape(spark, d):
+    gated = snapshots.etag_gate(A.page_state(spark, d), A.fetches(spark, d))
+    return stats.scrape_summary(gated, F.col("body").contains("<article>"))
+
+
+@query(
+    "Q1_enqueue_changes",
+    DIFF + """ SELECT 'policy' AS source_type, service_key AS source_id, url AS source_url, CASE WHEN action = 'updated' THEN 1 ELSE 0 END AS priority,
+  'pending' AS status FROM diff WHERE action IN ('inserted', 'updated')""",
+)
+def q1(spark, d):
+    return snapshots.enqueue_changes(page_diff(spark, d), AS_OF).drop("created_at")
+
+
+@query(
+    "X5_strip_tags",
+    "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS plain_md5, regexp_replace(regexp_replace('<![CDATA[' || url || ']]>', '^<!\\[CDATA\\[', ''), '\\]\\]>$', '') AS cdata FROM pages",
+)
+def x5(spark, d):
+    return A.table(spark, d, "pages").select(
+        "page_id", F.md5(strip_tags(F.col("html"))).alias("plain_md5"),
+        strip_cdata(F.concat(F.lit("<![CDATA["), "url", F.lit("]]>"))).alias("cdata"),
+    )
+
+
+@query("X6_decode_entities", f"SELECT page_id, md5({decoded('html')}) AS decoded_md5 FROM pages")
+def x6(spark, d):
+    return A.table(spark, d, "pages").select("page_id", F.md5(decode_entities(F.col("html"))).alias("decoded_md5"))
+
+
+@query(
+    "X16_content_hashes",
+    f"""SELECT page_id, md5({content('html')}) AS paragraph_md5, md5(html) AS raw_md5, sha256({readable('html')}) AS readable_sha,
+  md5(array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'),
+    '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<noscript\\b.*?</noscript>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>'), lambda p: trim(p, ' ' || chr(10) || chr(9))), '')) AS visible_md5 FROM pages""",
+)
+def x16(spark, d):
+    html = F.col("html")
+    return pages.basic_page(A.table(spark, d, "pages")).select(
+        "page_id", content_hash(F.col("content")).alias("paragraph_md5"), content_hash(html).alias("raw_md5"),
+        content_hash(pages.readable(html), "sha256").alias("readable_sha"), visible_text_hash(html).alias("visible_md5"),
+    )
