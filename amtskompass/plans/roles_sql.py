@@ -180,7 +180,7 @@ SELECT source AS source_id, doc_id, 'https://' || source || '.example/rss/' || d
 FROM documents"""
 
 ROLES["feed_items"] = """
-SELECT source_id, doc_id, pos, trim(regexp_replace(line, '\\s+$', '')) || ' & Antrag' AS title,
+SELECT source_id, doc_id, pos, trim(regexp_replace(line, '\\s+$', '')) || ' &amp; Antrag' AS title,
   'https://feed.example/' || doc_id || '/' || pos AS link, ' ' || line || '  Gesetz' AS description,
   CASE pos % 3 WHEN 0 THEN '2026-04-22' WHEN 1 THEN '2026-04-21' ELSE '' END AS published_at, status
 FROM feed_lines WHERE has_items"""

@@ -1 +1,314 @@
-"""placeholder"""
+"""Queue, enrichment, activation, run and quality queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..operators import enrich, quality, queue, runs
+from ..sources import adapters as A
+from .registry import query
+from .roles_sql import q, with_roles
+from .text_plans import parsed_replies
+
+AS_OF = "2024-07-01 00:00:00"
+STAMP = "'2024-07-01 00:00:00'"
+
+
+@query(
+    "O6_claim_order",
+    with_roles(["queue"], "SELECT id, priority FROM queue WHERE status = 'pending' ORDER BY priority DESC NULLS FIRST, created_at, id LIMIT 5"),
+)
+def o6(spark, d):
+    return queue.next_items(A.queue(spark, d)).select("id", "priority")
+
+
+@query(
+    "Q3_claim",
+    with_roles(["queue"], """, top AS (SELECT id FROM queue WHERE status = 'pending' ORDER BY priority DESC NULLS FIRST, created_at, id LIMIT 5)
+SELECT id, CASE WHEN id IN (SELECT id FROM top) THEN 'processing' ELSE status END AS status,
+  attempts + CASE WHEN id IN (SELECT id FROM top) THEN 1 ELSE 0 END AS attempts FROM queue"""),
+)
+def q3(spark, d):
+    return queue.claim(A.queue(spark, d), 5).select("id", "status", "attempts")
+
+
+FETCHED = "SELECT CAST(user_id AS VARCHAR) AS refnr FROM events WHERE event_type = 'view' GROUP BY 1"
+
+
+@query(
+    "Q2_enqueue_jobs",
+    with_roles(["queue", "jobs"], f""", due AS (SELECT refnr FROM jobs WHERE is_active AND (length(trim(coalesce(description_de, ''))) > 50 OR refnr IN ({FETCHED})))
+SELECT source_type, source_id, status, priority, attempts FROM queue WHERE NOT (source_type = 'job' AND source_id IN (SELECT refnr FROM due))
+UNION ALL SELECT 'job', refnr, 'pending', 1, 0 FROM due"""),
+)
+def q2(spark, d):
+    viewed = A.table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("refnr")).agg(
+        F.max(F.when(F.col("event_type") == "view", "Beschreibung")).alias("description")
+    )
+    out = queue.enqueue_jobs(A.queue(spark, d), A.jobs(spark, d), viewed, AS_OF)
+    return out.select("source_type", "source_id", "status", "priority", "attempts")
+
+
+@query(
+    "J8_resolve_queue",
+    with_roles(["queue", "policy_pages", "jobs"], """
+SELECT q.id, coalesce(p.id IS NOT NULL OR j.refnr IS NOT NULL, false) AS found, md5(coalesce(p.title_de, j.title_de)) AS title_md5,
+  CASE WHEN p.id IS NULL AND j.refnr IS NULL THEN CASE q.source_type WHEN 'policy' THEN 'Policy ' ELSE 'Job ' END || q.source_id || ' not found' END AS error
+FROM queue q LEFT JOIN policy_pages p ON q.source_type = 'policy' AND p.id = q.source_id LEFT JOIN jobs j ON q.source_type = 'job' AND j.refnr = q.source_id"""),
+)
+def j8(spark, d):
+    out = queue.resolve_queue(A.queue(spark, d), A.policy_pages(spark, d), A.jobs(spark, d))
+    return out.select("id", "found", F.md5("title").alias("title_md5"), "error")
+
+
+@query(
+    "Q4_settle",
+    with_roles(["queue"], f"""
+SELECT id, CASE WHEN status <> 'processing' THEN status WHEN CAST(source_id AS BIGINT) % 3 = 0 THEN 'done' WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status,
+  attempts + CASE WHEN status = 'processing' AND CAST(source_id AS BIGINT) % 3 <> 0 THEN 1 ELSE 0 END AS attempts,
+  CASE WHEN status = 'processing' AND CAST(source_id AS BIGINT) % 3 <> 0 THEN repeat('e', 500) END AS error_message,
+  CASE WHEN status = 'processing' AND (CAST(source_id AS BIGINT) % 3 = 0 OR attempts + 1 >= 3) THEN {STAMP} END AS processed_at FROM queue"""),
+)
+def q4(spark, d):
+    items = A.queue(spark, d)
+    ok = F.col("source_id").cast("bigint") % 3 == 0
+    outcomes = items.where("status = 'processing'").select("id", ok.alias("ok"), F.lit("e" * 600).alias("message"))
+    return queue.settle(items, outcomes, AS_OF).select("id", "status", "attempts", "error_message", "processed_at")
+
+
+@query(
+    "Q7_retry_plan",
+    """WITH o AS (SELECT user_id AS batch_id, event_id AS key, event_id % 3 + 1 AS round, event_type = 'view' AND user_id % 2 = 0 AS ok FROM events),
+b AS (SELECT batch_id, round, bool_or(ok) AS any_ok FROM o GROUP BY 1, 2),
+s AS (SELECT o.*, CASE WHEN ok THEN 'done' WHEN o.round = 1 THEN 'retry_batch' WHEN o.round = 2 AND NOT any_ok THEN 'retry_single' ELSE 'failed' END AS step FROM o JOIN b USING (batch_id, round))
+SELECT batch_id, key, round, step, CASE WHEN step LIKE 'retry%' THEN round + 1 END AS next_round, CASE WHEN step = 'retry_batch' THEN 3000 WHEN step = 'retry_single' THEN 1500 END AS text_cap FROM s""",
+)
+def q7(spark, d):
+    outcomes = A.table(spark, d, "events").select(
+        F.col("user_id").alias("batch_id"), F.col("event_id").alias("key"), (F.col("event_id") % 3 + 1).alias("round"),
+        ((F.col("event_type") == "view") & (F.col("user_id") % 2 == 0)).alias("ok"),
+    )
+    return queue.retry_plan(outcomes)
+
+
+LAST = """, entries AS (SELECT * FROM replies WHERE shape IN (0, 1, 2, 3, 5)),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY refnr ORDER BY turn DESC) AS rn FROM entries) WHERE rn = 1)"""
+
+
+@query(
+    "J6_reconcile",
+    with_roles(["jobs", "replies"], LAST + " SELECT j.refnr, l.refnr IS NOT NULL AS ok, md5(l.text) AS text_md5 FROM jobs j LEFT JOIN last l ON j.refnr = l.refnr"),
+)
+def j6(spark, d):
+    out = enrich.reconcile(A.jobs(spark, d), parsed_replies(spark, d).drop("key"), "refnr", "description_zh", ["turn", "pos"])
+    return out.select("refnr", "ok", F.md5("r_description_zh").alias("text_md5"))
+
+
+ENRICHED = {
+    "job_description": "md5(CASE WHEN l.refnr IS NOT NULL THEN l.text ELSE description_zh END) AS a, array_to_string(CASE WHEN l.refnr IS NOT NULL THEN [l.role, 'IT/技术'] ELSE tags END, '|') AS b, l.refnr IS NOT NULL OR translated AS c",
+    "job_title": "md5(CASE WHEN l.refnr IS NOT NULL THEN l.title_zh ELSE j.title_zh END) AS a, '' AS b, translated AS c",
+    "job_tags": "'' AS a, array_to_string(CASE WHEN l.refnr IS NOT NULL THEN [l.role, 'IT/技术'] ELSE tags END, '|') AS b, translated AS c",
+}
+
+
+def _register_enrichment(kind: str, sql: str) -> None:
+    @query(f"Q5_enrich_{kind}", with_roles(["jobs", "replies"], LAST + f" SELECT j.refnr, {sql} FROM jobs j LEFT JOIN last l ON j.refnr = l.refnr"))
+    def enriched(spark, d):
+        out = enrich.apply_enrichment(A.jobs(spark, d), parsed_replies(spark, d).drop("key"), kind, "refnr", ["turn", "pos"], AS_OF)
+        a = {"job_description": F.md5("description_zh"), "job_title": F.md5("title_zh"), "job_tags": F.lit("")}[kind]
+        b = F.lit("") if kind == "job_title" else F.array_join("tags", "|")
+        return out.select("refnr", a.alias("a"), b.alias("b"), F.col("translated").alias("c"))
+
+
+for _kind, _sql in ENRICHED.items():
+    _register_enrichment(_kind, _sql)
+
+
+@query(
+    "Q5_enrich_policy_guide",
+    with_roles(["policy_pages", "replies"], LAST + """ SELECT p.id, CASE WHEN l.refnr IS NOT NULL THEN l.title_zh ELSE p.title_zh END AS title_zh,
+  CASE WHEN l.refnr IS NOT NULL THEN '' ELSE fees_zh END AS fees_zh, l.refnr IS NOT NULL OR translated AS translated FROM policy_pages p LEFT JOIN last l ON p.id = l.refnr"""),
+)
+def q5_guide(spark, d):
+    found = parsed_replies(spark, d).drop("key").withColumnRenamed("refnr", "id")
+    out = enrich.apply_enrichment(A.policy_pages(spark, d), found, "policy_guide", "id", ["turn", "pos"], AS_OF)
+    return out.select("id", "title_zh", "fees_zh", "translated")
+
+
+ACTIVE = {
+    "length": "length(description_de) > 20 AND length(description_zh) > 0 AND length(title_zh) > 0",
+    "null_only": "description_de IS NOT NULL AND description_zh IS NOT NULL AND title_zh IS NOT NULL",
+}
+
+
+def _register_activation(mode: str, sql: str) -> None:
+    @query(f"Q8_activation_{mode}", with_roles(["jobs"], f"SELECT refnr, coalesce({sql}, false) AS is_active FROM jobs"))
+    def activated(spark, d):
+        return enrich.activation(A.jobs(spark, d), mode).select("refnr", "is_active")
+
+
+for _mode, _sql in ACTIVE.items():
+    _register_activation(_mode, _sql)
+
+
+@query(
+    "Q8_activation_respect_delisted",
+    with_roles(["jobs"], f"SELECT refnr, coalesce({ACTIVE['length']}, false) AND refnr NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events) AS is_active FROM jobs"),
+)
+def q8_delisted(spark, d):
+    gone = A.table(spark, d, "events").select(F.col("user_id").cast("string").alias("refnr"))
+    return enrich.activation(A.jobs(spark, d), delisted=gone).select("refnr", "is_active")
+
+
+RESUME = {"backfill": "2024-01-01 00:00:00", "recent": "2030-01-01 00:00:00", "resume": "2030-01-01 00:00:00"}
+
+
+def _register_resume(mode: str, as_of: str) -> None:
+    sql = f"""
+SELECT CASE WHEN w THEN 'stay_paused' WHEN g THEN 'continue' ELSE 'new_run' END AS decision, CASE WHEN w OR g THEN run_id END AS run_id,
+  CASE WHEN w OR g THEN source_index ELSE 0 END AS source_index, CASE WHEN w OR g THEN request_used ELSE 0 END AS request_used
+FROM (SELECT *, status = 'paused' AND next_resume_at > TIMESTAMP '{as_of}' AS w, status = 'paused' AND NOT (next_resume_at > TIMESTAMP '{as_of}') AND mode = '{mode}' AS g
+  FROM runs WHERE status = 'paused' ORDER BY updated_at DESC, run_id DESC LIMIT 1)"""
+
+    @query(f"Q11_resume_{mode}", with_roles(["runs"], sql))
+    def resume(spark, d):
+        return runs.resume_point(A.runs(spark, d).where("status = 'paused'"), mode, as_of)
+
+
+for _mode, _as_of in RESUME.items():
+    _register_resume(_mode, _as_of)
+
+
+@query(
+    "Q11_run_totals",
+    """SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) FILTER (event_type <> 'error') AS sources_processed, count(*) FILTER (event_type = 'error') AS sources_skipped,
+  count(*) FILTER (event_type = 'click') AS sources_failed, CAST(coalesce(sum(event_id % 5) FILTER (event_type <> 'error'), 0) AS BIGINT) AS policies_upserted,
+  CAST(coalesce(sum(event_id % 3) FILTER (event_type <> 'error'), 0) AS BIGINT) AS items_skipped, CAST(coalesce(sum(event_id % 7) FILTER (event_type <> 'error'), 0) AS BIGINT) AS request_used FROM events GROUP BY 1""",
+)
+def q11_totals(spark, d):
+    i = F.col("event_id")
+    outcome = F.when(F.col("event_type") == "error", "unhealthy").when(F.col("event_type") == "click", "failed").otherwise("done")
+    steps = A.table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), outcome.alias("outcome"), (i % 5).alias("flushed"), (i % 3).alias("skipped"), (i % 7).alias("requests"),
+    )
+    return runs.run_totals(steps)
+
+
+def review_replies(spark, d):
+    """Reviews written by chat turns: fenced, plain and unreadable replies, and fetch errors."""
+    i = F.col("turn")
+    body = F.to_json(
+        F.struct(
+            A.pick(["ok", "needs_update", "strange"], i).alias("reviewStatus"), A.pick(["0.9", "1.7 hoch", "x"], i).alias("confidence"),
+            F.array(F.col("text"), F.lit(" ")).alias("findings"), A.pick(["keep", "none"], i).alias("suggestedAction"), F.lit(" ").alias("reviewSummary"),
+        )
+    )
+    return A.table(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("policy_id"), i.alias("turn"), F.col("text").alias("source_text"),
+        F.when(i % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i % 4 == 3, "kein Objekt").otherwise(body).alias("reply_text"),
+        F.when(F.col("role") == "system", "Fetch failed 500").alias("error"),
+    )
+
+
+@query(
+    "Q12_review_records",
+    with_roles(["policies_v1"], f"""
+SELECT id AS policy_id, slug AS policy_slug, CASE WHEN ok THEN CASE turn % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'needs_update' ELSE 'uncertain' END ELSE 'uncertain' END AS review_status,
+  CASE WHEN ok THEN CASE turn % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END AS confidence,
+  CASE WHEN ok AND turn % 2 = 0 THEN 'keep' ELSE 'manual_check' END AS suggested_action,
+  CASE WHEN ok THEN {q(C.REVIEW_DONE_SUMMARY)} ELSE {q(C.REVIEW_FAILED_SUMMARY)} END AS review_summary, CASE WHEN ok THEN sha256(text) END AS source_hash,
+  md5(CASE WHEN ok THEN trim(text, ' ' || chr(10)) WHEN role = 'system' THEN 'Fetch failed 500' ELSE 'reply without a readable JSON object' END) AS findings_md5
+FROM policies_v1 p JOIN (SELECT *, role <> 'system' AND turn % 4 <> 3 AS ok FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1) c ON p.doc_id = c.conv_id"""),
+)
+def q12(spark, d):
+    out = enrich.review_records(A.policies_v1(spark, d), review_replies(spark, d), ["turn"])
+    return out.select(
+        "policy_id", "policy_slug", "review_status", "confidence", "suggested_action", "review_summary", "source_hash",
+        F.md5(F.array_join("findings", "|")).alias("findings_md5"),
+    )
+
+
+def draft_inputs(spark, d):
+    """Feed items from documents, replies about them, and their sources."""
+    i = F.col("doc_id")
+    docs = A.table(spark, d, "documents")
+    link = F.concat(F.lit("https://feed.example/"), i.cast("string"))
+    items = docs.select(
+        F.col("source").alias("source_id"), F.element_at(F.split("text", "\n"), 1).alias("title"), link.alias("link"),
+        F.when(i % 2 == 0, F.col("text")).otherwise("").alias("description"), F.lit("2026-04-21").alias("published_at"),
+    )
+    body = F.to_json(
+        F.struct(
+            F.when(i % 7 == 0, False).otherwise(True).alias("isPolicyRelevant"), F.when(i % 3 == 0, F.col("lang")).alias("titleZh"),
+            F.when(i % 2 == 0, "22.04.2026").alias("publishedAt"), F.when(i % 3 == 1, "Stadt").alias("regionLevel"),
+            F.when(i % 4 == 0, "税务与社保").when(i % 4 == 1, "Hundesteuer").alias("category"), F.when(i % 5 == 0, F.array(F.lit("车主"))).alias("targetGroups"),
+            F.when(i % 3 == 2, F.array(F.lit(" a "), F.lit(""))).alias("keyChanges"), F.when(i % 2 == 1, "high").otherwise("huge").alias("riskLevel"),
+        )
+    )
+    replies = docs.select(link.alias("link"), i.alias("seq"), F.when(i % 11 == 0, "nichts").otherwise(F.concat(F.lit("Antwort: "), body)).alias("reply_text"))
+    sources = docs.select("source").distinct().select(
+        F.col("source").alias("id"), F.concat(F.lit("Amt "), "source").alias("publisher"), F.lit("州").alias("regionLevel"),
+        F.col("source").alias("regionName"), F.lit("综合政策").alias("defaultCategory"),
+    )
+    return items, replies, sources
+
+
+@query(
+    "Q13_drafts_from_replies",
+    f"""WITH b AS (SELECT *, string_split(text, chr(10))[1] AS title, 'https://feed.example/' || doc_id AS link FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0),
+t AS (SELECT *, trim(title, ' ') AS ttl, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS description, CASE doc_id % 4 WHEN 0 THEN '税务与社保' WHEN 1 THEN 'Hundesteuer' ELSE '综合政策' END AS raw FROM b)
+SELECT link AS official_url, md5(CASE WHEN doc_id % 3 = 0 THEN lang ELSE title END) AS title_zh_md5, 'Amt ' || source AS publisher,
+  CASE WHEN doc_id % 2 = 0 THEN '2026-04-22' ELSE '2026-04-21' END AS published_at, CASE WHEN doc_id % 3 = 1 THEN '市' ELSE '州' END AS region_level,
+  CASE doc_id % 4 WHEN 0 THEN '税务与社保' WHEN 1 THEN '税务与社保' ELSE '其他' END AS category,
+  CASE WHEN doc_id % 5 = 0 THEN '车主' ELSE '可能相关' END AS target_groups, CASE WHEN doc_id % 3 = 2 THEN 'a' ELSE {q(C.DRAFT_KEY_CHANGES[0])} END AS key_changes,
+  md5(CASE WHEN description <> '' THEN description ELSE title END) AS summary_md5, CASE WHEN doc_id % 2 = 1 THEN 'high' ELSE 'medium' END AS risk_level, 'draft' AS status FROM t""",
+)
+def q13(spark, d):
+    items, found, sources = draft_inputs(spark, d)
+    out = enrich.drafts_from_replies(items, found, sources, AS_OF, ["seq"])
+    return out.select(
+        "official_url", F.md5("title_zh").alias("title_zh_md5"), "publisher", "published_at", "region_level", "category", "target_groups",
+        "key_changes", F.md5("summary_zh").alias("summary_md5"), "risk_level", "status",
+    )
+
+
+@query(
+    "R1_validate_policies",
+    with_roles(["policies_v1"], """
+SELECT id, array_to_string(list_filter([
+  CASE WHEN length(title_zh) < 2 THEN 'title_zh' END, CASE WHEN length(title_de) < 2 THEN 'title_de' END, CASE WHEN length(publisher) < 2 THEN 'publisher' END,
+  CASE WHEN published_at IS NULL THEN 'published_at' END, CASE WHEN length(region_name) < 1 THEN 'region_name' END, CASE WHEN length(category) < 1 THEN 'category' END,
+  CASE WHEN length(summary_zh) < 5 THEN 'summary_zh' END, CASE WHEN length(user_notes) < 5 THEN 'user_notes' END, CASE WHEN length(impact_zh) < 5 THEN 'impact_zh' END,
+  CASE WHEN length(content_zh) < 10 THEN 'content_zh' END, CASE WHEN NOT regexp_matches(official_url, '^https?://[^\\s/]+') THEN 'official_url' END,
+  CASE WHEN region_level NOT IN ('联邦', '州', '市', 'Landkreis') THEN 'region_level' END], lambda x: x IS NOT NULL), '|') AS issues FROM policies_v1"""),
+)
+def r1(spark, d):
+    return quality.validate_policies(A.policies_v1(spark, d)).select("id", "issues")
+
+
+@query(
+    "R2_audit_reviews",
+    with_roles(["reviews"], f"""
+SELECT 'status_enum' AS rule, count(*) FILTER (review_status NOT IN ({', '.join(q(s) for s in C.REVIEW_STATUSES)})) AS violations FROM reviews
+UNION ALL SELECT 'action_enum', count(*) FILTER (suggested_action NOT IN ({', '.join(q(s) for s in C.REVIEW_ACTIONS)})) FROM reviews
+UNION ALL SELECT 'confidence_range', count(*) FILTER (confidence < 0 OR confidence > 1) FROM reviews
+UNION ALL SELECT 'id_unique', 0 FROM (SELECT count(*) FROM reviews)"""),
+)
+def r2(spark, d):
+    return quality.audit(A.reviews(spark, d), "review")
+
+
+@query(
+    "R2_audit_policies",
+    with_roles(["policies_v1"], """
+SELECT 'slug_null' AS rule, 0 AS violations FROM (SELECT count(*) FROM policies_v1) UNION ALL SELECT 'status_enum', 0 UNION ALL SELECT 'risk_enum', 0
+UNION ALL SELECT 'level_enum', count(*) FILTER (region_level = 'bogus') FROM policies_v1
+UNION ALL SELECT 'slug_unique', (SELECT count(*) FROM (SELECT title_de FROM policies_v1 GROUP BY 1 HAVING count(*) > 1))"""),
+)
+def r2_policies(spark, d):
+    doubled = A.policies_v1(spark, d).withColumn("slug", F.col("title_de"))
+    return quality.audit(doubled, "policy_v1")
+
+
