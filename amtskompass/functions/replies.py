@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import constants as C
-from .text import list_or, text_or, trim_all
+from .text import computed, list_or, text_or, trim_all
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
@@ -47,22 +47,29 @@ def reply_items(df: DataFrame, text: str, item: T.StructType, out: str = "item")
     Accepted shapes: array, object, ``{"results": [...]}`` and JSON lines.  Columns
     ``pos`` (entry order) and ``out`` are added; unreadable replies give no row.
     """
-    body = F.trim(F.col(text))
-    as_array = F.from_json(body, T.ArrayType(item))
-    results = F.get_json_object(body, "$.results")
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x.startswith("{"))
-    one_per_line = F.filter(
-        F.transform(lines, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, item))),
-        lambda x: x.isNotNull(),
+    rows = computed(df, {"_body": F.trim(F.col(text))})
+    body = F.col("_body")
+    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x.startswith("{"))
+    rows = computed(
+        rows,
+        {
+            "_ok": F.try_parse_json(body).isNotNull(),
+            "_results": F.when(body.startswith("{"), F.get_json_object(body, "$.results")),
+            "_lines": F.when(body.startswith("{"), lines),
+        },
     )
-    whole = F.try_parse_json(body)
+    # a parser stops after the first object, so JSON lines are recognised by their first line
+    first = F.get("_lines", F.lit(0))
+    per_line = body.startswith("{") & first.endswith("}") & F.try_parse_json(first).isNotNull()
+    parsed = F.filter("_lines", lambda x: x.endswith("}") & F.try_parse_json(x).isNotNull())
     entries = (
-        F.when(whole.isNotNull() & body.startswith("["), as_array)
-        .when(whole.isNotNull() & results.startswith("["), F.from_json(results, T.ArrayType(item)))
-        .when(whole.isNotNull() & body.startswith("{"), F.array(F.from_json(body, item)))
-        .otherwise(one_per_line)
+        F.when(F.col("_ok") & body.startswith("["), F.from_json(body, T.ArrayType(item)))
+        .when(F.col("_results").startswith("["), F.from_json("_results", T.ArrayType(item)))
+        .when(per_line, F.transform(parsed, lambda x: F.from_json(x, item)))
+        .when(F.col("_ok") & body.startswith("{"), F.array(F.from_json(body, item)))
     )
-    return df.withColumn("_entries", entries).select("*", F.posexplode("_entries").alias("pos", out)).drop("_entries")
+    kept = df.columns
+    return computed(rows, {"_entries": entries}).select(*kept, F.posexplode("_entries").alias("pos", out))
 
 
 # --- normalisers --------------------------------------------------------------------

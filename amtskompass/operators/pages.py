@@ -12,7 +12,7 @@ from ..functions.html import TEXT, first_root, inside, page_tokens, path_step, u
 from ..functions.keys import page_slug, service_key
 from ..functions.labels import keyed_office, office_title, office_topic
 from ..functions.text import (
-    SPACE, absolute_url, clean_text, contains_any, decode_entities, strip_tags, text_or, trim_all,
+    SPACE, absolute_url, clean_text, computed, contains_any, decode_entities, strip_tags, text_or, trim_all,
 )
 from ..session import broadcast_if_small
 
@@ -132,7 +132,7 @@ def drop_boilerplate(parts: Column, cfg: GuideConfig) -> Column:
 
 
 def _tokenised(pages: DataFrame, html: str) -> DataFrame:
-    return pages.withColumn("_tokens", page_tokens(F.col(html)))
+    return computed(pages, {"_tokens": page_tokens(F.col(html))})
 
 
 def _texts(tokens: Column, tags: list[str]) -> Column:
@@ -169,15 +169,11 @@ def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url:
 
     The tokeniser runs once per page; everything after it is native array work.
     """
-    rows = _tokenised(pages, html).withColumn("_root", first_root(F.col("_tokens"), cfg.root))
+    rows = computed(_tokenised(pages, html), {"_root": first_root(F.col("_tokens"), cfg.root)})
     rows = rows.where(F.col("_root").isNotNull())
-    below_root = F.filter("_tokens", lambda t: under(t["path"], F.col("_root")))
-    rows = rows.withColumn("_inner", below_root)
-    if cfg.column:
-        column = first_root(F.col("_inner"), [cfg.column])
-        rows = rows.withColumn("_col", F.coalesce(column, F.col("_root")))
-    else:
-        rows = rows.withColumn("_col", F.col("_root"))
+    rows = computed(rows, {"_inner": F.filter("_tokens", lambda t: under(t["path"], F.col("_root")))})
+    column = F.coalesce(first_root(F.col("_inner"), [cfg.column]), F.col("_root")) if cfg.column else F.col("_root")
+    rows = computed(rows, {"_col": column})
 
     def usable(t: Column) -> Column:
         good = t["tag"].isin(cfg.tags) & under(t["path"], F.col("_col"))
@@ -194,12 +190,10 @@ def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url:
     title = _guide_title(F.col("_tokens"), cfg)
     if cfg.column:
         title = F.coalesce(_heading_span(F.col("_tokens"), F.col("_root")), title)
-    rows = rows.withColumns({"_parts": parts, "title_de": title}).withColumn(
-        "summary_zh",
-        F.when(F.size("_parts") >= cfg.min_parts, F.array_join("_parts", "\n\n")).otherwise(
-            F.when(F.length(whole) > 10, whole).otherwise("")
-        ),
-    )
+    rows = computed(rows, {"_parts": parts, "_whole": whole, "title_de": title})
+    fallback = F.when(F.length("_whole") > 10, F.col("_whole")).otherwise("")
+    joined = F.array_join("_parts", "\n\n")
+    rows = computed(rows, {"summary_zh": F.when(F.size("_parts") >= cfg.min_parts, joined).otherwise(fallback)})
     if cfg.min_length:
         rows = rows.where(F.length("summary_zh") >= cfg.min_length)
     source = F.col(url)
@@ -238,13 +232,13 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
         F.nullif(F.try_element_at(F.split(F.col(url), "/"), F.lit(-2)), F.lit("")),
         F.lit("DAAD Page"),
     )
-    rows = rows.withColumns({"_root": first_root(tokens, ["main", "body"]), "title_de": title})
+    rows = computed(rows, {"_root": first_root(tokens, ["main", "body"]), "title_de": title})
     dialogs = F.filter(
         "_tokens",
         lambda t: t["tag"].isin("dialog", "aside", "nav") & contains_any(F.lower(t["text"]), ["cookie", "einwilligung"])
         & under(t["path"], F.col("_root")),
     )
-    rows = rows.withColumn("_cookie", F.transform(dialogs, lambda t: F.substring_index(t["path"], "/", -1)))
+    rows = computed(rows, {"_cookie": F.transform(dialogs, lambda t: F.substring_index(t["path"], "/", -1))})
     nodes = F.filter(
         "_tokens",
         lambda t: (t["tag"] == TEXT) & under(t["path"], F.col("_root"))
@@ -254,7 +248,7 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
     text = F.replace(text, F.lit("­"), F.lit(""))
     for phrase in C.EXCHANGE_NOISE_PHRASES:
         text = F.replace(text, F.lit(phrase), F.lit(""))
-    rows = rows.withColumn("_text", clean_text(text))
+    rows = computed(rows, {"_text": clean_text(text)})
     backup = fallback_text if fallback_text is not None else F.lit("")
     source = F.col(url)
     return rows.select(
@@ -287,27 +281,25 @@ class OfficeConfig:
 OFFICE_SKIPPED = ["script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"]
 
 
-def office_lines(tokens: Column, cfg: OfficeConfig) -> Column:
-    """Content lines of an office page: more than 15 characters, outside page furniture."""
+def with_office_lines(rows: DataFrame, cfg: OfficeConfig) -> DataFrame:
+    """Adds ``_lines``: content lines of more than 15 characters, outside page furniture."""
     skip = "|".join(path_step(t) for t in OFFICE_SKIPPED)
     classes = "|".join(cfg.skip_classes)
     banned = rf"(^|/)({skip})(/|$)|(^|/)[^/@]*\.[^/@]*({classes})[^/]*(/|$)"
-    kept = F.filter(tokens, lambda t: (t["tag"] == TEXT) & ~t["path"].rlike(banned))
-    root = first_root(kept, list(cfg.root))
-    nodes = F.filter(kept, lambda t: root.isNull() | under(t["path"], root))
+    rows = computed(rows, {"_kept": F.filter("_tokens", lambda t: (t["tag"] == TEXT) & ~t["path"].rlike(banned))})
+    rows = computed(rows, {"_root": first_root(F.col("_kept"), list(cfg.root))})
+    nodes = F.filter("_kept", lambda t: F.col("_root").isNull() | under(t["path"], F.col("_root")))
     lines = F.flatten(F.transform(nodes, lambda t: F.split(t["text"], "\n")))
-    return F.filter(F.transform(lines, trim_all), lambda x: F.length(x) > 15)
+    lines = F.filter(F.transform(lines, trim_all), lambda x: F.length(x) > 15)
+    return computed(rows, {"_lines": lines})
 
 
 def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: str = "url") -> DataFrame:
     """City office guides with topic, fee line, duration line and contact lines."""
-    rows = _tokenised(pages, html)
-    rows = rows.withColumns(
-        {
-            "title": F.coalesce(F.nullif(trim_all(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))["text"]), F.lit("")),
-                                F.lit(cfg.default_title)),
-            "_lines": office_lines(F.col("_tokens"), cfg),
-        }
+    head = trim_all(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))["text"])
+    rows = computed(
+        with_office_lines(_tokenised(pages, html), cfg),
+        {"title": F.coalesce(F.nullif(head, F.lit("")), F.lit(cfg.default_title))},
     )
     title, source = F.col("title"), F.col(url)
     content = F.slice("_lines", 1, 200)
@@ -363,8 +355,7 @@ def news_page(pages: DataFrame, html: str = "html", static: bool = False) -> Dat
     The rendered variant reads the main (or article, or body) element, keeps paragraphs over
     50 characters without cookie or privacy wording; the static one keeps any over 30.
     """
-    rows = _tokenised(pages, html)
-    rows = rows.withColumn("_root", first_root(F.col("_tokens"), ["main", "article", "body"]))
+    rows = computed(_tokenised(pages, html), {"_root": first_root(F.col("_tokens"), ["main", "article", "body"])})
     floor = 30 if static else 50
 
     def keep(t: Column) -> Column:

@@ -42,7 +42,7 @@ def content(expr: str) -> str:
 
 @query("H1_readable_text", f"SELECT page_id, md5({readable('html')}) AS text_md5, length({readable('html')}) AS n FROM pages")
 def h1(spark, d):
-    out = pages.readable_text(A.table(spark, d, "pages"))
+    out = pages.readable_text(A.wide_table(spark, d, "pages"))
     return out.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
 
@@ -51,7 +51,7 @@ def h1(spark, d):
     f"SELECT page_id, {title('html')} AS title, md5({content('html')}) AS content_md5, regexp_extract(html, '\\b(\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1) AS published_date FROM pages",
 )
 def h2(spark, d):
-    return pages.basic_page(A.table(spark, d, "pages")).select("page_id", "title", F.md5("content").alias("content_md5"), "published_date")
+    return pages.basic_page(A.wide_table(spark, d, "pages")).select("page_id", "title", F.md5("content").alias("content_md5"), "published_date")
 
 
 LOCAL_GUIDES = pages.GuideConfig(prefix="site", root=["article"], min_parts=3, title_within=["article"])
@@ -59,22 +59,22 @@ LOCAL_GUIDES = pages.GuideConfig(prefix="site", root=["article"], min_parts=3, t
 
 @query("H3_extract_guides")
 def h3(spark, d):
-    return pages.extract_guides(A.table(spark, d, "pages"), LOCAL_GUIDES)
+    return pages.extract_guides(A.wide_table(spark, d, "pages"), LOCAL_GUIDES)
 
 
 @query("H3_extract_exchange_pages")
 def h3_exchange(spark, d):
-    return pages.extract_exchange_pages(A.table(spark, d, "pages"))
+    return pages.extract_exchange_pages(A.wide_table(spark, d, "pages"))
 
 
 @query("H4_office_pages")
 def h4(spark, d):
-    return pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig())
+    return pages.office_page(A.wide_table(spark, d, "pages"), pages.OfficeConfig())
 
 
 @query("H4_keyed_office_pages")
 def h4_keyed(spark, d):
-    return pages.keyed_office_page(A.table(spark, d, "pages"))
+    return pages.keyed_office_page(A.wide_table(spark, d, "pages"))
 
 
 FEE_SQL = "(?i)([0-9]+[.,]?[0-9]*)[ \\t]*(€|euro|eur)|gebühren?pflichtig|gebühren?|kostenlos"
@@ -99,12 +99,12 @@ def h5(spark, d):
 
 @query("H6_news_pages")
 def h6(spark, d):
-    return pages.news_page(A.table(spark, d, "pages")).select("page_id", "news_title", "news_subtitle", "news_date", "paragraphs")
+    return pages.news_page(A.wide_table(spark, d, "pages")).select("page_id", "news_title", "news_subtitle", "news_date", "paragraphs")
 
 
 @query("H6_news_pages_static")
 def h6_static(spark, d):
-    return pages.news_page(A.table(spark, d, "pages"), static=True).select("page_id", "news_title", "news_date", "paragraphs")
+    return pages.news_page(A.wide_table(spark, d, "pages"), static=True).select("page_id", "news_title", "news_date", "paragraphs")
 
 
 @query(
@@ -114,13 +114,13 @@ def h6_static(spark, d):
     SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> '' AND x[1] <> '#') AS h FROM pages))""",
 )
 def h7(spark, d):
-    links = pages.page_links(A.table(spark, d, "pages"), resolve=False)
+    links = pages.page_links(A.wide_table(spark, d, "pages"), resolve=False)
     return links.select("page_id", F.col("link_url").alias("raw"), "pos")
 
 
 @query("H7_distinct_links")
 def h7_distinct(spark, d):
-    return pages.distinct_links(pages.page_links(A.table(spark, d, "pages")), "page_id")
+    return pages.distinct_links(pages.page_links(A.wide_table(spark, d, "pages")), "page_id")
 
 
 @query(
@@ -152,7 +152,7 @@ def homepages(spark, d):
         i % 3 == 1, "<link href='b.xml' rel=alternate type='application/atom+xml'>"
     ).otherwise("")
     anchor = F.when(i % 2 == 0, '<a href="https://other.example/x/RSS?id=1">Abo</a>').otherwise("")
-    return A.table(spark, d, "pages").select("page_id", "url", F.concat(tag, anchor, "html").alias("body"))
+    return A.wide_table(spark, d, "pages").select("page_id", "url", F.concat(tag, anchor, "html").alias("body"))
 
 
 @query(
@@ -192,7 +192,7 @@ def f18(spark, d):
     f"SELECT page_id, NOT {any_of('url', C.GUIDE_URL_SKIPS)} AND NOT {any_of('html', C.GUIDE_URL_SKIPS)} AS keep FROM pages",
 )
 def f19(spark, d):
-    return A.table(spark, d, "pages").select("page_id", (pages.guide_url(F.col("url")) & pages.guide_url(F.col("html"))).alias("keep"))
+    return A.wide_table(spark, d, "pages").select("page_id", (pages.guide_url(F.col("url")) & pages.guide_url(F.col("html"))).alias("keep"))
 
 
 BOILER = pages.GuideConfig(
@@ -401,7 +401,7 @@ def q1(spark, d):
     "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS plain_md5, regexp_replace(regexp_replace('<![CDATA[' || url || ']]>', '^<!\\[CDATA\\[', ''), '\\]\\]>$', '') AS cdata FROM pages",
 )
 def x5(spark, d):
-    return A.table(spark, d, "pages").select(
+    return A.wide_table(spark, d, "pages").select(
         "page_id", F.md5(strip_tags(F.col("html"))).alias("plain_md5"),
         strip_cdata(F.concat(F.lit("<![CDATA["), "url", F.lit("]]>"))).alias("cdata"),
     )
@@ -409,7 +409,7 @@ def x5(spark, d):
 
 @query("X6_decode_entities", f"SELECT page_id, md5({decoded('html')}) AS decoded_md5 FROM pages")
 def x6(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.md5(decode_entities(F.col("html"))).alias("decoded_md5"))
+    return A.wide_table(spark, d, "pages").select("page_id", F.md5(decode_entities(F.col("html"))).alias("decoded_md5"))
 
 
 @query(
@@ -420,7 +420,7 @@ def x6(spark, d):
 )
 def x16(spark, d):
     html = F.col("html")
-    return pages.basic_page(A.table(spark, d, "pages")).select(
+    return pages.basic_page(A.wide_table(spark, d, "pages")).select(
         "page_id", content_hash(F.col("content")).alias("paragraph_md5"), content_hash(html).alias("raw_md5"),
         content_hash(pages.readable(html), "sha256").alias("readable_sha"), visible_text_hash(html).alias("visible_md5"),
     )

@@ -23,7 +23,7 @@ FROM (SELECT doc_id, raw, lower(concat_ws(' ', raw, text, phrase)) AS t FROM (
 )
 def c3(spark, d):
     i = F.col("doc_id")
-    rows = A.table(spark, d, "documents").select(
+    rows = A.wide_table(spark, d, "documents").select(
         "doc_id", "text", A.pick(A.PHRASES, i).alias("phrase"),
         F.when(i % 3 == 0, " 税务与社保 ").when(i % 3 == 1, "Sonstiges").otherwise(" ").alias("reply"), F.lit("kita").alias("fallback"),
     )
@@ -40,7 +40,7 @@ FROM (SELECT doc_id, list_concat(CASE WHEN doc_id % 2 = 0 THEN ['车主'] ELSE [
 )
 def c7(spark, d):
     i = F.col("doc_id")
-    rows = A.table(spark, d, "documents").select(
+    rows = A.wide_table(spark, d, "documents").select(
         "doc_id", F.when(i % 2 == 0, F.array(F.lit(" 车主 "), F.lit("x"))).otherwise(F.array(F.lit("y"))).alias("reply"),
         taxonomy.ingest_text(F.array(F.col("text"), A.pick(A.PHRASES, i))).alias("t"),
     )
@@ -61,7 +61,7 @@ def c8(spark, d):
 
 @query("C9_job_tags", f"SELECT doc_id, {LIST(rule_list('t', C.JOB_TAG_RULES))} AS tags FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def c9(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", labels.job_tags(F.col("text")).alias("tags"))
+    return A.wide_table(spark, d, "documents").select("doc_id", labels.job_tags(F.col("text")).alias("tags"))
 
 
 @query(
@@ -123,7 +123,7 @@ def c13(spark, d):
 )
 def c14(spark, d):
     title = F.concat_ws(" ", A.pick(["Einreise", "Studium", "Termine", "x"], F.col("doc_id")), "text")
-    return A.table(spark, d, "documents").select("doc_id", labels.office_title(title).alias("title"))
+    return A.wide_table(spark, d, "documents").select("doc_id", labels.office_title(title).alias("title"))
 
 
 PAGE_NAMES = [p[0] for p in C.GUIDE_PAGES] + ["andere"]
@@ -274,9 +274,9 @@ def parsed_replies(spark, d):
         [T.StructField(n, T.StringType()) for n in ("refnr", "description_zh", "title_zh")]
         + [T.StructField("tags", T.ArrayType(T.StringType()))]
     )
-    rows = A.model_replies(spark, d).select(
-        F.col("refnr").alias("key"), "turn", replies.fence_stripped(replies.unwrap_text_block(F.col("reply_text"))).alias("t")
-    )
+    rows = A.model_replies(spark, d).select(F.col("refnr").alias("key"), "turn", "reply_text")
+    rows = text.computed(rows, {"u": replies.unwrap_text_block(F.col("reply_text"))})
+    rows = text.computed(rows, {"t": replies.fence_stripped(F.col("u"))})
     return replies.reply_items(rows, "t", item).select("key", "turn", "pos", "item.*")
 
 
@@ -285,11 +285,11 @@ def parsed_replies(spark, d):
     with_roles(["reviews"], f"""
 SELECT id, CASE WHEN review_status IN ({', '.join(q(s) for s in C.REVIEW_STATUSES)}) THEN review_status ELSE 'uncertain' END AS review_status,
   CASE WHEN suggested_action IN ({', '.join(q(s) for s in C.REVIEW_ACTIONS)}) THEN suggested_action ELSE 'manual_check' END AS action,
-  CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 0.0 ELSE least(greatest(CAST(CAST(confidence * 10 AS INTEGER) AS DOUBLE) / 10, 0), 1) END AS confidence FROM reviews"""),
+  CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 0.0 ELSE least(greatest(floor(confidence * 10) / 10, 0), 1) END AS confidence FROM reviews"""),
 )
 def x20(spark, d):
     r = A.reviews(spark, d)
-    shown = F.concat((F.round(F.col("confidence") * 10, 0).cast("int") / 10).cast("string"), F.lit(" sicher"))
+    shown = F.concat((F.floor(F.col("confidence") * 10) / 10).cast("string"), F.lit(" sicher"))
     raw = F.when(F.col("id").cast("bigint") % 10 == 0, "hoch").otherwise(shown)
     return r.select(
         "id", replies.normalize_review_status(F.col("review_status")).alias("review_status"),

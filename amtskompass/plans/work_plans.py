@@ -169,11 +169,11 @@ def _register_resume(mode: str, as_of: str) -> None:
 SELECT CASE WHEN w THEN 'stay_paused' WHEN g THEN 'continue' ELSE 'new_run' END AS decision, CASE WHEN w OR g THEN run_id END AS run_id,
   CASE WHEN w OR g THEN source_index ELSE 0 END AS source_index, CASE WHEN w OR g THEN request_used ELSE 0 END AS request_used
 FROM (SELECT *, status = 'paused' AND next_resume_at > TIMESTAMP '{as_of}' AS w, status = 'paused' AND NOT (next_resume_at > TIMESTAMP '{as_of}') AND mode = '{mode}' AS g
-  FROM runs WHERE status = 'paused' ORDER BY updated_at DESC, run_id DESC LIMIT 1)"""
+  FROM runs ORDER BY updated_at DESC, run_id DESC LIMIT 1)"""
 
     @query(f"Q11_resume_{mode}", with_roles(["runs"], sql))
     def resume(spark, d):
-        return runs.resume_point(A.runs(spark, d).where("status = 'paused'"), mode, as_of)
+        return runs.resume_point(A.runs(spark, d), mode, as_of)
 
 
 for _mode, _as_of in RESUME.items():
