@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import all_matches, contains_any, distinct_in_order, first_match, trim_all
+from .text import all_matches, bound, contains_any, distinct_in_order, first_match, trim_all
 
 
 def job_tags(description: Column) -> Column:
@@ -14,7 +14,7 @@ def job_tags(description: Column) -> Column:
 
     Needles with capitals can never match the lower-cased text; they stay in the list as data.
     """
-    return all_matches(F.lower(F.coalesce(description, F.lit(""))), C.JOB_TAG_RULES)
+    return bound(F.lower(F.coalesce(description, F.lit(""))), lambda t: all_matches(t, C.JOB_TAG_RULES))
 
 
 def clean_tag_reply(description: Column, reply: Column) -> Column:
@@ -22,7 +22,7 @@ def clean_tag_reply(description: Column, reply: Column) -> Column:
     parts = F.transform(F.split(F.coalesce(reply, F.lit("")), "[,，]"), trim_all)
     valid = F.filter(parts, lambda t: (F.length(t) <= 15) & t.isin(C.JOB_TAGS))
     short = F.length(trim_all(F.coalesce(description, F.lit("")))) < 20
-    return F.when(short | (F.size(valid) == 0), job_tags(description)).otherwise(valid)
+    return bound(valid, lambda v: F.when(short | (F.size(v) == 0), job_tags(description)).otherwise(v))
 
 
 def literal_map(values: dict[str, str]) -> Column:
@@ -45,27 +45,31 @@ def infer_work_type(mini: Column, morning: Column, afternoon: Column, title: Col
     text = F.concat_ws(" ", F.lower(F.coalesce(description, F.lit(""))), F.lower(F.coalesce(title, F.lit(""))))
     on = lambda c: F.coalesce(c, F.lit(False))
     part = F.lit("兼职")
-    found = F.array_compact(
-        F.array(
-            F.when(on(mini), F.lit("迷你岗")),
-            F.when(on(morning) | on(afternoon), part),
-            F.when(contains_any(text, C.FULL_TIME_NEEDLES), F.lit("全职")),
-            F.when(contains_any(text, C.PART_TIME_NEEDLES), part),
-            F.when(contains_any(text, C.REMOTE_NEEDLES), F.lit("远程")),
+
+    def found(t: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(on(mini), F.lit("迷你岗")),
+                F.when(on(morning) | on(afternoon), part),
+                F.when(contains_any(t, C.FULL_TIME_NEEDLES), F.lit("全职")),
+                F.when(contains_any(t, C.PART_TIME_NEEDLES), part),
+                F.when(contains_any(t, C.REMOTE_NEEDLES), F.lit("远程")),
+            )
         )
-    )
-    return F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(F.lit("全职")))
+
+    full = F.array(F.lit("全职"))
+    return bound(bound(text, found), lambda w: F.when(F.size(w) > 0, F.array_distinct(w)).otherwise(full))
 
 
 def office_topic(title: Column, url: Column) -> Column:
     text = F.concat_ws(" ", F.lower(title), F.lower(url))
-    return first_match(text, C.OFFICE_TOPIC_RULES, F.lit(C.OFFICE_TOPIC_DEFAULT))
+    return bound(text, lambda t: first_match(t, C.OFFICE_TOPIC_RULES, F.lit(C.OFFICE_TOPIC_DEFAULT)))
 
 
 def office_title(title: Column) -> Column:
     """Label of the first dictionary entry contained in the title, else its first 60 characters."""
     rules = [(label, [needle]) for needle, label in C.OFFICE_TITLES]
-    return first_match(F.lower(title), rules, F.substring(title, 1, 60))
+    return bound(F.lower(title), lambda t: first_match(t, rules, F.substring(title, 1, 60)))
 
 
 def keyed_office(url: Column) -> Column:

@@ -95,7 +95,8 @@ def normalize_policies(df: DataFrame, regions: bool = True, groups: bool = True)
     source = taxonomy_source(
         F.col("title_zh"), F.col("title_de"), F.col("summary_zh"), F.col("key_changes"), F.col("content_de_summary")
     )
-    rows = computed(df, {"_text": lookup_text(source)})
+    rows = computed(df, {"_source": source})
+    rows = computed(rows, {"_text": lookup_text(F.col("_source"))}).drop("_source")
     rows = computed(rows, {"category": display_category(F.col("_text"))})
     if groups:
         rows = computed(rows, {"target_groups": matched_groups(F.col("_text"), F.col("category"))})

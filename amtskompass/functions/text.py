@@ -9,7 +9,7 @@ other rows stay in the JVM.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -48,6 +48,11 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, row).select(*order)
 
 
+def bound(col: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(col)`` with ``col`` evaluated once, however often the built expression reads it."""
+    return F.get(F.transform(F.array(col), build), F.lit(0))
+
+
 def _normaliser(form: str):
     @F.pandas_udf(T.StringType())
     def normalise(values: pd.Series) -> pd.Series:
@@ -58,8 +63,10 @@ def _normaliser(form: str):
 
 def nfkc(col: Column) -> Column:
     """NFKC; rows made of stable characters never leave the JVM."""
-    changed = _normaliser("NFKC")(F.when((F.octet_length(col) > F.length(col)) & col.rlike(MAY_CHANGE), col))
-    return F.coalesce(changed, col)
+    def risky(x: Column) -> Column:
+        return F.when((F.octet_length(x) > F.length(x)) & x.rlike(MAY_CHANGE), x)
+
+    return F.coalesce(_normaliser("NFKC")(bound(col, risky)), col)
 
 
 def strip_marks(col: Column) -> Column:
@@ -81,7 +88,7 @@ def collapse_spaces(col: Column) -> Column:
         unusual = (F.octet_length(x) > F.length(x)) & x.rlike(SPACE.replace("[\\t-\\r \\u00a0-", "[\\u00a0-"))
         return F.when(x.contains("  ") | unusual, F.regexp_replace(x, SPACE + "+", " ")).otherwise(x)
 
-    return F.get(F.transform(F.array(col), squeeze), F.lit(0))
+    return bound(col, squeeze)
 
 
 def trim_all(col: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import within_days
 from ..functions.taxonomy import normalize_policies, where_region
-from ..functions.text import escape_like, includes_text, normalize_text
+from ..functions.text import computed, escape_like, includes_text, normalize_text
 from .visibility import visible
 
 
@@ -66,10 +66,13 @@ def overlaps(column: str, wanted: list[str]) -> Column:
     return F.arrays_overlap(F.col(column), F.array(*[F.lit(w) for w in wanted]))
 
 
-def text_match(columns: list[str], groups: str, query: str | None) -> Column:
+def where_text(df: DataFrame, columns: list[str], groups: str, query: str | None) -> DataFrame:
     """Normalised substring search over the given fields and the joined group list."""
+    if not query:
+        return df
     parts = [F.coalesce(F.col(c), F.lit("")) for c in columns] + [F.array_join(groups, " ")]
-    return includes_text(normalize_text(F.concat_ws(" ", *parts)), query) if query else F.lit(True)
+    rows = computed(df, {"_haystack": F.concat_ws(" ", *parts)})
+    return rows.where(includes_text(normalize_text(F.col("_haystack")), query)).drop("_haystack")
 
 
 SEARCH_FIELDS = ["title_zh", "title_de", "publisher", "region_name", "category", "summary_zh", "content_zh"]
@@ -103,9 +106,7 @@ def list_policies_v1(policies: DataFrame, filters: PolicyFilters, as_of: str, in
         rows = rows.where(F.col("category") == f.category)
     if f.target_group:
         rows = rows.where(F.array_contains("target_groups", f.target_group))
-    if f.query:
-        rows = rows.where(text_match(SEARCH_FIELDS, "target_groups", f.query))
-    return rows
+    return where_text(rows, SEARCH_FIELDS, "target_groups", f.query)
 
 
 def policy_order(sort: str = "published_at") -> list[Column]:

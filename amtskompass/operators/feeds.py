@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.dates import normalize_date, since
-from ..functions.text import absolute_url, contains_any, decode_entities, strip_cdata, strip_tags, trim_all, url_origin
+from ..functions.text import absolute_url, bound, computed, contains_any, decode_entities, strip_cdata, strip_tags, trim_all, url_origin
 from .merge import dedupe_first, exclude_existing
 from .ranking import take_per_group
 
@@ -21,35 +21,39 @@ def _first_of(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
-def feed_blocks(body: Column) -> Column:
-    """Item blocks, or entry blocks when there is no item."""
-    items = F.regexp_extract_all(body, F.lit(r"(?is)<item\b.*?</item>"), F.lit(0))
-    entries = F.regexp_extract_all(body, F.lit(r"(?is)<entry\b.*?</entry>"), F.lit(0))
-    return F.when(F.size(items) > 0, items).otherwise(entries)
+def _blocks(body: Column, tag: str) -> Column:
+    return F.regexp_extract_all(body, F.lit(rf"(?is)<{tag}\b.*?</{tag}>"), F.lit(0))
 
 
 def parse_feed(fetches: DataFrame, body: str = "body") -> DataFrame:
-    """One row per feed item with its position, title, link, description and date text."""
+    """One row per feed item with its position, title, link, description and date text.
+
+    Entry blocks are read only when a feed has no item blocks.
+    """
     kept = [c for c in fetches.columns if c != body]
-    rows = fetches.select(*kept, F.posexplode(feed_blocks(F.col(body))).alias("pos", "block"))
+    rows = computed(fetches, {"_body": F.col(body)})
+    rows = computed(rows, {"_items": _blocks(F.col("_body"), "item")})
+    blocks = F.when(F.size("_items") > 0, F.col("_items")).otherwise(_blocks(F.col("_body"), "entry"))
+    rows = rows.select(*kept, F.posexplode(blocks).alias("pos", "block"))
     block = F.col("block")
     href = F.regexp_extract(block, r"""(?i)<link[^>]*href=["']([^"']+)["'][^>]*>""", 1)
     described = _first_of(read_tag(block, "description"), read_tag(block, "summary"), read_tag(block, "content"))
     dated = _first_of(read_tag(block, "pubDate"), read_tag(block, "published"), read_tag(block, "updated"))
+    rows = computed(rows, {"_dated": dated})
     return rows.select(
         *kept,
         "pos",
         decode_entities(read_tag(block, "title")).alias("title"),
         trim_all(decode_entities(_first_of(read_tag(block, "link"), href))).alias("link"),
         decode_entities(strip_tags(described)).alias("description"),
-        normalize_date(dated).alias("published_at"),
+        normalize_date(F.col("_dated")).alias("published_at"),
     )
 
 
 def policy_relevant(title: Column, description: Column) -> Column:
     """No exclusion word and at least one inclusion word in the lower-cased title and description."""
     text = F.lower(F.concat_ws(" ", title, description))
-    return ~contains_any(text, C.FEED_EXCLUDED) & contains_any(text, C.FEED_KEYWORDS)
+    return bound(text, lambda t: ~contains_any(t, C.FEED_EXCLUDED) & contains_any(t, C.FEED_KEYWORDS))
 
 
 def take_per_source(items: DataFrame, n: int, source: str = "source_id") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import infer_work_type
+from ..functions.text import computed
 from ..session import broadcast_if_small
 from ..sources.job_api import hit_refnr, normalize_jobs
 from .merge import defer_activate, delist_missing, upsert
-from .stats import collect_keywords
 
 HIT_ORDER = ["kw_ord", "page", "pos"]
 
@@ -19,12 +19,15 @@ HIT_ORDER = ["kw_ord", "page", "pos"]
 def merge_job_hits(hits: DataFrame) -> DataFrame:
     """One row per reference number: the first hit in search order, with its set of keywords.
 
-    The first hit is a partial aggregation (one candidate per key and task), the keyword set
-    is reduced to distinct pairs before it is collected; both share the key's partitioning.
+    One aggregation over one parse of the payloads.  Each task sends one candidate and the
+    distinct keywords per reference number; the keywords are the fixed search list, so the set
+    stays small however often a job was found.
     """
-    keyed = hits.withColumn("refnr", hit_refnr(F.col("item"))).where(F.col("refnr") != "")
-    first = keyed.groupBy("refnr").agg(F.min_by("item", F.struct(*HIT_ORDER)).alias("item"))
-    return first.join(collect_keywords(keyed), "refnr")
+    keyed = computed(hits, {"refnr": hit_refnr(F.col("item"))}).where(F.col("refnr") != "")
+    return keyed.groupBy("refnr").agg(
+        F.min_by("item", F.struct(*HIT_ORDER)).alias("item"),
+        F.array_sort(F.collect_set("keyword")).alias("keywords"),
+    )
 
 
 def sync_jobs(

@@ -8,7 +8,7 @@ from ..functions import constants as C
 from ..functions.dates import format_date, is_new
 from ..functions.labels import lookup as dim_lookup
 from ..functions.taxonomy import lookup_text, normalize_policies, normalize_regions, taxonomy_source, wanted_region, with_regions
-from ..functions.text import contains_any, normalize_text
+from ..functions.text import computed, contains_any, normalize_text
 from ..operators import catalog as cat
 from ..operators import stats
 from ..operators import visibility as vis
@@ -160,7 +160,7 @@ SELECT id FROM policies_v1 WHERE contains(regexp_replace(lower(concat_ws(' ', ti
   summary_zh, content_zh, array_to_string(target_groups, ' '))), '\\s+', ' ', 'g'), 'der die')"""),
 )
 def f4(spark, d):
-    return A.policies_v1(spark, d).where(cat.text_match(cat.SEARCH_FIELDS, "target_groups", "DER   die")).select("id")
+    return cat.where_text(A.policies_v1(spark, d), cat.SEARCH_FIELDS, "target_groups", "DER   die").select("id")
 
 
 @query(
@@ -498,10 +498,9 @@ def x2(spark, d):
     with_roles(NORM, "SELECT id, md5(txt) AS text_md5 FROM norm"),
 )
 def x4(spark, d):
-    text = lookup_text(
-        taxonomy_source(F.col("title_zh"), F.col("title_de"), F.col("summary_zh"), F.col("key_changes"), F.col("content_de_summary"))
-    )
-    return A.policies_v1(spark, d).select("id", F.md5(text).alias("text_md5"))
+    source = taxonomy_source(F.col("title_zh"), F.col("title_de"), F.col("summary_zh"), F.col("key_changes"), F.col("content_de_summary"))
+    rows = computed(A.policies_v1(spark, d), {"source": source})
+    return rows.select("id", F.md5(lookup_text(F.col("source"))).alias("text_md5"))
 
 
 @query(
