@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..session import broadcast_if_small
@@ -28,6 +29,11 @@ def with_unique_keys(updates: DataFrame, key: str) -> DataFrame:
     return updates.withColumn("_nth", nth).where(F.when(F.col("_nth") > 1, error.cast("boolean")).otherwise(True)).drop("_nth")
 
 
+def as_type(col: Column, have: T.DataType, want: T.DataType) -> Column:
+    """Cast only when the types differ by more than nullability (which a cast may not tighten)."""
+    return col if have.simpleString() == want.simpleString() else col.cast(want)
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,
@@ -51,13 +57,14 @@ def upsert(
     is_update, is_insert = F.col(f"u_{key}").isNotNull(), F.col(key).isNull()
     stamp = F.lit(as_of).cast("timestamp") if as_of else None
     out: list[Column] = []
+    types = {f.name: f.dataType for f in updates.schema}
     for field in target.schema:
         name = field.name
         old = F.col(name)
+        new = as_type(F.col(f"u_{name}"), types[name], field.dataType) if name in cols else None
         if name == key:
-            value = F.coalesce(old, F.col(f"u_{name}").cast(field.dataType))
-        elif name in cols:
-            new = F.col(f"u_{name}").cast(field.dataType)
+            value = F.coalesce(old, new)
+        elif new is not None:
             value = F.when(is_insert, new).otherwise(old) if name in preserve else F.when(is_update, new).otherwise(old)
         elif name == "updated_at" and stamp is not None:
             value = F.when(is_update, stamp.cast(field.dataType)).otherwise(old)
