@@ -16,6 +16,7 @@ from ..functions.replies import (
     normalize_status, text_or,
 )
 from ..functions.taxonomy import ingest_category, ingest_groups, ingest_level, ingest_text
+from ..session import broadcast_if_small
 from ..sources.schemas import POLICY_REPLY, REVIEW_REPLY
 
 
@@ -148,7 +149,7 @@ def drafts_from_replies(items: DataFrame, replies: DataFrame, sources: DataFrame
     )
     rows = (
         items.join(last_reply(replies, "link", order).select("link", "reply_text"), "link")
-        .join(config, "source_id")
+        .join(broadcast_if_small(config), "source_id")
         .withColumn("r", parsed_object(F.col("reply_text"), POLICY_REPLY))
     )
     rows = rows.where(F.col("r").isNotNull() & F.coalesce(F.col("r.isPolicyRelevant"), F.lit(True)))

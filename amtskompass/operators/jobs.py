@@ -11,7 +11,7 @@ from ..functions.labels import infer_work_type
 from ..functions.text import computed
 from ..session import broadcast_if_small
 from ..sources.job_api import hit_refnr, normalize_jobs
-from .merge import defer_activate, delist_missing, upsert
+from .merge import defer_activate, upsert
 
 HIT_ORDER = ["kw_ord", "page", "pos"]
 
@@ -37,13 +37,25 @@ def sync_jobs(
 
     By default a re-seen job loses its tags and its translated flag, as the payload carries
     both; name them in ``preserve`` to keep them.  With ``defer`` new jobs stay inactive.
+
+    The join of the upsert also tells which stored jobs were not fetched, so delisting needs
+    neither a second join nor a second parse.  ``min_fetched`` skips it for a too small fetch.
     """
-    merged = merge_job_hits(hits).drop("refnr")
-    fetched = normalize_jobs(merged.select("item"), as_of)
+    fetched = normalize_jobs(merge_job_hits(hits).drop("keywords"), as_of)
     if defer:
         fetched = defer_activate(fetched, jobs)
     # keys are unique by construction of the merge
-    return delist_missing(upsert(jobs, fetched, "refnr", as_of, preserve, unique=True), fetched, as_of, min_fetched)
+    merged = upsert(jobs, fetched, "refnr", as_of, preserve, unique=True, mark="_seen")
+    gone = F.col("is_active") & ~F.col("_seen")
+    if min_fetched > 0:
+        gone = gone & fetched.agg(F.count(F.lit(1)) >= min_fetched).scalar()
+    stamp = F.lit(as_of).cast("timestamp")
+    return merged.withColumns(
+        {
+            "updated_at": F.when(gone, stamp).otherwise(F.col("updated_at")),
+            "is_active": F.when(gone, F.lit(False)).otherwise(F.col("is_active")),
+        }
+    ).drop("_seen")
 
 
 def sync_counts(jobs: DataFrame, hits: DataFrame) -> DataFrame:

@@ -41,13 +41,14 @@ def upsert(
     as_of: str | None = None,
     preserve: Sequence[str] = (),
     unique: bool = False,
+    mark: str | None = None,
 ) -> DataFrame:
     """New snapshot of ``target`` after merging ``updates`` on ``key``.
 
     Update columns overwrite; columns missing from the updates, and those named in
     ``preserve``, survive on existing rows.  Inserted rows get defaults.  ``updated_at``
     (and ``created_at`` of inserts) become ``as_of``.  Pass ``unique=True`` when the updates
-    are already known to have unique keys.
+    are already known to have unique keys; ``mark`` adds a flag that tells which rows they hit.
     """
     if not unique:
         updates = with_unique_keys(updates, key)
@@ -75,6 +76,8 @@ def upsert(
         else:
             value = old
         out.append(value.alias(name))
+    if mark:
+        out.append(is_update.alias(mark))
     return joined.select(*out)
 
 

@@ -83,7 +83,7 @@ JOIN (SELECT refnr, array_to_string(list_sort(list(DISTINCT keyword)), '|') AS k
 )
 def u1(spark, d):
     merged = job_ops.merge_job_hits(explode_job_pages(A.job_pages(spark, d)))
-    return normalize_jobs(merged.withColumnRenamed("refnr", "key"), AS_OF).select("refnr", "title_de", "employer", "keywords")
+    return normalize_jobs(merged, AS_OF).select("refnr", "title_de", "employer", "keywords")
 
 
 @query(
@@ -134,7 +134,7 @@ def q10_counts(spark, d):
 
 
 def fetched_jobs(spark, d):
-    return normalize_jobs(job_ops.merge_job_hits(explode_job_pages(A.job_pages(spark, d))).drop("refnr").select("item"), AS_OF)
+    return normalize_jobs(job_ops.merge_job_hits(explode_job_pages(A.job_pages(spark, d))).drop("keywords"), AS_OF)
 
 
 @query(

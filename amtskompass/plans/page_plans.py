@@ -118,7 +118,13 @@ def h7(spark, d):
     return links.select("page_id", F.col("link_url").alias("raw"), "pos")
 
 
-@query("H7_distinct_links")
+@query(
+    "H7_distinct_links",
+    """SELECT page_id, link_url, min(pos) AS pos, arg_min(txt, pos) AS link_text FROM (
+  SELECT page_id, origin || unnest(h) AS link_url, trim(unnest(t)) AS txt, generate_subscripts(h, 1) - 1 AS pos FROM (
+    SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h,
+      regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)) GROUP BY 1, 2""",
+)
 def h7_distinct(spark, d):
     return pages.distinct_links(pages.page_links(A.wide_table(spark, d, "pages")), "page_id")
 

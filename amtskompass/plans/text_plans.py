@@ -215,7 +215,14 @@ def x13(spark, d):
     return A.table(spark, d, "pages").select("page_id", keys.scrape_slug(F.concat_ws(" ", "url", F.lit("中文")), F.col("url")).alias("slug"))
 
 
-@query("X14_timed_slug")
+DIGITS36 = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((ms // {36 ** k}) % 36 AS INTEGER) + 1, 1)" for k in range(8, -1, -1))
+
+
+@query(
+    "X14_timed_slug",
+    f"""SELECT o_orderkey, trim(regexp_replace(replace(lower(o_orderpriority || ' für'), 'ü', 'ue'), '[^a-z0-9]+', '-', 'g'), '-') || '-' || ltrim({DIGITS36}, '0') AS slug
+FROM (SELECT *, epoch_ms(o_orderdate) AS ms FROM orders)""",
+)
 def x14(spark, d):
     rows = A.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     return rows.select("o_orderkey", keys.timed_slug(F.concat_ws(" ", "o_orderpriority", F.lit("für")), F.col("o_orderdate")).alias("slug"))

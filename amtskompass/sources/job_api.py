@@ -27,13 +27,17 @@ def hit_refnr(item: Column) -> Column:
 
 
 def normalize_jobs(hits: DataFrame, as_of: str, item: str = "item") -> DataFrame:
-    """Payload items to job rows: nested fallbacks, date prefix, constant defaults."""
+    """Payload items to job rows: nested fallbacks, date prefix, constant defaults.
+
+    A ``refnr`` column already derived from the items is kept as it is, and with it the
+    partitioning of hits that were grouped by it.
+    """
     raw = F.col(item)
     date_text = raw["aktuelleVeroeffentlichungsdatum"]
     codes = F.when(F.size(raw["arbeitszeit"]) > 0, raw["arbeitszeit"]).otherwise(raw["arbeitsmarktdaten"]["arbeitszeit"])
     # a present 'ort' is used even when empty; 'stadt' only stands in for a missing one
     city = F.coalesce(raw["arbeitsort"]["ort"], raw["arbeitsort"]["stadt"], F.lit(""))
-    refnr = hit_refnr(raw)
+    refnr = F.col("refnr") if "refnr" in hits.columns else hit_refnr(raw)
     fields = {
         "refnr": refnr,
         "title_de": _first_text(raw["titel"], raw["berufsbezeichnung"]),
@@ -50,5 +54,5 @@ def normalize_jobs(hits: DataFrame, as_of: str, item: str = "item") -> DataFrame
         "translated": F.lit(False),
         "synced_at": F.lit(as_of).cast("timestamp"),
     }
-    kept = [c for c in hits.columns if c != item]
+    kept = [c for c in hits.columns if c not in (item, "refnr")]
     return hits.select(*kept, *[value.alias(name) for name, value in fields.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from amtskompass.operators import catalog, enrich, feeds, jobs, merge, pages, quality, queue, ranking, runs, snapshots, stats, visibility
 from amtskompass.operators.related import related
-from amtskompass.sources import schemas, tables
+from amtskompass.sources import registry, schemas, tables
 
 NOW = "2024-07-01 00:00:00"
 
@@ -216,6 +216,31 @@ def test_spread_leaves_large_scans_alone(spark):
     assert tables.spread(spark.range(0, 100, 1, 99)).rdd.getNumPartitions() == 99
 
 
+def test_sinks_and_registry(spark, tmp_path):
+    df = spark.createDataFrame([("1", "p", "ok", 0.5)], "id string, policy_id string, review_status string, confidence double")
+    path = str(tmp_path / "reviews")
+    tables.append(df, path, schemas.REVIEW)
+    tables.append(df, path, schemas.REVIEW)
+    assert tables.read_table(spark, path, schemas.REVIEW, ["id", "confidence"]).count() == 2
+    out = str(tmp_path / "json")
+    tables.write_json(df, out)
+    tables.write_json(df, out)
+    assert rows(spark.read.schema(df.schema).json(out), "id", "confidence") == [("1", 0.5)]
+    (tmp_path / "reg.json").write_text(
+        '[{"id": "a", "name": "Amt A", "feedUrl": "u"}, {"id": "b", "feedUrl": "u", "enabled": false}, {"id": "c", "feedUrl": ""}]'
+    )
+    reg = registry.read_registry(spark, str(tmp_path / "reg.json"))
+    assert rows(registry.active_sources(reg), "id") == [("a",)]
+    assert rows(registry.active_sources(reg, "amt a"), "id") == [("a",)] and registry.active_sources(reg, "zzz").count() == 0
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from amtskompass.session import reliable_checkpoint
+
+    assert reliable_checkpoint(spark.range(3)).count() == 3
+    assert spark.sparkContext.getCheckpointDir() is not None
+
+
 # --- pages and feeds -----------------------------------------------------------------------
 
 PAGE = """<html><head><title>Amt - Seite | X</title><script>var a='<p>no</p>'</script></head><body>
