@@ -329,3 +329,58 @@ REVIEW_DONE_SUMMARY = "AI 复核完成。"
 REVIEW_FAILED_SUMMARY = "AI 复核未能完成，请稍后重试或检查官方来源。"
 SCRAPE_TARGET_GROUPS = ["待定"]
 SCRAPE_KEY_CHANGES = ["待官方确认"]
+
+# --- fixed values: text templates of city fee guides --------------------------------
+CITY_GUIDE = {
+    "service_key": "municipal_hundesteuer_{key}",
+    "slug_title": "hundesteuer-{name}",
+    "title_de": "Hundesteuer {name} — Anmeldung, Gebühren & Pflichten",
+    "title_zh": "{name}犬税指南 — 登记、费用与养犬义务",
+    "summary_zh": "{name}的犬税（Hundesteuer）：首犬 {first}，额外犬只 {extra}。养犬须办理登记、缴纳年度税费，"
+                  "并购买犬只责任险（Hundehaftpflichtversicherung）。",
+    "fees_zh": "首犬：{first}\n额外犬只（第二只起）：{extra}\n危险犬种可能有附加费，请向当地 Ordnungsamt 确认。",
+    "duration_zh": "登记后按月/季/年持续缴纳，搬家至其他城市或犬只去世后须向市政厅申报注销",
+    "publisher": "Stadt {name}",
+    "source_name": "各市政厅 Hundesteuer 指南",
+    "category": "生活行政",
+    "region_level": "市",
+}
+CITY_GUIDE_REQUIREMENTS = [
+    "有效身份证件或居留许可", "犬只芯片识别号 (Microchip)", "犬只责任险 (Hundehaftpflichtversicherung)",
+    "在 {name} 的注册地址（Anmeldung）",
+]
+CITY_GUIDE_STEPS = [
+    "在 {name} 市政厅或在线平台登记您的犬只", "市政厅核定犬税金额并发送缴费通知",
+    "通过银行自动扣款（SEPA Lastschrift）按季度或年度缴纳税费", "购买犬只责任险（法律要求）",
+    "搬家或犬只去世时，向市政厅申报变更或注销",
+]
+CITY_GUIDE_TAGS = ["犬税", "Hundesteuer", "{name}", "宠物登记", "养犬义务", "市政税务"]
+
+# --- fixed values: text templates of office guides ----------------------------------
+OFFICE_SUMMARY = (
+    "{office}（LEA）{topic_name}相关指南。{office}负责居留许可、签证延期、入籍等事务的办理。"
+    "本页面介绍了 {title} 的基本信息和办理方式。"
+)
+OFFICE_PERMIT_TAG = "居留许可"
+KEYED_OFFICE = {
+    "service_key": "hamburg_amt_fur_migration_{key}",
+    "slug_title": "hamburg-amt-fur-migration-{key}",
+    "title_de": "Hamburg Amt für Migration — {title}",
+    "title_zh": "汉堡外管局 — {name}",
+    "summary_zh": "汉堡移民局（Amt für Migration）{name}相关指南。{topic}事务由本部门负责办理。",
+    "publisher": "Amt für Migration Hamburg",
+    "source_name": "Hamburg Amt für Migration",
+    "region_level": "市",
+    "region_name": "Hamburg",
+}
+KEYED_OFFICE_TAGS = ["汉堡外管局", "Amt für Migration", "居留许可", "Hamburg", "{name}"]
+
+# --- fixed values: text templates of scraped drafts and enrichment prompts ----------
+SCRAPE_USER_NOTES = "来自 {origin} 抓取，标题需翻译审核"
+PROMPT_BLOCKS = {
+    "description": "===JOB {slot}===\nrefnr: {refnr}\n描述:\n{description}",
+    "title": "===JOB {slot}===\nrefnr: {refnr}\n标题: {title}",
+    "tags": "===JOB {slot}===\nrefnr: {refnr}\n职位: {title}\n描述: {description}",
+    "guide": "===JOB {slot}===\nservice_key: {service_key}\nsource_name: {source_name}\nsource_url: {source_url}\n"
+             "title_de: {title}\ncontent:\n{content}",
+}

@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _block(*parts: Column | str) -> Column:
-    head = [F.lit("===JOB "), F.col("slot").cast("string"), F.lit("===\n")]
-    return F.concat(*head, *[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
+from .constants import PROMPT_BLOCKS
+from .text import fill
 
 
 def description_block(cap: int = 3000) -> Column:
     """Job description (3000 characters in a batch, 1500 when retried alone)."""
-    return _block("refnr: ", F.col("refnr"), "\n描述:\n", F.substring("description_de", 1, cap))
+    return fill(
+        PROMPT_BLOCKS["description"], slot=F.col("slot"), refnr=F.col("refnr"), description=F.substring("description_de", 1, cap)
+    )
 
 
 def title_block() -> Column:
-    return _block("refnr: ", F.col("refnr"), "\n标题: ", F.col("title_de"))
+    return fill(PROMPT_BLOCKS["title"], slot=F.col("slot"), refnr=F.col("refnr"), title=F.col("title_de"))
 
 
 def tag_block() -> Column:
     """Title and description for tagging; the translated description is preferred."""
     described = F.coalesce(F.nullif(F.col("description_zh"), F.lit("")), F.col("description_de"))
-    return _block(
-        "refnr: ", F.col("refnr"), "\n职位: ", F.substring("title_de", 1, 100), "\n描述: ", F.substring(described, 1, 2000)
+    return fill(
+        PROMPT_BLOCKS["tags"], slot=F.col("slot"), refnr=F.col("refnr"), title=F.substring("title_de", 1, 100),
+        description=F.substring(described, 1, 2000),
     )
 
 
 def guide_block() -> Column:
     """Guide page: keys, source, title and content (summary, else title)."""
     content = F.coalesce(F.nullif(F.col("summary_zh"), F.lit("")), F.col("title_de"))
-    return _block(
-        "service_key: ", F.col("service_key"), "\nsource_name: ", F.col("source_name"), "\nsource_url: ", F.col("source_url"),
-        "\ntitle_de: ", F.col("title_de"), "\ncontent:\n", F.substring(content, 1, 4000),
+    return fill(
+        PROMPT_BLOCKS["guide"], slot=F.col("slot"), service_key=F.col("service_key"), source_name=F.col("source_name"),
+        source_url=F.col("source_url"), title=F.col("title_de"), content=F.substring(content, 1, 4000),
     )

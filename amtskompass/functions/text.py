@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
+from string import Formatter
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -132,6 +133,24 @@ def distinct_in_order(*arrays: Column) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))
 
 
+def fill(template: str, **values: Column) -> Column:
+    """Text template with ``{name}`` placeholders filled from columns; missing values become empty."""
+    parts = [
+        F.coalesce(values[name].cast("string"), F.lit("")) if name else F.lit(literal)
+        for literal, name in _template_parts(template)
+    ]
+    return F.concat(*parts)
+
+
+def _template_parts(template: str) -> list[tuple[str, str]]:
+    """Literal pieces and placeholder names in order; exactly one of the two is set."""
+    out: list[tuple[str, str]] = []
+    for literal, name, _, _ in Formatter().parse(template):
+        out += [(literal, "")] if literal else []
+        out += [("", name)] if name else []
+    return out
+
+
 def first_match(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: Column) -> Column:
     """Ordered rules: the first one with a needle contained in ``text`` decides."""
     result: Column | None = None

@@ -12,7 +12,7 @@ from ..functions.html import TEXT, first_root, inside, page_tokens, path_step, u
 from ..functions.keys import page_slug, service_key
 from ..functions.labels import keyed_office, office_title, office_topic
 from ..functions.text import (
-    SPACE, absolute_url, clean_text, computed, contains_any, decode_entities, strip_tags, text_or, trim_all,
+    SPACE, absolute_url, clean_text, computed, contains_any, decode_entities, fill, strip_tags, text_or, trim_all,
 )
 from ..session import broadcast_if_small
 
@@ -313,15 +313,12 @@ def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: st
         page_slug(F.concat(F.lit(cfg.slug_prefix + "-"), title), source).alias("slug"),
         F.concat(F.lit(cfg.title_prefix), title).alias("title_de"),
         F.concat(F.lit(cfg.title_prefix_zh), name).alias("title_zh"),
-        F.concat(
-            F.lit(f"{cfg.office_zh}（LEA）"), name, F.lit("相关指南。"),
-            F.lit(f"{cfg.office_zh}负责居留许可、签证延期、入籍等事务的办理。本页面介绍了 "), title, F.lit(" 的基本信息和办理方式。"),
-        ).alias("summary_zh"),
+        fill(C.OFFICE_SUMMARY, office=F.lit(cfg.office_zh), topic_name=name, title=title).alias("summary_zh"),
         first_matching_line(content, C.FEE_PATTERNS).alias("fees_zh"),
         first_matching_line(content, C.DURATION_PATTERNS).alias("duration_zh"),
         F.array_join(F.slice(contact, 1, 10), "\n").alias("contact_info"),
         F.lit(cfg.category).alias("category"),
-        F.array(F.lit(cfg.office_zh), F.lit(cfg.default_title), F.lit("居留许可"), F.lit(cfg.city), topic).alias("tags"),
+        F.array(F.lit(cfg.office_zh), F.lit(cfg.default_title), F.lit(C.OFFICE_PERMIT_TAG), F.lit(cfg.city), topic).alias("tags"),
         source.alias("source_url"),
         F.lit(cfg.region_level).alias("region_level"),
         F.lit(cfg.city).alias("region_name"),
@@ -333,18 +330,18 @@ def keyed_office_page(pages: DataFrame, html: str = "html", url: str = "url") ->
     """Office guides of the second city, labelled by the key found in the address."""
     rows = _tokenised(pages, html).withColumn("_office", keyed_office(F.col(url)))
     h1 = F.nullif(trim_all(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))["text"]), F.lit(""))
-    key, zh, topic = (F.col(f"_office.{n}") for n in ("key", "title_zh", "topic"))
+    values = {
+        "key": F.col("_office.key"), "name": F.col("_office.title_zh"), "topic": F.col("_office.topic"),
+        "title": F.coalesce(h1, F.col("_office.label")),
+    }
+    text = lambda field: fill(C.KEYED_OFFICE[field], **values)
     return rows.select(
-        F.concat(F.lit("hamburg_amt_fur_migration_"), key).alias("service_key"),
-        page_slug(F.concat(F.lit("hamburg-amt-fur-migration-"), key), F.col(url)).alias("slug"),
-        F.concat(F.lit("Hamburg Amt für Migration — "), F.coalesce(h1, F.col("_office.label"))).alias("title_de"),
-        F.concat(F.lit("汉堡外管局 — "), zh).alias("title_zh"),
-        F.concat(F.lit("汉堡移民局（Amt für Migration）"), zh, F.lit("相关指南。"), topic, F.lit("事务由本部门负责办理。")).alias("summary_zh"),
-        topic.alias("category"),
-        F.array(F.lit("汉堡外管局"), F.lit("Amt für Migration"), F.lit("居留许可"), F.lit("Hamburg"), zh).alias("tags"),
+        text("service_key").alias("service_key"),
+        page_slug(text("slug_title"), F.col(url)).alias("slug"),
+        *[text(f).alias(f) for f in ("title_de", "title_zh", "summary_zh", "publisher", "source_name", "region_level", "region_name")],
+        values["topic"].alias("category"),
+        F.array(*[fill(t, **values) for t in C.KEYED_OFFICE_TAGS]).alias("tags"),
         F.col(url).alias("source_url"),
-        F.lit("市").alias("region_level"),
-        F.lit("Hamburg").alias("region_name"),
         F.lit(False).alias("translated"),
     )
 
@@ -412,35 +409,25 @@ def distinct_links(links: DataFrame, page_key: str) -> DataFrame:
 
 
 def city_fee_guides(cities: DataFrame) -> DataFrame:
-    """City fee rows ``(name, first, extra, url)`` to full policy rows."""
-    name, first, extra = F.col("name"), F.col("first"), F.col("extra")
-    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    """City fee rows ``(name, first, extra, url)`` to full policy rows from the guide templates."""
+    columns = {"name": F.col("name"), "first": F.col("first"), "extra": F.col("extra"), "key": F.lower("name")}
+
+    def text(field: str) -> Column:
+        return fill(C.CITY_GUIDE[field], **columns)
+
+    def texts(templates: list[str]) -> Column:
+        return F.array(*[fill(t, **columns) for t in templates])
+
+    same = ["title_de", "title_zh", "summary_zh", "fees_zh", "duration_zh", "publisher", "source_name", "category", "region_level"]
     return cities.select(
-        text("municipal_hundesteuer_", F.lower(name)).alias("service_key"),
-        page_slug(text("hundesteuer-", name), F.col("url")).alias("slug"),
-        text("Hundesteuer ", name, " — Anmeldung, Gebühren & Pflichten").alias("title_de"),
-        text(name, "犬税指南 — 登记、费用与养犬义务").alias("title_zh"),
-        text(name, "的犬税（Hundesteuer）：首犬 ", first, "，额外犬只 ", extra,
-             "。养犬须办理登记、缴纳年度税费，并购买犬只责任险（Hundehaftpflichtversicherung）。").alias("summary_zh"),
-        F.array(
-            text("有效身份证件或居留许可"), text("犬只芯片识别号 (Microchip)"),
-            text("犬只责任险 (Hundehaftpflichtversicherung)"), text("在 ", name, " 的注册地址（Anmeldung）"),
-        ).alias("requirements_zh"),
-        text("首犬：", first, "\n额外犬只（第二只起）：", extra,
-             "\n危险犬种可能有附加费，请向当地 Ordnungsamt 确认。").alias("fees_zh"),
-        F.lit("登记后按月/季/年持续缴纳，搬家至其他城市或犬只去世后须向市政厅申报注销").alias("duration_zh"),
-        F.array(
-            text("在 ", name, " 市政厅或在线平台登记您的犬只"), text("市政厅核定犬税金额并发送缴费通知"),
-            text("通过银行自动扣款（SEPA Lastschrift）按季度或年度缴纳税费"), text("购买犬只责任险（法律要求）"),
-            text("搬家或犬只去世时，向市政厅申报变更或注销"),
-        ).alias("steps_zh"),
-        F.lit("生活行政").alias("category"),
-        F.array(text("犬税"), text("Hundesteuer"), name, text("宠物登记"), text("养犬义务"), text("市政税务")).alias("tags"),
-        text("Stadt ", name).alias("publisher"),
-        F.lit("各市政厅 Hundesteuer 指南").alias("source_name"),
+        text("service_key").alias("service_key"),
+        page_slug(text("slug_title"), F.col("url")).alias("slug"),
+        *[text(f).alias(f) for f in same],
+        texts(C.CITY_GUIDE_REQUIREMENTS).alias("requirements_zh"),
+        texts(C.CITY_GUIDE_STEPS).alias("steps_zh"),
+        texts(C.CITY_GUIDE_TAGS).alias("tags"),
         F.col("url").alias("source_url"),
-        F.lit("市").alias("region_level"),
-        name.alias("region_name"),
+        F.col("name").alias("region_name"),
         F.lit(True).alias("translated"),
     )
 

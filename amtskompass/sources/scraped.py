@@ -45,7 +45,7 @@ def drafts_from_scrape(items: DataFrame, config: RegionConfig, as_of: str) -> Da
         F.lit("medium").alias("risk_level"),
         F.array(*[F.lit(g) for g in C.SCRAPE_TARGET_GROUPS]).alias("target_groups"),
         F.array(*[F.lit(k) for k in C.SCRAPE_KEY_CHANGES]).alias("key_changes"),
-        F.lit(f"来自 {config.origin} 抓取，标题需翻译审核").alias("user_notes"),
+        F.lit(C.SCRAPE_USER_NOTES.format(origin=config.origin)).alias("user_notes"),
         whole.alias("content_zh"),
     )
 

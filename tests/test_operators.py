@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from amtskompass.operators import catalog, enrich, feeds, jobs, merge, pages, quality, queue, ranking, runs, snapshots, stats, visibility
 from amtskompass.operators.related import related
 from amtskompass.sources import registry, schemas, tables
+from amtskompass.sources.dimensions import dimension
 
 NOW = "2024-07-01 00:00:00"
 
@@ -234,6 +235,18 @@ def test_sinks_and_registry(spark, tmp_path):
     assert rows(registry.active_sources(reg, "amt a"), "id") == [("a",)] and registry.active_sources(reg, "zzz").count() == 0
 
 
+def test_city_guides_from_the_fixed_dimension(spark):
+    out = {r["region_name"]: r for r in pages.city_fee_guides(dimension(spark, "city_fees")).collect()}
+    assert len(out) == 10 and out["Düsseldorf"]["slug"].startswith("hundesteuer-d-sseldorf-")
+    assert out["Berlin"]["fees_zh"].split("\n")[:2] == ["首犬：€120/年", "额外犬只（第二只起）：€180/年"]
+    assert out["Leipzig"]["tags"] == ["犬税", "Hundesteuer", "Leipzig", "宠物登记", "养犬义务", "市政税务"]
+
+
+def test_state_codes_join(spark):
+    df = job_rows(spark, [("1", True, None, None, None)]).withColumn("state_code", F.lit("Hessen"))
+    assert rows(jobs.with_state_code(df, dimension(spark, "states")), "refnr", "code") == [("1", "HE")]
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     from amtskompass.session import reliable_checkpoint
 
