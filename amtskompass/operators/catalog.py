@@ -212,20 +212,18 @@ def suggestions(policies: DataFrame, n: int = 12) -> DataFrame:
     row per task in the shuffle; the final top-n is distributed.
     """
     words = F.filter(F.split(normalize_text(F.col("title_de")), " "), lambda w: F.length(w) > 4)
-    terms = F.concat(F.array("category", "region_name"), F.col("target_groups"), words)
+    terms = F.array_distinct(F.concat(F.array("category", "region_name"), F.col("target_groups"), words))
     # newest first: a descending date is an ascending negative day number; undated rows come last
     day = F.coalesce(-F.unix_date("published_at"), F.lit(2**31 - 1))
+    rows = computed(policies.withColumn("day", day).select("day", "id", "category", "region_name", "target_groups", "title_de"),
+                    {"terms": terms})
     return (
-        policies.select(day.alias("day"), "id", F.posexplode(terms).alias("pos", "term"))
+        rows.select("day", "id", F.posexplode("terms").alias("pos", "term"))
         .groupBy("term")
         .agg(F.min(F.struct("day", "id", "pos")).alias("first_seen"))
         .orderBy("first_seen")
         .limit(n)
-        .select(
-            "term",
-            F.col("first_seen.id").alias("first_id"),
-            F.col("first_seen.pos").cast("bigint").alias("first_pos"),
-        )
+        .select("term", F.col("first_seen.id").alias("first_id"))
     )
 
 

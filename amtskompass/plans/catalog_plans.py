@@ -315,7 +315,7 @@ def o4(spark, d):
     with_roles(NORM, """, terms AS (
   SELECT published_at, id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (
     SELECT published_at, id, list_concat([cat, reg], grp, list_filter(string_split(trim(regexp_replace(lower(title_de), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 4)) AS t FROM norm WHERE status = 'published'))
-SELECT term, id AS first_id, pos AS first_pos FROM (
+SELECT term, id AS first_id FROM (
   SELECT *, row_number() OVER (PARTITION BY term ORDER BY published_at DESC NULLS LAST, id, pos) AS rn FROM terms)
 WHERE rn = 1 ORDER BY published_at DESC NULLS LAST, id, pos LIMIT 12""".replace(", terms", ", terms", 1)),
 )
