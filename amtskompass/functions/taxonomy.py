@@ -34,12 +34,12 @@ def taxonomy_source(
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")
 
 
-def display_category(text: Column) -> Column:
+def display_category(text: Column | str) -> Column:
     """Category of a lookup text; the first matching rule wins."""
     return first_match(text, C.DISPLAY_CATEGORY_RULES, F.lit(C.OTHER_CATEGORY))
 
 
-def matched_groups(text: Column, category: Column) -> Column:
+def matched_groups(text: Column | str, category: Column) -> Column:
     """Target groups found in a lookup text or implied by its display category, in rule order."""
     work_group = F.when(contains_any(text, C.BLUE_CARD_NEEDLES), C.BLUE_CARD_GROUP).otherwise(C.WORK_VISA_GROUP)
     implied = F.when(category == C.WORK_CATEGORY, work_group)
@@ -97,9 +97,9 @@ def normalize_policies(df: DataFrame, regions: bool = True, groups: bool = True)
     )
     rows = computed(df, {"_source": source})
     rows = computed(rows, {"_text": lookup_text(F.col("_source"))}).drop("_source")
-    rows = computed(rows, {"category": display_category(F.col("_text"))})
+    rows = computed(rows, {"category": display_category("_text")})
     if groups:
-        rows = computed(rows, {"target_groups": matched_groups(F.col("_text"), F.col("category"))})
+        rows = computed(rows, {"target_groups": matched_groups("_text", F.col("category"))})
         found = F.col("target_groups")
         rows = rows.withColumn("target_groups", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(C.DEFAULT_GROUP))))
     rows = rows.drop("_text")
