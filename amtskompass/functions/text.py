@@ -43,10 +43,11 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     keeps the values behind a generator: later filters on them stay above it, filters on other
     columns still reach the scan.
     """
-    kept = [c for c in df.columns if c not in columns]
-    row = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
-    order = df.columns + [c for c in columns if c not in df.columns]
-    return df.select(*kept, row).select(*order)
+    known = set(df.columns)
+    names = {n: f"_new_{n}" if n in known else n for n in columns}
+    out = df.select("*", F.inline(F.array(F.struct(*[value.alias(names[n]) for n, value in columns.items()]))))
+    replaced = {new: n for n, new in names.items() if new != n}
+    return out.drop(*replaced.values()).withColumnsRenamed(replaced) if replaced else out
 
 
 def bound(col: Column, build: Callable[[Column], Column]) -> Column:
