@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.adapters import table
-from . import recompress, suffixes
+from . import crf, inverted, licenses, packing, quality, recompress, sharding, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,74 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed_strings(table(spark, sf_dir, "documents"))
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op1_cost_balanced_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op4_url_template_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return urls.filtered(table(spark, sf_dir, "pages"), labels)
+
+
+@query("op7_label_propagation_sharding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@query("op8_crf_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.personal_data(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), w AS (
+  SELECT DISTINCT item_id, least(len(words), 13) AS n, array_to_string(words[s + 1 : s + least(len(words), 13)], ' ') AS gram
+  FROM b, unnest(range(0, greatest(len(words) - 12, least(len(words), 1)))) AS t(s)
+), sizes AS (SELECT DISTINCT n FROM w), g AS (
+  SELECT doc_id, n, s, array_to_string(words[s + 1 : s + n], ' ') AS gram FROM d, sizes, unnest(range(0, greatest(len(words) - n + 1, 0))) AS t(s)
+), m AS (SELECT g.doc_id, w.item_id, g.s, g.n FROM g JOIN w USING (n, gram)
+), h AS (SELECT doc_id, count(DISTINCT s + i) AS n_hit FROM m, unnest(range(0, n)) AS t(i) GROUP BY doc_id
+), c AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+@query("op9_benchmark_decontamination", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inverted.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+
+
+@query("op10_weak_supervision_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
