@@ -16,11 +16,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_SPACE, Block, Words, all_pieces, text_bytes
+from .blocks import NOT_SPACE, Block, Words, all_pieces, pieces, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -52,7 +53,6 @@ write to jane.doe@example.org/email soon
 """
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a run of digits that fails at its first digit fails at all
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -329,43 +329,62 @@ def field_spans(found: Located, field: Field) -> dict[int, list[tuple[int, int,
     return out
 
 
-def personal_data(docs: DataFrame, field: Field | None = None, redact: bool = False) -> DataFrame:
+def _all_spans(found: Located, field: Field) -> Iterator[tuple[str, list[list[tuple[int, int]]], list[tuple[int, int, int]]]]:
+    """For each text: the text, its base spans by kind, and all spans in order (the field's never overlap base spans)."""
+    more = field_spans(found, field)
+    for i, raw in enumerate(found.raw):
+        text = raw.decode()
+        base = base_spans(text)
+        spans = [(k, *s) for k, own in enumerate(base) for s in own]
+        yield text, base, sorted(spans + [m for m in more.get(i, []) if not any(m[1] < b and m[2] > a for _, a, b in spans)])
+
+
+def _joined(spans: Iterable[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+
+
+def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Personal data of every row of ``docs`` (``doc_id``, ``text``): counts and digest of the base spans, and all spans.
 
-    Spans that the field adds never overlap base spans.  With ``redact`` also ``redacted``: the text with every span (overlapping
-    ones as one) replaced by its first kind in brackets.  A null text is empty (``redacted`` stays null); repeated rows and rows
-    without ``doc_id`` are judged like others; an empty table gives an empty result.
+    A null text is empty; repeated rows and rows without ``doc_id`` are judged like others; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     field = field or fit(rows)
-    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())]
-    schema = pa.schema(fields + ([("redacted", pa.string())] if redact else []))
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in all_pieces(batches):
-            found = Located(text_bytes(piece.column("text")))
-            more = field_spans(found, field)
             out: dict[str, list] = {c: [] for c in schema.names}
-            nulls = piece.column("text").is_null().to_pylist()
-            for i, (doc, raw) in enumerate(zip(piece.column("doc_id").to_pylist(), found.raw, strict=True)):
-                text = raw.decode()
-                base = base_spans(text)
-                spans = [(k, *s) for k, own in enumerate(base) for s in own]
-                digest = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-                fresh = [m for m in more.get(i, []) if not any(m[1] < b and m[2] > a for _, a, b in spans)]
-                every = sorted(spans + fresh)
-                out["doc_id"].append(doc)
-                for k, name in enumerate(KINDS):
-                    out[f"n_{name}"].append(len(base[k]))
-                out["base_sha256"].append(hashlib.sha256(digest.encode()).hexdigest())
-                out["spans"].append(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in every))
-                if redact:
-                    kept, place = [], 0
-                    for k, a, b in sorted(every, key=lambda s: (s[1], s[0])):
-                        if a >= place:
-                            kept.append(text[place:a] + f"[{KINDS[k].upper()}]")
-                        place = max(place, b)
-                    out["redacted"].append(None if nulls[i] else "".join(kept) + text[place:])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return rows.mapInArrow(run, OUT + (", redacted string" if redact else ""))
+            for _, base, every in _all_spans(Located(text_bytes(piece.column("text"))), field):
+                for own, name in zip(base, KINDS, strict=True):
+                    out[f"n_{name}"].append(len(own))
+                out["base_sha256"].append(hashlib.sha256(_joined((k, *s) for k, own in enumerate(base) for s in own).encode()).hexdigest())
+                out["spans"].append(_joined(every))
+            yield pa.RecordBatch.from_pydict(out | {"doc_id": piece.column("doc_id")}, schema=schema)
+
+    return rows.mapInArrow(run, OUT)
+
+
+def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """``docs`` with every span of personal data in ``text`` (overlapping ones as one) replaced by its kind in brackets.
+
+    Other columns stay; ``n_chars``, where it is a column, follows the new text.  A null text stays null.
+    """
+    field = field or fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+    @F.pandas_udf("string")
+    def clean(values: pd.Series) -> pd.Series:
+        out: list[str | None] = []
+        batch = pa.record_batch({"text": pa.array(values, type=pa.string())})
+        for piece in pieces(batch):
+            for text, _, every in _all_spans(Located(text_bytes(piece.column("text"))), field):
+                kept, place = [], 0
+                for k, a, b in sorted(every, key=lambda s: (s[1], s[0])):
+                    if a >= place:
+                        kept += [text[place:a], f"[{KINDS[k].upper()}]"]
+                    place = max(place, b)
+                out.append("".join(kept) + text[place:])
+        return pd.Series(out, dtype=object).where(values.notna().to_numpy(), None)
+
+    done = docs.withColumn("text", clean(F.col("text").cast("string")))
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

@@ -25,9 +25,9 @@ WINDOW = 13
 BLOCK_WORDS = 2_000_000  # words of test items that are broadcast at once (16 MB of names)
 NEAR_TERMS = 4  # rarest terms of an item that must stand near each other for a proximity match
 SLOP = 20
-INDEX = "shard long, doc_id array<long>, n_words array<long>, terms binary, counts binary, places binary"
+INDEX = "shard long, doc_id array<long>, text_hash array<long>, n_words array<long>, terms binary, counts binary, places binary"
 HITS = "shard long, at int, start binary, length binary, items array<string>, near array<string>"
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
+OUT = "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
 
 
 def shared_folder(spark) -> str:
@@ -56,16 +56,17 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": [ids],
+                    "text_hash": [piece.column("text_hash").to_pylist()],
                     "n_words": [np.diff(words.first).tolist()],
                     "terms": [terms.tobytes()],
                     "counts": [counts.astype(np.uint32).tobytes()],
                     "places": [order.astype(np.uint32).tobytes()],
                 },
-                schema=pa.schema([("doc_id", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())]),
+                schema=pa.schema([("doc_id", pa.list_(pa.int64())), ("text_hash", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())]),
             )
 
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     shards = rows.mapInArrow(index, INDEX.removeprefix("shard long, ")).withColumn("shard", F.monotonically_increasing_id())
     path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
     shards.write.parquet(path)
@@ -187,6 +188,7 @@ def _frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each row of ``docs``: words hit by item windows, the items found, the verdict, and proximity matches.
+    ``text_hash`` (XXH64 of the text) tells rows with the same ``doc_id`` apart.
 
     ``docs`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` and ``text``.  A null text has no words; an item without
     words or without ``item_id`` is ignored; repeated items count once by id; repeated documents are separate rows.
@@ -231,9 +233,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
         found: dict[int, list[dict]] = {}
         for r in right.to_pylist():
             found.setdefault(r["at"], []).append(r)
-        out: dict[str, list] = {"doc_id": [], "n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "contaminated": [], "n_near_items": []}
+        out: dict[str, list] = {"doc_id": [], "text_hash": [], "n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "contaminated": [], "n_near_items": []}
         for shard in left.to_pylist():
-            for t, (doc, n) in enumerate(zip(shard["doc_id"], shard["n_words"], strict=True)):
+            for t, (doc, text_hash, n) in enumerate(zip(shard["doc_id"], shard["text_hash"], shard["n_words"], strict=True)):
                 rows = found.get(t, [])
                 names = sorted({i for r in rows for i in r["items"]})
                 hit = 0
@@ -245,6 +247,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
                         marks |= covered(start[length == size], size, n)
                     hit = int(marks.sum())
                 out["doc_id"].append(doc)
+                out["text_hash"].append(text_hash)
                 out["n_words"].append(n)
                 out["n_hit"].append(hit)
                 out["n_items"].append(len(names))
@@ -254,4 +257,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
         kinds = {"items_sha256": pa.string(), "contaminated": pa.bool_()}
         return pa.table(out, schema=pa.schema([(c, kinds.get(c, pa.int64())) for c in out]))
 
-    return index.select("shard", "doc_id", "n_words").groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(judge, OUT)
+    return index.select("shard", "doc_id", "text_hash", "n_words").groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(judge, OUT)

@@ -31,8 +31,7 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 # Opening sentences of well-known licence notices, and the label of each.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-4.0", "licensed under cc by nc 4 0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),

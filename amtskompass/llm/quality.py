@@ -19,9 +19,8 @@ from ..session import reliable_checkpoint
 WINDOW = 3
 ROUNDS = 12
 THRESHOLD = 0.5
-SMOOTH = 1.0  # imagined votes of either kind for each rule
+SMOOTH = 1.0  # imagined documents of either kind
 SPACES = r"[\x20\x09-\x0D]+"
-GOOD, BAD = 1, 0
 
 # Name, measure, good when at most / bad when at least (the other way round where good > bad); abstains in between.
 RULES = (
@@ -116,39 +115,51 @@ def votes(rows: DataFrame) -> Column:
     return F.concat(*out)
 
 
-def _log_odds(prior: float, accuracy: list[tuple[float, float]]) -> Column:
-    """Log odds that a pattern is good; ``accuracy``: how often each rule says good of good ones, and bad of bad ones."""
-    total = F.lit(math.log(prior / (1 - prior)))
-    for k, (good, bad) in enumerate(accuracy):
+Model = tuple[float, list[dict[str, float]]]  # log odds of the prior; for each rule what each vote adds to them
+
+# Before anything is known: most documents are good, a bad vote says much, a good vote little.
+FIRST: Model = (1.0, [{"1": 0.5, "0": -3.0, "-": 0.0}] * len(RULES))
+
+
+def _log_odds(model: Model) -> Column:
+    """Log odds that a pattern of votes belongs to a good document."""
+    prior, adds = model
+    total = F.lit(prior)
+    for k, add in enumerate(adds):
         vote = F.substring("votes", k + 1, 1)
-        total = total + F.when(vote == "1", math.log(good / (1 - bad))).when(vote == "0", math.log((1 - good) / bad)).otherwise(0.0)
+        total = total + F.when(vote == "1", add["1"]).when(vote == "0", add["0"]).otherwise(add["-"])
     return total
 
 
-def expectation_maximisation(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents, and each rule's accuracies, from ``votes`` and ``n``.
+def expectation_maximisation(patterns: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Model fitted to ``votes`` and ``n``: how often good and bad documents get each vote (or none) from each rule.
 
-    Every rule starts as right in 8 of 10 cases, which settles which side is good; each estimate is smoothed with
-    ``SMOOTH`` imagined votes and kept between 0.5 and 0.98, so that no rule turns round or decides alone.
+    A rule that looks for one kind of junk votes good on all other kinds; so the rates of the three outcomes are estimated for either side, and
+    a vote weighs as much as its rates differ.  ``FIRST`` settles which side is good; each rate is smoothed with ``SMOOTH`` imagined
+    documents, a bad vote never speaks for a document nor a good one against it, and an abstention adds at most 1 either way.
     """
-    prior, accuracy = 0.7, [(0.8, 0.8)] * len(RULES)
+    model = FIRST
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-_log_odds(prior, accuracy)))
+        p = 1 / (1 + F.exp(-_log_odds(model)))
         sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")]
         for k in range(len(RULES)):
-            vote = F.substring("votes", k + 1, 1)
-            for name, mark, weight in ((f"gg{k}", "1", F.col("p")), (f"gb{k}", "0", F.col("p")), (f"bg{k}", "1", 1 - F.col("p")), (f"bb{k}", "0", 1 - F.col("p"))):
-                sums.append(F.sum(F.when(vote == mark, F.col("n") * weight).otherwise(0.0)).alias(name))
+            for mark in "10":
+                own = F.substring("votes", k + 1, 1) == mark
+                sums.append(F.sum(F.when(own, F.col("n")).otherwise(0)).alias(f"n{mark}{k}"))
+                sums.append(F.sum(F.when(own, F.col("n") * F.col("p")).otherwise(0.0)).alias(f"g{mark}{k}"))
         s = patterns.withColumn("p", p).agg(*sums).first()
         if not s["n"]:
             break
-        prior = min(0.98, max(0.02, s["good"] / s["n"]))
-        accuracy = []
+        good, bad = s["good"] + SMOOTH, s["n"] - s["good"] + SMOOTH
+        adds = []
         for k in range(len(RULES)):
-            good = (s[f"gg{k}"] + 0.8 * SMOOTH) / (s[f"gg{k}"] + s[f"gb{k}"] + SMOOTH)
-            bad = (s[f"bb{k}"] + 0.8 * SMOOTH) / (s[f"bb{k}"] + s[f"bg{k}"] + SMOOTH)
-            accuracy.append((min(0.98, max(0.5, good)), min(0.98, max(0.5, bad))))
-    return prior, accuracy
+            of_good = {m: s[f"g{m}{k}"] for m in "10"}
+            of_bad = {m: s[f"n{m}{k}"] - of_good[m] for m in "10"}
+            of_good["-"], of_bad["-"] = s["good"] - sum(of_good.values()), s["n"] - s["good"] - sum(of_bad.values())
+            add = {m: math.log((max(0.0, of_good[m]) + SMOOTH / 3) / good) - math.log((max(0.0, of_bad[m]) + SMOOTH / 3) / bad) for m in "10-"}
+            adds.append({"1": max(0.0, add["1"]), "0": min(0.0, add["0"]), "-": max(-1.0, min(1.0, add["-"]))})
+        model = (math.log(good / bad), adds)
+    return model
 
 
 def judged(docs: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,5 +173,5 @@ def judged(docs: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = reliable_checkpoint(rows.withColumn("votes", votes(rows)).withColumn("base_failed", failed))
     patterns = reliable_checkpoint(rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1))  # at most 3 ** rules rows
-    quality = 1 / (1 + F.exp(-_log_odds(*expectation_maximisation(patterns, rounds))))
+    quality = 1 / (1 + F.exp(-_log_odds(expectation_maximisation(patterns, rounds))))
     return rows.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

@@ -120,7 +120,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)
 
 @query("op9_benchmark_decontamination", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inverted.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+    return inverted.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items", "text_hash")
 
 
 @query("op10_weak_supervision_quality")

@@ -12,15 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import product
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .blocks import text_bytes
+from .blocks import mix, text_bytes
 
 SEED = 42
 TILE = 8192  # fingerprints in a tile on average, at most
@@ -28,24 +29,25 @@ CELLS = 1 << 21  # comparisons at once
 
 
 def fingerprint(text: bytes, shingle: int, lanes: int) -> bytes:
-    """Big-endian fingerprint of 64 bits for each lane (lane k hashes with seed 42 + k); zero without words."""
+    """Big-endian fingerprint of 64 bits for each lane; zero without words.
+
+    The first lane counts the bits of the shingles' XXH64 (seed 42), further lanes those of numbers mixed from it.
+    """
     words = text.lower().split()
     if not words:
         return bytes(8 * lanes)
     line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - 1).tolist()
-    ends = (ends - 1).tolist()
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(size + 1) - 1
     k = min(shingle, len(words))
-    pairs = list(zip(starts, ends[k - 1 :], strict=False))
     digest = xxhash.xxh64_intdigest
+    names = np.array([digest(line[a:b], SEED) for a, b in zip((ends - size).tolist(), ends[k - 1 :].tolist(), strict=False)], dtype=np.uint64)
     out = []
     for lane in range(lanes):
-        names = np.array([digest(line[a:b], SEED + lane) for a, b in pairs], dtype=">u8")
+        own = (names if lane == 0 else mix(names + np.uint64(lane))).astype(">u8").view(np.uint8).reshape(-1, 8)
         ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(names), 65536):
-            bits = np.unpackbits(names[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1)
-            ones += bits.sum(axis=0, dtype=np.int64) if len(bits) < 256 else sum(bits[i : i + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for i in range(0, len(bits), 255))
+        for at in range(0, len(own), 255):  # 255 ones fit into a byte
+            ones += np.unpackbits(own[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
         out.append(np.packbits(2 * ones > len(names)).tobytes())
     return b"".join(out)
 
@@ -106,7 +108,9 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, tile: int = TILE) -> Da
         digits = F.substring(hexed, k * width // 4 + 1, width // 4)
         words = [F.conv(F.substring(digits, d + 1, min(16, width // 4)), 16, -10).cast("long") for d in range(0, width // 4, 16)]
         counts.append(sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("int"))
-    placed = nodes.select("fp", F.array(*counts).alias("cell"))
+    grain = max(1, radius // 3) if quarters == 1 else 1  # a wide radius leaves few classes to skip: make them coarser
+    reach = -(-radius // grain)
+    placed = nodes.select("fp", F.array(*[F.floor(c / grain).cast("int") for c in counts]).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     tiles = (
         placed.join(sizes, "cell")
@@ -115,11 +119,11 @@ def links(nodes: DataFrame, radius: int, lanes: int = 1, tile: int = TILE) -> Da
         .agg(F.collect_list("fp").alias("fps"))
     )
     tiles = reliable_checkpoint(tiles)
-    near = [o for o in product(range(-radius, radius + 1), repeat=quarters) if sum(map(abs, o)) <= radius and o >= (0,) * quarters]
+    near = [o for o in product(range(-reach, reach + 1), repeat=quarters) if sum(map(abs, o)) <= reach and o >= (0,) * quarters]
     steps = F.array(*[F.array(*[F.lit(x) for x in o]) for o in near])
     left = tiles.select(F.col("cell").alias("from"), F.col("chunk").alias("i"), F.col("fps").alias("a"), F.explode(F.transform(steps, lambda o: F.zip_with("cell", o, lambda x, y: x + y))).alias("cell"))
-    pairs = left.join(tiles, "cell").where((F.col("from") != F.col("cell")) | (F.col("i") <= F.col("chunk")))
-    pairs = pairs.select("a", F.col("fps").alias("b"), ((F.col("from") == F.col("cell")) & (F.col("i") == F.col("chunk"))).alias("same"))
+    named = left.join(tiles.select("cell", "chunk"), "cell").where((F.col("from") != F.col("cell")) | (F.col("i") <= F.col("chunk")))
+    pairs = named.join(tiles, ["cell", "chunk"]).select("a", F.col("fps").alias("b"), ((F.col("from") == F.col("cell")) & (F.col("i") == F.col("chunk"))).alias("same"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +161,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lanes: int = 1) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``fp``, ``component_id``: one row for each row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id``, ``text_hash``, ``fp``, ``root``, ``component_id``: one row for each row of ``docs`` (``doc_id``, ``text``).
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most ``radius`` differing bits.  A null text has no
     words; rows without words have fingerprint zero and are linked like others; a null ``doc_id`` is never the smallest (the component
@@ -168,4 +172,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lanes: i
     stars = components(links(groups.select("fp"), radius, lanes))
     rooted = groups.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def radius_of(similarity: float, lanes: int) -> int:
+    """Bits in which two texts with this Jaccard similarity of their shingle sets are expected to differ, and one deviation more."""
+    angle = acos(2 * similarity / (1 + similarity)) / pi
+    return round(64 * lanes * angle + sqrt(64 * lanes * angle * (1 - angle)))
+
+
+def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """Rows of ``docs`` with all their columns, one of each group of near copies: the one with the smallest ``doc_id`` (among
+    rows with equal ids the one with the smallest hash of its text; of identical rows any one)."""
+    found = near_duplicates(docs, shingle, radius_of(similarity, lanes), lanes)
+    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_kept_key"))
+    keyed = docs.withColumn("_kept_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
+    one = Window.partitionBy("_kept_key").orderBy("_kept_key")
+    stays = keyed.join(kept.select("_kept_key"), "_kept_key", "left_semi").withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
+    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
