@@ -235,10 +235,10 @@ CONTACT_NEEDLES = [
     "friedrich-krause", "ufer", "berlin", "telefon", "fax", "email", "sprechzeit",
     "öffnungszeit", "servicezeit",
 ]
-FEE_PATTERNS = [r"([0-9]+[\.,]?[0-9]*)[ \t]*(€|euro|eur)", "gebühren?pflichtig", "gebühren?",
+FEE_PATTERNS = [r"(\d+[\.,]?\d*)\s*(€|euro|eur)", "gebühren?pflichtig", "gebühren?",
                 "kostenlos"]
 DURATION_PATTERNS = [
-    "([0-9]+)[ \t]*(woche|monat|tag|jahr|wochen|monaten|tagen|jahren)", "bearbeitungszeit", "dauer",
+    r"(\d+)\s*(woche|monat|tag|jahr|wochen|monaten|tagen|jahren)", "bearbeitungszeit", "dauer",
 ]
 
 # --- fixed values: office topics and titles (ordered, first match wins) ---------

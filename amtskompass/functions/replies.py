@@ -103,6 +103,10 @@ def normalize_confidence(value: Column) -> Column:
     return F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))
 
 
+# Limits of the stored fields: format of the tables, never used for matching.
+TITLE_CHARS, SUMMARY_CHARS, LINE_CHARS, LIST_ITEMS, JOB_TITLE_CHARS, BRIEF_CHARS = 100, 600, 200, 20, 20, 100
+
+
 def capped(value: Column, length: int, default: str = "") -> Column:
     """Text cut to ``length``; missing or empty text becomes the default first."""
     return F.substring(F.coalesce(F.nullif(value, F.lit("")), F.lit(default)), 1, length)
@@ -112,20 +116,20 @@ def policy_enrichment(reply: Column) -> list[Column]:
     """Stored policy fields of a parsed reply struct, with their length caps."""
     empty = F.array().cast("array<string>")
     return [
-        capped(reply["title_zh"], 100).alias("title_zh"),
-        capped(reply["summary_zh"], 600).alias("summary_zh"),
-        F.slice(F.coalesce(reply["requirements_zh"], empty), 1, 20).alias("requirements_zh"),
-        capped(reply["fees_zh"], 200, C.UNKNOWN_TEXT).alias("fees_zh"),
-        capped(reply["duration_zh"], 200, C.UNKNOWN_TEXT).alias("duration_zh"),
-        F.slice(F.coalesce(reply["steps_zh"], empty), 1, 20).alias("steps_zh"),
+        capped(reply["title_zh"], TITLE_CHARS).alias("title_zh"),
+        capped(reply["summary_zh"], SUMMARY_CHARS).alias("summary_zh"),
+        F.slice(F.coalesce(reply["requirements_zh"], empty), 1, LIST_ITEMS).alias("requirements_zh"),
+        capped(reply["fees_zh"], LINE_CHARS, C.UNKNOWN_TEXT).alias("fees_zh"),
+        capped(reply["duration_zh"], LINE_CHARS, C.UNKNOWN_TEXT).alias("duration_zh"),
+        F.slice(F.coalesce(reply["steps_zh"], empty), 1, LIST_ITEMS).alias("steps_zh"),
     ]
 
 
 def job_enrichment(reply: Column) -> list[Column]:
     """Stored job fields of a parsed reply struct, with their length caps."""
     return [
-        capped(reply["title_zh"], 20).alias("title_zh"),
-        capped(reply["brief_zh"], 100).alias("brief_zh"),
+        capped(reply["title_zh"], JOB_TITLE_CHARS).alias("title_zh"),
+        capped(reply["brief_zh"], BRIEF_CHARS).alias("brief_zh"),
     ]
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import infer_work_type
 from ..functions.text import computed
-from ..session import broadcast_if_small
 from ..sources.job_api import hit_refnr, normalize_jobs
 from .merge import defer_activate, upsert
 
@@ -153,5 +152,5 @@ def review_candidates(policies: DataFrame, limit: int = 20, id: str | None = Non
 def with_state_code(jobs: DataFrame, states: DataFrame) -> DataFrame:
     """Two-letter code of the region name stored on a job (dimension join)."""
     return jobs.join(
-        broadcast_if_small(states.select(F.col("name").alias("_state"), "code")), F.col("state_code") == F.col("_state"), "left"
+        states.select(F.col("name").alias("_state"), "code"), F.col("state_code") == F.col("_state"), "left"
     ).drop("_state")

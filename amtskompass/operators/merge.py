@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
-from ..session import broadcast_if_small
 from .ranking import first_by
 
 # --- fixed values: defaults of inserted rows --------------------------------------
 INSERT_DEFAULTS = {"view_count": 0, "attempts": 0, "priority": 0, "max_attempts": 3}
-MAX_BULK_IDS = 500
+MAX_BULK_IDS = 500  # of one request
 
 
 def with_unique_keys(updates: DataFrame, key: str) -> DataFrame:
@@ -88,7 +87,7 @@ def reuse_slugs(updates: DataFrame, target: DataFrame, url: str = "official_url"
         .groupBy(F.col(url).alias("_url"))
         .agg(F.max_by("slug", F.struct("id")).alias("_slug"))
     )
-    wanted = broadcast_if_small(updates.select(F.col(url).alias("_url")).distinct())
+    wanted = updates.select(F.col(url).alias("_url")).distinct()
     stored = stored.join(wanted, "_url", "left_semi")
     return updates.join(stored, F.col(url) == F.col("_url"), "left").withColumn(
         "slug", F.coalesce("_slug", "slug")
@@ -98,7 +97,7 @@ def reuse_slugs(updates: DataFrame, target: DataFrame, url: str = "official_url"
 def exclude_existing(items: DataFrame, target: DataFrame, key: str, target_key: str | None = None) -> DataFrame:
     """Items whose key is not stored yet."""
     stored = target.select(F.col(target_key or key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return items.join(broadcast_if_small(stored), key, "left_anti")
+    return items.join(stored, key, "left_anti")
 
 
 def dedupe_first(df: DataFrame, key: str, order: Sequence[Column], drop_empty: bool = False) -> DataFrame:
@@ -110,7 +109,7 @@ def dedupe_first(df: DataFrame, key: str, order: Sequence[Column], drop_empty: b
 def delisted_keys(jobs: DataFrame, fetched: DataFrame) -> DataFrame:
     """Active rows that the fetch did not return."""
     return jobs.where("is_active").select("refnr").join(
-        broadcast_if_small(fetched.select("refnr").distinct()), "refnr", "left_anti"
+        fetched.select("refnr").distinct(), "refnr", "left_anti"
     )
 
 
@@ -122,7 +121,7 @@ def delist_missing(jobs: DataFrame, fetched: DataFrame, as_of: str, min_fetched:
     """
     keys = fetched.select("refnr").distinct()
     seen = keys.withColumn("_seen", F.lit(True))
-    rows = jobs.join(broadcast_if_small(seen), "refnr", "left")
+    rows = jobs.join(seen, "refnr", "left")
     gone = F.col("is_active") & F.col("_seen").isNull()
     if min_fetched > 0:
         gone = gone & keys.agg(F.count(F.lit(1)) >= min_fetched).scalar()
@@ -138,20 +137,23 @@ def defer_activate(updates: DataFrame, active: DataFrame) -> DataFrame:
     """Updates are active only when their key is active already."""
     keys = active.where("is_active").select(F.col("refnr").alias("_active")).distinct()
     return (
-        updates.join(broadcast_if_small(keys), F.col("refnr") == F.col("_active"), "left")
+        updates.join(keys, F.col("refnr") == F.col("_active"), "left")
         .withColumn("is_active", F.col("_active").isNotNull())
         .drop("_active")
     )
 
 
-def bulk_status(df: DataFrame, ids: Sequence[str], status: str) -> DataFrame:
-    """Rows of the given ids (at most 500) with their new status; unknown ids are ignored."""
+def bulk_status(df: DataFrame, ids: Sequence[str], status: str, most: int | None = MAX_BULK_IDS) -> DataFrame:
+    """Rows of the given ids with their new status; unknown ids are ignored.
+
+    ``most`` limits the ids of one request (None: no limit); for ids that stand in a table use ``set_status_where``.
+    """
     wanted = [str(i) for i in ids if str(i)]
     if status not in C.POLICY_STATUSES:
         raise ValueError("Invalid status")
     if not wanted:
         raise ValueError("No policy ids provided.")
-    if len(wanted) > MAX_BULK_IDS:
+    if most is not None and len(wanted) > most:
         raise ValueError("Too many policies selected.")
     return df.where(F.col("id").isin(wanted)).withColumn("status", F.lit(status))
 
@@ -159,13 +161,13 @@ def bulk_status(df: DataFrame, ids: Sequence[str], status: str) -> DataFrame:
 def set_status_where(df: DataFrame, keys: DataFrame, status: str, key: str = "id") -> DataFrame:
     """Table form of the status update: the rows whose key is in ``keys`` get the status."""
     marked = keys.select(F.col(key).alias("_key")).distinct()
-    rows = df.join(broadcast_if_small(marked), F.col(key) == F.col("_key"), "left")
+    rows = df.join(marked, F.col(key) == F.col("_key"), "left")
     return rows.withColumn("status", F.when(F.col("_key").isNotNull(), status).otherwise(F.col("status"))).drop("_key")
 
 
 def delete_by(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is not in ``keys``."""
-    return df.join(broadcast_if_small(keys.select(key).distinct()), key, "left_anti")
+    return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def nullify_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:

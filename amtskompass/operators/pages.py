@@ -14,7 +14,6 @@ from ..functions.labels import keyed_office, office_title, office_topic
 from ..functions.text import (
     SPACE, absolute_url, clean_text, computed, contains_any, decode_entities, fill, strip_tags, text_or, trim_all,
 )
-from ..session import broadcast_if_small
 
 # --- native, regex based jobs -------------------------------------------------------
 
@@ -44,13 +43,14 @@ def page_paragraphs(html: Column) -> Column:
     return F.filter(found, lambda p: ~p.rlike("(?i)cookie|datenschutz|impressum|©"))
 
 
-def basic_page(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds title, content (first 20 paragraphs) and the first date found."""
+def basic_page(pages: DataFrame, html: str = "html", paragraphs: int | None = None) -> DataFrame:
+    """Adds title, content (all paragraphs, or the first ``paragraphs`` for a preview) and the first date found."""
     source = F.col(html)
+    texts = page_paragraphs(source) if paragraphs is None else F.slice(page_paragraphs(source), 1, paragraphs)
     return pages.withColumns(
         {
             "title": page_title(source),
-            "content": F.array_join(F.slice(page_paragraphs(source), 1, 20), "\n\n"),
+            "content": F.array_join(texts, "\n\n"),
             "published_date": F.regexp_extract(
                 source, r"\b(\d{1,2}\.\d{1,2}\.\d{4}|\d{4}-\d{2}-\d{2})\b", 1
             ),
@@ -58,11 +58,17 @@ def basic_page(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def first_matching_line(lines: Column, patterns: list[str]) -> Column:
-    """First line matching any pattern, case-insensitive, at most 150 characters; else empty."""
-    pattern = "(?i)" + "|".join(patterns)
+LINE_CHARS = 150  # stored format of fee and duration lines
+
+
+def first_matching_line(lines: Column, patterns: list[str], most: int | None = LINE_CHARS) -> Column:
+    """First line matching any pattern, letters of any case and all kinds of blanks; else empty.
+
+    ``most`` characters of it are stored (None: all); matching always reads the whole line.
+    """
+    pattern = "(?iU)" + "|".join(patterns)
     hit = F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0))
-    return F.coalesce(F.substring(hit, 1, 150), F.lit(""))
+    return F.coalesce(hit if most is None else F.substring(hit, 1, most), F.lit(""))
 
 
 def guide_url(url: Column) -> Column:
@@ -186,7 +192,7 @@ def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url:
         return good
 
     parts = drop_boilerplate(F.transform(F.filter("_inner", usable), lambda t: clean_text(t["text"])), cfg)
-    whole = clean_text(F.array_join(F.transform(F.filter("_inner", lambda t: t["tag"] == TEXT), lambda t: t["text"]), " "))
+    whole = clean_text(F.array_join(F.transform(F.filter("_inner", lambda t: t["tag"] == TEXT), lambda t: t["text"]), ""))
     title = _guide_title(F.col("_tokens"), cfg)
     if cfg.column:
         title = F.coalesce(_heading_span(F.col("_tokens"), F.col("_root")), title)
@@ -275,6 +281,7 @@ class OfficeConfig:
     region_level: str = "市"
     root: tuple[str, ...] = ("main", "[main]", "article")
     skip_classes: tuple[str, ...] = ("sidebar", "aside")
+    contact_lines: int | None = None  # stored contact lines; None: all
 
 
 # --- fixed values: elements that never hold office content ------------------------
@@ -302,7 +309,7 @@ def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: st
         {"title": F.coalesce(F.nullif(head, F.lit("")), F.lit(cfg.default_title))},
     )
     title, source = F.col("title"), F.col(url)
-    content = F.slice("_lines", 1, 200)
+    content = F.col("_lines")
     contact = F.filter("_lines", lambda x: contains_any(F.lower(x), C.CONTACT_NEEDLES))
     topic = office_topic(title, source)
     name = office_title(title)
@@ -316,7 +323,7 @@ def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: st
         fill(C.OFFICE_SUMMARY, office=F.lit(cfg.office_zh), topic_name=name, title=title).alias("summary_zh"),
         first_matching_line(content, C.FEE_PATTERNS).alias("fees_zh"),
         first_matching_line(content, C.DURATION_PATTERNS).alias("duration_zh"),
-        F.array_join(F.slice(contact, 1, 10), "\n").alias("contact_info"),
+        F.array_join(contact if cfg.contact_lines is None else F.slice(contact, 1, cfg.contact_lines), "\n").alias("contact_info"),
         F.lit(cfg.category).alias("category"),
         F.array(F.lit(cfg.office_zh), F.lit(cfg.default_title), F.lit(C.OFFICE_PERMIT_TAG), F.lit(cfg.city), topic).alias("tags"),
         source.alias("source_url"),
@@ -441,7 +448,7 @@ def fill_defaults(entries: DataFrame, configs: DataFrame, key: str, as_of: str)
     Only absent (null) fields are filled; an empty text counts as present.
     """
     renamed = configs.select(F.col(key), *[F.col(c).alias(f"d_{c}") for c in ENTRY_DEFAULTS])
-    rows = entries.join(broadcast_if_small(renamed), key, "left")
+    rows = entries.join(renamed, key, "left")
     updates = {}
     for name in ENTRY_DEFAULTS:
         own = F.col(name) if name in entries.columns else F.lit(None).cast("string")

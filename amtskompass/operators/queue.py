@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_ATTEMPTS
 from ..functions.text import trim_all
-from ..session import broadcast_if_small
 from .merge import upsert
 
 
@@ -110,7 +109,7 @@ def retry_plan(outcomes: DataFrame) -> DataFrame:
     3); the rest is final.  ``outcomes`` has ``batch_id, key, round, ok``.
     """
     batch_ok = outcomes.groupBy("batch_id", "round").agg(F.max(F.col("ok").cast("int")).alias("any_ok"))
-    rows = outcomes.join(broadcast_if_small(batch_ok), ["batch_id", "round"])
+    rows = outcomes.join(batch_ok, ["batch_id", "round"])
     step = (
         F.when(F.col("ok"), "done")
         .when(F.col("round") == 1, "retry_batch")

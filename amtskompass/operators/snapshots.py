@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import content_hash
+from ..functions.constants import MAX_ATTEMPTS
+from ..functions.keys import content_hash, page_slug
 from .merge import upsert
 from .pages import basic_page
 
@@ -54,14 +55,27 @@ def classify_fetch(fetches: DataFrame) -> DataFrame:
     )
 
 
-def diff_pages(old: DataFrame, new: DataFrame, as_of: str, key: str = "service_key") -> DataFrame:
+def stamp_of(as_of: str | Column) -> Column:
+    """A given time, or a column that holds one."""
+    return as_of.cast("timestamp") if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+
+
+def page_id(key: Column) -> Column:
+    """Id of a page that is stored for the first time: follows from its key, so a repeated run gives the same one."""
+    return F.sha1(F.concat(F.lit("policy:"), key))
+
+
+def diff_pages(old: DataFrame, new: DataFrame, as_of: str | Column, key: str = "service_key") -> DataFrame:
     """Classify every fetched page against the stored one.
 
-    ``old`` has ``key, content_hash``; ``new`` has ``key, outcome, content`` next to its
-    payload.  Actions: error, skipped (not modified or same hash), inserted, updated.
-    Skipped pages only touch the fetch time; inserted and updated ones reset their translation.
+    ``old`` has ``key, content_hash`` and may have ``id``; ``new`` has ``key, outcome, content`` next to its
+    payload.  Actions: error, skipped (not modified or same hash), inserted, updated.  The hash covers the whole content.
+    ``target_id`` is the id of the stored row, or the one an inserted row gets.
     """
-    stored = old.select(key, F.col("content_hash").alias("old_hash"), F.lit(True).alias("known"))
+    has_id = "id" in old.columns
+    stored = old.select(
+        key, F.col("content_hash").alias("old_hash"), F.lit(True).alias("known"), (F.col("id") if has_id else F.lit(None).cast("string")).alias("_old_id")
+    )
     rows = new.withColumn("new_hash", F.when(F.col("outcome") == "parsed", content_hash(F.col("content"))))
     joined = rows.join(stored, key, "left")
     same = F.col("known") & F.col("old_hash").eqNullSafe(F.col("new_hash"))
@@ -72,54 +86,98 @@ def diff_pages(old: DataFrame, new: DataFrame, as_of: str, key: str = "service_k
         .when(F.col("known"), "updated")
         .otherwise("inserted")
     )
-    fetched = (F.col("outcome") == "parsed")
-    return joined.withColumn("action", action).withColumn(
-        "last_fetched_at", F.when(fetched, F.lit(as_of).cast("timestamp"))
-    ).drop("known")
+    return joined.withColumns(
+        {
+            "action": action,
+            "target_id": F.coalesce("_old_id", page_id(F.col(key))),
+            "last_fetched_at": F.when(F.col("outcome") == "parsed", stamp_of(as_of)),
+        }
+    ).drop("known", "_old_id")
+
+
+# what a source says about its page; stored with new and changed pages where the fetch carries it
+ENTRY = ("slug", "region_level", "region_name", "category", "tags", "publisher", "source_url", "source_name")
+# what the enrichment of the old content filled in; emptied when the content changes
+ENRICHED = {"requirements_zh": [], "steps_zh": [], "fees_zh": "", "duration_zh": ""}
 
 
-def apply_diff(target: DataFrame, diff: DataFrame, as_of: str, key: str = "service_key") -> DataFrame:
-    """Stored pages after a diff: one full outer join does touches, updates and inserts."""
-    cols = [c for c in ("title", "content_hash") if c in diff.columns]
-    changes = diff.where(F.col("action").isin("inserted", "updated", "skipped") & (F.col("outcome") == "parsed"))
-    d = changes.select(
+def stored_fetches(diff: DataFrame) -> DataFrame:
+    """Rows of a diff whose content is now stored: written, or found to be the stored one."""
+    return diff.where(F.col("action").isin("inserted", "updated", "skipped") & (F.col("outcome") == "parsed"))
+
+
+def apply_diff(target: DataFrame, diff: DataFrame, as_of: str | Column, key: str = "service_key", url: str = "url") -> DataFrame:
+    """Stored pages after a diff: one full outer join does touches, updates and inserts.
+
+    Pages with the same content only get their fetch time.  New and changed pages get title, hash, the entry columns
+    the diff carries (``ENTRY``; slug and address follow from title and ``url`` where it does not), and lose everything that was
+    enriched from older content.
+    """
+    carried = {c: F.col(c) for c in ENTRY if c in diff.columns}
+    if url in diff.columns:
+        carried["source_url"] = F.coalesce(*([carried["source_url"]] if "source_url" in carried else []), F.col(url))
+        made = page_slug(F.coalesce(F.nullif(F.col("title"), F.lit("")) if "title" in diff.columns else F.lit(None).cast("string"), F.col(key)), F.col(url))
+        carried["slug"] = F.coalesce(carried["slug"], made) if "slug" in carried else made
+    d = stored_fetches(diff).select(
         F.col(key).alias("d_key"),
         F.col("action").alias("d_action"),
         F.col("new_hash").alias("d_hash"),
-        *[F.col(c).alias(f"d_{c}") for c in cols if c == "title"],
+        (F.col("target_id") if "target_id" in diff.columns else page_id(F.col(key))).alias("d_id"),
+        (F.col("title") if "title" in diff.columns else F.lit(None).cast("string")).alias("d_title"),
+        stamp_of(as_of).alias("d_at"),
+        *[value.alias(f"d_{name}") for name, value in carried.items()],
     )
     joined = target.join(d, F.col(key) == F.col("d_key"), "full_outer")
-    touched = F.col("d_key").isNotNull()
+    fresh, touched = F.col(key).isNull(), F.col("d_key").isNotNull()
     written = F.coalesce(F.col("d_action").isin("inserted", "updated"), F.lit(False))
-    stamp = F.lit(as_of).cast("timestamp")
+
+    def when_written(name: str, value: Column) -> Column:
+        return F.when(written, value).otherwise(F.col(name))
+
+    types = {f.name: f.dataType for f in target.schema}
     values = {
         key: F.coalesce(key, "d_key"),
-        "content_hash": F.when(written, F.col("d_hash")).otherwise(F.col("content_hash")),
-        "translated": F.when(written, F.lit(False)).otherwise(F.col("translated")),
-        "translated_at": F.when(written, F.lit(None).cast("timestamp")).otherwise(F.col("translated_at")),
-        "last_fetched_at": F.when(touched, stamp).otherwise(F.col("last_fetched_at")),
-        "updated_at": F.when(written, stamp).otherwise(F.col("updated_at")),
-        "created_at": F.when(F.col(key).isNull(), stamp).otherwise(F.col("created_at")),
-        "view_count": F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.col("view_count")),
-        "title_de": F.when(
-            written, F.coalesce(F.nullif(F.col("d_title"), F.lit("")) if "d_title" in d.columns else F.lit(None), "d_key")
-        ).otherwise(F.col("title_de")),
-        "title_zh": F.when(written, F.lit(None).cast("string")).otherwise(F.col("title_zh")),
-        "summary_zh": F.when(written, F.lit(None).cast("string")).otherwise(F.col("summary_zh")),
+        "id": F.when(fresh, F.col("d_id")).otherwise(F.col("id")) if "id" in types else None,
+        "content_hash": when_written("content_hash", F.col("d_hash")),
+        "translated": when_written("translated", F.lit(False)),
+        "last_fetched_at": F.when(touched, F.col("d_at")).otherwise(F.col("last_fetched_at")),
+        "created_at": F.when(fresh, F.col("d_at")).otherwise(F.col("created_at")) if "created_at" in types else None,
+        "view_count": F.when(fresh, F.lit(0)).otherwise(F.col("view_count")) if "view_count" in types else None,
+        "title_de": when_written("title_de", F.coalesce(F.nullif("d_title", F.lit("")), "d_key")) if "title_de" in types else None,
     }
+    for name in {"translated_at", "title_zh", "summary_zh"} & set(types):
+        values[name] = when_written(name, F.lit(None).cast(types[name]))
+    if "updated_at" in types:
+        values["updated_at"] = when_written("updated_at", F.col("d_at"))
+    for name, empty in ENRICHED.items():
+        if name in types:
+            values[name] = when_written(name, F.array().cast(types[name]) if empty == [] else F.lit(empty))
+    for name in carried:
+        if name in types:
+            none = [F.array().cast(types[name])] if name == "tags" else []
+            values[name] = when_written(name, F.coalesce(f"d_{name}", name, *none))
     return joined.select(
-        *[(values[f.name].cast(f.dataType) if f.name in values else F.col(f.name)).alias(f.name) for f in target.schema]
+        *[(values[f.name].cast(f.dataType) if values.get(f.name) is not None else F.col(f.name)).alias(f.name) for f in target.schema]
     )
 
 
-def enqueue_changes(diff: DataFrame, as_of: str, key: str = "service_key", url: str = "url") -> DataFrame:
-    """Pending work items of new and changed pages; changed ones come first."""
+def enqueue_changes(diff: DataFrame, as_of: str | Column, key: str = "service_key", url: str = "url") -> DataFrame:
+    """Pending work items of new and changed pages, shaped like the queue; changed ones come first.
+
+    An item points to the stored row's id, which is what the queue is resolved by.
+    """
     work = diff.where(F.col("action").isin("inserted", "updated"))
+    at = stamp_of(as_of)
     return work.select(
+        F.sha1(F.concat(F.lit("policy:"), "target_id", F.lit("@"), "new_hash")).alias("id"),
         F.lit("policy").alias("source_type"),
-        F.col(key).alias("source_id"),
+        F.col("target_id").alias("source_id"),
         F.col(url).alias("source_url"),
         F.when(F.col("action") == "updated", 1).otherwise(0).alias("priority"),
+        F.lit(0).alias("attempts"),
+        F.lit(MAX_ATTEMPTS).alias("max_attempts"),
         F.lit("pending").alias("status"),
-        F.lit(as_of).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("string").alias("error_message"),
+        at.alias("created_at"),
+        F.lit(None).cast("timestamp").alias("processed_at"),
     )

@@ -275,17 +275,14 @@ O1_SORTS = {
 @query(
     "O1_sort_policies",
     with_roles(V1, "\nUNION ALL\n".join(
-        f"(SELECT '{k}' AS sort, row_number() OVER (ORDER BY {o}) AS pos, id FROM policies_v1 QUALIFY pos <= 100)" for k, o in O1_SORTS.items()
+        f"(SELECT '{k}' AS sort, row_number() OVER (ORDER BY {o}) AS pos, id FROM policies_v1)" for k, o in O1_SORTS.items()
     )),
 )
 def o1(spark, d):
     from ..operators.ranking import global_rank
 
     p = A.policies_v1(spark, d).select("id", "published_at", "effective_at", "risk_level", "view_count")
-    parts = [
-        global_rank(cat.sort_policies(p, s).limit(100), cat.policy_order(s), "pos").select(F.lit(s).alias("sort"), "pos", "id")
-        for s in O1_SORTS
-    ]
+    parts = [global_rank(p, cat.policy_order(s), "pos").select(F.lit(s).alias("sort"), "pos", "id") for s in O1_SORTS]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

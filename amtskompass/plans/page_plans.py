@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.keys import content_hash, visible_text_hash
 from ..functions.text import decode_entities, strip_cdata, strip_tags
-from ..operators import feeds, pages, snapshots, stats
+from ..operators import feeds, pages, queue, snapshots, stats
 from ..sources import adapters as A
 from .registry import query
 from .roles_sql import any_of, with_roles
 
 AS_OF = "2024-07-01 00:00:00"
 STAMP = "'2024-07-01 00:00:00'"
+STAMP_OLD = "'2024-01-05 00:00:00'"
 
 
 def decoded(expr: str) -> str:
@@ -36,13 +37,13 @@ def title(expr: str) -> str:
 
 def content(expr: str) -> str:
     found = f"list_transform(regexp_extract_all({expr}, '(?i)<p[^>]*>([^<]{{50,}})</p>', 1), lambda p: trim(p, ' ' || chr(10)))"
-    return (f"array_to_string(list_filter({found}, lambda p: NOT regexp_matches(p, '(?i)cookie|datenschutz|impressum|©'))[1:20],"
+    return (f"array_to_string(list_filter({found}, lambda p: NOT regexp_matches(p, '(?i)cookie|datenschutz|impressum|©')),"
             " chr(10) || chr(10))")
 
 
 @query("H1_readable_text", f"SELECT page_id, md5({readable('html')}) AS text_md5, length({readable('html')}) AS n FROM pages")
 def h1(spark, d):
-    out = pages.readable_text(A.wide_table(spark, d, "pages"))
+    out = pages.readable_text(A.table(spark, d, "pages"))
     return out.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
 
@@ -51,7 +52,7 @@ def h1(spark, d):
     f"SELECT page_id, {title('html')} AS title, md5({content('html')}) AS content_md5, regexp_extract(html, '\\b(\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1) AS published_date FROM pages",
 )
 def h2(spark, d):
-    return pages.basic_page(A.wide_table(spark, d, "pages")).select("page_id", "title", F.md5("content").alias("content_md5"), "published_date")
+    return pages.basic_page(A.table(spark, d, "pages")).select("page_id", "title", F.md5("content").alias("content_md5"), "published_date")
 
 
 LOCAL_GUIDES = pages.GuideConfig(prefix="site", root=["article"], min_parts=3, title_within=["article"])
@@ -59,37 +60,52 @@ LOCAL_GUIDES = pages.GuideConfig(prefix="site", root=["article"], min_parts=3, t
 
 @query("H3_extract_guides")
 def h3(spark, d):
-    return pages.extract_guides(A.wide_table(spark, d, "pages"), LOCAL_GUIDES)
+    return pages.extract_guides(A.table(spark, d, "pages"), LOCAL_GUIDES)
 
 
 @query("H3_extract_exchange_pages")
 def h3_exchange(spark, d):
-    return pages.extract_exchange_pages(A.wide_table(spark, d, "pages"))
+    return pages.extract_exchange_pages(A.table(spark, d, "pages"))
 
 
 @query("H4_office_pages")
 def h4(spark, d):
-    return pages.office_page(A.wide_table(spark, d, "pages"), pages.OfficeConfig())
+    return pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig())
 
 
 @query("H4_keyed_office_pages")
 def h4_keyed(spark, d):
-    return pages.keyed_office_page(A.wide_table(spark, d, "pages"))
+    return pages.keyed_office_page(A.table(spark, d, "pages"))
 
 
-FEE_SQL = "(?i)([0-9]+[.,]?[0-9]*)[ \\t]*(€|euro|eur)|gebühren?pflichtig|gebühren?|kostenlos"
-DURATION_SQL = "(?i)([0-9]+)[ \\t]*(woche|monat|tag|jahr|wochen|monaten|tagen|jahren)|bearbeitungszeit|dauer"
+BLANKS = "[\\s\\x{A0}]*"  # no-break spaces too
+FEE_SQL = f"(?i)([0-9]+[.,]?[0-9]*){BLANKS}(€|euro|eur)|gebühren?pflichtig|gebühren?|kostenlos".replace("\\\\", "\\")
+DURATION_SQL = f"(?i)([0-9]+){BLANKS}(woche|monat|tag|jahr|wochen|monaten|tagen|jahren)|bearbeitungszeit|dauer".replace("\\\\", "\\")
+LINED = """(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'zahlt ' || doc_id || chr(160) || '€ im Amt' || chr(10) WHEN 1 THEN 'DIE GEBÜHREN ' || doc_id || chr(10)
+  WHEN 2 THEN 'nach ' || doc_id || chr(160) || 'WOCHEN' || chr(10) ELSE '' END || text AS text FROM documents)"""
+
+
+def lined(spark, d):
+    """Documents with a first line that has a no-break space or capital umlauts."""
+    i = F.col("doc_id").cast("string")
+    first = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("zahlt "), i, F.lit(" € im Amt\n")))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("DIE GEBÜHREN "), i, F.lit("\n")))
+        .when(F.col("doc_id") % 5 == 2, F.concat(F.lit("nach "), i, F.lit(" WOCHEN\n")))
+        .otherwise("")
+    )
+    return A.table(spark, d, "documents").select("doc_id", F.concat(first, "text").alias("text"))
 
 
 @query(
     "H5_first_matching_line",
     f"""SELECT doc_id, coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{FEE_SQL}'))[1], 1, 150), '') AS fee_line,
   coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{DURATION_SQL}'))[1], 1, 150), '') AS duration_line,
-  coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)eur|de la|[0-9]+'))[1], 1, 150), '') AS other_line FROM documents""",
+  coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)eur|de la|[0-9]+'))[1], 1, 150), '') AS other_line FROM {LINED}""",
 )
 def h5(spark, d):
     lines = F.split("text", "\n")
-    return A.table(spark, d, "documents").select(
+    return lined(spark, d).select(
         "doc_id",
         pages.first_matching_line(lines, C.FEE_PATTERNS).alias("fee_line"),
         pages.first_matching_line(lines, C.DURATION_PATTERNS).alias("duration_line"),
@@ -99,12 +115,12 @@ def h5(spark, d):
 
 @query("H6_news_pages")
 def h6(spark, d):
-    return pages.news_page(A.wide_table(spark, d, "pages")).select("page_id", "news_title", "news_subtitle", "news_date", "paragraphs")
+    return pages.news_page(A.table(spark, d, "pages")).select("page_id", "news_title", "news_subtitle", "news_date", "paragraphs")
 
 
 @query("H6_news_pages_static")
 def h6_static(spark, d):
-    return pages.news_page(A.wide_table(spark, d, "pages"), static=True).select("page_id", "news_title", "news_date", "paragraphs")
+    return pages.news_page(A.table(spark, d, "pages"), static=True).select("page_id", "news_title", "news_date", "paragraphs")
 
 
 @query(
@@ -114,7 +130,7 @@ def h6_static(spark, d):
     SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> '' AND x[1] <> '#') AS h FROM pages))""",
 )
 def h7(spark, d):
-    links = pages.page_links(A.wide_table(spark, d, "pages"), resolve=False)
+    links = pages.page_links(A.table(spark, d, "pages"), resolve=False)
     return links.select("page_id", F.col("link_url").alias("raw"), "pos")
 
 
@@ -126,7 +142,7 @@ def h7(spark, d):
       regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)) GROUP BY 1, 2""",
 )
 def h7_distinct(spark, d):
-    return pages.distinct_links(pages.page_links(A.wide_table(spark, d, "pages")), "page_id")
+    return pages.distinct_links(pages.page_links(A.table(spark, d, "pages")), "page_id")
 
 
 @query(
@@ -158,7 +174,7 @@ def homepages(spark, d):
         i % 3 == 1, "<link href='b.xml' rel=alternate type='application/atom+xml'>"
     ).otherwise("")
     anchor = F.when(i % 2 == 0, '<a href="https://other.example/x/RSS?id=1">Abo</a>').otherwise("")
-    return A.wide_table(spark, d, "pages").select("page_id", "url", F.concat(tag, anchor, "html").alias("body"))
+    return A.table(spark, d, "pages").select("page_id", "url", F.concat(tag, anchor, "html").alias("body"))
 
 
 @query(
@@ -198,7 +214,7 @@ def f18(spark, d):
     f"SELECT page_id, NOT {any_of('url', C.GUIDE_URL_SKIPS)} AND NOT {any_of('html', C.GUIDE_URL_SKIPS)} AS keep FROM pages",
 )
 def f19(spark, d):
-    return A.wide_table(spark, d, "pages").select("page_id", (pages.guide_url(F.col("url")) & pages.guide_url(F.col("html"))).alias("keep"))
+    return A.table(spark, d, "pages").select("page_id", (pages.guide_url(F.col("url")) & pages.guide_url(F.col("html"))).alias("keep"))
 
 
 BOILER = pages.GuideConfig(
@@ -301,12 +317,11 @@ def n1(spark, d):
 @query(
     "N2_save_etags",
     with_roles(FETCHED, """
-SELECT coalesce(s.url, f.url) AS url, coalesce(f.etag, s.etag) AS etag FROM page_state s FULL JOIN (SELECT * FROM fetches WHERE status = 200) f USING (url)"""),
+SELECT coalesce(s.url, f.url) AS url, coalesce(f.etag, s.etag) AS etag FROM page_state s FULL JOIN (SELECT * FROM fetches WHERE status = 200 AND body <> '') f USING (url)"""),
 )
 def n2(spark, d):
     state = A.page_state(spark, d).select("url", "etag")
-    written = snapshots.etag_gate(state, A.fetches(spark, d)).where("changed")
-    return snapshots.save_etags(state, written)
+    return snapshots.save_etags(state, snapshots.stored_fetches(page_diff(spark, d)))
 
 
 OUTCOME = "CASE WHEN error IS NOT NULL THEN 'network_error' WHEN status = 304 THEN 'not_modified' WHEN status <> 200 OR coalesce(body, '') = '' THEN 'http_error' ELSE 'parsed' END"
@@ -342,27 +357,63 @@ def j4(spark, d):
     return page_diff(spark, d).select("service_key", "action", "new_hash")
 
 
+# stored pages before the diff, and what the sources say about the fetched ones
+STORED = [
+    ("id", "'id-' || service_key"), ("service_key", "service_key"), ("slug", "'slug-' || service_key"), ("title_zh", "'zh'"), ("title_de", "'de'"),
+    ("summary_zh", "'sum'"), ("requirements_zh", "'a|b'"), ("fees_zh", "'1 Euro'"), ("duration_zh", "'2 Tage'"), ("steps_zh", "'c'"),
+    ("region_level", "'Land'"), ("region_name", "'R'"), ("category", "'old'"), ("tags", "'t'"), ("publisher", "'P'"), ("source_url", "url"),
+    ("source_name", "'S'"), ("translated", "true"), ("translated_at", STAMP_OLD), ("content_hash", "h"), ("last_fetched_at", STAMP_OLD),
+    ("view_count", "7"), ("created_at", STAMP_OLD), ("updated_at", STAMP_OLD),
+]
+
+
+def stored_pages(spark, d):
+    old = F.lit(STAMP_OLD.strip("'")).cast("timestamp")
+    key, texts = F.col("service_key"), lambda *v: F.array(*[F.lit(x) for x in v])
+    return pages.basic_page(A.page_state(spark, d)).select(
+        F.concat(F.lit("id-"), key).alias("id"), key, F.concat(F.lit("slug-"), key).alias("slug"), F.lit("zh").alias("title_zh"),
+        F.lit("de").alias("title_de"), F.lit("sum").alias("summary_zh"), texts("a", "b").alias("requirements_zh"), F.lit("1 Euro").alias("fees_zh"),
+        F.lit("2 Tage").alias("duration_zh"), texts("c").alias("steps_zh"), F.lit("Land").alias("region_level"), F.lit("R").alias("region_name"),
+        F.lit("old").alias("category"), texts("t").alias("tags"), F.lit("P").alias("publisher"), F.col("url").alias("source_url"),
+        F.lit("S").alias("source_name"), F.lit(True).alias("translated"), old.alias("translated_at"),
+        content_hash(F.col("content")).alias("content_hash"), old.alias("last_fetched_at"), F.lit(7).alias("view_count"),
+        old.alias("created_at"), old.alias("updated_at"),
+    )
+
+
+def entry_diff(spark, d):
+    i = F.col("page_id")
+    new = snapshots.classify_fetch(A.fetches(spark, d)).withColumns({
+        "category": F.when(i % 2 == 0, F.concat(F.lit("cat-"), i.cast("string"))), "tags": F.when(i % 3 == 0, F.array(F.lit("x"), F.lit("y"))),
+        "publisher": F.concat(F.lit("Amt "), i.cast("string")), "region_name": F.when(i % 4 == 0, F.lit("Bund")),
+    })
+    return snapshots.diff_pages(stored_pages(spark, d), new, AS_OF)
+
+
+# ids of inserted rows (a hash of the key) are compared by the key they are made of
+APPLIED = DIFF + f""", stored AS (SELECT {', '.join(f'{v} AS {k}' for k, v in STORED)} FROM (SELECT o.h, s.* FROM old o JOIN page_state s USING (service_key))),
+entries AS (SELECT d.*, page_id, {title('body')} AS title FROM diff d JOIN fetches f USING (service_key) WHERE d.outcome = 'parsed'),
+applied AS (SELECT coalesce(o.service_key, x.service_key) AS service_key, coalesce(x.action IN ('inserted', 'updated'), false) AS w, x.action = 'inserted' AS fresh,
+  coalesce(o.id, x.new_id) AS id, o.* EXCLUDE (id, service_key), x.* EXCLUDE (service_key) FROM stored o FULL JOIN (SELECT *, 'new ' || service_key AS new_id FROM entries) x USING (service_key))"""
+
+
 @query(
     "N4_apply_diff",
-    DIFF + f""" SELECT coalesce(o.service_key, x.service_key) AS service_key,
-  CASE WHEN x.action IN ('inserted', 'updated') THEN x.new_hash ELSE o.h END AS content_hash,
-  CASE WHEN x.action IN ('inserted', 'updated') THEN false ELSE true END AS translated,
-  CASE WHEN x.action IN ('inserted', 'updated', 'skipped') AND x.outcome = 'parsed' THEN {STAMP} END AS last_fetched_at
-FROM old o FULL JOIN (SELECT * FROM diff WHERE outcome = 'parsed') x USING (service_key)""",
+    APPLIED + f""" SELECT id, service_key,
+  CASE WHEN w THEN trim(substr(trim(regexp_replace(lower(coalesce(nullif(title, ''), service_key)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60)) || '-' || substr(md5(url), 1, 6) ELSE slug END AS slug,
+  CASE WHEN NOT w THEN title_zh END AS title_zh, CASE WHEN w THEN coalesce(nullif(title, ''), service_key) ELSE title_de END AS title_de, CASE WHEN NOT w THEN summary_zh END AS summary_zh,
+  CASE WHEN w THEN '' ELSE requirements_zh END AS requirements_zh, CASE WHEN w THEN '' ELSE fees_zh END AS fees_zh, CASE WHEN w THEN '' ELSE duration_zh END AS duration_zh,
+  CASE WHEN w THEN '' ELSE steps_zh END AS steps_zh, region_level, CASE WHEN w AND page_id % 4 = 0 THEN 'Bund' ELSE region_name END AS region_name,
+  CASE WHEN w AND page_id % 2 = 0 THEN 'cat-' || page_id ELSE category END AS category,
+  CASE WHEN w AND page_id % 3 = 0 THEN 'x|y' WHEN w THEN coalesce(tags, '') ELSE tags END AS tags, CASE WHEN w THEN 'Amt ' || page_id ELSE publisher END AS publisher,
+  CASE WHEN w THEN url ELSE source_url END AS source_url, source_name, CASE WHEN w THEN false ELSE translated END AS translated,
+  CASE WHEN NOT w THEN translated_at END AS translated_at, CASE WHEN w THEN new_hash ELSE content_hash END AS content_hash,
+  CASE WHEN action IS NOT NULL THEN {STAMP} ELSE last_fetched_at END AS last_fetched_at, CASE WHEN fresh THEN 0 ELSE view_count END AS view_count,
+  CASE WHEN fresh THEN {STAMP} ELSE created_at END AS created_at, CASE WHEN w THEN {STAMP} ELSE updated_at END AS updated_at FROM applied""",
 )
 def n4(spark, d):
-    parsed = pages.basic_page(A.page_state(spark, d))
-    null_time = F.lit(None).cast("timestamp")
-    target = parsed.select(
-        "service_key", content_hash(F.col("content")).alias("content_hash"), F.lit(True).alias("translated"),
-        null_time.alias("translated_at"), null_time.alias("last_fetched_at"), null_time.alias("updated_at"),
-        null_time.alias("created_at"), F.lit(1).alias("view_count"), F.col("title").alias("title_de"),
-        F.col("title").alias("title_zh"), F.col("title").alias("summary_zh"),
-    )
-    diff = snapshots.diff_pages(target, snapshots.classify_fetch(A.fetches(spark, d)), AS_OF)
-    return snapshots.apply_diff(target, diff.drop("last_fetched_at"), AS_OF).select(
-        "service_key", "content_hash", "translated", "last_fetched_at"
-    )
+    done = snapshots.apply_diff(stored_pages(spark, d), entry_diff(spark, d), AS_OF)
+    return done.withColumn("id", F.when(F.col("id") == snapshots.page_id(F.col("service_key")), F.concat(F.lit("new "), "service_key")).otherwise(F.col("id")))
 
 
 @query(
@@ -395,11 +446,42 @@ def a6_scrape(spark, d):
 
 @query(
     "Q1_enqueue_changes",
-    DIFF + """ SELECT 'policy' AS source_type, service_key AS source_id, url AS source_url, CASE WHEN action = 'updated' THEN 1 ELSE 0 END AS priority,
-  'pending' AS status FROM diff WHERE action IN ('inserted', 'updated')""",
+    APPLIED + f""" SELECT 'policy' AS source_type, id AS source_id, url AS source_url, CASE WHEN action = 'updated' THEN 1 ELSE 0 END AS priority,
+  0 AS attempts, 3 AS max_attempts, 'pending' AS status, CAST(NULL AS VARCHAR) AS error_message, {STAMP} AS created_at, CAST(NULL AS VARCHAR) AS processed_at FROM applied WHERE w""",
 )
 def q1(spark, d):
-    return snapshots.enqueue_changes(page_diff(spark, d), AS_OF).drop("created_at")
+    diff = entry_diff(spark, d)
+    named = diff.withColumn("target_id", F.when(F.col("action") == "inserted", F.concat(F.lit("new "), "service_key")).otherwise(F.col("target_id")))
+    return snapshots.enqueue_changes(named, AS_OF).drop("id")
+
+
+@query(
+    "Q1_items_resolve",
+    APPLIED + " SELECT coalesce(nullif(title, ''), service_key) AS title, true AS found, CAST(NULL AS VARCHAR) AS error FROM applied WHERE w",
+)
+def q1_resolves(spark, d):
+    """Every item the diff puts into the queue finds its row in the stored table."""
+    diff = entry_diff(spark, d)
+    stored = snapshots.apply_diff(stored_pages(spark, d), diff, AS_OF)
+    none = stored.limit(0).select(F.col("id").alias("refnr"), "title_de", F.lit("").alias("description_de"))
+    return queue.resolve_queue(snapshots.enqueue_changes(diff, AS_OF), stored, none).select("title", "found", "error")
+
+
+@query(
+    "J4_change_in_paragraph_25",
+    "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'updated' ELSE 'skipped' END AS action FROM pages",
+)
+def j4_deep(spark, d):
+    """Pages that differ in their 25th paragraph alone count as changed."""
+    i = F.col("page_id")
+    deep = F.concat(F.lit(("<p>" + "w" * 60 + "</p>") * 24), F.lit("<p>"), F.repeat(F.lit("x"), F.lit(60)))
+    base = A.table(spark, d, "pages").select("page_id", F.concat(F.lit("k"), i.cast("string")).alias("service_key"), "url")
+    old = pages.basic_page(base.withColumn("html", F.concat(deep, F.lit("</p>")))).select("service_key", content_hash(F.col("content")).alias("content_hash"))
+    new = base.select(
+        "page_id", "service_key", "url", F.lit(200).alias("status"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("error"),
+        F.concat(deep, F.when(i % 2 == 0, "new</p>").otherwise("</p>")).alias("body"),
+    )
+    return snapshots.diff_pages(old, snapshots.classify_fetch(new), AS_OF).select("page_id", "action")
 
 
 @query(
@@ -407,7 +489,7 @@ def q1(spark, d):
     "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS plain_md5, regexp_replace(regexp_replace('<![CDATA[' || url || ']]>', '^<!\\[CDATA\\[', ''), '\\]\\]>$', '') AS cdata FROM pages",
 )
 def x5(spark, d):
-    return A.wide_table(spark, d, "pages").select(
+    return A.table(spark, d, "pages").select(
         "page_id", F.md5(strip_tags(F.col("html"))).alias("plain_md5"),
         strip_cdata(F.concat(F.lit("<![CDATA["), "url", F.lit("]]>"))).alias("cdata"),
     )
@@ -415,7 +497,7 @@ def x5(spark, d):
 
 @query("X6_decode_entities", f"SELECT page_id, md5({decoded('html')}) AS decoded_md5 FROM pages")
 def x6(spark, d):
-    return A.wide_table(spark, d, "pages").select("page_id", F.md5(decode_entities(F.col("html"))).alias("decoded_md5"))
+    return A.table(spark, d, "pages").select("page_id", F.md5(decode_entities(F.col("html"))).alias("decoded_md5"))
 
 
 @query(
@@ -426,7 +508,7 @@ def x6(spark, d):
 )
 def x16(spark, d):
     html = F.col("html")
-    return pages.basic_page(A.wide_table(spark, d, "pages")).select(
+    return pages.basic_page(A.table(spark, d, "pages")).select(
         "page_id", content_hash(F.col("content")).alias("paragraph_md5"), content_hash(html).alias("raw_md5"),
         content_hash(pages.readable(html), "sha256").alias("readable_sha"), visible_text_hash(html).alias("visible_md5"),
     )

@@ -151,7 +151,7 @@ SELECT user_id AS source_idx, event_id AS pos, CASE WHEN event_type = 'error' TH
 ROLES["fetches"] = f"""
 SELECT page_id, 'page_' || page_id AS service_key, url,
   CASE page_id % 11 WHEN 0 THEN 304 WHEN 1 THEN 404 WHEN 2 THEN 0 ELSE 200 END AS status, 'new-' || page_id AS etag,
-  CASE WHEN page_id % 11 > 1 THEN CASE WHEN page_id % 3 = 0
+  CASE WHEN page_id % 11 = 3 THEN '' WHEN page_id % 11 > 1 THEN CASE WHEN page_id % 3 = 0
     THEN replace(html, '<article>', {q(A.NEW_PARAGRAPH)} || page_id || '</p>') ELSE html END END AS body,
   CASE WHEN page_id % 11 = 2 THEN 'timeout' END AS error
 FROM pages"""

@@ -1,14 +1,10 @@
-"""Session helpers: a local test session, checkpoints and the broadcast guard."""
+"""Session helpers: a local test session and reliable checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is hinted as broadcast only up to this estimated size (compressed files may unpack to some ten times it).
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "amtskompass") -> SparkSession:
@@ -23,6 +19,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # small test files: a split for every core, so that text work runs on all of them
+        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
+        .config("spark.sql.files.openCostInBytes", "65536")
         .getOrCreate()
     )
 
@@ -41,16 +40,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="amtskompass-ckpt-"))
     return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of ``df`` (an upper-bound style estimate, never runs a job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Add a broadcast hint only when the estimated size is within ``limit``.
-
-    Larger sides stay un-hinted, so Catalyst shuffles both sides and AQE can split skew.
-    """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import spread
-
 # phrases that exercise the keyword rules, including disclaimers that must not count
 PHRASES = [
     "Antrag auf Einbürgerung", "Aufenthalt und 签证", "蓝卡 Blue Card", "学校 und Kita", "Krankenversicherung",
@@ -35,11 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table whose rows go through costly text work: spread when it comes in too few splits."""
-    return spread(table(spark, sf_dir, name))
-
-
 def pick(values: list[str], index: Column) -> Column:
     """Member of a literal list chosen by an integer column."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
@@ -50,7 +43,7 @@ def utc(ts: Column) -> Column:
 
 
 def policies_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = wide_table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     lines = F.split("text", "\n")
     published = F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int"))
@@ -231,13 +224,13 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later fetch of every page: some unchanged, some altered, some failed."""
     i = F.col("page_id")
     altered = F.replace("html", F.lit("<article>"), F.concat(F.lit(NEW_PARAGRAPH), i.cast("string"), F.lit("</p>")))
-    return wide_table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         "page_id",
         F.concat(F.lit("page_"), i.cast("string")).alias("service_key"),
         "url",
         F.when(i % 11 == 0, 304).when(i % 11 == 1, 404).when(i % 11 == 2, 0).otherwise(200).alias("status"),
         F.concat(F.lit("new-"), i.cast("string")).alias("etag"),
-        F.when(i % 11 > 1, F.when(i % 3 == 0, altered).otherwise(F.col("html"))).alias("body"),
+        F.when(i % 11 == 3, "").when(i % 11 > 1, F.when(i % 3 == 0, altered).otherwise(F.col("html"))).alias("body"),
         F.when(i % 11 == 2, F.lit("timeout")).alias("error"),
     )
 
@@ -246,7 +239,7 @@ def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier tags and content of the pages; every fifth page lived at another address then."""
     i = F.col("page_id")
     moved = i % 5 == 0
-    return wide_table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         F.when(moved, F.concat("url", F.lit("#moved"))).otherwise(F.col("url")).alias("url"),
         F.concat(F.lit("old-"), i.cast("string")).alias("etag"),
         F.concat(F.when(moved, "moved_").otherwise("page_"), i.cast("string")).alias("service_key"),
@@ -278,7 +271,7 @@ def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     flag = F.col("l_returnflag")
-    return wide_table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         flag.alias("keyword"),
         F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("kw_ord"),
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("page"),
@@ -302,7 +295,7 @@ def feed_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     items = F.array_join(F.transform(F.split("text", "\n"), item), "")
-    return wide_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("source_id"),
         "doc_id",
         F.concat(F.lit("https://"), "source", F.lit(".example/rss/"), i).alias("url"),
@@ -335,7 +328,7 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 5, F.concat(F.lit("\x01 "), body))
         .otherwise(F.concat(F.lit("kein JSON: "), "role"))
     )
-    return wide_table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         key.alias("refnr"), F.col("turn").alias("turn"), "role", shape.alias("shape"), text.alias("reply_text")
     )
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.keys import page_slug, scrape_slug, service_key
-from ..session import broadcast_if_small
+
+
+# Limits of the stored fields: format of the tables; keys and exclusions read whole texts.
+DRAFT_SUMMARY_CHARS, DRAFT_PARAGRAPHS, ARCHIVE_TITLE_CHARS, ARCHIVE_SUMMARY_CHARS = 500, 3, 100, 5000
 
 
 @dataclass(frozen=True)
@@ -32,8 +35,8 @@ def drafts_from_scrape(items: DataFrame, config: RegionConfig, as_of: str) -> Da
         scrape_slug(F.col("title"), F.col("url")).alias("slug"),
         title.alias("title_de"),
         title.alias("title_zh"),
-        F.substring(whole, 1, 500).alias("summary_zh"),
-        F.array_join(F.slice(paragraphs, 1, 3), "\n\n").alias("content_de_summary"),
+        F.substring(whole, 1, DRAFT_SUMMARY_CHARS).alias("summary_zh"),
+        F.array_join(F.slice(paragraphs, 1, DRAFT_PARAGRAPHS), "\n\n").alias("content_de_summary"),
         url.alias("official_url"),
         F.coalesce(date, F.lit(as_of[:10])).alias("published_at"),
         date.alias("effective_at"),
@@ -73,15 +76,15 @@ def load_archive_pages(pages: DataFrame, existing: DataFrame, config: ArchiveCon
     rows = (
         pages.withColumn("source_url", url)
         .withColumn("service_key", service_key(F.col("source_url"), config.prefix))
-        .withColumn("title_de", F.when(usable, F.substring(first_line, 1, 100)).otherwise(F.col("title")))
+        .withColumn("title_de", F.when(usable, F.substring(first_line, 1, ARCHIVE_TITLE_CHARS)).otherwise(F.col("title")))
     )
-    stored = broadcast_if_small(existing.select("service_key").distinct())
+    stored = existing.select("service_key").distinct()
     return rows.join(stored, "service_key", "left_anti").select(
         "service_key",
         page_slug(F.col("title_de"), F.col("source_url")).alias("slug"),
         "title_de",
         F.col("title").alias("title_zh"),
-        F.substring("content", 1, 5000).alias("summary_zh"),
+        F.substring("content", 1, ARCHIVE_SUMMARY_CHARS).alias("summary_zh"),
         "source_url",
         F.lit(config.source_name).alias("source_name"),
         F.lit(config.publisher).alias("publisher"),

@@ -13,16 +13,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, columns: li
     return df.select(*columns) if columns else df
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, spread over the cores; larger scans are left alone.
-
-    Meant for rows that feed costly text work.  Filters and column pruning still pass through
-    to the scan.  The split count is known from planning; no job runs.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def existing_keys(df: DataFrame, key: str) -> DataFrame:
     """Distinct non-null keys of a stored table, for exclusion joins."""
     return df.select(key).where(F.col(key).isNotNull()).distinct()

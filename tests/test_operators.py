@@ -354,7 +354,8 @@ def test_diff_of_equal_snapshots_is_all_skipped(spark):
     assert rows(first, "action") == [("inserted",)]
     old = first.select("service_key", F.col("new_hash").alias("content_hash"))
     assert rows(snapshots.diff_pages(old, new, NOW), "action") == [("skipped",)]
-    assert rows(snapshots.enqueue_changes(first, NOW), "source_id", "priority") == [("k", 0)]
+    item = snapshots.enqueue_changes(first, NOW).first()
+    assert (item["source_id"], item["priority"]) == (first.first()["target_id"], 0)
 
 
 def test_claim_counts_each_items_own_attempt(spark):
