@@ -1,10 +1,10 @@
-"""Incremental delivery of fetched pages: new files in a landing folder become table snapshots.
+"""Incremental delivery of fetched pages: new files in a landing folder become a new version of the page table.
 
-The stream runs with ``availableNow``: it takes everything that arrived since the last run
-and stops.  Every micro-batch writes one immutable snapshot of the page table, the tag state
-and the queue items, named by the batch number.  A replayed batch (an executor or the driver
-was lost) starts from the same earlier snapshot and writes the same folder again, so the
-result does not depend on how often a batch was tried.
+The stream runs with ``availableNow``: it takes everything that arrived since the last run and stops.  The page table and
+the tag state are kept in buckets by a hash of their key.  A micro-batch reads and rewrites only the buckets its keys fall
+into; a manifest names for each bucket the version that wrote it.  A replayed batch (an executor or the driver was lost)
+starts from the manifest before it and writes the same folders again, so the result does not depend on how often a
+batch was tried.  Bucket files that no kept manifest names are deleted after each batch.
 """
 
 from __future__ import annotations
@@ -17,73 +17,151 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.ranking import first_by
-from ..operators.snapshots import apply_diff, classify_fetch, diff_pages, enqueue_changes, etag_gate, save_etags
+from ..operators.snapshots import apply_diff, classify_fetch, diff_pages, enqueue_changes, etag_gate, save_etags, stored_fetches
 from ..sources.schemas import PAGE_STATE, POLICY_PAGE
 
 LANDED = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("service_key", "url", "etag", "body", "error")]
     + [T.StructField("status", T.IntegerType()), T.StructField("fetched_at", T.TimestampType())]
 )
+MANIFEST = T.StructType([T.StructField("kind", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+KEYS = {"pages": "service_key", "state": "url"}
+SCHEMAS = {"pages": POLICY_PAGE, "state": PAGE_STATE}
+KEPT_VERSIONS = 3  # manifests whose files stay: a replay needs the one before the last
 
 
 @dataclass(frozen=True)
 class PageTables:
-    """Folders of one incremental page table under a shared root."""
+    """Folders of one incremental page table under a shared root; ``buckets`` should follow the size of the table."""
 
     root: str
+    buckets: int = 64
 
-    def snapshot(self, kind: str, version: int) -> str:
+    def folder(self, kind: str, version: int) -> str:
         return f"{self.root}/{kind}/version={version}"
 
+    def bucket(self, kind: str, version: int, bucket: int) -> str:
+        return f"{self.folder(kind, version)}/bucket={bucket}"
+
+    def queue(self, version: int) -> str:
+        return self.folder("queue", version)
+
     @property
-    def versions(self) -> str:
-        return f"{self.root}/versions"
+    def manifests(self) -> str:
+        return f"{self.root}/manifests"
 
 
-def start(spark: SparkSession, tables: PageTables, pages: DataFrame, state: DataFrame) -> None:
-    """First snapshot (version -1) of an existing page table and tag state."""
-    pages.write.mode("overwrite").parquet(tables.snapshot("pages", -1))
-    state.write.mode("overwrite").parquet(tables.snapshot("state", -1))
-    _publish(spark, tables, -1)
+def _bucket_of(tables: PageTables, key: str):
+    return F.pmod(F.xxhash64(key), F.lit(tables.buckets)).cast("int")
+
+
+def _files(spark: SparkSession, path: str):
+    """File system of a path and the path in it, through the cluster's own configuration."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def versions(spark: SparkSession, tables: PageTables) -> list[int]:
+    """Versions with a manifest, oldest first."""
+    fs, path = _files(spark, tables.manifests)
+    return sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def manifest(spark: SparkSession, tables: PageTables, version: int) -> dict[tuple[str, int], int]:
+    """For each bucket that has rows the version that wrote it: at most twice the number of buckets entries."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{tables.manifests}/version={version}").select("kind", "bucket", "version").collect()
+    return {(r["kind"], r["bucket"]): r["version"] for r in rows}
 
 
-def _publish(spark: SparkSession, tables: PageTables, version: int) -> None:
-    spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(tables.versions)
+def _publish(spark: SparkSession, tables: PageTables, version: int, entries: dict[tuple[str, int], int]) -> None:
+    rows = spark.createDataFrame([(k, b, v) for (k, b), v in sorted(entries.items())], MANIFEST)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{tables.manifests}/version={version}")
+
+
+def _read(spark: SparkSession, tables: PageTables, kind: str, entries: dict[tuple[str, int], int], buckets: set[int] | None = None) -> DataFrame:
+    paths = [tables.bucket(k, v, b) for (k, b), v in sorted(entries.items()) if k == kind and (buckets is None or b in buckets)]
+    return spark.read.schema(SCHEMAS[kind]).parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[kind])
+
+
+def _write(spark: SparkSession, tables: PageTables, kind: str, rows: DataFrame, version: int, buckets: set[int] | None = None) -> dict[tuple[str, int], int]:
+    """Write rows by bucket; the entries of the buckets that got rows."""
+    placed = rows.withColumn("bucket", _bucket_of(tables, KEYS[kind]))
+    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(tables.folder(kind, version))
+    there = range(tables.buckets) if buckets is None else sorted(buckets)
+    found = {}
+    for b in there:
+        fs, path = _files(spark, tables.bucket(kind, version, b))
+        if fs.exists(path):
+            found[kind, b] = version
+    return found
+
+
+def start(spark: SparkSession, tables: PageTables, pages: DataFrame, state: DataFrame) -> None:
+    """First version (-1) of an existing page table and tag state."""
+    _publish(spark, tables, -1, _write(spark, tables, "pages", pages, -1) | _write(spark, tables, "state", state, -1))
 
 
 def last_version(spark: SparkSession, tables: PageTables, before: int | None = None) -> int:
-    """Newest published version, optionally older than ``before`` (one small aggregate)."""
-    found = spark.read.parquet(tables.versions)
-    if before is not None:
-        found = found.where(F.col("version") < before)
-    return found.agg(F.max("version")).first()[0]
+    """Newest published version, optionally older than ``before``."""
+    return max(v for v in versions(spark, tables) if before is None or v < before)
+
+
+def read_pages(spark: SparkSession, tables: PageTables, version: int | None = None) -> DataFrame:
+    at = last_version(spark, tables) if version is None else version
+    return _read(spark, tables, "pages", manifest(spark, tables, at))
 
 
-def read_pages(spark: SparkSession, tables: PageTables) -> DataFrame:
-    return spark.read.schema(POLICY_PAGE).parquet(tables.snapshot("pages", last_version(spark, tables)))
+def read_state(spark: SparkSession, tables: PageTables, version: int | None = None) -> DataFrame:
+    at = last_version(spark, tables) if version is None else version
+    return _read(spark, tables, "state", manifest(spark, tables, at))
 
 
 def merge_batch(spark: SparkSession, tables: PageTables, batch: DataFrame, batch_id: int, full: bool = False) -> None:
-    """Fold one micro-batch of fetches into the next snapshot."""
-    previous = last_version(spark, tables, before=batch_id)
-    pages = spark.read.schema(POLICY_PAGE).parquet(tables.snapshot("pages", previous))
-    state = spark.read.schema(PAGE_STATE).parquet(tables.snapshot("state", previous))
-    # one fetch per page and batch: the latest one
-    latest = first_by(batch, ["service_key"], [F.col("fetched_at").desc_nulls_last(), F.col("etag").asc_nulls_last()])
-    gated = etag_gate(state, latest, full)
-    as_of = "1970-01-01 00:00:00"
-    diff = diff_pages(pages, classify_fetch(gated), as_of)
-    merged = apply_diff(pages, diff, as_of)
-    stamps = diff.where(F.col("outcome") == "parsed").select(F.col("service_key").alias("_key"), F.col("fetched_at").alias("_at"))
-    at_fetch = lambda c: F.when(F.col(c) == F.lit(as_of).cast("timestamp"), F.col("_at")).otherwise(F.col(c))
-    timed = merged.join(stamps, F.col("service_key") == F.col("_key"), "left").select(
-        *[at_fetch(c).alias(c) if c in ("last_fetched_at", "updated_at", "created_at") else F.col(c) for c in merged.columns]
+    """Fold one micro-batch of fetches into the next version.
+
+    Of several answers for a page the latest clean one counts, else the latest.  Tags are saved only for pages whose content is
+    stored; times are those of the fetches.  Pages are parsed once: the diff (without bodies) is kept for the
+    four results taken from it.
+    """
+    before = manifest(spark, tables, last_version(spark, tables, before=batch_id))
+    touched = {  # at most the number of buckets
+        kind: {r[0] for r in batch.where(F.col(key).isNotNull()).select(_bucket_of(tables, key)).distinct().collect()} for kind, key in KEYS.items()
+    }
+    pages = _read(spark, tables, "pages", before, touched["pages"])
+    state = _read(spark, tables, "state", before, touched["state"])
+    clean = F.col("error").isNull() & (F.col("status") == 200) & (F.coalesce("body", F.lit("")) != "")
+    latest = first_by(
+        batch.where("service_key is not null"), ["service_key"], [F.coalesce(clean, F.lit(False)).desc(), F.col("fetched_at").desc_nulls_last(), F.col("etag").asc_nulls_last()]
     )
-    timed.write.mode("overwrite").parquet(tables.snapshot("pages", batch_id))
-    ok = gated.where(F.col("changed") & F.col("etag").isNotNull()).select("url", "etag")
-    save_etags(state, first_by(ok, ["url"], [F.col("etag")])).write.mode("overwrite").parquet(tables.snapshot("state", batch_id))
-    enqueue_changes(diff, as_of).write.mode("overwrite").parquet(tables.snapshot("queue", batch_id))
-    _publish(spark, tables, batch_id)
+    parsed = etag_gate(state, classify_fetch(latest).drop("body"), full)
+    at = F.col("fetched_at")
+    diff = diff_pages(pages, parsed, at).persist()
+    try:
+        entries = {e: v for e, v in before.items() if e[1] not in touched[e[0]]}
+        entries |= _write(spark, tables, "pages", apply_diff(pages, diff, at), batch_id, touched["pages"])
+        tags = first_by(stored_fetches(diff).where("etag is not null"), ["url"], [at.desc_nulls_last(), F.col("etag").asc()])
+        entries |= _write(spark, tables, "state", save_etags(state, tags), batch_id, touched["state"])
+        enqueue_changes(diff, at).write.mode("overwrite").parquet(tables.queue(batch_id))
+        _publish(spark, tables, batch_id, entries)
+    finally:
+        diff.unpersist()
+    drop_old(spark, tables)
+
+
+def drop_old(spark: SparkSession, tables: PageTables, keep: int = KEPT_VERSIONS) -> None:
+    """Delete manifests beyond the newest ``keep`` and the bucket files that none of these names."""
+    every = versions(spark, tables)
+    kept, gone = every[-keep:], every[:-keep]
+    if not gone:
+        return
+    named = {(k, v, b) for at in kept for (k, b), v in manifest(spark, tables, at).items()}
+    for old in gone:
+        for (k, b), v in manifest(spark, tables, old).items():
+            if (k, v, b) not in named:
+                fs, path = _files(spark, tables.bucket(k, v, b))
+                fs.delete(path, True)
+        fs, path = _files(spark, f"{tables.manifests}/version={old}")
+        fs.delete(path, True)
 
 
 def run_available(

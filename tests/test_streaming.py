@@ -37,12 +37,40 @@ def test_stream_merges_new_and_changed_pages(spark, tmp_path):
     assert str(second["a"]["last_fetched_at"]) == "2024-01-02 00:00:00"
     assert second["b"] == first["b"]
     version = inc.last_version(spark, tables)
-    state = {r["url"]: r["etag"] for r in spark.read.parquet(tables.snapshot("state", version)).collect()}
+    state = {r["url"]: r["etag"] for r in inc.read_state(spark, tables).collect()}
     assert state == {"u/a": "e2", "u/b": "e1"}
-    work = spark.read.parquet(tables.snapshot("queue", version)).collect()
-    assert [(r["source_id"], r["priority"]) for r in work] == [("a", 1)]
+    work = spark.read.parquet(tables.queue(version)).collect()
+    assert [(r["source_id"], r["priority"], str(r["created_at"])) for r in work] == [(second["a"]["id"], 1, "2024-01-02 00:00:00")]
 
     # a replayed batch gives the same snapshot
     again = spark.read.schema(inc.LANDED).parquet(landing).where("fetched_at >= '2024-01-02'")
     inc.merge_batch(spark, tables, again, version)
     assert {r["service_key"]: r for r in inc.read_pages(spark, tables).collect()} == second
+
+
+def test_latest_clean_answer_counts_and_empty_pages_get_no_tag(spark, tmp_path):
+    tables = inc.PageTables(str(tmp_path / "tables"))
+    inc.start(spark, tables, spark.createDataFrame([], POLICY_PAGE), spark.createDataFrame([], PAGE_STATE))
+    batch = landed(spark, [
+        ("a", "u/a", "e1", body("x"), None, 200, "2024-01-01 00:00:00"), ("a", "u/a", None, None, "timeout", 0, "2024-01-02 00:00:00"),
+        ("b", "u/b", "e9", "", None, 200, "2024-01-01 00:00:00"),
+    ])
+    inc.merge_batch(spark, tables, batch, 0)
+    assert [(r["service_key"], str(r["last_fetched_at"])) for r in inc.read_pages(spark, tables).collect()] == [("a", "2024-01-01 00:00:00")]
+    assert [(r["url"], r["etag"]) for r in inc.read_state(spark, tables).collect()] == [("u/a", "e1")]
+
+
+def test_batch_of_one_page_rewrites_one_bucket_and_old_files_go(spark, tmp_path):
+    tables = inc.PageTables(str(tmp_path / "tables"), buckets=8)
+    inc.start(spark, tables, spark.createDataFrame([], POLICY_PAGE), spark.createDataFrame([], PAGE_STATE))
+    many = [(f"k{i}", f"u/{i}", "e", body(f"w{i}"), None, 200, "2024-01-01 00:00:00") for i in range(40)]
+    inc.merge_batch(spark, tables, landed(spark, many), 0)
+    for version in range(1, 5):
+        inc.merge_batch(spark, tables, landed(spark, [("k7", "u/7", f"e{version}", body(f"v{version}"), None, 200, f"2024-02-0{version} 00:00:00")]), version)
+        entries = inc.manifest(spark, tables, version)
+        assert sum(v == version for (kind, _), v in entries.items() if kind == "pages") == 1
+    assert inc.versions(spark, tables) == [2, 3, 4]
+    kept = {int(p.parent.name.split("=")[1]) for p in (tmp_path / "tables" / "pages").glob("version=*/bucket=*") if any(p.iterdir())}
+    assert kept == {0, 2, 3, 4}
+    found = {r["service_key"]: r["title_de"] for r in inc.read_pages(spark, tables).collect()}
+    assert len(found) == 40 and found["k7"] == "v4" and found["k8"] == "w8"
