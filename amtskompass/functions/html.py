@@ -1,9 +1,12 @@
 """HTML tokeniser: the one place where page structure needs a real parser.
 
-``page_tokens`` turns a page into an array of structs in document order.  Elements of
-interest carry their whole text; text nodes carry their own.  Every token has its path of
-ancestors (``name#id.class@ordinal`` joined by ``/``), so roots, exclusions and boilerplate
-containers are decided by native expressions over the array.
+``page_tokens`` turns a page into its text nodes, each once, and its elements of interest in document order.  An element
+knows the range of text nodes below it (``begin``, ``end``), so its text is put together by a native expression
+(``element_text``) and only where it is wanted.  Every token has its path of ancestors (``name#id.class[role]@ordinal`` joined by
+``/``), so roots, exclusions and boilerplate containers are decided by native expressions too.  Plain paragraphs, list
+items, cells, spans and links (without id, class or role) are steps of their own path only, paths hold ``MAX_DEPTH`` steps at most, and
+paragraphs, items, cells and links end where the HTML standard ends them: the size of the result grows with that of the page,
+however many tags are left open.
 """
 
 from __future__ import annotations
@@ -15,73 +18,116 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = T.ArrayType(
-    T.StructType([T.StructField(n, T.StringType()) for n in ("tag", "path", "text", "href", "title")])
+TOKEN = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("tag", "path")]
+    + [T.StructField(n, T.IntegerType()) for n in ("begin", "end")]
+    + [T.StructField(n, T.StringType()) for n in ("href", "title")]
 )
+PAGE = T.StructType([T.StructField("tokens", T.ArrayType(TOKEN)), T.StructField("texts", T.ArrayType(T.StringType()))])
 TEXT = "#text"
+MAX_DEPTH = 128  # steps of a path; deeper elements count as children of the last one
 # --- fixed values of the HTML standard ---------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(["script", "style", "template"])
 ELEMENTS = frozenset("title h1 h2 h3 h4 h5 h6 p li a time meta dialog aside nav span".split())
+PLAIN = frozenset("p li span a td th tr font".split())
+ENDS_PARAGRAPH = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
+    " hgroup hr main menu nav ol p pre search section table ul".split()
+)
+# start tag: open elements it ends, unless one of the others was opened after them
+ENDS = {
+    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "a": (frozenset(["a"]), frozenset(["table", "td", "button"])),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "td": (frozenset(["td", "th"]), frozenset(["table", "tr"])), "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
+    "tr": (frozenset(["tr"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset(["select"])),
+}
+PARAGRAPH = (frozenset(["p"]), frozenset(["table", "td", "th", "caption", "button", "object"]))
 
 
-class _Tokens(HTMLParser):
+class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tokens: list[dict] = []
-        self.open: list[tuple[str, str, dict | None]] = []
-        self.count = 0
+        self.tokens: list[list] = []
+        self.texts: list[str] = []
+        self.open: list[tuple[str, str, int, list | None]] = []  # tag, path for what is below, its steps, token
+        self.places: dict[str, list[int]] = {}  # where in ``open`` each tag stands
+        self.hidden = self.count = 0
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag, _, _, token = self.open.pop()
+            self.places[tag].pop()
+            self.hidden -= tag in HIDDEN
+            if token is not None:
+                token[3] = len(self.texts)
+
+    def _end_open(self, rule: tuple[frozenset, frozenset]) -> None:
+        last = max((self.places[t][-1] for t in rule[0] if self.places.get(t)), default=-1)
+        if last > max((self.places[t][-1] for t in rule[1] if self.places.get(t)), default=-1):
+            self._close(last)
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag in ENDS_PARAGRAPH:
+            self._end_open(PARAGRAPH)
+        if tag in ENDS:
+            self._end_open(ENDS[tag])
         values = {k: v or "" for k, v in attrs}
         self.count += 1
         own = tag + ("#" + values["id"] if values.get("id") else "")
         own += "".join("." + c for c in values.get("class", "").split())
         own += f"[{values['role']}]" if values.get("role") else ""
-        path = (self.open[-1][1] + "/" if self.open else "") + f"{own}@{self.count}"
+        above, steps = (self.open[-1][1], self.open[-1][2]) if self.open else ("", 0)
+        path = (above + "/" if above else "") + f"{own}@{self.count}"
         token = None
         if tag in ELEMENTS:
-            text = [values.get("content", "")] if tag == "meta" else []
             link = values.get("href") if tag == "a" else values.get("datetime") or values.get("name")
-            token = {"tag": tag, "path": path, "text": text, "href": link, "title": values.get("title")}
+            token = [tag, path, len(self.texts), len(self.texts), link, values.get("content", "") if tag == "meta" else values.get("title")]
             self.tokens.append(token)
         if tag not in VOID:
-            self.open.append((tag, path, token))
+            if own in PLAIN or steps >= MAX_DEPTH:
+                path = above
+            else:
+                steps += 1
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.hidden += tag in HIDDEN
+            self.open.append((tag, path, steps, token))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                del self.open[depth:]
-                return
+        if self.places.get(tag):
+            self._close(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if any(tag in HIDDEN for tag, _, _ in self.open):
+        if self.hidden:
             return
-        for _, _, token in self.open:
-            if token is not None:
-                token["text"].append(data)
+        self.texts.append(data)
         if not data.isspace():
             path = self.open[-1][1] if self.open else ""
-            self.tokens.append({"tag": TEXT, "path": path, "text": [data], "href": None, "title": None})
+            self.tokens.append([TEXT, path, len(self.texts) - 1, len(self.texts), None, None])
+
+
+def _parse(html: str | None) -> dict:
+    page = _Page()
+    if html:
+        page.feed(html)
+        page.close()
+        page._close(0)
+    return {"tokens": [dict(zip(TOKEN.names, t, strict=True)) for t in page.tokens], "texts": page.texts}
 
 
-def _tokenize(html: str | None) -> list[dict]:
-    if not html:
-        return []
-    parser = _Tokens()
-    parser.feed(html)
-    parser.close()
-    return [{**t, "text": "".join(t["text"])} for t in parser.tokens]
+@F.pandas_udf(PAGE)
+def page_tokens(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parse(p) for p in pages], columns=PAGE.names)
 
 
-@F.pandas_udf(TOKEN)
-def page_tokens(pages: pd.Series) -> pd.Series:
-    return pages.map(_tokenize)
+def element_text(token: Column, texts: Column) -> Column:
+    """Text of a token: its text nodes joined without anything between them."""
+    return F.array_join(F.slice(texts, token["begin"] + 1, token["end"] - token["begin"]), "")
 
 
 def path_step(selector: str) -> str:

@@ -80,10 +80,14 @@ def with_regions(df: DataFrame, name: str = "region_name", level: str = "region_
 
 
 def normalize_regions(df: DataFrame) -> DataFrame:
-    """Display normalisation of region level and name; the name follows the normalised level."""
-    level = with_regions(df).withColumn("region_level", F.col("_level")).drop("_level", "_region", "_state")
-    named = with_regions(level).withColumn("region_name", F.col("_region"))
-    return named.drop("_level", "_region", "_state")
+    """Display normalisation of region level and name, one pass; the name follows the normalised level."""
+    rows = computed(df, {"_rtext": lookup_text(F.col("region_name"))})
+    rows = computed(rows, {"_alias": alias_index(F.col("_rtext"))})
+    valid = F.when(F.col("region_level").isin(C.REGION_LEVELS), F.col("region_level"))
+    rows = rows.withColumn("region_level", F.coalesce(valid, _alias_field(F.col("_alias"), 2), F.lit("州")))
+    federal = (F.col("region_level") == C.FEDERAL) | contains_any(F.col("_rtext"), C.FEDERAL_NEEDLES)
+    name = F.when(federal, C.FEDERAL).otherwise(F.coalesce(_alias_field(F.col("_alias"), 0), trim_all(F.col("region_name"))))
+    return rows.withColumn("region_name", name).drop("_rtext", "_alias")
 
 
 def normalize_policies(df: DataFrame, regions: bool = True, groups: bool = True) -> DataFrame:

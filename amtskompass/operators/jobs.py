@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import infer_work_type
@@ -85,8 +85,9 @@ def apply_details(jobs: DataFrame, details: DataFrame, as_of: str) -> DataFrame:
     return upsert(jobs, known, "refnr", as_of)
 
 
-def _limited(df: DataFrame, limit: int) -> DataFrame:
-    return df.limit(limit) if limit > 0 else df
+def _limited(df: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """First ``limit`` rows in order; without a limit all rows, which then need no order."""
+    return df.orderBy(*order).limit(limit) if limit > 0 else df
 
 
 def jobs_missing_detail(jobs: DataFrame, limit: int = 0, strict: bool = False) -> DataFrame:
@@ -96,7 +97,7 @@ def jobs_missing_detail(jobs: DataFrame, limit: int = 0, strict: bool = False) -
     """
     short = F.length("description_de") < 20 if strict else F.length("description_de") <= 20
     rows = jobs.where(F.col("description_de").isNull() | short).select("refnr", "title_de", "is_active")
-    return _limited(rows.orderBy(F.col("is_active").asc(), F.col("refnr").asc()), limit)
+    return _limited(rows, limit, F.col("is_active").asc(), F.col("refnr").asc())
 
 
 def pending_work(df: DataFrame, kind: str, limit: int = 0) -> DataFrame:
@@ -105,23 +106,23 @@ def pending_work(df: DataFrame, kind: str, limit: int = 0) -> DataFrame:
     Kinds: ``description``, ``title``, ``active_title`` (active jobs only), ``title_null``
     (null titles only) and ``policy``.
     """
+    order = [F.col("refnr").asc()]
     if kind == "description":
         ready = F.col("description_de").isNotNull() & (F.length("description_de") > 20)
         todo = F.coalesce("description_zh", F.lit("")) == ""
-        rows = df.where(ready & todo).select("refnr", "title_de", "employer", "description_de").orderBy("refnr")
+        rows = df.where(ready & todo).select("refnr", "title_de", "employer", "description_de")
     elif kind in ("title", "active_title", "title_null"):
         rows = df.where(F.col("is_active")) if kind == "active_title" else df
         todo = F.col("title_zh").isNull() if kind == "title_null" else F.coalesce("title_zh", F.lit("")) == ""
-        rows = rows.where(todo).select("refnr", "title_de").orderBy("refnr")
+        rows = rows.where(todo).select("refnr", "title_de")
     elif kind == "policy":
-        rows = (
-            df.where(~F.col("translated"))
-            .orderBy(F.col("last_fetched_at").desc_nulls_first(), F.col("service_key").asc())
-            .select("service_key", "title_de", "source_name", "source_url", F.coalesce("summary_zh", "title_de").alias("content"))
-        )
+        waiting = df.where(~F.col("translated"))
+        if limit > 0:
+            waiting = waiting.orderBy(F.col("last_fetched_at").desc_nulls_first(), F.col("service_key").asc()).limit(limit)
+        return waiting.select("service_key", "title_de", "source_name", "source_url", F.coalesce("summary_zh", "title_de").alias("content"))
     else:
         raise ValueError(f"unknown kind of work: {kind}")
-    return _limited(rows, limit)
+    return _limited(rows, limit, *order)
 
 
 def jobs_missing_tags(jobs: DataFrame, limit: int = 0) -> DataFrame:
@@ -132,7 +133,7 @@ def jobs_missing_tags(jobs: DataFrame, limit: int = 0) -> DataFrame:
         & (F.length("description_zh") > 10)
         & (F.coalesce(F.size("tags"), F.lit(0)) <= 0)
     )
-    return _limited(rows.select("refnr", "title_de", "description_zh", "description_de").orderBy("refnr"), limit)
+    return _limited(rows.select("refnr", "title_de", "description_zh", "description_de"), limit, F.col("refnr").asc())
 
 
 def review_candidates(policies: DataFrame, limit: int = 20, id: str | None = None, slug: str | None = None,

@@ -41,6 +41,7 @@ def upsert(
     preserve: Sequence[str] = (),
     unique: bool = False,
     mark: str | None = None,
+    change: str | None = None,
 ) -> DataFrame:
     """New snapshot of ``target`` after merging ``updates`` on ``key``.
 
@@ -48,6 +49,9 @@ def upsert(
     ``preserve``, survive on existing rows.  Inserted rows get defaults.  ``updated_at``
     (and ``created_at`` of inserts) become ``as_of``.  Pass ``unique=True`` when the updates
     are already known to have unique keys; ``mark`` adds a flag that tells which rows they hit.
+
+    ``change`` names a column of the updates that says insert, update or delete; then an update of a missing row, a deletion of
+    one, and an insert of an existing row have no effect.
     """
     if not unique:
         updates = with_unique_keys(updates, key)
@@ -55,6 +59,10 @@ def upsert(
     renamed = updates.withColumnsRenamed({c: f"u_{c}" for c in cols})
     joined = target.join(renamed, F.col(key) == F.col(f"u_{key}"), "full_outer")
     is_update, is_insert = F.col(f"u_{key}").isNotNull(), F.col(key).isNull()
+    if change:
+        kind = F.coalesce(F.col(f"u_{change}"), F.lit(""))
+        joined = joined.where(F.when(is_insert, kind == "insert").otherwise(kind != "delete"))
+        is_update = is_insert | (kind == "update")
     stamp = F.lit(as_of).cast("timestamp") if as_of else None
     out: list[Column] = []
     types = {f.name: f.dataType for f in updates.schema}
@@ -181,15 +189,5 @@ def mutate(target: DataFrame, changes: DataFrame, as_of: str, key: str = "id") -
     ``changes`` carries ``change`` (insert, update or delete) next to the payload columns;
     an update of a missing row and an insert of an existing one have no effect.
     """
-    payload = [c for c in changes.columns if c != "change"]
-    optional = [c for c in ("effective_at", "content_de_summary") if c in payload and dict(changes.dtypes)[c] == "string"]
-    changes = nullify_empty(with_unique_keys(changes, key), optional)
-    known = target.select(F.col(key).alias("_known"))
-    checked = changes.join(known, F.col(key) == F.col("_known"), "left")
-    valid = (
-        ((F.col("change") == "insert") & F.col("_known").isNull())
-        | (F.col("change").isin("update", "delete") & F.col("_known").isNotNull())
-    )
-    valid_changes = checked.where(valid).drop("_known")
-    merged = upsert(target, valid_changes.where("change <> 'delete'").select(*payload), key, as_of, unique=True)
-    return delete_by(merged, valid_changes.where("change = 'delete'"), key)
+    optional = [c for c in ("effective_at", "content_de_summary") if dict(changes.dtypes).get(c) == "string"]
+    return upsert(target, nullify_empty(changes, optional), key, as_of, change="change")

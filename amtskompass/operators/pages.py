@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.html import TEXT, first_root, inside, page_tokens, path_step, under
+from ..functions.html import TEXT, element_text, first_root, inside, page_tokens, path_step, under
 from ..functions.keys import page_slug, service_key
 from ..functions.labels import keyed_office, office_title, office_topic
 from ..functions.text import (
@@ -138,7 +138,13 @@ def drop_boilerplate(parts: Column, cfg: GuideConfig) -> Column:
 
 
 def _tokenised(pages: DataFrame, html: str) -> DataFrame:
-    return computed(pages, {"_tokens": page_tokens(F.col(html))})
+    """Adds ``_tokens`` and ``_texts`` of each page, parsed once."""
+    rows = computed(pages, {"_page": page_tokens(F.col(html))})
+    return rows.withColumns({"_tokens": F.col("_page.tokens"), "_texts": F.col("_page.texts")}).drop("_page")
+
+
+def text_of(token: Column) -> Column:
+    return element_text(token, F.col("_texts"))
 
 
 def _texts(tokens: Column, tags: list[str]) -> Column:
@@ -147,14 +153,14 @@ def _texts(tokens: Column, tags: list[str]) -> Column:
 
 def _first_text(tokens: Column, tag: str, within: str | None = None) -> Column:
     hits = F.filter(tokens, lambda t: (t["tag"] == tag) & (inside(t["path"], within) if within else F.lit(True)))
-    return F.nullif(clean_text(F.get(hits, F.lit(0))["text"]), F.lit(""))
+    return F.nullif(clean_text(text_of(F.get(hits, F.lit(0)))), F.lit(""))
 
 
 def _guide_title(tokens: Column, cfg: GuideConfig) -> Column:
     candidates = [_first_text(tokens, "h1", within) for within in cfg.title_within]
     if cfg.title_last:
         h1 = _texts(tokens, ["h1"])
-        candidates.append(F.nullif(clean_text(F.try_element_at(h1, F.lit(-1))["text"]), F.lit("")))
+        candidates.append(F.nullif(clean_text(text_of(F.try_element_at(h1, F.lit(-1)))), F.lit("")))
     if cfg.title_cut:
         head = _first_text(tokens, "title")
         candidates.append(trim_all(F.regexp_replace(head, cfg.title_cut, "")))
@@ -167,7 +173,7 @@ def _heading_span(tokens: Column, root: Column) -> Column:
     spans = F.filter(
         tokens, lambda t: (t["tag"] == "span") & (F.regexp_replace(t["path"], "/[^/]*$", "") == h1)
     )
-    return F.nullif(clean_text(F.get(spans, F.lit(0))["text"]), F.lit(""))
+    return F.nullif(clean_text(text_of(F.get(spans, F.lit(0)))), F.lit(""))
 
 
 def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url: str = "url") -> DataFrame:
@@ -191,8 +197,8 @@ def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url:
             good = good & ~t["path"].rlike(rf"(^|/)div[^/]*\.[^/]*({names})[^/]*/|(^|/)span[^/]*\.aural[^/]*/")
         return good
 
-    parts = drop_boilerplate(F.transform(F.filter("_inner", usable), lambda t: clean_text(t["text"])), cfg)
-    whole = clean_text(F.array_join(F.transform(F.filter("_inner", lambda t: t["tag"] == TEXT), lambda t: t["text"]), ""))
+    parts = drop_boilerplate(F.transform(F.filter("_inner", usable), lambda t: clean_text(text_of(t))), cfg)
+    whole = clean_text(F.array_join(F.transform(F.filter("_inner", lambda t: t["tag"] == TEXT), text_of), ""))
     title = _guide_title(F.col("_tokens"), cfg)
     if cfg.column:
         title = F.coalesce(_heading_span(F.col("_tokens"), F.col("_root")), title)
@@ -224,16 +230,16 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
         return F.when(~contains_any(F.lower(text), ["cookie", "einwilligung"]), text)
 
     h1 = _texts(tokens, ["h1"])
-    any_h1 = F.filter(h1, lambda t: clean_heading(t["text"]).isNotNull())
+    any_h1 = F.filter(h1, lambda t: clean_heading(text_of(t)).isNotNull())
 
     def first_h1(cond) -> Column:
-        return clean_heading(F.get(F.filter(h1, cond), F.lit(0))["text"])
+        return clean_heading(text_of(F.get(F.filter(h1, cond), F.lit(0))))
 
     title = F.coalesce(
         first_h1(lambda t: inside(t["path"], "main") & inside(t["path"], ".qa-headline-title")),
         first_h1(lambda t: inside(t["path"], "main")),
         first_h1(lambda t: inside(t["path"], "article")),
-        F.nullif(trim_all(F.get(any_h1, F.lit(0))["text"]), F.lit("")),
+        F.nullif(trim_all(text_of(F.get(any_h1, F.lit(0)))), F.lit("")),
         fallback_title if fallback_title is not None else F.lit(None).cast("string"),
         F.nullif(F.try_element_at(F.split(F.col(url), "/"), F.lit(-2)), F.lit("")),
         F.lit("DAAD Page"),
@@ -241,7 +247,7 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
     rows = computed(rows, {"_root": first_root(tokens, ["main", "body"]), "title_de": title})
     dialogs = F.filter(
         "_tokens",
-        lambda t: t["tag"].isin("dialog", "aside", "nav") & contains_any(F.lower(t["text"]), ["cookie", "einwilligung"])
+        lambda t: t["tag"].isin("dialog", "aside", "nav") & contains_any(F.lower(text_of(t)), ["cookie", "einwilligung"])
         & under(t["path"], F.col("_root")),
     )
     rows = computed(rows, {"_cookie": F.transform(dialogs, lambda t: F.substring_index(t["path"], "/", -1))})
@@ -250,7 +256,7 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
         lambda t: (t["tag"] == TEXT) & under(t["path"], F.col("_root"))
         & ~F.exists("_cookie", lambda step: under(t["path"], step)),
     )
-    text = clean_text(F.array_join(F.transform(nodes, lambda t: trim_all(t["text"])), "\n"))
+    text = clean_text(F.array_join(F.transform(nodes, lambda t: trim_all(text_of(t))), "\n"))
     text = F.replace(text, F.lit("­"), F.lit(""))
     for phrase in C.EXCHANGE_NOISE_PHRASES:
         text = F.replace(text, F.lit(phrase), F.lit(""))
@@ -296,14 +302,14 @@ def with_office_lines(rows: DataFrame, cfg: OfficeConfig) -> DataFrame:
     rows = computed(rows, {"_kept": F.filter("_tokens", lambda t: (t["tag"] == TEXT) & ~t["path"].rlike(banned))})
     rows = computed(rows, {"_root": first_root(F.col("_kept"), list(cfg.root))})
     nodes = F.filter("_kept", lambda t: F.col("_root").isNull() | under(t["path"], F.col("_root")))
-    lines = F.flatten(F.transform(nodes, lambda t: F.split(t["text"], "\n")))
+    lines = F.flatten(F.transform(nodes, lambda t: F.split(text_of(t), "\n")))
     lines = F.filter(F.transform(lines, trim_all), lambda x: F.length(x) > 15)
     return computed(rows, {"_lines": lines})
 
 
 def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: str = "url") -> DataFrame:
     """City office guides with topic, fee line, duration line and contact lines."""
-    head = trim_all(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))["text"])
+    head = trim_all(text_of(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))))
     rows = computed(
         with_office_lines(_tokenised(pages, html), cfg),
         {"title": F.coalesce(F.nullif(head, F.lit("")), F.lit(cfg.default_title))},
@@ -336,7 +342,7 @@ def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: st
 def keyed_office_page(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Office guides of the second city, labelled by the key found in the address."""
     rows = _tokenised(pages, html).withColumn("_office", keyed_office(F.col(url)))
-    h1 = F.nullif(trim_all(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))["text"]), F.lit(""))
+    h1 = F.nullif(trim_all(text_of(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0)))), F.lit(""))
     values = {
         "key": F.col("_office.key"), "name": F.col("_office.title_zh"), "topic": F.col("_office.topic"),
         "title": F.coalesce(h1, F.col("_office.label")),
@@ -366,7 +372,7 @@ def news_page(pages: DataFrame, html: str = "html", static: bool = False) -> Dat
         good = t["tag"] == "p"
         return good if static else good & (F.col("_root").isNull() | under(t["path"], F.col("_root")))
 
-    texts = F.transform(F.filter("_tokens", keep), lambda t: trim_all(t["text"]))
+    texts = F.transform(F.filter("_tokens", keep), lambda t: trim_all(text_of(t)))
 
     def long_enough(x: Column) -> Column:
         good = F.length(x) > floor
@@ -375,30 +381,30 @@ def news_page(pages: DataFrame, html: str = "html", static: bool = False) -> Dat
     head = lambda tag: F.coalesce(_trimmed_first(F.col("_tokens"), tag), F.lit(""))
     stamp = F.get(F.filter("_tokens", lambda t: t["tag"] == "time"), F.lit(0))
     meta = F.get(F.filter("_tokens", lambda t: (t["tag"] == "meta") & (t["href"] == "date")), F.lit(0))
-    date = F.coalesce(F.nullif(stamp["href"], F.lit("")), trim_all(stamp["text"]), trim_all(meta["text"]), F.lit(""))
+    date = F.coalesce(F.nullif(stamp["href"], F.lit("")), trim_all(text_of(stamp)), trim_all(meta["title"]), F.lit(""))
     if static:
         date = F.regexp_extract(F.col(html), r"(\d{1,2}[./]\d{1,2}[./]\d{2,4})", 1)
     out = rows.withColumns({"news_title": head("h1"), "news_subtitle": head("h2"), "news_date": date,
                             "paragraphs": F.filter(texts, long_enough)})
-    return out.drop("_tokens", "_root")
+    return out.drop("_tokens", "_texts", "_root")
 
 
 def _trimmed_first(tokens: Column, tag: str) -> Column:
-    return trim_all(F.get(_texts(tokens, [tag]), F.lit(0))["text"])
+    return trim_all(text_of(F.get(_texts(tokens, [tag]), F.lit(0))))
 
 
 def page_links(pages: DataFrame, html: str = "html", url: str = "url", resolve: bool = True) -> DataFrame:
     """One row per link of a page: position, absolute url, text and title; anchors within the page skipped."""
     kept = [c for c in pages.columns if c != html]
     links = F.filter(
-        page_tokens(F.col(html)),
-        lambda t: (t["tag"] == "a") & (F.coalesce(t["href"], F.lit("")) != "") & ~t["href"].startswith("#"),
+        "_tokens", lambda t: (t["tag"] == "a") & (F.coalesce(t["href"], F.lit("")) != "") & ~t["href"].startswith("#")
     )
-    rows = pages.select(*kept, F.posexplode(links).alias("pos", "link"))
-    text = trim_all(F.col("link.text"))
+    found = F.transform(links, lambda t: F.struct(t["href"].alias("href"), t["title"].alias("title"), trim_all(text_of(t)).alias("text")))
+    rows = _tokenised(pages, html).select(*kept, F.posexplode(found).alias("pos", "link"))
     target = absolute_url(F.col("link.href"), F.col(url)) if resolve else F.col("link.href")
+    rows = computed(rows, {"link_url": target})  # resolved once, however often it is filtered on
     return rows.select(
-        *kept, "pos", target.alias("link_url"), text.alias("link_text"), text_or(F.col("link.title"), text).alias("link_title")
+        *kept, "pos", "link_url", F.col("link.text").alias("link_text"), text_or(F.col("link.title"), F.col("link.text")).alias("link_title")
     )
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_ATTEMPTS
 from ..functions.text import trim_all
-from .merge import upsert
 
 
 def enqueue_jobs(queue: DataFrame, jobs: DataFrame, fetched: DataFrame, as_of: str) -> DataFrame:
@@ -52,8 +51,11 @@ def next_items(queue: DataFrame, n: int = 5) -> DataFrame:
 
 def claim(queue: DataFrame, n: int = 5) -> DataFrame:
     """Queue after claiming the next ``n`` items: processing, each with its own attempt counted."""
-    taken = next_items(queue, n).select("id", (F.col("attempts") + 1).alias("attempts"), F.lit("processing").alias("status"))
-    return upsert(queue, taken, "id", unique=True)
+    taken = F.broadcast(next_items(queue, n).select("id", F.lit(True).alias("_taken")))  # n rows
+    rows = queue.join(taken, "id", "left")
+    hit = F.coalesce("_taken", F.lit(False))
+    updates = {"status": F.when(hit, "processing").otherwise(F.col("status")), "attempts": F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts"))}
+    return rows.withColumns(updates).select(*queue.columns)
 
 
 def resolve_queue(queue: DataFrame, policies: DataFrame, jobs: DataFrame) -> DataFrame:

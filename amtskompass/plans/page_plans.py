@@ -55,12 +55,71 @@ def h2(spark, d):
     return pages.basic_page(A.table(spark, d, "pages")).select("page_id", "title", F.md5("content").alias("content_md5"), "published_date")
 
 
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+PARAGRAPHS = f"list_transform(string_split({ARTICLE}, '<p>')[2:], lambda x: {decoded("regexp_replace(regexp_replace(x, '(?s)</p>.*', ''), '<[^>]*>', '', 'g')")})"
+HEADING = decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+
+
+def squeezed(expr: str) -> str:
+    return f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+
+
+def key_sql(prefix: str) -> str:
+    key = f"lower(trim(regexp_replace(regexp_replace('{prefix}_' || replace(replace(url, 'https://', ''), 'http://', ''), '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '_'))"
+    return f"CASE WHEN length({key}) > 100 THEN substr({key}, 1, 80) || '_' || substr(md5(url), 1, 8) ELSE {key} END"
+
+
+def slug_sql(name: str) -> str:
+    return f"substr(trim(regexp_replace(lower(trim({name})), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) || '-' || substr(md5(url), 1, 6)"
+
+
+def guide_sql(cfg: pages.GuideConfig) -> str:
+    """Pages of the given table are one heading and its paragraphs, so a guide is their filtered texts."""
+    keep = ["length(x) >= 5"]
+    if cfg.boilerplate:
+        keep.append("NOT (" + " OR ".join(f"regexp_matches(x, '{b}')" for b in cfg.boilerplate) + ")")
+    if cfg.nav_words:
+        keep.append(f"NOT (length(x) < {cfg.nav_max} AND lower(x) IN ({', '.join(repr(w) for w in cfg.nav_words)}))")
+    keep += [f"NOT contains(lower(x), '{w}')" for w in cfg.block_words]
+    parts = f"list_filter(list_transform({PARAGRAPHS}, lambda x: {squeezed('x')}), lambda x: {' AND '.join(keep)})"
+    whole = squeezed(decoded(f"regexp_replace({ARTICLE}, '<[^>]*>', '', 'g')"))
+    return f"""SELECT {key_sql(cfg.prefix)} AS service_key, {slug_sql('t')} AS slug, t AS title_de, t AS title_zh, md5(body) AS summary_md5, url AS source_url FROM (
+  SELECT url, t, CASE WHEN len(p) >= {cfg.min_parts} THEN array_to_string(p, chr(10) || chr(10)) WHEN length(w) > 10 THEN w ELSE '' END AS body
+  FROM (SELECT url, coalesce(nullif({squeezed(HEADING)}, ''), '{cfg.title_default}') AS t, {parts} AS p, {whole} AS w FROM pages)) WHERE length(body) >= {cfg.min_length}"""
+
+
+def publisher_pages(spark, d, before: str, behind: str):
+    """Pages with the article in the element that a publisher's configuration looks for."""
+    html = F.replace(F.replace("html", F.lit("<article>"), F.lit(before)), F.lit("</article>"), F.lit(behind))
+    return A.table(spark, d, "pages").select("page_id", "url", html.alias("html"))
+
+
+def guides(spark, d, cfg: pages.GuideConfig, before: str = "<main>", behind: str = "</main>"):
+    found = pages.extract_guides(publisher_pages(spark, d, before, behind), cfg)
+    return found.withColumn("summary_md5", F.md5("summary_zh")).drop("summary_zh")
+
+
 LOCAL_GUIDES = pages.GuideConfig(prefix="site", root=["article"], min_parts=3, title_within=["article"])
 
 
-@query("H3_extract_guides")
+@query("H3_extract_guides", guide_sql(LOCAL_GUIDES))
 def h3(spark, d):
-    return pages.extract_guides(A.table(spark, d, "pages"), LOCAL_GUIDES)
+    return guides(spark, d, LOCAL_GUIDES, "<article>", "</article>")
+
+
+@query("H3_migration_office", guide_sql(pages.MIGRATION_OFFICE))
+def h3_migration(spark, d):
+    return guides(spark, d, pages.MIGRATION_OFFICE, '<div id="content"><div class="column">', "</div></div>")
+
+
+@query("H3_foreign_office", guide_sql(pages.FOREIGN_OFFICE))
+def h3_foreign(spark, d):
+    return guides(spark, d, pages.FOREIGN_OFFICE)
+
+
+@query("H3_consumer_guide", guide_sql(pages.CONSUMER_GUIDE))
+def h3_consumer(spark, d):
+    return guides(spark, d, pages.CONSUMER_GUIDE)
 
 
 @query("H3_extract_exchange_pages")
@@ -68,9 +127,32 @@ def h3_exchange(spark, d):
     return pages.extract_exchange_pages(A.table(spark, d, "pages"))
 
 
-@query("H4_office_pages")
+NODES = f"list_transform(regexp_split_to_array({ARTICLE}, '<[^>]*>'), lambda x: {decoded('x')})"
+LINES = f"list_filter(list_transform(flatten(list_transform({NODES}, lambda x: string_split(x, chr(10)))), lambda x: trim(x, ' ' || chr(9))), lambda x: length(x) > 15)"
+CONTACT = " OR ".join(f"contains(lower(x), '{w}')" for w in C.CONTACT_NEEDLES)
+FEES_ASCII = "(?i)([0-9]+[.,]?[0-9]*)\\s*(€|euro|eur)|gebühren?pflichtig|gebühren?|kostenlos"
+DAYS_ASCII = "(?i)([0-9]+)\\s*(woche|monat|tag|jahr|wochen|monaten|tagen|jahren)|bearbeitungszeit|dauer"
+
+
+@query(
+    "H4_office_pages",
+    f"""SELECT 'berlin_lea_' || substr(regexp_replace(lower(t), '[^a-z0-9]', '_', 'g'), 1, 40) AS service_key, {slug_sql("'berlin-lea-' || t")} AS slug,
+  'Berlin LEA — ' || t AS title_de, substr(coalesce(list_filter(l, lambda x: regexp_matches(x, '{FEES_ASCII}'))[1], ''), 1, 150) AS fees_zh,
+  substr(coalesce(list_filter(l, lambda x: regexp_matches(x, '{DAYS_ASCII}'))[1], ''), 1, 150) AS duration_zh, md5(array_to_string(list_filter(l, lambda x: {CONTACT}), chr(10))) AS contact_md5,
+  '居留与签证' AS category, url AS source_url, '市' AS region_level, 'Berlin' AS region_name, false AS translated
+FROM (SELECT url, coalesce(nullif(trim({HEADING}), ''), 'Berlin LEA') AS t, {LINES} AS l FROM pages)""",
+)
 def h4(spark, d):
-    return pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig())
+    found = pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig())
+    return found.select(
+        "service_key", "slug", "title_de", "fees_zh", "duration_zh", F.md5("contact_info").alias("contact_md5"), "category", "source_url", "region_level", "region_name", "translated"
+    )
+
+
+@query("H4_office_labels")
+def h4_labels(spark, d):
+    """Labels of the office pages: name, topic and texts made of them (the rules have queries with SQL of their own)."""
+    return pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig()).select("source_url", "title_zh", "summary_zh", "tags")
 
 
 @query("H4_keyed_office_pages")
@@ -113,25 +195,35 @@ def h5(spark, d):
     )
 
 
-@query("H6_news_pages")
+TRIMMED = f"list_transform({PARAGRAPHS}, lambda x: trim(x, ' ' || chr(10)))"
+
+
+@query(
+    "H6_news_pages",
+    f"""SELECT page_id, trim({HEADING}) AS news_title, '' AS news_subtitle, '' AS news_date,
+  array_to_string(list_filter({TRIMMED}, lambda x: length(x) > 50 AND NOT contains(x, 'cookie') AND NOT contains(x, 'Datenschutz')), '|') AS paragraphs FROM pages""",
+)
 def h6(spark, d):
     return pages.news_page(A.table(spark, d, "pages")).select("page_id", "news_title", "news_subtitle", "news_date", "paragraphs")
 
 
-@query("H6_news_pages_static")
+@query(
+    "H6_news_pages_static",
+    f"""SELECT page_id, trim({HEADING}) AS news_title, regexp_extract(html, '(\\d{{1,2}}[./]\\d{{1,2}}[./]\\d{{2,4}})', 1) AS news_date,
+  array_to_string(list_filter({TRIMMED}, lambda x: length(x) > 30), '|') AS paragraphs FROM pages""",
+)
 def h6_static(spark, d):
     return pages.news_page(A.table(spark, d, "pages"), static=True).select("page_id", "news_title", "news_date", "paragraphs")
 
 
 @query(
     "H7_page_links",
-    """SELECT page_id, href AS raw, pos FROM (
-  SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (
-    SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> '' AND x[1] <> '#') AS h FROM pages))""",
+    """SELECT page_id, unnest(h) AS raw, generate_subscripts(h, 1) - 1 AS pos, trim(unnest(t)) AS link_text, trim(unnest(t)) AS link_title FROM (
+    SELECT page_id, regexp_extract_all(html, '<a href="([^"#][^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"#][^"]*)">([^<]*)</a>', 2) AS t FROM pages)""",
 )
 def h7(spark, d):
     links = pages.page_links(A.table(spark, d, "pages"), resolve=False)
-    return links.select("page_id", F.col("link_url").alias("raw"), "pos")
+    return links.select("page_id", F.col("link_url").alias("raw"), "pos", "link_text", "link_title")
 
 
 @query(
@@ -217,20 +309,28 @@ def f19(spark, d):
     return A.table(spark, d, "pages").select("page_id", (pages.guide_url(F.col("url")) & pages.guide_url(F.col("html"))).alias("keep"))
 
 
-BOILER = pages.GuideConfig(
-    prefix="x", root=["main"], boilerplate=["^Le ", "^De "], nav_words=["und", "the end."], nav_max=15, block_words=["schei", "cookie"]
-)
+def kept_sql(cfg: pages.GuideConfig) -> str:
+    keep = ["length(x) >= 5"]
+    keep += ["NOT (" + " OR ".join(f"regexp_matches(x, '{b}')" for b in cfg.boilerplate) + ")"] if cfg.boilerplate else []
+    keep += [f"NOT (length(x) < {cfg.nav_max} AND lower(x) IN ({', '.join(repr(w) for w in cfg.nav_words)}))"] if cfg.nav_words else []
+    keep += [f"NOT contains(lower(x), '{w}')" for w in cfg.block_words]
+    return f"list_filter(l, lambda x: {' AND '.join(keep)})"
+
+
+PUBLISHERS = {"migration": pages.MIGRATION_OFFICE, "foreign": pages.FOREIGN_OFFICE, "consumer": pages.CONSUMER_GUIDE}
+# words of the documents, some of them replaced by navigation words, cookie notes and the like
+NOISE = ["Teilen", "zurück", "Wir nutzen Cookies im Netz", "mehr dazu", "Facebook und mehr"]
 
 
 @query(
     "F20_drop_boilerplate",
-    """SELECT doc_id, len(k) AS kept, md5(array_to_string(k, '|')) AS kept_md5 FROM (
-  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 5 AND NOT regexp_matches(x, '^Le |^De ')
-    AND NOT (length(x) < 15 AND lower(x) IN ('und', 'the end.')) AND NOT contains(lower(x), 'schei') AND NOT contains(lower(x), 'cookie')) AS k FROM documents)""",
+    f"""WITH t AS (SELECT doc_id, list_concat([{', '.join(repr(n) for n in NOISE)}], string_split(text, chr(10))) AS l FROM documents)
+SELECT doc_id, {', '.join(f'md5(array_to_string({kept_sql(c)}, $$|$$)) AS {n}_md5' for n, c in PUBLISHERS.items())} FROM t""",
 )
 def f20(spark, d):
-    kept = pages.drop_boilerplate(F.split("text", "\n"), BOILER)
-    return A.table(spark, d, "documents").select("doc_id", F.size(kept).alias("kept"), F.md5(F.array_join(kept, "|")).alias("kept_md5"))
+    lines = F.concat(F.array(*[F.lit(n) for n in NOISE]), F.split("text", "\n"))
+    docs = A.table(spark, d, "documents").select("doc_id", lines.alias("lines"))
+    return docs.select("doc_id", *[F.md5(F.array_join(pages.drop_boilerplate(F.col("lines"), c), "|")).alias(f"{n}_md5") for n, c in PUBLISHERS.items()])
 
 
 @query(

@@ -212,11 +212,6 @@ def test_region_tree_sorts_like_german(spark):
         ("Baden-Württemberg", 0, ["Landkreis Ludwigsburg", "Stuttgart"]), ("Bayern", 1, []), ("Zwickau", 999, [])]
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    assert tables.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert tables.spread(spark.range(0, 100, 1, 99)).rdd.getNumPartitions() == 99
-
-
 def test_sinks_and_registry(spark, tmp_path):
     df = spark.createDataFrame([("1", "p", "ok", 0.5)], "id string, policy_id string, review_status string, confidence double")
     path = str(tmp_path / "reviews")
@@ -397,3 +392,35 @@ def test_last_reply_wins_and_missing_field_fails(spark):
     reps = spark.createDataFrame([("a", "1", 0), ("a", "2", 1), ("b", None, 0)], "refnr string, description_zh string, pos int")
     got = enrich.reconcile(batch, reps, "refnr", "description_zh", ["pos"])
     assert rows(got, "refnr", "ok", "r_description_zh") == [("a", True, "2"), ("b", False, None), ("c", False, None)]
+
+
+# --- page tokens -------------------------------------------------------------------------------
+
+
+def test_tokens_grow_with_the_page_however_many_tags_stay_open():
+    from amtskompass.functions.html import _parse
+
+    def size(page):
+        return sum(len(t["path"]) + 40 for t in page["tokens"]) + sum(map(len, page["texts"]))
+
+    for piece in ("<p>some text ", "<li>item ", "<td>cell ", "<span>word ", "<a href='/x'>link ", "<div class='box'>text ", "<b>bold ", "</i>x<p>"):
+        small, large = (size(_parse(piece * (n // len(piece)))) for n in (100_000, 1_000_000))
+        assert large < 12 * small and large < 3_000_000_000 and small > 0, piece
+    plain = _parse("<p>some text " * 80_000)
+    assert size(plain) < 20_000_000 and all(t["end"] - t["begin"] == 1 for t in plain["tokens"])
+
+
+def test_text_split_by_tags_stays_whole(spark):
+    html = "<main><h1>Ein<b>bürger</b>ung</h1><p>Die Ein<i>bürger</i>ung dauert.</p></main>"
+    page = spark.createDataFrame([("https://x.de/a", html)], "url string, html string")
+    cfg = pages.GuideConfig(prefix="x", root=["main"], title_within=["main"])
+    row = pages.extract_guides(page, cfg).first()
+    assert row["title_de"] == "Einbürgerung" and row["summary_zh"] == "EinbürgerungDie Einbürgerung dauert."
+
+
+def test_fee_lines_with_unusual_blanks_and_capitals(one):
+    from amtskompass.functions import constants as C
+
+    for line in ("10 € im Amt", "GEBÜHREN", "5,50 EUR", "gebührenpflichtig"):
+        assert one({"a": f"nichts\n{line}"}, pages.first_matching_line(F.split("a", "\n"), C.FEE_PATTERNS)) == line
+    assert one({"a": "etwa 3 WOCHEN"}, pages.first_matching_line(F.split("a", "\n"), C.DURATION_PATTERNS)) == "etwa 3 WOCHEN"
