@@ -47,6 +47,15 @@ def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def span_names(symbols: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of ranges of ``symbols``, whose own names stand in ``table``."""
+    power, inverse = _powers(0, len(symbols) + 1)
+    prefix = np.empty(len(symbols) + 1, dtype=np.uint64)
+    prefix[0] = 0
+    np.cumsum(table[symbols] * power[: len(symbols)], out=prefix[1:])
+    return mix(((prefix[end] - prefix[start]) * inverse[start]) ^ ((end - start).astype(np.uint64) * _GAMMA))
+
+
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, dtype=bool)

@@ -10,30 +10,78 @@ Nothing is shuffled, and a lost task is simply run again.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import all_pieces
+from .blocks import all_pieces, mix, span_names
 from .shared import FLUSH_BYTES
 
 LENGTH = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
-CACHE_WORDS = 400_000  # distinct pre-tokens whose ids a worker remembers
+CACHE_WORDS = 600_000  # distinct pre-tokens whose ids a worker remembers
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 # Texts of these characters alone are split here (letters, digits and blanks of the Latin blocks are beyond doubt);
 # all others are left to the tokenizer as a whole.
-_LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
 _SPECIAL = "<|"
+_OTHER, _LETTER, _DIGIT, _BLANK = range(4)
+_CLASS = np.zeros(0x250, dtype=np.int8)
+for _kind, _members in ((_LETTER, "A-Za-zªµºÀ-ÖØ-öø-ɏ"), (_DIGIT, "0-9²³¹¼-¾"), (_BLANK, "\t\n\r ")):
+    _CLASS[[ord(c) for c in re.findall(f"[{_members}]", "".join(map(chr, range(0x250))))]] = _kind
+_NAMES = mix(np.arange(0x250, dtype=np.uint64) + np.uint64(77))
+_QUOTE, _SPACE = ord("'"), ord(" ")
+
+
+def pre_tokens(codes: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokens of a text given as code points: letters, digits or other signs, each with one space before
+    it, the endings 's 't 're 've 'm 'll 'd, and blanks (the last one before a word apart)."""
+    n = len(codes)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    kind = _CLASS[codes]
+    fresh = np.empty(n, dtype=bool)  # begins a run of one kind
+    fresh[0] = True
+    fresh[1:] = kind[1:] != kind[:-1]
+    blank = kind == _BLANK
+    start = fresh.copy()
+    into = fresh[1:] & blank[:-1]  # a run of blanks ends before this place
+    start[:-1] |= into  # its last blank stands apart ...
+    start[1:] &= ~(into & (codes[:-1] == _SPACE))  # ... and a space goes with what follows
+    quote = np.flatnonzero(codes == _QUOTE)
+    quote = quote[start[quote] & (quote < n - 1)]
+    if len(quote):
+        after = np.append(codes, [0, 0])
+        one, two = after[quote + 1], after[quote + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long_ = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        start[quote[short | long_] + 1] = False
+        end = np.concatenate((quote[short] + 2, quote[long_] + 3))
+        start[end[end < n]] = True
+    return np.flatnonzero(start)
+
+
+def _ranked(tokenizer):
+    """The same vocabulary for the faster library, where every merge has the rank of its id; else None."""
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(pairs)):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in the vocabulary
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(pairs)}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Ids:
@@ -43,39 +91,73 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast = _ranked(self.tokenizer)
+        self.newline = self.encode("\n")
         self.clear()
 
-    def clear(self) -> None:
-        ids, begin, pool = self, [], []
-        encode = self.tokenizer.encode
-
-        class Known(dict):
-            def __missing__(self, word: str) -> int:
-                begin.append(len(pool))
-                pool.extend(encode(word, add_special_tokens=False).ids)
-                self[word] = len(begin) - 1
-                return len(begin) - 1
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-        ids.known, ids.begin, ids.pool = Known(), begin, pool
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.begin, self.pool = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def learn(self, names: list[int], words: list[str]) -> None:
+        """Ids of new pre-tokens: those that are not blanks go through the tokenizer together, one in each line."""
+        blank = [w[0] in "\t\n\r" or w.isspace() for w in words]
+        text = "\n".join(w for w, b in zip(words, blank, strict=True) if not b)
+        together = np.array(self.fast.encode_ordinary(text) if self.fast else self.encode(text), dtype=np.uint32)
+        ends = np.flatnonzero(together == self.newline[0])
+        sizes = [np.diff(np.append(np.append(-1, ends), len(together))) - 1]
+        pools = [np.delete(together, ends)]
+        order = [n for n, b in zip(names, blank, strict=True) if not b]
+        if not order:
+            sizes = []
+        for name, word, b in zip(names, words, blank, strict=True):
+            if b:
+                order.append(name)
+                pools.append(np.array(self.encode(word), dtype=np.uint32))
+                sizes.append(np.array([len(pools[-1])]))
+        self.known.update(zip(order, range(len(self.begin) - 1, len(self.begin) - 1 + len(order)), strict=True))
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes)))
+        self.pool = np.concatenate((self.pool, *pools))
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that can be split here, all as one array of code points with a line end after each."""
+        whole = "\n".join(texts) + "\n"
+        codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        bounds = np.append(0, np.cumsum(size + 1))
+        starts = [pre_tokens(codes[a : b - 1]) + a for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        count = [len(s) for s in starts]
+        start = np.concatenate(starts)
+        end = np.append(start[1:], len(codes))
+        last = np.cumsum(count) - 1
+        end[last[np.array(count) > 0]] = bounds[1:][np.array(count) > 0] - 1
+        names, first, at = np.unique(span_names(codes, _NAMES, start, end), return_index=True, return_inverse=True)
+        index = [self.known.get(name, -1) for name in names.tolist()]
+        new = [k for k, i in enumerate(index) if i < 0]
+        if new:
+            self.learn(names[new].tolist(), [whole[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            index = [self.known[name] for name in names.tolist()]
+        word = np.array(index, dtype=np.int64)[at]
+        many = self.begin[word + 1] - self.begin[word]
+        upto = np.cumsum(many)
+        ids = self.pool[np.repeat(self.begin[word] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.append(0, upto)[np.append(0, np.cumsum(count))]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, followed by id 0."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        find, get = _SPLIT.findall, self.known.__getitem__
-        plain = [_PLAIN.fullmatch(t) is not None and _SPECIAL not in t for t in texts]
-        words = [np.fromiter(map(get, find(t)), dtype=np.int64) if p else None for t, p in zip(texts, plain, strict=True)]
-        begin = np.append(np.array(self.begin, dtype=np.int64), len(self.pool))
-        pool = np.array(self.pool, dtype=np.uint32)
-        out = []
-        for t, w in zip(texts, words, strict=True):
-            if w is None:
-                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-            else:
-                size = begin[w + 1] - begin[w]
-                ids = pool[np.repeat(begin[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            out.append(np.append(ids, np.uint32(0)))
-        return out
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t) and _SPECIAL not in t]
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        for k, ids in zip(plain, self._plain([texts[k] for k in plain]) if plain else [], strict=True):
+            out[k] = ids
+        for k in set(range(len(texts))) - set(plain):
+            out[k] = np.array(self.encode(texts[k]), dtype=np.uint32)
+        return [np.append(ids, np.uint32(0)) for ids in out]
 
 
 def place(sizes: list[int], length: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
