@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions.dates import format_date, is_new
@@ -13,9 +14,10 @@ from ..operators import catalog as cat
 from ..operators import stats
 from ..operators import visibility as vis
 from ..operators.related import related
+from ..session import reliable_checkpoint
 from ..sources import adapters as A
 from ..sources.schemas import POLICY_PAGE
-from ..sources.tables import existing_keys
+from ..sources.tables import existing_keys, read_table
 from .registry import query
 from .roles_sql import q, region_name, region_state as sql_state, with_roles
 
@@ -34,7 +36,9 @@ JOBS = ["jobs"]
 
 @query("S1_table_scan", with_roles([], "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents").replace("WITH \n", ""))
 def s1(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    scan = read_table(spark, f"{d}/documents.parquet", T.StructType.fromDDL(schema), ["doc_id", "lang", "source", "text"])
+    return scan.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
 @query("S2_existing_keys", with_roles(V1, "SELECT DISTINCT official_url FROM policies_v1 WHERE official_url IS NOT NULL"))
@@ -393,17 +397,19 @@ def a9(spark, d):
 
 @query(
     "J9_related",
-    with_roles(V1, """
+    with_roles(NORM, """
 SELECT id, related_id, score, rank FROM (
   SELECT a.id, b.id AS related_id,
-    CASE WHEN a.region_name = b.region_name THEN 3 ELSE 0 END + CASE WHEN a.category = b.category THEN 3 ELSE 0 END
-    + CASE WHEN a.publisher = b.publisher THEN 2 ELSE 0 END + CASE WHEN list_has_any(a.target_groups, b.target_groups) THEN 1 ELSE 0 END AS score,
+    CASE WHEN a.reg = b.reg THEN 3 ELSE 0 END + CASE WHEN a.cat = b.cat THEN 3 ELSE 0 END
+    + CASE WHEN a.publisher = b.publisher THEN 2 ELSE 0 END + CASE WHEN list_has_any(a.grp, b.grp) THEN 1 ELSE 0 END AS score,
     row_number() OVER (PARTITION BY a.id ORDER BY score DESC, b.published_at DESC NULLS LAST, b.id) AS rank
-  FROM policies_v1 a, policies_v1 b WHERE a.id <> b.id AND a.status = 'published' AND b.status = 'published')
+  FROM norm a, norm b WHERE a.id <> b.id AND a.status = 'published' AND b.status = 'published')
 WHERE score > 0 AND rank <= 3"""),
 )
 def j9(spark, d):
-    return related(vis.visible(A.policies_v1(spark, d), "policy_v1"), 3)
+    # the rules read whole texts: apply them once, and keep the few columns that are scored
+    shown = normalize_policies(vis.visible(A.policies_v1(spark, d), "policy_v1"))
+    return related(reliable_checkpoint(shown.select("id", "region_name", "category", "publisher", "target_groups", "published_at", "status")), 3)
 
 
 @query(

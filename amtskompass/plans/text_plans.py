@@ -190,12 +190,17 @@ def x8(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", normalize_date(raw).alias("d"))
 
 
+X11_VALUE = "c_name || ' ' || c_mktsegment || CASE c_custkey % 3 WHEN 0 THEN ' Größe & Übérgröße' WHEN 1 THEN ' Straße' ELSE '' END"
+
+
 @query(
     "X11_feed_slug",
-    "SELECT c_custkey, trim(substr(regexp_replace(lower(c_name || ' ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), 1, 72), '-') || '-' || substr(sha1(c_name || ' ' || c_mktsegment), 1, 8) AS slug FROM customer",
+    f"""SELECT c_custkey, substr(trim(regexp_replace(replace(strip_accents(lower({X11_VALUE})), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 72) || '-' || substr(sha1({X11_VALUE}), 1, 8) AS slug FROM customer""",
 )
 def x11(spark, d):
-    return A.table(spark, d, "customer").select("c_custkey", keys.feed_slug(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("slug"))
+    i = F.col("c_custkey") % 3
+    tail = F.when(i == 0, " Größe & Übérgröße").when(i == 1, " Straße").otherwise("")
+    return A.table(spark, d, "customer").select("c_custkey", keys.feed_slug(F.concat("c_name", F.lit(" "), "c_mktsegment", tail)).alias("slug"))
 
 
 @query(
@@ -239,27 +244,35 @@ def x15(spark, d):
     return A.table(spark, d, "pages").select("page_id", keys.service_key(u, "px").alias("service_key"))
 
 
+def entry_of(text):
+    """Description of the first entry of a JSON text in any of the accepted shapes."""
+    return F.coalesce(*[F.get_json_object(text, f"{p}.description_zh") for p in ("$", "$[0]", "$.results[0]")])
+
+
 @query(
     "X17_json_object_text",
     with_roles(["replies"], """
-SELECT refnr, turn, shape <> 6 AS found, CASE WHEN shape <> 6 THEN true ELSE false END AS readable FROM replies"""),
+SELECT refnr, turn, shape <> 6 AS found, CASE WHEN shape NOT IN (3, 6) THEN md5(text) END AS text_md5 FROM replies"""),
 )
 def x17(spark, d):
     found = replies.json_object_text(F.col("reply_text"))
     return A.model_replies(spark, d).select(
-        "refnr", "turn", found.isNotNull().alias("found"), (found.startswith("{") & found.endswith("}")).alias("ok")
-    ).select("refnr", "turn", "found", F.coalesce("ok", F.lit(False)).alias("readable"))
+        "refnr", "turn", found.isNotNull().alias("found"), F.when(F.col("shape") != 3, F.md5(entry_of(found))).alias("text_md5")
+    )
 
 
 @query(
     "X18_fence_stripped",
-    with_roles(["replies"], "SELECT refnr, turn, shape = 0 AS was_fenced, false AS has_control FROM replies"),
+    with_roles(["replies"], """
+SELECT refnr, turn, shape = 0 AS was_fenced, false AS has_control, CASE WHEN shape NOT IN (3, 4, 6) THEN md5(text) END AS text_md5,
+  CASE shape WHEN 6 THEN 'kein JSON: ' || role END AS plain FROM replies"""),
 )
 def x18(spark, d):
     t = replies.fence_stripped(F.col("reply_text"))
+    shape = F.col("shape")
     return A.model_replies(spark, d).select(
         "refnr", "turn", (F.col("reply_text").contains("```") & ~t.contains("```")).alias("was_fenced"),
-        t.rlike(replies.CONTROL).alias("has_control"),
+        t.rlike(replies.CONTROL).alias("has_control"), F.when(~shape.isin(3, 4, 6), F.md5(entry_of(t))).alias("text_md5"), F.when(shape == 6, t).alias("plain"),
     )
 
 
