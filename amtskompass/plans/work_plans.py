@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators import enrich, quality, queue, runs
+from ..functions import prompts
+from ..operators import enrich, jobs, quality, queue, runs
 from ..sources import adapters as A
 from .registry import query
-from .roles_sql import q, with_roles
+from .roles_sql import any_of, q, with_roles
 from .text_plans import parsed_replies
 
 AS_OF = "2024-07-01 00:00:00"
@@ -312,3 +313,89 @@ def r2_policies(spark, d):
     return quality.audit(doubled, "policy_v1")
 
 
+
+
+# --- details, prompt blocks and audits of the other tables ----------------------------------
+
+
+@query(
+    "Q10_apply_details",
+    with_roles(["jobs"], f"""
+SELECT refnr, CASE WHEN hit THEN detail ELSE description_de END AS description_de,
+  CASE WHEN NOT hit THEN array_to_string(work_type, '|') WHEN len(w) = 0 THEN '全职' ELSE array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '|') END AS work_type,
+  CASE WHEN hit THEN {STAMP} ELSE strftime(updated_at, '%Y-%m-%d %H:%M:%S') END AS updated_at
+FROM (SELECT *, ok % 4 > 1 AS hit, list_filter([CASE WHEN ok % 3 = 0 THEN '迷你岗' END, CASE WHEN ok % 5 = 0 THEN '兼职' END, CASE WHEN contains(t, 'vollzeit') THEN '全职' END,
+    CASE WHEN contains(t, 'teilzeit') THEN '兼职' END, CASE WHEN {any_of('t', C.REMOTE_NEEDLES)} THEN '远程' END], lambda x: x IS NOT NULL) AS w
+  FROM (SELECT *, lower(detail || ' ' || title_de) AS t FROM (SELECT *, 'Detail ' || title_de || ' ' || ok AS detail FROM jobs)))"""),
+)
+def q10_details(spark, d):
+    """Fetched job details folded in: a third of the fetches failed or is of an unknown job."""
+    jobs_ = A.jobs(spark, d)
+    n = F.col("refnr").cast("bigint")
+    text = F.concat(F.lit("Detail "), "title_de", F.lit(" "), "refnr")
+    details = jobs_.where(n % 4 > 0).select(
+        "refnr", F.col("title_de").alias("stellenangebotsTitel"), F.when(n % 4 > 1, text).alias("stellenangebotsBeschreibung"),
+        (n % 3 == 0).alias("istGeringfuegigeBeschaeftigung"), (n % 5 == 0).alias("arbeitszeitTeilzeitVormittag"),
+        F.lit(None).cast("boolean").alias("arbeitszeitTeilzeitNachmittag"),
+    )
+    unknown = details.where(n % 4 == 2).withColumn("refnr", F.concat(F.lit("x"), "refnr"))
+    done = jobs.apply_details(jobs_, details.unionByName(unknown), AS_OF)
+    return done.select("refnr", "description_de", F.array_join("work_type", "|").alias("work_type"), F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@query(
+    "X24_title_and_tag_blocks",
+    with_roles(["jobs"], """
+SELECT refnr, '===JOB 7===' || chr(10) || 'refnr: ' || refnr || chr(10) || '标题: ' || title_de AS title_block,
+  '===JOB 7===' || chr(10) || 'refnr: ' || refnr || chr(10) || '职位: ' || substr(title_de, 1, 100) || chr(10) || '描述: ' || substr(coalesce(nullif(description_zh, ''), description_de, ''), 1, 2000) AS tag_block FROM jobs"""),
+)
+def x24_blocks(spark, d):
+    rows = A.jobs(spark, d).withColumn("slot", F.lit(7))
+    return rows.select("refnr", prompts.title_block().alias("title_block"), prompts.tag_block().alias("tag_block"))
+
+
+@query(
+    "R2_audit_jobs",
+    with_roles(["jobs"], """
+SELECT 'refnr_null' AS rule, count(*) FILTER (ok % 10 = 3) AS violations FROM jobs UNION ALL SELECT 'title_null', count(*) FILTER (ok % 7 = 1) FROM jobs
+UNION ALL SELECT 'refnr_unique', count(*) FROM (SELECT ok // 2 FROM jobs WHERE ok % 10 <> 3 GROUP BY 1 HAVING count(*) > 1)"""),
+)
+def r2_jobs(spark, d):
+    n = F.col("refnr").cast("bigint")
+    broken = A.jobs(spark, d).withColumns({"title_de": F.when(n % 7 != 1, F.col("title_de")), "refnr": F.when(n % 10 != 3, F.floor(n / 2).cast("string"))})
+    return quality.audit(broken, "job")
+
+
+@query(
+    "R2_audit_queue",
+    with_roles(["queue"], """
+SELECT 'type_enum' AS rule, count(*) FILTER (CAST(id AS BIGINT) % 9 = 0) AS violations FROM queue UNION ALL SELECT 'status_enum', count(*) FILTER (CAST(id AS BIGINT) % 8 = 0) FROM queue
+UNION ALL SELECT 'source_null', count(*) FILTER (CAST(id AS BIGINT) % 6 = 0) FROM queue UNION ALL SELECT 'id_unique', 0"""),
+)
+def r2_queue(spark, d):
+    n = F.col("id").cast("bigint")
+    broken = {
+        "source_type": F.when(n % 9 != 0, F.col("source_type")).otherwise("page"), "status": F.when(n % 8 != 0, F.col("status")).otherwise("lost"),
+        "source_id": F.when(n % 6 != 0, F.col("source_id")),
+    }
+    return quality.audit(A.queue(spark, d).withColumns(broken), "queue")
+
+
+@query(
+    "R2_audit_runs",
+    with_roles(["runs"], f"""
+SELECT 'mode_enum' AS rule, count(*) FILTER (mode NOT IN ({', '.join(q(m) for m in C.RUN_MODES)})) AS violations FROM runs
+UNION ALL SELECT 'status_enum', count(*) FILTER (status NOT IN ({', '.join(q(m) for m in C.RUN_STATUSES)})) FROM runs UNION ALL SELECT 'run_id_unique', 0"""),
+)
+def r2_runs(spark, d):
+    return quality.audit(A.runs(spark, d), "run")
+
+
+@query(
+    "R2_audit_pages",
+    with_roles(["policy_pages"], """
+SELECT 'title_null' AS rule, count(*) FILTER (title_de IS NULL) AS violations FROM policy_pages UNION ALL SELECT 'summary_null', count(*) FILTER (summary_zh IS NULL) FROM policy_pages
+UNION ALL SELECT 'level_enum', count(*) FILTER (region_level = 'bogus') FROM policy_pages UNION ALL SELECT 'service_key_unique', 0 UNION ALL SELECT 'slug_unique', 0"""),
+)
+def r2_pages(spark, d):
+    return quality.audit(A.policy_pages(spark, d), "policy")
