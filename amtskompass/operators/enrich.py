@@ -17,16 +17,13 @@ from ..functions.replies import (
 )
 from ..functions.taxonomy import ingest_category, ingest_groups, ingest_level, ingest_text
 from ..sources.schemas import POLICY_REPLY, REVIEW_REPLY
+from .ranking import first_by
 
 
 def last_reply(replies: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Last reply row per key; partial aggregation keeps one candidate per key and task."""
-    return (
-        replies.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-        .groupBy(key)
-        .agg(F.max_by(F.struct(*[c for c in replies.columns if c != key]), F.struct(*order)).alias("_r"))
-        .select(key, "_r.*")
-    )
+    """Last reply row per key: a partial top-1 in each task, then one candidate per key and task is compared."""
+    named = replies.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    return first_by(named, [key], [F.col(c).desc_nulls_last() for c in order])
 
 
 def reconcile(batch: DataFrame, replies: DataFrame, key: str, required: str | None, order: Sequence[str]) -> DataFrame:

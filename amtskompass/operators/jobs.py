@@ -11,10 +11,17 @@ from ..functions.labels import infer_work_type
 from ..functions.text import computed
 from ..sources.job_api import hit_refnr, normalize_jobs
 from .merge import defer_activate, upsert
+from .ranking import first_by
 
 HIT_ORDER = ["kw_ord", "page", "pos"]
 
 
+def first_hits(hits: DataFrame) -> DataFrame:
+    """One row per reference number: the first hit in search order (a partial top-1 before the shuffle)."""
+    keyed = computed(hits.select("item", *HIT_ORDER), {"refnr": hit_refnr(F.col("item"))}).where(F.col("refnr") != "")
+    return first_by(keyed, ["refnr"], [F.col(c).asc() for c in HIT_ORDER]).select("refnr", "item")
+
+
 def merge_job_hits(hits: DataFrame) -> DataFrame:
     """One row per reference number: the first hit in search order, with its set of keywords.
 
@@ -40,7 +47,7 @@ def sync_jobs(
     The join of the upsert also tells which stored jobs were not fetched, so delisting needs
     neither a second join nor a second parse.  ``min_fetched`` skips it for a too small fetch.
     """
-    fetched = normalize_jobs(merge_job_hits(hits).drop("keywords"), as_of)
+    fetched = normalize_jobs(first_hits(hits), as_of)
     if defer:
         fetched = defer_activate(fetched, jobs)
     # keys are unique by construction of the merge

@@ -90,13 +90,9 @@ def upsert(
 
 def reuse_slugs(updates: DataFrame, target: DataFrame, url: str = "official_url") -> DataFrame:
     """Incoming rows take the slug already stored for their url."""
-    stored = (
-        target.where(F.col(url).isNotNull())
-        .groupBy(F.col(url).alias("_url"))
-        .agg(F.max_by("slug", F.struct("id")).alias("_slug"))
-    )
+    known = target.where(F.col(url).isNotNull()).select(F.col(url).alias("_url"), F.col("slug").alias("_slug"), "id")
     wanted = updates.select(F.col(url).alias("_url")).distinct()
-    stored = stored.join(wanted, "_url", "left_semi")
+    stored = first_by(known.join(wanted, "_url", "left_semi"), ["_url"], [F.col("id").desc_nulls_last()]).drop("id")
     return updates.join(stored, F.col(url) == F.col("_url"), "left").withColumn(
         "slug", F.coalesce("_slug", "slug")
     ).drop("_url", "_slug")

@@ -14,6 +14,7 @@ from ..functions.labels import keyed_office, office_title, office_topic
 from ..functions.text import (
     SPACE, absolute_url, clean_text, computed, contains_any, decode_entities, fill, strip_tags, text_or, trim_all,
 )
+from .ranking import first_by
 
 # --- native, regex based jobs -------------------------------------------------------
 
@@ -410,12 +411,8 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url", resolve:
 
 def distinct_links(links: DataFrame, page_key: str) -> DataFrame:
     """First link to each address of a page, in page order."""
-    return (
-        links.where(F.coalesce(F.col("link_url"), F.lit("")) != "")
-        .groupBy(page_key, "link_url")
-        .agg(F.min(F.struct("pos", "link_text")).alias("first_seen"))
-        .select(page_key, "link_url", F.col("first_seen.pos").alias("pos"), F.col("first_seen.link_text").alias("link_text"))
-    )
+    found = links.where(F.coalesce(F.col("link_url"), F.lit("")) != "").select(page_key, "link_url", "pos", "link_text")
+    return first_by(found, [page_key, "link_url"], [F.col("pos").asc()])
 
 
 # --- templated and configured rows ----------------------------------------------------

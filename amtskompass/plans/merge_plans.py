@@ -134,7 +134,7 @@ def q10_counts(spark, d):
 
 
 def fetched_jobs(spark, d):
-    return normalize_jobs(job_ops.merge_job_hits(explode_job_pages(A.job_pages(spark, d))).drop("keywords"), AS_OF)
+    return normalize_jobs(job_ops.first_hits(explode_job_pages(A.job_pages(spark, d))), AS_OF)
 
 
 @query(
@@ -146,7 +146,7 @@ SELECT coalesce(j.refnr, f.refnr) AS refnr, coalesce(f.title_de, j.title_de) AS
 FROM jobs j FULL JOIN ({FIRST_HIT}) f ON j.refnr = f.refnr"""),
 )
 def j1(spark, d):
-    out = merge.upsert(A.jobs(spark, d), fetched_jobs(spark, d), "refnr", AS_OF, preserve=("tags",))
+    out = merge.upsert(A.jobs(spark, d), fetched_jobs(spark, d), "refnr", AS_OF, preserve=("tags",), unique=True)
     return out.select("refnr", "title_de", "title_zh", "tags", "updated_at")
 
 
