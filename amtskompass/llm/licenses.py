@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import computed
+from ..session import reliable_checkpoint
 
 CONTAINMENT = 0.8
 BLOCK_WORDS = 256
@@ -40,6 +41,7 @@ TEMPLATES = (
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z; keeps digits, a-z and everything beyond ASCII
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -101,9 +103,13 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, p
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     frequency = term_frequencies(rows, vocabulary)
-    touched = sorted({w for _, t in templates for w in _prefix_words(t, frequency, containment)} | {p.split()[0] for p, _ in phrases})
-    suspect = _holds_any(F.col("text"), touched)
+    suspect = _holds_any(F.col("text"), sorted({w for _, t in templates for w in _prefix_words(t, frequency, containment)}))
+    for phrase, _ in phrases:
+        suspect = suspect | F.col("text").rlike("(?i)" + (_GAP + "+").join(phrase.split()))
     rows = computed(rows, {"n_words": F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long"), "suspect": suspect})
+    # what follows needs the texts of the suspects alone: read the table once more, not twice
+    rows = reliable_checkpoint(rows.withColumn("text", F.when(F.col("suspect"), F.col("text"))))
+    texts = rows.where("suspect").select(F.sha2("text", 256).alias("key"), "text")
     rows = computed(rows, {"words": F.when(F.col("suspect"), F.regexp_extract_all(lowered(F.col("text")), F.lit(f"({WORD})"), 1))})
     hits = [_places(p.split()) for p, _ in phrases]
     empty = F.array().cast("array<int>")
@@ -112,7 +118,6 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, p
         {f"hit{k}": F.when(F.size("words") >= len(p.split()), h).otherwise(empty) for k, ((p, _), h) in enumerate(zip(phrases, hits, strict=True))}
         | {"key": F.when(F.col("suspect"), F.sha2("text", 256)).otherwise(F.concat(F.lit("row "), F.xxhash64("doc_id", "n_words").cast("string")))},
     )
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(_holds_any(F.col("text"), touched)).select(F.sha2("text", 256).alias("key"), "text")
     matches = template_matches(texts, frequency, templates, containment).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     places = F.flatten(F.array(*[F.col(f"hit{k}") for k in range(len(phrases))]))
     labels = F.array_compact(F.array(*[F.when(F.size(f"hit{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]))
