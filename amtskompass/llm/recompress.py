@@ -11,7 +11,7 @@ words; equal windows have equal anchors.
 
 Spark deals the anchors to buckets; those that occur in two documents or more are shared.  Only windows with shared
 anchors are then named by all their words (64 bits and the bucket of a second hash) and dealt to buckets, where the
-smallest document of each window content is found and sent back.  Three scans of the text, two shuffles of it; nothing is collected.
+smallest document of each window content is found and sent back.  Two scans of the text, one shuffle of it; nothing is collected.
 """
 
 from __future__ import annotations
@@ -88,7 +88,8 @@ def _anchors(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     keep = cap_runs(names, words.text)
     names, text = names[keep], words.text[keep]
     anchor = window_anchors(names, text)
-    ok = np.flatnonzero(whole_windows(_first(text, piece.num_rows), text, WINDOW))
+    known = piece.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+    ok = np.flatnonzero(whole_windows(_first(text, piece.num_rows), text, WINDOW) & known[text[: len(anchor)]])
     anchor, of = anchor[ok], text[ok]
     fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])) if len(anchor) else np.zeros(0, dtype=bool)
     return anchor[fresh], of[fresh], of[fresh]
@@ -101,9 +102,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     everything and removes nothing.  Rows with the same ``doc_id`` do not remove each other's words.  Other columns are ignored.
     """
     parts, buckets = layout(docs)
-    rows = with_part(docs, parts)
-    known = rows.where("doc_id is not null")
-    shared = shared_anchors(known, _anchors, buckets)
+    rows = with_part(docs, parts)  # both joins below read this very frame, so its texts are shuffled once
+    shared = shared_anchors(rows, _anchors, buckets)
 
     def ask(key, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         wanted = np.unique(joined(right.column("keys").to_pylist(), np.uint64))
@@ -116,8 +116,9 @@ def removed_windows(docs: DataFrame) -> DataFrame:
                 text = words.text[keep]
                 at = np.flatnonzero(whole_windows(_first(text, piece.num_rows), text, WINDOW))
                 anchor = window_anchors(names[keep], text)[at]
-                at = at[lookup(short_key(anchor, buckets), wanted) >= 0]
-                doc = piece.column("doc_id").to_numpy()[text[at]]
+                ids = piece.column("doc_id")
+                at = at[(lookup(short_key(anchor, buckets), wanted) >= 0) & ids.is_valid().to_numpy()[text[at]]]
+                doc = ids.fill_null(0).to_numpy()[text[at]]
                 found.append((gram_names(words.names(1)[keep], WINDOW, 1)[at], gram_names(names[keep], WINDOW)[at], doc))
         columns: dict[str, list] = {"bucket": [], "part": [], "names": [], "at": [], "ids": []}
         if found:
@@ -198,6 +199,6 @@ def removed_windows(docs: DataFrame) -> DataFrame:
             out["doc_id"].extend(ids.to_pylist())
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
-    asked = known.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(ask_table, "bucket int, part int, names binary, at binary, ids binary")
+    asked = rows.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(ask_table, "bucket int, part int, names binary, at binary, ids binary")
     told = asked.groupBy("bucket").applyInArrow(smallest, "part int, names binary, least binary")
     return rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(keep, OUT)
