@@ -55,7 +55,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     cells = max(1, -(-share // CELL_ROWS)) * 2
     unit_rows = max(1, min(share // UNITS_PER_SHARD, CELL_ROWS))
 
-    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # a stored side lets Spark split the other one where a text has very many copies
+    groups = reliable_checkpoint(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     state = (
         rows.join(groups, "digest", "left")
         .withColumn("linked", F.col("copies").isNotNull())
