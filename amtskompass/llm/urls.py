@@ -71,6 +71,7 @@ def templates(paths: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
         values = now.where("own is not null and not variable").groupBy("host", "template", "own").agg(F.sum("pages").alias("pages"))
         places = values.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("pages").alias("pages"))
         wild = places.where((F.col("kinds") >= MANY) & (F.col("kinds") >= VARIED * F.col("pages"))).select("host", "template", F.lit(True).alias("many"))
+        wild = reliable_checkpoint(wild)  # a stored side lets Spark split the other one at a hot parent
         now = now.join(wild, ["host", "template"], "left")
         step = F.when(F.col("variable") | F.coalesce("many", F.lit(False)), WILD).otherwise(F.col("own"))
         now = now.withColumns(
@@ -123,7 +124,7 @@ def filtered(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str
         .agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
     tree = templates(paths)
-    verdicts = judged_templates(tree)
+    verdicts = reliable_checkpoint(judged_templates(tree))
     known = tree.select("host", "path", "template").join(verdicts, ["host", "template"])
     return rows.join(known.select("host", "path", "merged", "rejected"), ["host", "path"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), F.col("merged").alias("template")
