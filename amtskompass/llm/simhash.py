@@ -171,7 +171,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lanes: i
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = components(links(groups.select("fp"), radius, lanes))
     rooted = groups.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = reliable_checkpoint(rooted)
+    # a stored side lets Spark split the other one at a large component
+    smallest = reliable_checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return rows.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
