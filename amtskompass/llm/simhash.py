@@ -6,6 +6,10 @@ counts.  Two fingerprints at distance d have bit counts that differ by d at most
 quarters of each word as well, so tile pairs whose counts differ beyond the radius are skipped.  A tile pair gives at most one link for
 each of its nodes (a spanning forest of the links it finds), so dense groups never become all their pairs.  Components
 come from Spark rounds of large and small stars on the links.
+
+Where a similarity is asked for (``first_of_each``), fingerprints of the distinct shingles only find candidates, within a wide
+radius.  The shingle sets of each candidate component are then compared exactly, in pairs of chunks of bounded size, and only
+pairs that reach the similarity are links.
 """
 
 from __future__ import annotations
@@ -26,22 +30,34 @@ from .blocks import mix, text_bytes
 SEED = 42
 TILE = 8192  # fingerprints in a tile on average, at most
 CELLS = 1 << 21  # comparisons at once
+CHUNK_SETS, CHUNK_NAMES = 512, 1 << 18  # shingle sets, and shingles in them, of a chunk on average
+DEVIATIONS = 5.0  # candidates differ by the bits expected at the similarity and this many deviations
 
 
-def fingerprint(text: bytes, shingle: int, lanes: int) -> bytes:
-    """Big-endian fingerprint of 64 bits for each lane; zero without words.
-
-    The first lane counts the bits of the shingles' XXH64 (seed 42), further lanes those of numbers mixed from it.
-    """
+def shingle_names(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
-        return bytes(8 * lanes)
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(size + 1) - 1
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    names = np.array([digest(line[a:b], SEED) for a, b in zip((ends - size).tolist(), ends[k - 1 :].tolist(), strict=False)], dtype=np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip((ends - size).tolist(), ends[k - 1 :].tolist(), strict=False)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int, lanes: int) -> bytes:
+    """Big-endian fingerprint of 64 bits for each lane; zero without words.
+
+    The first lane counts the bits of the shingles' XXH64 (seed 42), further lanes those of numbers mixed from it.
+    """
+    return _majority(shingle_names(text, shingle), lanes)
+
+
+def _majority(names: np.ndarray, lanes: int) -> bytes:
+    if not len(names):
+        return bytes(8 * lanes)
     out = []
     for lane in range(lanes):
         own = (names if lane == 0 else mix(names + np.uint64(lane))).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -177,16 +193,116 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lanes: i
     return rows.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
-def radius_of(similarity: float, lanes: int) -> int:
-    """Bits in which two texts with this Jaccard similarity of their shingle sets are expected to differ, and one deviation more."""
+def radius_of(similarity: float, lanes: int, deviations: float = 1.0) -> int:
+    """Bits in which two texts with this Jaccard similarity of their shingle sets are expected to differ, and some deviations more."""
     angle = acos(2 * similarity / (1 + similarity)) / pi
-    return round(64 * lanes * angle + sqrt(64 * lanes * angle * (1 - angle)))
+    return round(64 * lanes * angle + deviations * sqrt(64 * lanes * angle * (1 - angle)))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``fp`` of the distinct shingles, ``key`` (equal exactly for equal sets) and ``n`` (distinct shingles) of every row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_names(t, shingle)) for t in text_bytes(batch.column("text"))]
+            columns = [
+                batch.column("doc_id"),
+                batch.column("text_hash"),
+                pa.array([_majority(s, lanes) for s in sets], type=pa.binary()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary()),
+                pa.array([len(s) for s in sets], type=pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "key", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary, key binary, n long")
+
+
+def similar_forest(keys: list[bytes], names: list[bytes], first: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that connect the same sets as all pairs with a Jaccard similarity of ``similarity`` do, of pairs with one side among the ``first``.
+
+    With ``first`` = all, every pair is compared; else those across the border.  Sets are sorted by size, so the partners of a
+    set are one range of the other side.
+    """
+    sets = [np.frombuffer(n, dtype=np.uint64) for n in names]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    across = first < len(sets)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, dtype=np.int64)
+    begin = np.cumsum(size) - size
+    right = np.arange(first, len(sets)) if across else np.arange(len(sets))
+    right = right[size[right] > 0]
+    right = right[np.argsort(size[right], kind="stable")]
+    flat = np.concatenate([ids[begin[j] : begin[j] + size[j]] for j in right]) if len(right) else np.zeros(0, dtype=np.int64)
+    sizes = size[right]
+    edge = np.append(0, np.cumsum(sizes))
+    label, links_ = np.arange(len(sets)), []
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, dtype=bool)
+    for i in range(first if across else len(sets)):
+        n = int(size[i])
+        # the smaller set must hold this part of the larger one; the slack is for rounding
+        low, high = np.searchsorted(sizes, int(n * similarity) - 1), np.searchsorted(sizes, int(n / similarity) + 1, side="right")
+        if not n or low >= high or (label[right[low:high]] == label[i]).all():
+            continue
+        own = ids[begin[i] : begin[i] + n]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[edge[low] : edge[high]]], edge[low:high] - edge[low], dtype=np.int64)
+        mark[own] = False
+        found = right[low:high][common >= similarity * (n + sizes[low:high] - common) - 1e-9]
+        for j in found.tolist():
+            x, y = label[i], label[j]
+            if x != y:
+                links_.append((keys[i], keys[j]))
+                label[label == max(x, y)] = min(x, y)
+    return links_
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, lanes: int) -> DataFrame:
+    """``a``, ``b``: links between the keys of ``rows`` (``shingle_sets`` of ``docs``) that connect the same components as all pairs
+    of sets with at least this Jaccard similarity do, up to pairs whose fingerprints are beyond the candidates' radius."""
+    member = F.min(F.struct("doc_id", "text_hash")).alias("member")  # one row whose text stands for the set
+    nodes = reliable_checkpoint(rows.groupBy("key", "fp", "n").agg(member))
+    stars = components(links(nodes.select("fp").distinct(), radius_of(similarity, lanes, DEVIATIONS), lanes))
+    rooted = reliable_checkpoint(nodes.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    sums = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("names")).where("sets > 1")
+    chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("names") / CHUNK_NAMES)).cast("int")
+    sums = reliable_checkpoint(sums.select("root", chunks.alias("chunks")))
+    wanted = rooted.join(sums, "root").select("member", "key", "root", "chunks", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"))
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_names(t, shingle)).tobytes() for t in text_bytes(batch.column("text"))]
+            kept = [batch.column(c) for c in ("key", "root", "chunks", "chunk")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, type=pa.binary())], names=["key", "root", "chunks", "chunk", "names"])
+
+    texts = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).alias("member"), F.col("text").cast("string").alias("text"))
+    sets = texts.join(wanted, "member").select("text", "key", "root", "chunks", "chunk").mapInArrow(read, "key binary, root binary, chunks int, chunk int, names binary")
+    held = reliable_checkpoint(sets.groupBy("root", "chunks", "chunk").agg(F.collect_list(F.struct("key", "names")).alias("a")))
+    left = held.where("chunks > 1").select("root", "a", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks"))).alias("chunk"))
+    across = left.join(held.select("root", "chunk", F.col("a").alias("b")), ["root", "chunk"]).select("a", "b")
+    kind = held.schema["a"].dataType
+    pairs = held.select("a", F.lit(None).cast(kind).alias("b")).unionByName(across)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = (batch.column(c)[k].as_py() for c in range(2))
+                both = a + (b or [])
+                found = similar_forest([x["key"] for x in both], [x["names"] for x in both], len(a), similarity)
+                if found:
+                    yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return pairs.mapInArrow(compare, "a binary, b binary")
 
 
 def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """Rows of ``docs`` with all their columns, one of each group of near copies: the one with the smallest ``doc_id`` (among
-    rows with equal ids the one with the smallest hash of its text; of identical rows any one)."""
-    found = near_duplicates(docs, shingle, radius_of(similarity, lanes), lanes)
+    rows with equal ids the one with the smallest hash of its text; of identical rows any one).
+
+    Groups are connected by pairs whose sets of shingles have at least this Jaccard similarity; texts without words are one group.
+    """
+    rows = reliable_checkpoint(shingle_sets(docs, shingle, lanes))
+    stars = components(similar_links(docs, rows, shingle, similarity, lanes))
+    found = rows.join(stars.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_kept_key"))
     keyed = docs.withColumn("_kept_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
     one = Window.partitionBy("_kept_key").orderBy("_kept_key")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import random
 
 import pytest
 from tokenizers import Tokenizer
@@ -123,3 +124,51 @@ def test_empty_table(spark, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF_DIR).count() == 0
+
+
+def test_similarity_of_near_copies_is_exact(spark):
+    """Planted pairs around 0.8, and texts that share only one line, said many times."""
+    rnd, rows, gone = random.Random(21), [], set()
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    for k in range(120):
+        own = [word() for _ in range(300)]
+        n = 32 if k % 2 else 37  # words replaced at the end: Jaccard 264/328 = 0.805 and 259/333 = 0.778
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: 300 - n] + [word() for _ in range(n)]))]
+        gone |= {2 * k + 1} if k % 2 else set()
+    line = " ".join(word() for _ in range(10))
+    rows += [(1000 + k, "\n".join([" ".join(word() for _ in range(300)), *[line] * 30])) for k in range(40)]
+    sets = {d: shingles(t) for d, t in rows}
+    assert {b for a, b in ((2 * k, 2 * k + 1) for k in range(120)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} == gone
+    kept = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {d for d, _ in rows} - kept == gone
+
+
+def test_large_groups_are_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK_SETS", 5)
+    rnd = random.Random(22)
+    base = [f"v{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(60):  # a chain of copies that drift apart, and unlike its start in the end
+        base = base[:]
+        at = rnd.randrange(190)
+        base[at : at + 3] = [f"v{rnd.randrange(10**6)}" for _ in range(3)]
+        rows.append((k, " ".join(base)))
+    rows += [(100, ""), (101, None), (102, " \n")]
+    kept = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == {0, 100}
+
+
+def test_near_dedup_stage_by_all_pairs_of_sets(stages):
+    _, before, after = stages[1]
+    rows = pairs(before)
+    sets = [shingles(t or "") for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    first = {}
+    for g, row in zip(group, rows, strict=True):
+        first.setdefault(g, []).append(row)
+    assert pairs(after) == sorted((min(own) for own in first.values()), key=repr)
