@@ -1,6 +1,7 @@
 """License scan: base phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a run of at most ``BLOCK_WORDS`` words of one line, runs overlapping by half, so every template stands whole in one block.  A block matches
+A block is a run of at most ``BLOCK_WORDS`` words of a whole text, line ends being gaps like others, and runs overlap by half: every template
+stands whole in one block, also where a text wraps it over several lines.  A block matches
 a template when it holds at least ``CONTAINMENT`` of the template's distinct words.  The join is exact and never compares all
 blocks with all templates:
 
@@ -63,7 +64,10 @@ def term_frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, in
 
 
 def template_matches(texts: DataFrame, frequency: dict[str, int], templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """``key``, ``label``, ``share``: templates found in each text (columns ``key`` and ``text``), with the largest containment."""
+    """``key``, ``label``, ``share``: templates found in each text (columns ``key`` and ``text``), with the largest containment.
+
+    Blocks do not cross ``\\n`` here; ``scanned`` hands over each text as one line.
+    """
     spark = texts.sparkSession
     order = sorted(frequency, key=lambda w: (frequency[w], w))
     place = {w: k for k, w in enumerate(order)}
@@ -109,7 +113,7 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, p
     rows = computed(rows, {"n_words": F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long"), "suspect": suspect})
     # what follows needs the texts of the suspects alone: read the table once more, not twice
     rows = reliable_checkpoint(rows.withColumn("text", F.when(F.col("suspect"), F.col("text"))))
-    texts = rows.where("suspect").select(F.sha2("text", 256).alias("key"), "text")
+    texts = rows.where("suspect").select(F.sha2("text", 256).alias("key"), F.translate("text", "\n", " ").alias("text"))
     rows = computed(rows, {"words": F.when(F.col("suspect"), F.regexp_extract_all(lowered(F.col("text")), F.lit(f"({WORD})"), 1))})
     hits = [_places(p.split()) for p, _ in phrases]
     empty = F.array().cast("array<int>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -194,6 +195,22 @@ def test_template_join_is_exact(spark):
     assert found == want
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped at 80 characters and at every word, alone and at each place of a long text."""
+    notices, rows = dict(licenses.TEMPLATES), []
+    for k, label in enumerate(("mit", "bsd", "gpl-3.0")):
+        rows += [(10 * k, textwrap.fill(notices[label].capitalize(), 80)), (10 * k + 1, notices[label].replace(" ", "\n"))]
+        for at in (100, 120, 250, 380):
+            filler = [f"f{i}" for i in range(600)]
+            rows.append((10 * k + 2 + at // 60, textwrap.fill(" ".join([*filler[:at], notices[label], *filler[at:]]), 80)))
+    rows.append((99, "permission is\nhereby granted"))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in enumerate(("mit", "bsd", "gpl-3.0")):
+        own = [found[d] for d, _ in rows if 10 * k <= d < 10 * k + 10]
+        assert len(own) == 6 and all(label in labels.split(",") and score == 1.0 for labels, score in own)
+    assert found[99] == ("", 0.0)
+
+
 # ---- urls
 
 
