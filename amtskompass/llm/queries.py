@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.adapters import table
-from . import crf, inverted, licenses, packing, quality, recompress, sharding, simhash, suffixes, urls
+from . import crf, inverted, kdtree, licenses, merkle, packing, quality, recompress, sharding, simhash, suffixes, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,79 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weak_supervision_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs ``name1`` .. of the upper levels over ``name0 (grp, pos, n, h)`` and ``names0`` .. of what flanks a node in its run."""
+    return ",\n".join(
+        f"""{name}{k + 1} AS (
+  SELECT grp, pos // 3 AS pos, (max(n) + 2) // 3 AS n, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY {name}{k}.pos)) END AS h
+  FROM {name}{k} GROUP BY grp, {name}{k}.pos // 3
+), {name}s{k} AS (
+  SELECT x.grp, x.pos, any_value(x.n) > 1 AS real, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (WHERE y.pos < x.pos), '') AS before,
+         coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (WHERE y.pos > x.pos), '') AS after
+  FROM {name}{k} x JOIN {name}{k} y ON x.grp IS NOT DISTINCT FROM y.grp AND x.pos // 3 = y.pos // 3 GROUP BY x.grp, x.pos
+)"""
+        for k in range(levels)
+    )
+
+
+def _op11_sql(row_levels: int = 14, group_levels: int = 8) -> str:
+    """Level by level, for up to 3 ** 14 rows a source and 3 ** 8 sources."""
+    enc = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = []
+    for k, (tree, level, grp, pos) in enumerate([("r", k, "grp", "pos") for k in range(row_levels)] + [("g", k, "0", "gpos") for k in range(group_levels)]):
+        steps.append(f"""f{k + 1} AS (
+  SELECT f.* REPLACE (CASE WHEN s.real THEN sha256(s.before || f.node || s.after) ELSE f.node END AS node, f.proof || s.before || s.after AS proof)
+  FROM f{k} f JOIN {tree}s{level} s ON s.grp IS NOT DISTINCT FROM f.{grp} AND s.pos = f.{pos} // {3**level}
+)""".replace("f.0 ", "0 "))
+    return f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), d AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, {leaf("replace(text, chr(10), '')")} AS tampered,
+         xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM documents, crc
+), r0 AS (
+  SELECT source AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+         leaf AS h, doc_id, CASE WHEN crc % 2 = 0 THEN tampered ELSE leaf END AS claimed
+  FROM d
+), {_tree_sql("r", row_levels)}, g0 AS (
+  SELECT 0 AS grp, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h, grp AS name FROM r{row_levels}
+), {_tree_sql("g", group_levels)}, f0 AS (
+  SELECT doc_id, r0.grp, r0.pos, g0.pos AS gpos, r0.h AS leaf, g0.h AS subroot, claimed AS node, '' AS proof FROM r0 JOIN g0 ON r0.grp IS NOT DISTINCT FROM g0.name
+), {", ".join(steps)}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = t.h AS verified
+FROM f{row_levels + group_levels}, g{group_levels} t
+"""
+
+
+@query("op11_merkle_manifest", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proofs = merkle.verified(merkle.documents_manifest(table(spark, sf_dir, "documents"), tampered))
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op12_kdtree_top_k", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@query("op13_qdwh_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), first=8)
