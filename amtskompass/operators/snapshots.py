@@ -111,7 +111,8 @@ def apply_diff(target: DataFrame, diff: DataFrame, as_of: str | Column, key: str
 
     Pages with the same content only get their fetch time.  New and changed pages get title, hash, the entry columns
     the diff carries (``ENTRY``; slug and address follow from title and ``url`` where it does not), and lose everything that was
-    enriched from older content.
+    enriched from older content.  Where the diff has ``first_at`` and ``changed_at``, they are the times a page was first
+    seen and its content last changed; else both are ``as_of``.
     """
     carried = {c: F.col(c) for c in ENTRY if c in diff.columns}
     if url in diff.columns:
@@ -125,6 +126,8 @@ def apply_diff(target: DataFrame, diff: DataFrame, as_of: str | Column, key: str
         (F.col("target_id") if "target_id" in diff.columns else page_id(F.col(key))).alias("d_id"),
         (F.col("title") if "title" in diff.columns else F.lit(None).cast("string")).alias("d_title"),
         stamp_of(as_of).alias("d_at"),
+        stamp_of(F.col("first_at") if "first_at" in diff.columns else as_of).alias("d_first"),
+        stamp_of(F.col("changed_at") if "changed_at" in diff.columns else as_of).alias("d_changed"),
         *[value.alias(f"d_{name}") for name, value in carried.items()],
     )
     joined = target.join(d, F.col(key) == F.col("d_key"), "full_outer")
@@ -135,20 +138,21 @@ def apply_diff(target: DataFrame, diff: DataFrame, as_of: str | Column, key: str
         return F.when(written, value).otherwise(F.col(name))
 
     types = {f.name: f.dataType for f in target.schema}
+    earlier = F.least("created_at", "d_first") if "first_at" in diff.columns else F.col("created_at")
     values = {
         key: F.coalesce(key, "d_key"),
         "id": F.when(fresh, F.col("d_id")).otherwise(F.col("id")) if "id" in types else None,
         "content_hash": when_written("content_hash", F.col("d_hash")),
         "translated": when_written("translated", F.lit(False)),
         "last_fetched_at": F.when(touched, F.col("d_at")).otherwise(F.col("last_fetched_at")),
-        "created_at": F.when(fresh, F.col("d_at")).otherwise(F.col("created_at")) if "created_at" in types else None,
+        "created_at": F.when(fresh, F.col("d_first")).otherwise(earlier) if "created_at" in types else None,
         "view_count": F.when(fresh, F.lit(0)).otherwise(F.col("view_count")) if "view_count" in types else None,
         "title_de": when_written("title_de", F.coalesce(F.nullif("d_title", F.lit("")), "d_key")) if "title_de" in types else None,
     }
     for name in {"translated_at", "title_zh", "summary_zh"} & set(types):
         values[name] = when_written(name, F.lit(None).cast(types[name]))
     if "updated_at" in types:
-        values["updated_at"] = when_written("updated_at", F.col("d_at"))
+        values["updated_at"] = when_written("updated_at", F.col("d_changed"))
     for name, empty in ENRICHED.items():
         if name in types:
             values[name] = when_written(name, F.array().cast(types[name]) if empty == [] else F.lit(empty))
