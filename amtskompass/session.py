@@ -19,9 +19,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        # small test files: a split for every core, so that text work runs on all of them
-        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
-        .config("spark.sql.files.openCostInBytes", "65536")
+        # test tables are files of one row group: deal their rows to all cores
+        .config("spark.amtskompass.scan.partitions", str(shuffle_partitions))
         .getOrCreate()
     )
 

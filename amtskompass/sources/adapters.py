@@ -29,8 +29,18 @@ JOB_PHRASES = [
 ]
 
 
+SCAN_PARTITIONS = "spark.amtskompass.scan.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of a given table.
+
+    A file with one row group is one task, however many cores there are.  A session that reads such files can set
+    ``SCAN_PARTITIONS`` to deal their rows to that many tasks; where it is unset, as on a cluster, nothing is shuffled.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(tasks)) if tasks else rows
 
 
 def pick(values: list[str], index: Column) -> Column:
