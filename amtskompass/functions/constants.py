@@ -384,3 +384,32 @@ PROMPT_BLOCKS = {
     "guide": "===JOB {slot}===\nservice_key: {service_key}\nsource_name: {source_name}\nsource_url: {source_url}\n"
              "title_de: {title}\ncontent:\n{content}",
 }
+
+# --- fixed values: how each publisher's guide pages are read -------------------------
+GUIDE_SOURCES = {
+    "migration": {
+        "prefix": "bamf", "root": ["#content"], "column": ".column", "tags": ["h2", "h3", "h4", "h5", "h6", "p", "li"],
+        "skip_ancestors": [], "min_parts": 3, "title_within": ["#content"],
+        "title_cut": r"^BAMF\s*-\s*Bundesamt[^\-]*-\s*", "title_default": "Untitled BAMF Page",
+    },
+    "foreign": {
+        "prefix": "aa", "root": ["main"], "nav_max": 10, "min_length": 100, "title_within": ["sectionheader"], "title_last": True,
+        "title_cut": r"\s*-\s*Federal Foreign Office\z", "title_default": "Untitled AA Page",
+    },
+    "consumer": {
+        "prefix": "finanztip", "root": ["main"], "nav_max": 15, "min_length": 300, "title_within": ["main"],
+        "title_default": "Untitled Finanztip Page",
+    },
+}
+
+# --- fixed values: what sources say of themselves ------------------------------------
+EXCHANGE_SOURCE = {
+    "source_name": "DAAD（德国学术交流中心）", "publisher": "Deutscher Akademischer Austauschdienst (DAAD)",
+    "region_level": "联邦", "region_name": "Deutschland", "category": "留学与大学",
+}
+EXCHANGE_TAGS = ["DAAD", "Studium in Deutschland", "internationale Studierende"]
+OFFICE_SOURCE = {
+    "city": "Berlin", "key_prefix": "berlin_lea", "slug_prefix": "berlin-lea", "title_prefix": "Berlin LEA — ",
+    "title_prefix_zh": "柏林外管局 — ", "default_title": "Berlin LEA", "office_zh": "柏林外管局", "category": "居留与签证",
+    "region_level": "市", "publisher": "Landesamt für Einwanderung Berlin", "source_name": "Berlin LEA (Landesamt für Einwanderung)",
+}

@@ -138,12 +138,12 @@ def fill(template: str, **values: Column) -> Column:
     """Text template with ``{name}`` placeholders filled from columns; missing values become empty."""
     parts = [
         F.coalesce(values[name].cast("string"), F.lit("")) if name else F.lit(literal)
-        for literal, name in _template_parts(template)
+        for literal, name in text_parts(template)
     ]
     return F.concat(*parts)
 
 
-def _template_parts(template: str) -> list[tuple[str, str]]:
+def text_parts(template: str) -> list[tuple[str, str]]:
     """Literal pieces and placeholder names in order; exactly one of the two is set."""
     out: list[tuple[str, str]] = []
     for literal, name, _, _ in Formatter().parse(template):

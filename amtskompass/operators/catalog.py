@@ -7,6 +7,7 @@ visible to Catalyst.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -204,27 +205,40 @@ def top_recent(df: DataFrame, n: int = 250) -> DataFrame:
     return df.orderBy(F.col("updated_at").desc_nulls_first(), F.col("id").asc()).limit(n)
 
 
-def suggestions(policies: DataFrame, n: int = 12) -> DataFrame:
+def _terms(policies: DataFrame) -> DataFrame:
+    """Every term of every row with the row's place in list order."""
+    words = F.filter(F.split(normalize_text(F.col("title_de")), " "), lambda w: F.length(w) > 4)
+    terms = F.array_distinct(F.concat(F.array("category", "region_name"), F.col("target_groups"), words))
+    rows = computed(policies.select("day", "id", "category", "region_name", "target_groups", "title_de"), {"terms": terms})
+    return rows.select("day", "id", F.posexplode("terms").alias("pos", "term"))
+
+
+def _first_terms(policies: DataFrame, n: int) -> DataFrame:
+    first = _terms(policies).groupBy("term").agg(F.min(F.struct("day", "id", "pos")).alias("first_seen"))
+    return first.orderBy("first_seen").limit(n).select("term", F.col("first_seen.id").alias("first_id"))
+
+
+READ_AT_FIRST, READ_MOST = 8, 20_000  # rows for each wanted term, rows at most, before all rows are read
+
+
+def suggestions(policies: DataFrame, n: int = 12, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """First ``n`` distinct terms when rows are read in list order.
 
-    Per row: category, region, groups, then the longer words of the German title.  Terms are
-    reduced to their first occurrence by a partial aggregation, so a common term costs one
-    row per task in the shuffle; the final top-n is distributed.
+    Per row: category, region, groups, then the longer words of the German title.  Terms of the newest rows come first, so the
+    newest rows that already have ``n`` distinct terms decide: a top-k by date and id picks them, eight times as many if
+    they do not suffice.  Only these rows are handed to ``prepare`` (which may add or replace the columns that terms are
+    made of).  Should even ``READ_MOST`` rows not have enough terms, all rows are aggregated.
     """
-    words = F.filter(F.split(normalize_text(F.col("title_de")), " "), lambda w: F.length(w) > 4)
-    terms = F.array_distinct(F.concat(F.array("category", "region_name"), F.col("target_groups"), words))
     # newest first: a descending date is an ascending negative day number; undated rows come last
-    day = F.coalesce(-F.unix_date("published_at"), F.lit(2**31 - 1))
-    rows = computed(policies.withColumn("day", day).select("day", "id", "category", "region_name", "target_groups", "title_de"),
-                    {"terms": terms})
-    return (
-        rows.select("day", "id", F.posexplode("terms").alias("pos", "term"))
-        .groupBy("term")
-        .agg(F.min(F.struct("day", "id", "pos")).alias("first_seen"))
-        .orderBy("first_seen")
-        .limit(n)
-        .select("term", F.col("first_seen.id").alias("first_id"))
-    )
+    rows = policies.withColumn("day", F.coalesce(-F.unix_date("published_at"), F.lit(2**31 - 1)))
+    prepare = prepare or (lambda df: df)
+    take = READ_AT_FIRST * n
+    while take <= READ_MOST:
+        newest = prepare(rows.orderBy("day", "id").limit(take))
+        if _terms(newest).select("term").distinct().limit(n).count() >= n:
+            return _first_terms(newest, n)
+        take *= 8
+    return _first_terms(prepare(rows), n)
 
 
 def facets(page: DataFrame, values: Column, order: list[str]) -> DataFrame:

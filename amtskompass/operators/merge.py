@@ -162,6 +162,11 @@ def bulk_status(df: DataFrame, ids: Sequence[str], status: str, most: int | None
     return df.where(F.col("id").isin(wanted)).withColumn("status", F.lit(status))
 
 
+def with_count(rows: DataFrame, out: str = "count") -> DataFrame:
+    """Rows with their number.  A scalar subquery counts them; no row is gathered."""
+    return rows.withColumn(out, rows.agg(F.count(F.lit(1))).scalar())
+
+
 def set_status_where(df: DataFrame, keys: DataFrame, status: str, key: str = "id") -> DataFrame:
     """Table form of the status update: the rows whose key is in ``keys`` get the status."""
     marked = keys.select(F.col(key).alias("_key")).distinct()

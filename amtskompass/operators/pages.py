@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.html import TEXT, element_text, first_root, inside, page_tokens, path_step, under
-from ..functions.keys import page_slug, service_key
-from ..functions.labels import keyed_office, office_title, office_topic
+from ..functions.keys import page_slug, service_key, visible_text_hash
+from ..functions.labels import keyed_office, office_title, office_topic, page_labels
 from ..functions.text import (
     SPACE, absolute_url, clean_text, computed, contains_any, decode_entities, fill, strip_tags, text_or, trim_all,
 )
@@ -103,23 +103,10 @@ class GuideConfig:
 
 
 MIGRATION_OFFICE = GuideConfig(
-    prefix="bamf", root=["#content"], column=".column",
-    tags=["h2", "h3", "h4", "h5", "h6", "p", "li"],
-    boilerplate=C.MIGRATION_OFFICE_BOILERPLATE, containers=C.MIGRATION_OFFICE_CONTAINERS,
-    skip_ancestors=[], min_parts=3, title_within=["#content"],
-    title_cut=r"^BAMF\s*-\s*Bundesamt[^\-]*-\s*", title_default="Untitled BAMF Page",
-)
-FOREIGN_OFFICE = GuideConfig(
-    prefix="aa", root=["main"], boilerplate=C.FOREIGN_OFFICE_BOILERPLATE,
-    nav_words=C.FOREIGN_OFFICE_NAV_WORDS, nav_max=10, min_length=100,
-    title_within=["sectionheader"], title_last=True,
-    title_cut=r"\s*-\s*Federal Foreign Office\z", title_default="Untitled AA Page",
-)
-CONSUMER_GUIDE = GuideConfig(
-    prefix="finanztip", root=["main"], nav_words=C.CONSUMER_NAV_WORDS, nav_max=15,
-    block_words=C.CONSUMER_BLOCK_WORDS, min_length=300, title_within=["main"],
-    title_default="Untitled Finanztip Page",
+    **C.GUIDE_SOURCES["migration"], boilerplate=C.MIGRATION_OFFICE_BOILERPLATE, containers=C.MIGRATION_OFFICE_CONTAINERS
 )
+FOREIGN_OFFICE = GuideConfig(**C.GUIDE_SOURCES["foreign"], boilerplate=C.FOREIGN_OFFICE_BOILERPLATE, nav_words=C.FOREIGN_OFFICE_NAV_WORDS)
+CONSUMER_GUIDE = GuideConfig(**C.GUIDE_SOURCES["consumer"], nav_words=C.CONSUMER_NAV_WORDS, block_words=C.CONSUMER_BLOCK_WORDS)
 
 
 def drop_boilerplate(parts: Column, cfg: GuideConfig) -> Column:
@@ -177,10 +164,16 @@ def _heading_span(tokens: Column, root: Column) -> Column:
     return F.nullif(clean_text(text_of(F.get(spans, F.lit(0)))), F.lit(""))
 
 
-def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url: str = "url") -> DataFrame:
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url: str = "url", name: str | None = None) -> DataFrame:
     """Guide rows ``service_key, slug, title_de, summary_zh, source_url``; unusable pages are left out.
 
-    The tokeniser runs once per page; everything after it is native array work.
+    ``name`` is a column with the name a source's page list has for the page (null or empty: not listed).  Rows of such a
+    source carry the name as their slug, the category, tags and groups of the named page, and the empty fields that the enrichment
+    fills.  The tokeniser runs once per page; everything after it is native array work.
     """
     rows = computed(_tokenised(pages, html), {"_root": first_root(F.col("_tokens"), cfg.root)})
     rows = rows.where(F.col("_root").isNotNull())
@@ -210,19 +203,33 @@ def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url:
     if cfg.min_length:
         rows = rows.where(F.length("summary_zh") >= cfg.min_length)
     source = F.col(url)
+    slug = page_slug(F.col("title_de"), source)
+    more = []
+    if name:
+        rows = rows.withColumn("_labels", page_labels(F.col(name)))
+        slug = F.coalesce(F.nullif(F.col(name), F.lit("")), slug)
+        more = [
+            *[F.col(f"_labels.{c}").alias(c) for c in ("category", "tags", "target_groups")],
+            no_texts().alias("requirements_zh"), F.lit("").alias("fees_zh"), F.lit("").alias("duration_zh"), no_texts().alias("steps_zh"),
+        ]
     return rows.select(
         service_key(source, cfg.prefix).alias("service_key"),
-        page_slug(F.col("title_de"), source).alias("slug"),
+        slug.alias("slug"),
         "title_de",
         F.col("title_de").alias("title_zh"),
         "summary_zh",
         source.alias("source_url"),
+        *more,
     )
 
 
 def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url", prefix: str = "daad",
-                           fallback_title: Column | None = None, fallback_text: Column | None = None) -> DataFrame:
-    """Study-service pages: cookie dialogs and noise phrases removed, text of the main element."""
+                           fallback_title: Column | None = None, fallback_text: Column | None = None,
+                           fetched_at: str | Column | None = None) -> DataFrame:
+    """Study-service pages: cookie dialogs and noise phrases removed, text of the main element, with the facts of the source.
+
+    ``fetched_at`` is the time of the fetch; ``content_hash`` covers the visible text of the whole page.
+    """
     rows = _tokenised(pages, html)
     tokens = F.col("_tokens")
 
@@ -268,8 +275,14 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
         service_key(source, prefix).alias("service_key"),
         page_slug(F.col("title_de"), source).alias("slug"),
         "title_de",
+        F.col("title_de").alias("title_zh"),
         F.when(F.length("_text") >= 50, F.col("_text")).otherwise(backup).alias("summary_zh"),
+        visible_text_hash(F.col(html)).alias("content_hash"),
         source.alias("source_url"),
+        *[F.lit(C.EXCHANGE_SOURCE[c]).alias(c) for c in ENTRY_DEFAULTS],
+        F.array(*[F.lit(t) for t in C.EXCHANGE_TAGS]).alias("tags"),
+        F.lit(False).alias("translated"),
+        (fetched_at if isinstance(fetched_at, Column) else F.lit(fetched_at)).cast("timestamp").alias("last_fetched_at"),
     )
 
 
@@ -277,20 +290,25 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
 class OfficeConfig:
     """City office pages: names used in keys, titles, tags and texts."""
 
-    city: str = "Berlin"
-    key_prefix: str = "berlin_lea"
-    slug_prefix: str = "berlin-lea"
-    title_prefix: str = "Berlin LEA — "
-    title_prefix_zh: str = "柏林外管局 — "
-    default_title: str = "Berlin LEA"
-    office_zh: str = "柏林外管局"
-    category: str = "居留与签证"
-    region_level: str = "市"
+    city: str = C.OFFICE_SOURCE["city"]
+    key_prefix: str = C.OFFICE_SOURCE["key_prefix"]
+    slug_prefix: str = C.OFFICE_SOURCE["slug_prefix"]
+    title_prefix: str = C.OFFICE_SOURCE["title_prefix"]
+    title_prefix_zh: str = C.OFFICE_SOURCE["title_prefix_zh"]
+    default_title: str = C.OFFICE_SOURCE["default_title"]
+    office_zh: str = C.OFFICE_SOURCE["office_zh"]
+    category: str = C.OFFICE_SOURCE["category"]
+    region_level: str = C.OFFICE_SOURCE["region_level"]
+    publisher: str = C.OFFICE_SOURCE["publisher"]
+    source_name: str = C.OFFICE_SOURCE["source_name"]
     root: tuple[str, ...] = ("main", "[main]", "article")
     skip_classes: tuple[str, ...] = ("sidebar", "aside")
     contact_lines: int | None = None  # stored contact lines; None: all
 
 
+CAPITAL_OFFICE = OfficeConfig()
+
+
 # --- fixed values: elements that never hold office content ------------------------
 OFFICE_SKIPPED = ["script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"]
 
@@ -308,7 +326,7 @@ def with_office_lines(rows: DataFrame, cfg: OfficeConfig) -> DataFrame:
     return computed(rows, {"_lines": lines})
 
 
-def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: str = "url") -> DataFrame:
+def office_page(pages: DataFrame, cfg: OfficeConfig = CAPITAL_OFFICE, html: str = "html", url: str = "url") -> DataFrame:
     """City office guides with topic, fee line, duration line and contact lines."""
     head = trim_all(text_of(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))))
     rows = computed(
@@ -331,6 +349,10 @@ def office_page(pages: DataFrame, cfg: OfficeConfig, html: str = "html", url: st
         first_matching_line(content, C.FEE_PATTERNS).alias("fees_zh"),
         first_matching_line(content, C.DURATION_PATTERNS).alias("duration_zh"),
         F.array_join(contact if cfg.contact_lines is None else F.slice(contact, 1, cfg.contact_lines), "\n").alias("contact_info"),
+        no_texts().alias("requirements_zh"),
+        no_texts().alias("steps_zh"),
+        F.lit(cfg.publisher).alias("publisher"),
+        F.lit(cfg.source_name).alias("source_name"),
         F.lit(cfg.category).alias("category"),
         F.array(F.lit(cfg.office_zh), F.lit(cfg.default_title), F.lit(C.OFFICE_PERMIT_TAG), F.lit(cfg.city), topic).alias("tags"),
         source.alias("source_url"),

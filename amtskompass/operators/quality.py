@@ -89,3 +89,29 @@ def audit(df: DataFrame, kind: str) -> DataFrame:
             doubled.agg(F.count_if(F.col("n") > 1).alias("violations")).select(F.lit(f"{key}_unique").alias("rule"), "violations")
         )
     return result
+
+
+# table, column -> table, column it refers to
+REFERENCES = {"review": ("policy_id", "policy", "id")}
+
+
+def dangling(df: DataFrame, targets: DataFrame, kind: str = "review") -> DataFrame:
+    """Rows whose reference is set but points to no row.  One anti-join; null refers to nothing and is allowed."""
+    column, _, key = REFERENCES[kind]
+    known = targets.select(F.col(key).cast("string").alias("_target"))
+    return df.where(F.col(column).isNotNull()).join(known, F.col(column).cast("string") == F.col("_target"), "left_anti")
+
+
+def audit_references(df: DataFrame, targets: DataFrame, kind: str = "review", key: str = "id", samples: int = 5) -> DataFrame:
+    """``rule, violations, samples``: dangling references of a table, with the smallest keys of such rows."""
+    column, other, _ = REFERENCES[kind]
+    bad = dangling(df, targets, kind)
+    first = bad.select(F.col(key).cast("string").alias("k")).orderBy("k").limit(samples).agg(F.array_sort(F.collect_list("k")).alias("samples"))
+    count = bad.agg(F.count(F.lit(1)).alias("violations"), F.lit(f"{column}_in_{other}").alias("rule"))
+    return count.select("rule", "violations", first.select("samples").scalar().alias("samples"))
+
+
+def reference_summary(df: DataFrame, targets: DataFrame, kind: str = "review") -> DataFrame:
+    """``target, violations``: dangling references for each missing row they name."""
+    column = REFERENCES[kind][0]
+    return dangling(df, targets, kind).groupBy(F.col(column).alias("target")).agg(F.count(F.lit(1)).alias("violations"))

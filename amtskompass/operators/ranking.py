@@ -40,8 +40,17 @@ def _offsets(totals: DataFrame, value: str) -> DataFrame:
     return totals.select("_part", F.coalesce(F.sum(value).over(before), F.lit(0)).alias("_before"))
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", partitions: int | None = None) -> DataFrame:
-    """1-based position of every row in a total order.  The order must be unique."""
+def global_rank(
+    df: DataFrame, order: Sequence[Column], out: str = "rank", partitions: int | None = None, key: Sequence[str] | None = None
+) -> DataFrame:
+    """1-based position of every row in a total order.  The order must be unique.
+
+    With ``key``, unique columns that the order is made of, only these are sorted and frozen; the other columns are joined
+    back when the result is read, so the job that runs at once never sees them.
+    """
+    if key is not None:
+        ranks = global_rank(df.select(*key), order, out, partitions)
+        return df.join(ranks, list(key))
     rows = _ranged(df, order, partitions)
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = F.broadcast(_offsets(counts, "_n"))
@@ -49,9 +58,15 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", parti
 
 
 def running_total(
-    df: DataFrame, order: Sequence[Column], value: str, out: str = "running", partitions: int | None = None
+    df: DataFrame, order: Sequence[Column], value: str, out: str = "running", partitions: int | None = None, key: Sequence[str] | None = None
 ) -> DataFrame:
-    """Sum of ``value`` over all rows up to and including each row of a unique total order."""
+    """Sum of ``value`` over all rows up to and including each row of a unique total order.
+
+    With ``key``, unique columns that the order is made of, only these and the value are sorted and frozen.
+    """
+    if key is not None:
+        totals = running_total(df.select(*dict.fromkeys([*key, value])), order, value, out, partitions)
+        return df.join(totals.drop(*{value} - set(key)), list(key))
     rows = _ranged(df, order, partitions)
     sums = rows.groupBy("_part").agg(F.sum(value).alias("_n"))
     offsets = F.broadcast(_offsets(sums, "_n"))
@@ -71,7 +86,8 @@ def admit_by_budget(
 
     Adds ``used_before`` and ``admitted``; the first item that is not admitted is the resume point.
     """
-    rows = running_total(items, [F.col(c).asc() for c in order], cost, "used_after")
+    narrow = None if set(items.columns) <= {*order, cost} else list(order)  # other columns are joined back
+    rows = running_total(items, [F.col(c).asc() for c in order], cost, "used_after", key=narrow)
     before = F.col("used_after") - F.col(cost)
     return rows.withColumn("used_before", before).withColumn("admitted", before < budget)
 
@@ -97,14 +113,16 @@ def take_per_group(df: DataFrame, key: Sequence[str], order: Sequence[Column], n
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def make_batches(df: DataFrame, order: Sequence[Column], size: int, block: Column, partitions: int | None = None) -> DataFrame:
+def make_batches(
+    df: DataFrame, order: Sequence[Column], size: int, block: Column, partitions: int | None = None, key: Sequence[str] | None = None
+) -> DataFrame:
     """Consecutive batches of ``size`` rows with their prompt text.
 
     ``block`` renders one row; it may use the columns of ``df`` and ``slot`` (1-based position
     in the batch).  A batch holds ``size`` rows at most, so its text is bounded by the caps in
-    ``block``.
+    ``block``.  With ``key`` (see :func:`global_rank`) the texts are read only when the batches are.
     """
-    ranked = global_rank(df, order, "_rank", partitions)
+    ranked = global_rank(df, order, "_rank", partitions, key)
     placed = ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / size)).withColumn(
         "slot", (F.col("_rank") - 1) % size + 1
     )

@@ -78,3 +78,33 @@ def run_log_metrics(logs: DataFrame) -> DataFrame:
             "hit_usage_wall",
         )
     )
+
+
+# --- open JSON of runs ------------------------------------------------------------------
+# keys of the checkpoint that have columns of their own: (column, path, type)
+SHREDDED = [
+    ("mode", "$.mode", "string"), ("source_index", "$.sourceIndex", "int"), ("request_budget", "$.requestBudget", "int"), ("request_used", "$.requestUsed", "int"),
+    ("sources_processed", "$.totals.sourcesProcessed", "int"), ("policies_upserted", "$.totals.policiesUpserted", "int"), ("last_error", "$.lastError", "string"),
+]
+
+
+def open_checkpoints(runs: DataFrame, text: str = "checkpoint") -> DataFrame:
+    """Run checkpoints as VARIANT, with the keys that queries use as columns.
+
+    The whole object stays in ``state``: keys that nobody knows yet, and values of unexpected types, survive being stored and written
+    back.  A known key of another type gives null in its column; text that is not JSON gives a null object.
+    """
+    rows = runs.withColumn("state", F.try_parse_json(text))
+    return rows.select("*", *[F.try_variant_get("state", path, kind).alias(f"cp_{name}") for name, path, kind in SHREDDED])
+
+
+def checkpoint_json(state: str = "state"):
+    """Text of a stored checkpoint, keys in the order of their names."""
+    return F.to_json(F.col(state))
+
+
+def checkpoint_keys(rows: DataFrame, key: str = "run_id") -> DataFrame:
+    """``run_id, name, type, value`` of every top-level key of the checkpoints, known or not."""
+    entries = rows.sparkSession.tvf.variant_explode(F.col("state").outer())
+    found = rows.select(F.col(key).alias("_id"), "state").lateralJoin(entries)
+    return found.select(F.col("_id").alias(key), F.col("key").alias("name"), F.schema_of_variant("value").alias("type"), F.col("value").cast("string").alias("value"))

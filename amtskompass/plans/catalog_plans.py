@@ -13,15 +13,20 @@ from ..functions.text import computed, contains_any, normalize_text
 from ..operators import catalog as cat
 from ..operators import stats
 from ..operators import visibility as vis
+from ..operators.jobs import with_state_code
+from ..operators.paging import page_index
 from ..operators.related import related
 from ..session import reliable_checkpoint
 from ..sources import adapters as A
+from ..sources.dimensions import dimension
 from ..sources.schemas import POLICY_PAGE
 from ..sources.tables import existing_keys, read_table
 from .registry import query
+from .roles_sql import pick as sql_pick
 from .roles_sql import q, region_name, region_state as sql_state, with_roles
 
 AS_OF = "2024-06-15 12:00:00"
+STATE_NAMES = [*C.STATE_CODES, "Ausland"]
 
 
 def norm(spark, d):
@@ -303,6 +308,21 @@ def o3(spark, d):
     return cat.page_summary(cat.list_policies_v2(A.policy_pages(spark, d), cat.PageFilters()), 3, 20)
 
 
+PAGE_OF_JOBS = """
+SELECT refnr, published_at, title_de FROM jobs WHERE translated AND is_active ORDER BY jobs.published_at DESC NULLS FIRST, refnr LIMIT {size} OFFSET {skip}"""
+
+
+def _register_seek(name: str, page: int, size: int) -> None:
+    @query(name, with_roles(JOBS, PAGE_OF_JOBS.format(size=size, skip=(page - 1) * size)).replace("SELECT refnr, published_at, title_de", "SELECT refnr, CAST(published_at AS VARCHAR) AS published_at, title_de"))
+    def seek(spark, d):
+        shown = cat.list_jobs(A.jobs(spark, d), cat.JobFilters()).select("refnr", "published_at", "title_de")
+        return page_index(shown, cat.job_order(), 64).page(page, size)
+
+
+_register_seek("O3_seek_page_7", 7, 20)
+_register_seek("O3_seek_page_500", 500, 10)
+
+
 @query(
     "O4_top_recent",
     with_roles(V1, "SELECT id, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM policies_v1 ORDER BY policies_v1.updated_at DESC, id LIMIT 250"),
@@ -321,7 +341,7 @@ SELECT term, id AS first_id FROM (
 WHERE rn = 1 ORDER BY published_at DESC NULLS LAST, id, pos LIMIT 12""".replace(", terms", ", terms", 1)),
 )
 def o5(spark, d):
-    return cat.suggestions(vis.visible(norm(spark, d), "policy_v1"), 12)
+    return cat.suggestions(vis.visible(A.policies_v1(spark, d), "policy_v1"), 12, normalize_policies)
 
 
 @query("A1_category_stats_v1", with_roles(NORM, "SELECT cat AS category, count(*) AS n FROM norm WHERE status = 'published' GROUP BY 1"))
@@ -480,6 +500,18 @@ def j10(spark, d):
     )
 
 
+@query(
+    "J10_state_codes",
+    with_roles(JOBS, f"""
+SELECT refnr, s AS state_code, CASE s {' '.join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.STATE_CODES.items())} END AS code
+FROM (SELECT refnr, {sql_pick(STATE_NAMES, 'CAST(refnr AS BIGINT)')} AS s FROM jobs)"""),
+)
+def j10_states(spark, d):
+    """Dimension table joined by the region name of the job; an unknown name has no code."""
+    rows = A.jobs(spark, d).withColumn("state_code", A.pick(STATE_NAMES, F.col("refnr").cast("bigint")))
+    return with_state_code(rows, dimension(spark, "states")).select("refnr", "state_code", "code")
+
+
 @query(
     "X1_normalize_text",
     "SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS normalized_md5 FROM documents",

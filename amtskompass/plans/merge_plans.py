@@ -11,6 +11,7 @@ from ..sources.job_api import explode_job_pages, normalize_jobs
 from ..sources.registry import active_sources
 from ..sources.scraped import ArchiveConfig, RegionConfig, drafts_from_scrape, load_archive_pages
 from .registry import query
+from .roles_sql import q as sql_q
 from .roles_sql import with_roles
 
 AS_OF = "2024-07-01 00:00:00"
@@ -210,6 +211,20 @@ def j7(spark, d):
     return merge.set_status_where(A.policies_v1(spark, d), keys, "unpublished").select("id", "status")
 
 
+BULK_IDS = [str(i) for i in range(3, 900, 7)]
+
+
+@query(
+    "J7_bulk_status_request",
+    with_roles(["policies_v1"], f"""
+SELECT id, 'published' AS status, count(*) OVER () AS changed FROM policies_v1 WHERE id IN ({', '.join(sql_q(i) for i in BULK_IDS)})"""),
+)
+def j7_request(spark, d):
+    """The rows of one request with their new status, and how many they are."""
+    changed = merge.bulk_status(A.policies_v1(spark, d), [*BULK_IDS, "", "unknown"], "published").select("id", "status")
+    return merge.with_count(changed, "changed")
+
+
 @query("J11_fallback_candidates", f"""
 SELECT id, pos, regexp_extract(homepageUrl, '^(https?://[^/?#]+)', 1) || suffix AS candidate FROM ({REG}),
   (SELECT unnest({C.FEED_PATH_SUFFIXES}) AS suffix, unnest(range({len(C.FEED_PATH_SUFFIXES)})) AS pos) WHERE homepageUrl IS NOT NULL""")
@@ -388,7 +403,7 @@ def q6(spark, d):
     from ..functions.prompts import description_block
 
     todo = A.jobs(spark, d).where((F.length("description_de") > 20) & (F.coalesce("description_zh", F.lit("")) == ""))
-    out = ranking.make_batches(todo.select("refnr", "description_de"), [F.col("refnr")], 5, description_block())
+    out = ranking.make_batches(todo.select("refnr", "description_de"), [F.col("refnr")], 5, description_block(), key=["refnr"])
     return out.select("batch", "rows", F.md5("prompt").alias("prompt_md5"))
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.keys import content_hash, visible_text_hash
-from ..functions.text import decode_entities, strip_cdata, strip_tags
+from ..functions.text import decode_entities, strip_cdata, strip_tags, text_parts
 from ..operators import feeds, pages, queue, snapshots, stats
 from ..sources import adapters as A
+from ..streaming.latest import latest_clean
 from .registry import query
-from .roles_sql import any_of, with_roles
+from .roles_sql import any_of, first_rule, pick, q, with_roles
 
 AS_OF = "2024-07-01 00:00:00"
 STAMP = "'2024-07-01 00:00:00'"
@@ -117,17 +118,54 @@ def h3_foreign(spark, d):
     return guides(spark, d, pages.FOREIGN_OFFICE)
 
 
-@query("H3_consumer_guide", guide_sql(pages.CONSUMER_GUIDE))
+NODES = f"list_transform(regexp_split_to_array({ARTICLE}, '<[^>]*>'), lambda x: {decoded('x')})"
+
+PAGE_NAMES = ["", *[p[0] for p in C.GUIDE_PAGES], "unbekannt"]
+PAGE_NAME = pick(PAGE_NAMES, "CAST(regexp_extract(url, '([0-9]*)$', 1) || '0' AS BIGINT) // 10 + length(url)")
+
+
+def by_name(field: int, default: str) -> str:
+    value = lambda p: q(p[field] if field == 1 else "|".join(p[field]))
+    return "CASE name " + " ".join(f"WHEN {q(p[0])} THEN {value(p)}" for p in C.GUIDE_PAGES if p[field]) + f" ELSE {default} END"
+
+
+@query(
+    "H3_consumer_guide",
+    f"""SELECT g.* REPLACE (CASE WHEN name <> '' THEN name ELSE slug END AS slug), {by_name(1, q(C.OTHER_CATEGORY))} AS category, {by_name(2, 'name')} AS tags,
+  {by_name(3, q('|'.join(C.GUIDE_PAGE_DEFAULT_GROUPS)))} AS target_groups, '' AS requirements_zh, '' AS fees_zh, '' AS duration_zh, '' AS steps_zh
+FROM (SELECT g.*, {PAGE_NAME.replace('url', 'source_url')} AS name FROM ({guide_sql(pages.CONSUMER_GUIDE)}) g) g""".replace("SELECT g.* REPLACE", "SELECT g.* EXCLUDE (name) REPLACE"),
+)
 def h3_consumer(spark, d):
-    return guides(spark, d, pages.CONSUMER_GUIDE)
+    """Guides of a source that lists its pages by name."""
+    number = F.floor(F.concat(F.regexp_extract("url", "([0-9]*)$", 1), F.lit("0")).cast("bigint") / 10) + F.length("url")
+    listed = publisher_pages(spark, d, "<main>", "</main>").withColumn("page_name", A.pick(PAGE_NAMES, number))
+    found = pages.extract_guides(listed, pages.CONSUMER_GUIDE, name="page_name")
+    return found.withColumn("summary_md5", F.md5("summary_zh")).drop("summary_zh")
 
 
-@query("H3_extract_exchange_pages")
+EXCHANGE_TEXT = f"array_to_string(list_filter(list_transform({NODES}, lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: true), chr(10))"
+EXCHANGE_CLEAN = squeezed(EXCHANGE_TEXT)
+for _phrase in C.EXCHANGE_NOISE_PHRASES:
+    EXCHANGE_CLEAN = f"replace({EXCHANGE_CLEAN}, {q(_phrase)}, '')"
+VISIBLE = "html"
+for _tag in ("script", "style", "noscript"):
+    VISIBLE = f"regexp_replace({VISIBLE}, '(?is)<{_tag}\\b.*?</{_tag}>', '', 'g')"
+VISIBLE = f"regexp_replace({VISIBLE}, '(?s)<!--.*?-->', '', 'g')"
+
+
+@query(
+    "H3_extract_exchange_pages",
+    f"""SELECT {key_sql('daad')} AS service_key, {slug_sql('t')} AS slug, t AS title_de, t AS title_zh, md5(CASE WHEN length(body) >= 50 THEN body ELSE '' END) AS summary_md5, url AS source_url,
+  md5(array_to_string(list_transform(regexp_split_to_array(regexp_replace(replace(replace({VISIBLE}, '<article>', '<main>'), '</article>', '</main>'), '<[^>]*>', '<>', 'g'), '<>'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), '')) AS content_hash,
+  {', '.join(f'{q(v)} AS {k}' for k, v in C.EXCHANGE_SOURCE.items())}, {q('|'.join(C.EXCHANGE_TAGS))} AS tags, false AS translated, {STAMP} AS last_fetched_at
+FROM (SELECT url, html, CASE WHEN contains(lower({HEADING}), 'cookie') OR contains(lower({HEADING}), 'einwilligung') OR trim({HEADING}) = '' THEN coalesce(nullif(string_split(url, '/')[-2], ''), 'DAAD Page') ELSE trim({HEADING}) END AS t,
+  {squeezed(EXCHANGE_CLEAN)} AS body FROM pages)""",
+)
 def h3_exchange(spark, d):
-    return pages.extract_exchange_pages(A.table(spark, d, "pages"))
+    found = pages.extract_exchange_pages(publisher_pages(spark, d, "<main>", "</main>"), fetched_at=AS_OF)
+    return found.withColumn("summary_md5", F.md5("summary_zh")).drop("summary_zh")
 
 
-NODES = f"list_transform(regexp_split_to_array({ARTICLE}, '<[^>]*>'), lambda x: {decoded('x')})"
 LINES = f"list_filter(list_transform(flatten(list_transform({NODES}, lambda x: string_split(x, chr(10)))), lambda x: trim(x, ' ' || chr(9))), lambda x: length(x) > 15)"
 CONTACT = " OR ".join(f"contains(lower(x), '{w}')" for w in C.CONTACT_NEEDLES)
 FEES_ASCII = "(?i)([0-9]+[.,]?[0-9]*)\\s*(€|euro|eur)|gebühren?pflichtig|gebühren?|kostenlos"
@@ -139,25 +177,60 @@ DAYS_ASCII = "(?i)([0-9]+)\\s*(woche|monat|tag|jahr|wochen|monaten|tagen|jahren)
     f"""SELECT 'berlin_lea_' || substr(regexp_replace(lower(t), '[^a-z0-9]', '_', 'g'), 1, 40) AS service_key, {slug_sql("'berlin-lea-' || t")} AS slug,
   'Berlin LEA — ' || t AS title_de, substr(coalesce(list_filter(l, lambda x: regexp_matches(x, '{FEES_ASCII}'))[1], ''), 1, 150) AS fees_zh,
   substr(coalesce(list_filter(l, lambda x: regexp_matches(x, '{DAYS_ASCII}'))[1], ''), 1, 150) AS duration_zh, md5(array_to_string(list_filter(l, lambda x: {CONTACT}), chr(10))) AS contact_md5,
+  '' AS requirements_zh, '' AS steps_zh, {q(C.OFFICE_SOURCE['publisher'])} AS publisher, {q(C.OFFICE_SOURCE['source_name'])} AS source_name,
   '居留与签证' AS category, url AS source_url, '市' AS region_level, 'Berlin' AS region_name, false AS translated
 FROM (SELECT url, coalesce(nullif(trim({HEADING}), ''), 'Berlin LEA') AS t, {LINES} AS l FROM pages)""",
 )
 def h4(spark, d):
-    found = pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig())
+    found = pages.office_page(A.table(spark, d, "pages"), pages.CAPITAL_OFFICE)
     return found.select(
-        "service_key", "slug", "title_de", "fees_zh", "duration_zh", F.md5("contact_info").alias("contact_md5"), "category", "source_url", "region_level", "region_name", "translated"
+        "service_key", "slug", "title_de", "fees_zh", "duration_zh", F.md5("contact_info").alias("contact_md5"), "requirements_zh", "steps_zh",
+        "publisher", "source_name", "category", "source_url", "region_level", "region_name", "translated"
     )
 
 
-@query("H4_office_labels")
+OFFICE_NAME = first_rule("lower(t)", [(label, [needle]) for needle, label in C.OFFICE_TITLES], "substr(t, 1, 60)")
+OFFICE_TOPIC = first_rule("lower(t) || ' ' || lower(url)", C.OFFICE_TOPIC_RULES, q(C.OFFICE_TOPIC_DEFAULT))
+
+
+def sql_text(template: str, **values: str) -> str:
+    """SQL of a text template."""
+    parts = [values[name] if name else q(text) for text, name in text_parts(template)]
+    return " || ".join(parts)
+
+
+@query(
+    "H4_office_labels",
+    f"""SELECT url AS source_url, {q(C.OFFICE_SOURCE['title_prefix_zh'])} || n AS title_zh, {sql_text(C.OFFICE_SUMMARY, office=q(C.OFFICE_SOURCE['office_zh']), topic_name='n', title='t')} AS summary_zh,
+  concat_ws('|', {q(C.OFFICE_SOURCE['office_zh'])}, {q(C.OFFICE_SOURCE['default_title'])}, {q(C.OFFICE_PERMIT_TAG)}, 'Berlin', {OFFICE_TOPIC}) AS tags
+FROM (SELECT *, {OFFICE_NAME} AS n FROM (SELECT url, coalesce(nullif(trim({HEADING}), ''), 'Berlin LEA') AS t FROM pages))""",
+)
 def h4_labels(spark, d):
     """Labels of the office pages: name, topic and texts made of them (the rules have queries with SQL of their own)."""
-    return pages.office_page(A.table(spark, d, "pages"), pages.OfficeConfig()).select("source_url", "title_zh", "summary_zh", "tags")
+    return pages.office_page(A.table(spark, d, "pages"), pages.CAPITAL_OFFICE).select("source_url", "title_zh", "summary_zh", "tags")
+
+
+KEYS = [e[0] for e in C.KEYED_OFFICE_PAGES]
+
+
+def of_key(field: int) -> str:
+    return "CASE " + " ".join(f"WHEN contains(url, {q(e[0])}) THEN {q(e[field])}" for e in C.KEYED_OFFICE_PAGES) + f" ELSE {q(C.KEYED_OFFICE_PAGES[0][field])} END"
+
+
+KEYED = {"key": "k", "name": "n", "topic": "topic", "title": "t"}
 
 
-@query("H4_keyed_office_pages")
+@query(
+    "H4_keyed_office_pages",
+    f"""SELECT {', '.join(f'{sql_text(C.KEYED_OFFICE[f], **KEYED)} AS {f}' for f in C.KEYED_OFFICE if f != 'slug_title')},
+  {slug_sql(sql_text(C.KEYED_OFFICE['slug_title'], **KEYED))} AS slug, topic AS category, concat_ws('|', {', '.join(sql_text(t, **KEYED) for t in C.KEYED_OFFICE_TAGS)}) AS tags, url AS source_url, false AS translated
+FROM (SELECT url, {of_key(0)} AS k, {of_key(2)} AS n, {of_key(3)} AS topic, coalesce(nullif(trim({HEADING}), ''), {of_key(1)}) AS t
+  FROM (SELECT html, url || '/' || {pick(['x', *KEYS], 'page_id')} AS url FROM pages))""",
+)
 def h4_keyed(spark, d):
-    return pages.keyed_office_page(A.table(spark, d, "pages"))
+    """Office pages below addresses that hold the known keys, or none of them."""
+    rows = A.table(spark, d, "pages").withColumn("url", F.concat("url", F.lit("/"), A.pick(["x", *KEYS], F.col("page_id"))))
+    return pages.keyed_office_page(rows)
 
 
 BLANKS = "[\\s\\x{A0}]*"  # no-break spaces too
@@ -516,6 +589,31 @@ def n4(spark, d):
     return done.withColumn("id", F.when(F.col("id") == snapshots.page_id(F.col("service_key")), F.concat(F.lit("new "), "service_key")).otherwise(F.col("id")))
 
 
+LATEST_TEXT = "Stand der Seite mit deutlich mehr als fuenfzig Zeichen im Absatz, Fassung "
+
+
+@query(
+    "N3_latest_clean",
+    f"""WITH f AS (SELECT CAST(user_id AS VARCHAR) AS service_key, ts, event_id % 3 AS v, CASE WHEN event_id % 4 > 0 THEN 'e' || event_id END AS etag FROM events WHERE event_type <> 'error'),
+one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY service_key, ts ORDER BY etag NULLS LAST, md5('{LATEST_TEXT}' || v)) = 1),
+seen AS (SELECT *, lag(v) OVER (PARTITION BY service_key ORDER BY ts) IS DISTINCT FROM v AS new FROM one)
+SELECT service_key, 'T' || arg_max(v, ts) AS title, md5('{LATEST_TEXT}' || arg_max(v, ts)) AS new_hash, arg_max(etag, ts) FILTER (etag IS NOT NULL) AS etag, 'u/' || service_key AS url,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS fetched_at, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts) FILTER (new), '%Y-%m-%d %H:%M:%S') AS changed_at, true AS rewritten
+FROM seen GROUP BY service_key""",
+)
+def n3_latest(spark, d):
+    """Events as fetches of one page for each user: errors are timeouts, the others deliver one of three contents."""
+    i, user = F.col("event_id"), F.col("user_id").cast("string")
+    version = (i % 3).cast("string")
+    failed = F.col("event_type") == "error"
+    fetched = A.table(spark, d, "events").select(
+        user.alias("service_key"), F.concat(F.lit("u/"), user).alias("url"), F.when(i % 4 > 0, F.concat(F.lit("e"), i.cast("string"))).alias("etag"),
+        F.when(~failed, F.concat(F.lit("<title>T"), version, F.lit(f"</title><p>{LATEST_TEXT}"), version, F.lit("</p>"))).alias("body"),
+        F.when(failed, F.lit("timeout")).alias("error"), F.when(failed, 0).otherwise(200).alias("status"), F.col("ts").cast("timestamp").alias("fetched_at"),
+    )
+    return latest_clean(fetched)
+
+
 @query(
     "N5_full_scrape",
     with_roles(["fetches"], "SELECT page_id, error IS NULL AND status = 200 AS changed, CASE WHEN error IS NULL AND status = 200 THEN etag END AS next_etag FROM fetches"),

@@ -330,6 +330,16 @@ def x21(spark, d):
     return out.select("doc_id", "title_zh", F.md5("summary_zh").alias("summary_md5"), "fees_zh", "steps_zh")
 
 
+@query(
+    "X21_job_fields",
+    "SELECT doc_id, substr(CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END, 1, 20) AS title_zh, coalesce(substr(CASE WHEN doc_id % 3 > 0 THEN text END, 1, 100), '') AS brief_zh FROM documents",
+)
+def x21_jobs(spark, d):
+    i = F.col("doc_id")
+    reply = F.struct(F.when(i % 5 == 0, "").otherwise(F.col("text")).alias("title_zh"), F.when(i % 3 > 0, F.col("text")).alias("brief_zh"))
+    return A.table(spark, d, "documents").select("doc_id", *replies.job_enrichment(reply))
+
+
 @query("X22_detail_key", "SELECT c_custkey, to_base64(encode(c_name)) AS k FROM customer")
 def x22(spark, d):
     return A.table(spark, d, "customer").select("c_custkey", text.detail_key(F.col("c_name")).alias("k"))

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import prompts
-from ..operators import enrich, jobs, quality, queue, runs
+from ..operators import claims, enrich, jobs, quality, queue, runs
+from ..session import shared_folder
 from ..sources import adapters as A
+from ..sources.commits import append_once, new_folder, publish_json, read_appended, read_published
+from ..sources.schemas import QUEUE, REVIEW
 from .registry import query
 from .roles_sql import any_of, q, with_roles
 from .text_plans import parsed_replies
@@ -34,6 +37,24 @@ def q3(spark, d):
     return queue.claim(A.queue(spark, d), 5).select("id", "status", "attempts")
 
 
+@query(
+    "Q3_claims_in_turn",
+    with_roles(["queue"], """, ranked AS (SELECT id, row_number() OVER (ORDER BY priority DESC NULLS FIRST, created_at, id) AS rn FROM queue WHERE status = 'pending')
+SELECT q.id, CASE WHEN rn <= 5 THEN 'done' WHEN rn <= 12 THEN 'processing' ELSE status END AS status, attempts + CASE WHEN rn <= 12 THEN 1 ELSE 0 END AS attempts,
+  CASE WHEN rn <= 5 THEN """ + STAMP + """ END AS processed_at FROM queue q LEFT JOIN ranked USING (id)"""),
+)
+def q3_in_turn(spark, d):
+    """Two workers on one committed queue: the second one's claim is refused once and repeated; the first one reports success."""
+    table = claims.QueueTable.create(A.queue(spark, d), new_folder(shared_folder(spark), "queue"))
+    late = table.propose_claim(7)
+    first = table.claim(5)
+    if table.commit(late):
+        raise AssertionError("a claim from an old version was accepted")
+    table.claim(7)
+    table.settle(first.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("message")), AS_OF)
+    return table.read().select("id", "status", "attempts", "processed_at")
+
+
 FETCHED = "SELECT CAST(user_id AS VARCHAR) AS refnr FROM events WHERE event_type = 'view' GROUP BY 1"
 
 
@@ -181,6 +202,47 @@ for _mode, _as_of in RESUME.items():
     _register_resume(_mode, _as_of)
 
 
+# checkpoints with known keys, a key nobody knows, a known key of another type, and text that is not JSON
+CHECKPOINT = """CASE WHEN event_id % 10 = 9 THEN 'not json {' ELSE '{"mode": "recent", "sourceIndex": ' || (user_id % 9) || ', "requestUsed": ' || CASE WHEN event_id % 7 = 0 THEN '"many"' ELSE CAST(event_id % 500 AS VARCHAR) END
+  || ', "totals": {"policiesUpserted": ' || (event_id % 40) || ', "odd": [' || event_id || ']}, "x_' || (event_id % 3) || '": {"kept": ' || event_id || '}}' END"""
+
+
+def checkpoints(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    text = lambda c: c.cast("string")
+    body = F.concat(
+        F.lit('{"mode": "recent", "sourceIndex": '), text(u % 9), F.lit(', "requestUsed": '), F.when(i % 7 == 0, '"many"').otherwise(text(i % 500)),
+        F.lit(', "totals": {"policiesUpserted": '), text(i % 40), F.lit(', "odd": ['), text(i), F.lit(']}, "x_'), text(i % 3), F.lit('": {"kept": '), text(i), F.lit("}}"),
+    )
+    rows = A.table(spark, d, "events").select(text(i).alias("run_id"), F.when(i % 10 == 9, "not json {").otherwise(body).alias("checkpoint"))
+    return runs.open_checkpoints(rows)
+
+
+@query(
+    "Q11_open_checkpoints",
+    f"""WITH c AS (SELECT event_id, user_id, {CHECKPOINT} AS t FROM events), j AS (SELECT *, event_id % 10 < 9 AS ok FROM c)
+SELECT CAST(event_id AS VARCHAR) AS run_id, CASE WHEN ok THEN 'recent' END AS mode, CASE WHEN ok THEN user_id % 9 END AS source_index,
+  CASE WHEN ok AND event_id % 7 > 0 THEN event_id % 500 END AS request_used, CASE WHEN ok THEN event_id % 40 END AS policies_upserted,
+  CASE WHEN ok THEN '{{"mode":"recent","requestUsed":' || json_extract(t, '$.requestUsed') || ',"sourceIndex":' || (user_id % 9) || ',"totals":{{"odd":[' || event_id || '],"policiesUpserted":' || (event_id % 40)
+    || '}},"x_' || (event_id % 3) || '":{{"kept":' || event_id || '}}}}' END AS written_back FROM j""",
+)
+def q11_open(spark, d):
+    rows = checkpoints(spark, d)
+    known = [F.col(f"cp_{c}").alias(c) for c in ("mode", "source_index", "request_used", "policies_upserted")]
+    return rows.select("run_id", *known, runs.checkpoint_json().alias("written_back"))
+
+
+@query(
+    "Q11_checkpoint_keys",
+    """SELECT name, type, count(*) AS n FROM (
+  SELECT unnest(['mode', 'sourceIndex', 'requestUsed', 'totals', 'x_' || (event_id % 3)]) AS name,
+    unnest(['STRING', 'BIGINT', CASE WHEN event_id % 7 = 0 THEN 'STRING' ELSE 'BIGINT' END, 'OBJECT<odd: ARRAY<BIGINT>, policiesUpserted: BIGINT>', 'OBJECT<kept: BIGINT>']) AS type
+  FROM events WHERE event_id % 10 < 9) GROUP BY 1, 2""",
+)
+def q11_keys(spark, d):
+    return runs.checkpoint_keys(checkpoints(spark, d)).groupBy("name", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "Q11_run_totals",
     """SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) FILTER (event_type <> 'error') AS sources_processed, count(*) FILTER (event_type = 'error') AS sources_skipped,
@@ -399,3 +461,54 @@ UNION ALL SELECT 'level_enum', count(*) FILTER (region_level = 'bogus') FROM pol
 )
 def r2_pages(spark, d):
     return quality.audit(A.policy_pages(spark, d), "policy")
+
+
+@query(
+    "R2_audit_references",
+    with_roles(["reviews", "policy_pages"], """, bad AS (SELECT * FROM reviews WHERE policy_id IS NOT NULL AND policy_id NOT IN (SELECT id FROM policy_pages))
+SELECT 'policy_id_in_policy' AS rule, count(*) AS violations, coalesce((SELECT string_agg(id, '|' ORDER BY id) FROM (SELECT id FROM bad ORDER BY id LIMIT 5)), '') AS samples FROM bad"""),
+)
+def r2_references(spark, d):
+    return quality.audit_references(A.reviews(spark, d), A.policy_pages(spark, d).select("id"))
+
+
+@query(
+    "R2_dangling_reviews",
+    with_roles(["reviews", "policy_pages"], """
+SELECT policy_id AS target, count(*) AS violations FROM reviews WHERE policy_id IS NOT NULL AND CAST(policy_id AS BIGINT) % 2 = 1 OR policy_id NOT IN (SELECT id FROM policy_pages) GROUP BY 1"""),
+)
+def r2_dangling(spark, d):
+    """Every second page is gone."""
+    left = A.policy_pages(spark, d).where(F.col("id").cast("bigint") % 2 == 0)
+    return quality.reference_summary(A.reviews(spark, d), left.select("id"))
+
+
+# --- sinks: written below the shared folder and read back --------------------------------------
+
+
+@query(
+    "S7_publish_json",
+    with_roles(["reviews"], "SELECT id, policy_id, review_status, confidence, strftime(reviewed_at, '%Y-%m-%d %H:%M:%S') AS reviewed_at FROM reviews WHERE review_status <> 'ok'"),
+)
+def s7(spark, d):
+    """A result is published twice; readers see the second one only."""
+    root = new_folder(shared_folder(spark), "results")
+    columns = ["id", "policy_id", "review_status", "confidence", "reviewed_at"]
+    rows = A.reviews(spark, d).select(*columns)
+    publish_json(rows, root)
+    publish_json(rows.where("review_status <> 'ok'"), root)
+    return read_published(spark, root, type(REVIEW)([f for f in REVIEW if f.name in columns])).select(*columns)
+
+
+@query(
+    "S9_append_once",
+    with_roles(["queue"], "SELECT id, source_type, source_id, priority, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM queue"),
+)
+def s9(spark, d):
+    """Two halves are appended, the first one again under its token as a repeated job would."""
+    root = new_folder(shared_folder(spark), "appended")
+    rows = A.queue(spark, d)
+    even = F.col("id").cast("bigint") % 2 == 0
+    for token, part in (("even", rows.where(even)), ("odd", rows.where(~even)), ("even", rows.where(even))):
+        append_once(part, root, token)
+    return read_appended(spark, root, QUEUE).select("id", "source_type", "source_id", "priority", "status", "created_at")

@@ -25,6 +25,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: the one the cluster names, else that of the checkpoints."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext.getCheckpointDir() is None:
+            reliable_checkpoint(spark.range(1))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 

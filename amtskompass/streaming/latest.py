@@ -165,11 +165,12 @@ def latest_clean(landed: DataFrame, pages: DataFrame | None = None, horizon: str
     rows = clean_fetches(landed)
     spark = rows.sparkSession
     begin = None if pages is None else stored_state(pages).groupBy("service_key")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the only store that such a state can live in
     if rows.isStreaming:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         span = spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP '1970-01-01 00:00:00 UTC' + INTERVAL {horizon}) AS BIGINT) AS ms").first()["ms"]
         grouped, mode = rows.withWatermark("fetched_at", horizon).groupBy("service_key"), "EventTime"
     else:
+        _ = spark.streams.active  # a session that never ran a stream has no coordinator of state stores yet
         span, grouped, mode = None, rows.groupBy("service_key"), "None"
     out = grouped.transformWithStateInPandas(LatestClean(span), OUT, "update", mode, begin)
     return out.select(
