@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import all_matches, bound, contains_any, distinct_in_order, first_match, trim_all
+from .needles import all_labels, rule_bits
+from .text import bound, contains_any, distinct_in_order, first_match, trim_all
 
 
 def job_tags(description: Column) -> Column:
@@ -14,7 +15,7 @@ def job_tags(description: Column) -> Column:
 
     Needles with capitals can never match the lower-cased text; they stay in the list as data.
     """
-    return bound(F.lower(F.coalesce(description, F.lit(""))), lambda t: all_matches(t, C.JOB_TAG_RULES))
+    return bound(rule_bits(F.lower(F.coalesce(description, F.lit(""))), C.JOB_TAG_RULES), lambda bits: all_labels(bits, C.JOB_TAG_RULES))
 
 
 def clean_tag_reply(description: Column, reply: Column) -> Column:
@@ -22,7 +23,8 @@ def clean_tag_reply(description: Column, reply: Column) -> Column:
     parts = F.transform(F.split(F.coalesce(reply, F.lit("")), "[,，]"), trim_all)
     valid = F.filter(parts, lambda t: (F.length(t) <= 15) & t.isin(C.JOB_TAGS))
     short = F.length(trim_all(F.coalesce(description, F.lit("")))) < 20
-    return bound(valid, lambda v: F.when(short | (F.size(v) == 0), job_tags(description)).otherwise(v))
+    both = F.struct(valid.alias("valid"), job_tags(description).alias("found"))
+    return bound(both, lambda b: F.when(short | (F.size(b["valid"]) == 0), b["found"]).otherwise(b["valid"]))
 
 
 def literal_map(values: dict[str, str]) -> Column:

@@ -13,17 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import all_matches, collapse_spaces, computed, contains_any, distinct_in_order, first_match, nfkc, text_or, trim_all
+from .needles import all_labels, first_label, has_bit, rule_bits
+from .text import bound, collapse_spaces, computed, contains_any, distinct_in_order, nfkc, text_or, trim_all
 
 
 def lookup_text(col: Column) -> Column:
     """Rule text: trimmed, lower, NFKC, disclaimer sentences blanked, single blanks."""
     text = nfkc(F.lower(trim_all(col)))
     for pattern in C.DISCLAIMER_PATTERNS:
-        text = F.regexp_replace(text, pattern, " ")
+        text = _without(text, pattern)
     return collapse_spaces(text)
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """Text with a pattern blanked; the pattern only runs where its literal beginning occurs."""
+    start = pattern.partition(".")[0]
+    return bound(text, lambda t: F.when(t.contains(start), F.regexp_replace(t, pattern, " ")).otherwise(t))
+
+
 def taxonomy_source(
     title_zh: Column, title_de: Column, summary: Column, changes: Column, summary_de: Column
 ) -> Column:
@@ -34,18 +41,41 @@ def taxonomy_source(
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")
 
 
+BLUE_CARD_RULE = [(C.BLUE_CARD_GROUP, C.BLUE_CARD_NEEDLES)]
+DISPLAY_RULES = (C.DISPLAY_CATEGORY_RULES, C.GROUP_RULES, BLUE_CARD_RULE)
+GROUPS_AT = len(C.DISPLAY_CATEGORY_RULES)
+BLUE_CARD_AT = GROUPS_AT + len(C.GROUP_RULES)
+
+
+def _column(text: Column | str) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def display_bits(text: Column | str) -> Column:
+    """What the display rules for categories and groups find in a lookup text, in one pass."""
+    return rule_bits(_column(text), *DISPLAY_RULES)
+
+
+def category_of(bits: Column) -> Column:
+    return first_label(bits, C.DISPLAY_CATEGORY_RULES, F.lit(C.OTHER_CATEGORY))
+
+
+def groups_of(bits: Column, category: Column) -> Column:
+    work_group = F.when(has_bit(bits, BLUE_CARD_AT), C.BLUE_CARD_GROUP).otherwise(C.WORK_VISA_GROUP)
+    implied = F.when(category == C.WORK_CATEGORY, work_group)
+    for name, group in C.CATEGORY_GROUPS.items():
+        implied = implied.when(category == name, F.lit(group))
+    return distinct_in_order(all_labels(bits, C.GROUP_RULES, GROUPS_AT), F.array_compact(F.array(implied)))
+
+
 def display_category(text: Column | str) -> Column:
     """Category of a lookup text; the first matching rule wins."""
-    return first_match(text, C.DISPLAY_CATEGORY_RULES, F.lit(C.OTHER_CATEGORY))
+    return bound(rule_bits(_column(text), C.DISPLAY_CATEGORY_RULES), category_of)
 
 
 def matched_groups(text: Column | str, category: Column) -> Column:
     """Target groups found in a lookup text or implied by its display category, in rule order."""
-    work_group = F.when(contains_any(text, C.BLUE_CARD_NEEDLES), C.BLUE_CARD_GROUP).otherwise(C.WORK_VISA_GROUP)
-    implied = F.when(category == C.WORK_CATEGORY, work_group)
-    for name, group in C.CATEGORY_GROUPS.items():
-        implied = implied.when(category == name, F.lit(group))
-    return distinct_in_order(all_matches(text, C.GROUP_RULES), F.array_compact(F.array(implied)))
+    return bound(display_bits(text), lambda bits: groups_of(bits, category))
 
 
 def alias_index(text: Column) -> Column:
@@ -101,12 +131,13 @@ def normalize_policies(df: DataFrame, regions: bool = True, groups: bool = True)
     )
     rows = computed(df, {"_source": source})
     rows = computed(rows, {"_text": lookup_text(F.col("_source"))}).drop("_source")
-    rows = computed(rows, {"category": display_category("_text")})
+    rows = computed(rows, {"_bits": display_bits("_text")}).drop("_text")
+    rows = computed(rows, {"category": category_of(F.col("_bits"))})
     if groups:
-        rows = computed(rows, {"target_groups": matched_groups("_text", F.col("category"))})
+        rows = computed(rows, {"target_groups": groups_of(F.col("_bits"), F.col("category"))})
         found = F.col("target_groups")
         rows = rows.withColumn("target_groups", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(C.DEFAULT_GROUP))))
-    rows = rows.drop("_text")
+    rows = rows.drop("_bits")
     return normalize_regions(rows) if regions else rows
 
 
@@ -137,15 +168,15 @@ def ingest_text(*parts: Column) -> Column:
 def ingest_category(reply: Column, fallback: Column, text: Column) -> Column:
     """A canonical reply value is accepted; anything else is classified from the text."""
     raw = text_or(reply, fallback)
-    return F.when(raw.isin(C.INGEST_CATEGORIES), raw).otherwise(
-        first_match(text, C.INGEST_CATEGORY_RULES, F.lit(C.OTHER_CATEGORY))
-    )
+    found = rule_bits(F.when(F.coalesce(raw.isin(C.INGEST_CATEGORIES), F.lit(False)), F.lit(None)).otherwise(text), C.INGEST_CATEGORY_RULES)
+    ruled = bound(found, lambda bits: first_label(bits, C.INGEST_CATEGORY_RULES, F.lit(C.OTHER_CATEGORY)))
+    return F.when(raw.isin(C.INGEST_CATEGORIES), raw).otherwise(ruled)
 
 
 def ingest_groups(reply_groups: Column, text: Column, fallback: Column) -> Column:
     """Canonical reply groups first, then the keyword rules."""
     known = F.filter(F.transform(reply_groups, trim_all), lambda g: g.isin(C.TARGET_GROUPS))
-    groups = distinct_in_order(known, all_matches(text, C.GROUP_RULES))
+    groups = distinct_in_order(known, bound(rule_bits(text, C.GROUP_RULES), lambda bits: all_labels(bits, C.GROUP_RULES)))
     return F.when(F.size(groups) > 0, groups).otherwise(fallback)
 
 

@@ -192,14 +192,6 @@ def contains_any(text: Column | str, needles: Sequence[str]) -> Column:
     return cond
 
 
-def all_matches(text: Column | str, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """Labels of every matching rule, in rule order."""
-    if isinstance(text, str):
-        cases = ", ".join(f"CASE WHEN {_any_sql(text, n)} THEN {_quoted(label)} END" for label, n in rules)
-        return F.expr(f"array_compact(array({cases}))")
-    return F.array_compact(F.array(*[F.when(contains_any(text, n), F.lit(label)) for label, n in rules]))
-
-
 def strip_cdata(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, r"^<!\[CDATA\[", ""), r"\]\]>\z", "")
 

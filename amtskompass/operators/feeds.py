@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.dates import normalize_date, since
-from ..functions.text import absolute_url, bound, computed, contains_any, decode_entities, strip_cdata, strip_tags, trim_all, url_origin
+from ..functions.needles import has_bit, rule_bits
+from ..functions.text import absolute_url, bound, computed, decode_entities, strip_cdata, strip_tags, trim_all, url_origin
 from .merge import dedupe_first, exclude_existing
 from .ranking import take_per_group
 
@@ -53,7 +54,8 @@ def parse_feed(fetches: DataFrame, body: str = "body") -> DataFrame:
 def policy_relevant(title: Column, description: Column) -> Column:
     """No exclusion word and at least one inclusion word in the lower-cased title and description."""
     text = F.lower(F.concat_ws(" ", title, description))
-    return bound(text, lambda t: ~contains_any(t, C.FEED_EXCLUDED) & contains_any(t, C.FEED_KEYWORDS))
+    found = rule_bits(text, [("excluded", C.FEED_EXCLUDED), ("wanted", C.FEED_KEYWORDS)])
+    return bound(found, lambda bits: ~has_bit(bits, 0) & has_bit(bits, 1))
 
 
 def take_per_source(items: DataFrame, n: int, source: str = "source_id") -> DataFrame:

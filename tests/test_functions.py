@@ -1,12 +1,13 @@
 """Golden values of the scalar functions, labels and taxonomy."""
 
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from amtskompass.functions import constants as C
-from amtskompass.functions import dates, keys, labels, replies, taxonomy, text
+from amtskompass.functions import dates, keys, labels, needles, replies, taxonomy, text
 
 c = F.col
 
@@ -226,3 +227,28 @@ def test_escape_like(one):
 def test_fixed_values_are_consistent():
     assert len(C.FEED_KEYWORDS) == 39 and len(C.JOB_TAGS) == 22 and len(C.STATE_CODES) == 16
     assert [t for t, _ in C.JOB_TAG_RULES] == C.JOB_TAGS
+
+
+RULES = [("a", ["ab", "b"]), ("b", ["abc", "IT"]), ("none", []), ("c", ["签证", "ü", "bca"]), ("all", [""]), ("d", ["b b"])]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_pass_finds_the_rules_that_contains_finds(spark, seed):
+    rnd = random.Random(seed)
+    texts = [None, "", "签证", "xabcab", "b b", "IT"] + ["".join(rnd.choice("abc ITü签证") for _ in range(rnd.randint(0, 9))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(3)
+    bits = needles.rule_bits(c("t"), RULES, RULES[:2])
+    got = df.select("n", needles.all_labels(bits, RULES).alias("all"), needles.all_labels(bits, RULES[:2], len(RULES)).alias("two"), needles.first_label(bits, RULES[:4], F.lit("-")).alias("first"))
+    for r in got.collect():
+        found = [label for label, words in RULES if texts[r["n"]] is not None and any(w in texts[r["n"]] for w in words)]
+        assert r["all"] == found and r["two"] == [label for label in found if label in "ab"]
+        assert r["first"] == next((label for label in found if label != "all" and label != "d"), "-")
+
+
+def test_too_many_rules_are_refused():
+    with pytest.raises(ValueError):
+        needles.rule_bits(F.lit("x"), [(str(i), [str(i)]) for i in range(63)])
+
+
+def test_disclaimers_are_blanked_only_where_they_occur(one):
+    assert one({"a": " 不构成法律建议。 VISA  x "}, taxonomy.lookup_text(c("a"))) == " 。 visa x"
