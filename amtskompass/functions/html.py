@@ -1,16 +1,17 @@
 """HTML tokeniser: the one place where page structure needs a real parser.
 
-``page_tokens`` turns a page into its text nodes, each once, and its elements of interest in document order.  An element
+A page becomes its text nodes, each once, and its elements of interest in document order.  An element
 knows the range of text nodes below it (``begin``, ``end``), so its text is put together by a native expression
-(``element_text``) and only where it is wanted.  Every token has its path of ancestors (``name#id.class[role]@ordinal`` joined by
-``/``), so roots, exclusions and boilerplate containers are decided by native expressions too.  Plain paragraphs, list
-items, cells, spans and links (without id, class or role) are steps of their own path only, paths hold ``MAX_DEPTH`` steps at most, and
-paragraphs, items, cells and links end where the HTML standard ends them: the size of the result grows with that of the page,
-however many tags are left open.
+(``element_text``) and only where it is wanted, and the range of tokens below it (``i``, ``until``), so being below it is a comparison of
+numbers.  Callers name the selectors they will ask about (:class:`Selectors`); every token says for each of them which element
+that matches it stands above.  Plain paragraphs, list items, cells, spans and links (without id, class or role) count for
+themselves only, and paragraphs, items, cells and links end where the HTML standard ends them.  A token has a fixed number of
+numbers, however deep it lies: the size of the result grows with that of the page.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,14 +19,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+NUMBERS = T.IntegerType()
 TOKEN = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("tag", "path")]
-    + [T.StructField(n, T.IntegerType()) for n in ("begin", "end")]
+    [T.StructField("tag", T.StringType())]
+    + [T.StructField(n, NUMBERS) for n in ("i", "until", "parent", "begin", "end")]
     + [T.StructField(n, T.StringType()) for n in ("href", "title")]
+    + [T.StructField("at", T.ArrayType(NUMBERS))]
+)
+ROOT = T.StructType([T.StructField(n, NUMBERS) for n in ("first", "last")])
+PAGE = T.StructType(
+    [T.StructField("tokens", T.ArrayType(TOKEN)), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("roots", T.ArrayType(ROOT))]
 )
-PAGE = T.StructType([T.StructField("tokens", T.ArrayType(TOKEN)), T.StructField("texts", T.ArrayType(T.StringType()))])
 TEXT = "#text"
-MAX_DEPTH = 128  # steps of a path; deeper elements count as children of the last one
 # --- fixed values of the HTML standard ---------------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(["script", "style", "template"])
@@ -46,21 +51,31 @@ PARAGRAPH = (frozenset(["p"]), frozenset(["table", "td", "th", "caption", "butto
 
 
 class _Page(HTMLParser):
-    def __init__(self) -> None:
+    """Tokens of one page.  For each selector a token has -1, or twice the number of the outermost matching element's root, plus one
+    if that element stands above the token (and is not the token itself)."""
+
+    def __init__(self, patterns: tuple[re.Pattern, ...]) -> None:
         super().__init__(convert_charrefs=True)
+        self.patterns = patterns
         self.tokens: list[list] = []
         self.texts: list[str] = []
-        self.open: list[tuple[str, str, int, list | None]] = []  # tag, path for what is below, its steps, token
+        self.roots: list[list[int]] = []
+        self.nothing = (-1,) * len(patterns)
+        # tag, marks for what is below, token of the nearest element that is not plain, own token, own roots
+        self.open: list[tuple[str, tuple[int, ...], int, list | None, tuple[int, ...]]] = []
         self.places: dict[str, list[int]] = {}  # where in ``open`` each tag stands
-        self.hidden = self.count = 0
+        self.matched: dict[str, tuple[int, ...]] = {}  # selectors that a step matches
+        self.hidden = 0
 
     def _close(self, depth: int) -> None:
         while len(self.open) > depth:
-            tag, _, _, token = self.open.pop()
+            tag, _, _, token, roots = self.open.pop()
             self.places[tag].pop()
             self.hidden -= tag in HIDDEN
             if token is not None:
-                token[3] = len(self.texts)
+                token[2], token[5] = len(self.tokens), len(self.texts)
+            for r in roots:
+                self.roots[r][1] = len(self.tokens)
 
     def _end_open(self, rule: tuple[frozenset, frozenset]) -> None:
         last = max((self.places[t][-1] for t in rule[0] if self.places.get(t)), default=-1)
@@ -73,25 +88,30 @@ class _Page(HTMLParser):
         if tag in ENDS:
             self._end_open(ENDS[tag])
         values = {k: v or "" for k, v in attrs}
-        self.count += 1
         own = tag + ("#" + values["id"] if values.get("id") else "")
         own += "".join("." + c for c in values.get("class", "").split())
         own += f"[{values['role']}]" if values.get("role") else ""
-        above, steps = (self.open[-1][1], self.open[-1][2]) if self.open else ("", 0)
-        path = (above + "/" if above else "") + f"{own}@{self.count}"
-        token = None
+        above, parent = (self.open[-1][1], self.open[-1][2]) if self.open else (self.nothing, -1)
+        hits = self.matched.get(own)
+        if hits is None:
+            hits = self.matched[own] = tuple(k for k, p in enumerate(self.patterns) if p.fullmatch(own + "@"))
+        marks, here, roots = list(above), list(above), []
+        for k in hits:
+            if above[k] < 0:  # the outermost match
+                roots.append(len(self.roots))
+                self.roots.append([len(self.tokens), len(self.tokens) + 1])
+                marks[k], here[k] = 2 * roots[-1] + 1, 2 * roots[-1]
+        token, place = None, len(self.tokens)
         if tag in ELEMENTS:
             link = values.get("href") if tag == "a" else values.get("datetime") or values.get("name")
-            token = [tag, path, len(self.texts), len(self.texts), link, values.get("content", "") if tag == "meta" else values.get("title")]
+            name = values.get("content", "") if tag == "meta" else values.get("title")
+            token = [tag, place, place + 1, parent, len(self.texts), len(self.texts), link, name, here]
             self.tokens.append(token)
         if tag not in VOID:
-            if own in PLAIN or steps >= MAX_DEPTH:
-                path = above
-            else:
-                steps += 1
+            plain = own in PLAIN
             self.places.setdefault(tag, []).append(len(self.open))
             self.hidden += tag in HIDDEN
-            self.open.append((tag, path, steps, token))
+            self.open.append((tag, above if plain else tuple(marks), parent if plain else (place if token else -1), token, tuple(roots)))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,54 +127,83 @@ class _Page(HTMLParser):
             return
         self.texts.append(data)
         if not data.isspace():
-            path = self.open[-1][1] if self.open else ""
-            self.tokens.append([TEXT, path, len(self.texts) - 1, len(self.texts), None, None])
+            above, parent = (self.open[-1][1], self.open[-1][2]) if self.open else (self.nothing, -1)
+            place = len(self.tokens)
+            self.tokens.append([TEXT, place, place + 1, parent, len(self.texts) - 1, len(self.texts), None, None, list(above)])
 
 
-def _parse(html: str | None) -> dict:
-    page = _Page()
+def _parse(html: str | None, patterns: tuple[re.Pattern, ...] = ()) -> dict:
+    page = _Page(patterns)
     if html:
         page.feed(html)
         page.close()
         page._close(0)
-    return {"tokens": [dict(zip(TOKEN.names, t, strict=True)) for t in page.tokens], "texts": page.texts}
+    return {
+        "tokens": [dict(zip(TOKEN.names, t, strict=True)) for t in page.tokens], "texts": page.texts,
+        "roots": [{"first": a, "last": b} for a, b in page.roots],
+    }
 
 
-@F.pandas_udf(PAGE)
-def page_tokens(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse(p) for p in pages], columns=PAGE.names)
+def step_pattern(selector: str) -> str:
+    """Regular expression of elements (``name#id.class[role]@``) that match ``name``, ``#id``, ``.class`` or ``[role]``."""
+    if selector.startswith("#"):
+        return rf"[^#]*{selector}(?=[.\[@]).*"
+    if selector.startswith("."):
+        return rf".*\{selector}(?=[.\[@]).*"
+    if selector.startswith("["):
+        return rf".*\{selector[:-1]}\].*"
+    return rf"{selector}(?=[#.\[@]).*"
 
 
-def element_text(token: Column, texts: Column) -> Column:
-    """Text of a token: its text nodes joined without anything between them."""
-    return F.array_join(F.slice(texts, token["begin"] + 1, token["end"] - token["begin"]), "")
+class Selectors:
+    """Selectors by name, and others given as ``name=regular expression of the element``."""
 
+    def __init__(self, *names: str, **patterns: str) -> None:
+        every = {n: step_pattern(n) for n in names} | patterns
+        self.place = {n: k for k, n in enumerate(every)}
+        self.patterns = tuple(every.values())
 
-def path_step(selector: str) -> str:
-    """Regular expression for one path step matching ``name``, ``#id``, ``.class`` or ``[role]``."""
-    if selector.startswith("#"):
-        return rf"[^/#]*{selector}(?=[.\[@])[^/]*"
-    if selector.startswith("."):
-        return rf"[^/]*\{selector}(?=[.\[@])[^/]*"
-    if selector.startswith("["):
-        return rf"[^/]*\{selector[:-1]}\][^/]*"
-    return rf"{selector}(?=[#.\[@])[^/]*"
+    def page(self, html: Column) -> Column:
+        """Tokens, texts and roots of a page."""
+        patterns = self.patterns
+
+        @F.pandas_udf(PAGE)
+        def parsed(pages: pd.Series) -> pd.DataFrame:
+            compiled = tuple(re.compile(p) for p in patterns)
+            return pd.DataFrame([_parse(p, compiled) for p in pages], columns=PAGE.names)
+
+        return parsed(html)
+
+    def _at(self, token: Column, name: str) -> Column:
+        return token["at"][self.place[name]]
+
+    def inside(self, token: Column, name: str) -> Column:
+        """The token matches, or an element above it does."""
+        return self._at(token, name) >= 0
 
+    def below(self, token: Column, name: str) -> Column:
+        """An element above the token matches."""
+        return (self._at(token, name) >= 0) & (self._at(token, name) % 2 == 1)
 
-def inside(path: Column, selector: str) -> Column:
-    """The path runs through (or ends at) an element matching the selector."""
-    return path.rlike(f"(^|/){path_step(selector)}(/|$)")
+    def first_root(self, tokens: Column, roots: Column, *names: str) -> Column:
+        """Range of the first element that matches the first selector that any token is inside of; null when there is none."""
+        found = []
+        for name in names:
+            hit = F.get(F.filter(tokens, lambda t: self.inside(t, name)), F.lit(0))  # noqa: B023 - used at once
+            found.append(F.get(roots, F.shiftright(self._at(hit, name), 1)))
+        return F.coalesce(*found)
+
+
+def element_text(token: Column, texts: Column) -> Column:
+    """Text of a token: its text nodes joined without anything between them."""
+    return F.array_join(F.slice(texts, token["begin"] + 1, token["end"] - token["begin"]), "")
 
 
-def first_root(tokens: Column, selectors: list[str]) -> Column:
-    """Path step of the first element matching the first selector that matches at all; null when none does."""
-    found = []
-    for selector in selectors:
-        hit = F.get(F.filter(tokens, lambda t: inside(t["path"], selector)), F.lit(0))["path"]
-        found.append(F.nullif(F.regexp_extract(hit, f"(?:^|/)({path_step(selector)})(?=/|$)", 1), F.lit("")))
-    return F.coalesce(*found)
+def under(token: Column, root: Column) -> Column:
+    """The token is the element of a root, or below it."""
+    return (token["i"] >= root["first"]) & (token["i"] < root["last"])
 
 
-def under(path: Column, step: Column) -> Column:
-    """Strictly or loosely below the element whose path step is given."""
-    return F.concat(F.lit("/"), path, F.lit("/")).contains(F.concat(F.lit("/"), step, F.lit("/")))
+def within(token: Column, other: Column) -> Column:
+    """The token is another one, or below it."""
+    return (token["i"] >= other["i"]) & (token["i"] < other["until"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.html import TEXT, element_text, first_root, inside, page_tokens, path_step, under
+from ..functions.html import TEXT, Selectors, element_text, step_pattern, under, within
 from ..functions.keys import page_slug, service_key, visible_text_hash
 from ..functions.labels import keyed_office, office_title, office_topic, page_labels
 from ..functions.text import (
@@ -125,10 +125,10 @@ def drop_boilerplate(parts: Column, cfg: GuideConfig) -> Column:
     return F.filter(parts, keep)
 
 
-def _tokenised(pages: DataFrame, html: str) -> DataFrame:
-    """Adds ``_tokens`` and ``_texts`` of each page, parsed once."""
-    rows = computed(pages, {"_page": page_tokens(F.col(html))})
-    return rows.withColumns({"_tokens": F.col("_page.tokens"), "_texts": F.col("_page.texts")}).drop("_page")
+def _tokenised(pages: DataFrame, html: str, selectors: Selectors = Selectors()) -> DataFrame:
+    """Adds ``_tokens``, ``_texts`` and ``_roots`` of each page, parsed once."""
+    rows = computed(pages, {"_page": selectors.page(F.col(html))})
+    return rows.withColumns({f"_{c}": F.col(f"_page.{c}") for c in ("tokens", "texts", "roots")}).drop("_page")
 
 
 def text_of(token: Column) -> Column:
@@ -139,13 +139,13 @@ def _texts(tokens: Column, tags: list[str]) -> Column:
     return F.filter(tokens, lambda t: t["tag"].isin(tags))
 
 
-def _first_text(tokens: Column, tag: str, within: str | None = None) -> Column:
-    hits = F.filter(tokens, lambda t: (t["tag"] == tag) & (inside(t["path"], within) if within else F.lit(True)))
+def _first_text(tokens: Column, tag: str, selectors: Selectors | None = None, inside: str | None = None) -> Column:
+    hits = F.filter(tokens, lambda t: (t["tag"] == tag) & (selectors.inside(t, inside) if inside else F.lit(True)))
     return F.nullif(clean_text(text_of(F.get(hits, F.lit(0)))), F.lit(""))
 
 
-def _guide_title(tokens: Column, cfg: GuideConfig) -> Column:
-    candidates = [_first_text(tokens, "h1", within) for within in cfg.title_within]
+def _guide_title(tokens: Column, cfg: GuideConfig, selectors: Selectors) -> Column:
+    candidates = [_first_text(tokens, "h1", selectors, name) for name in cfg.title_within]
     if cfg.title_last:
         h1 = _texts(tokens, ["h1"])
         candidates.append(F.nullif(clean_text(text_of(F.try_element_at(h1, F.lit(-1)))), F.lit("")))
@@ -157,10 +157,8 @@ def _guide_title(tokens: Column, cfg: GuideConfig) -> Column:
 
 def _heading_span(tokens: Column, root: Column) -> Column:
     """Text of the first span directly below the root's first heading; null without one."""
-    h1 = F.get(F.filter(tokens, lambda t: (t["tag"] == "h1") & under(t["path"], root)), F.lit(0))["path"]
-    spans = F.filter(
-        tokens, lambda t: (t["tag"] == "span") & (F.regexp_replace(t["path"], "/[^/]*$", "") == h1)
-    )
+    h1 = F.get(F.filter(tokens, lambda t: (t["tag"] == "h1") & under(t, root)), F.lit(0))
+    spans = F.filter(tokens, lambda t: (t["tag"] == "span") & (t["parent"] == h1["i"]))
     return F.nullif(clean_text(text_of(F.get(spans, F.lit(0)))), F.lit(""))
 
 
@@ -175,27 +173,27 @@ def extract_guides(pages: DataFrame, cfg: GuideConfig, html: str = "html", url:
     source carry the name as their slug, the category, tags and groups of the named page, and the empty fields that the enrichment
     fills.  The tokeniser runs once per page; everything after it is native array work.
     """
-    rows = computed(_tokenised(pages, html), {"_root": first_root(F.col("_tokens"), cfg.root)})
+    names = [*cfg.root, *([cfg.column] if cfg.column else []), *cfg.title_within, *cfg.skip_ancestors]
+    boxes = {"furniture": rf"div.*\..*({'|'.join(cfg.containers)}).*|span.*\.aural.*"} if cfg.containers else {}
+    selectors = Selectors(*dict.fromkeys(names), **boxes)
+    tokens, roots = F.col("_tokens"), F.col("_roots")
+    rows = computed(_tokenised(pages, html, selectors), {"_root": selectors.first_root(tokens, roots, *cfg.root)})
     rows = rows.where(F.col("_root").isNotNull())
-    rows = computed(rows, {"_inner": F.filter("_tokens", lambda t: under(t["path"], F.col("_root")))})
-    column = F.coalesce(first_root(F.col("_inner"), [cfg.column]), F.col("_root")) if cfg.column else F.col("_root")
+    rows = computed(rows, {"_inner": F.filter("_tokens", lambda t: under(t, F.col("_root")))})
+    column = F.coalesce(selectors.first_root(F.col("_inner"), roots, cfg.column), F.col("_root")) if cfg.column else F.col("_root")
     rows = computed(rows, {"_col": column})
 
     def usable(t: Column) -> Column:
-        good = t["tag"].isin(cfg.tags) & under(t["path"], F.col("_col"))
-        if cfg.skip_ancestors:
-            steps = "|".join(path_step(s) for s in cfg.skip_ancestors)
-            good = good & ~t["path"].rlike(f"(^|/)({steps})/")
-        if cfg.containers:
-            names = "|".join(cfg.containers)
-            good = good & ~t["path"].rlike(rf"(^|/)div[^/]*\.[^/]*({names})[^/]*/|(^|/)span[^/]*\.aural[^/]*/")
+        good = t["tag"].isin(cfg.tags) & under(t, F.col("_col"))
+        for name in [*cfg.skip_ancestors, *boxes]:
+            good = good & ~selectors.below(t, name)
         return good
 
     parts = drop_boilerplate(F.transform(F.filter("_inner", usable), lambda t: clean_text(text_of(t))), cfg)
     whole = clean_text(F.array_join(F.transform(F.filter("_inner", lambda t: t["tag"] == TEXT), text_of), ""))
-    title = _guide_title(F.col("_tokens"), cfg)
+    title = _guide_title(tokens, cfg, selectors)
     if cfg.column:
-        title = F.coalesce(_heading_span(F.col("_tokens"), F.col("_root")), title)
+        title = F.coalesce(_heading_span(tokens, F.col("_root")), title)
     rows = computed(rows, {"_parts": parts, "_whole": whole, "title_de": title})
     fallback = F.when(F.length("_whole") > 10, F.col("_whole")).otherwise("")
     joined = F.array_join("_parts", "\n\n")
@@ -230,8 +228,9 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
 
     ``fetched_at`` is the time of the fetch; ``content_hash`` covers the visible text of the whole page.
     """
-    rows = _tokenised(pages, html)
-    tokens = F.col("_tokens")
+    selectors = Selectors("main", "body", "article", ".qa-headline-title")
+    rows = _tokenised(pages, html, selectors)
+    tokens, inside = F.col("_tokens"), selectors.inside
 
     def clean_heading(text: Column) -> Column:
         text = F.nullif(trim_all(text), F.lit(""))
@@ -244,25 +243,23 @@ def extract_exchange_pages(pages: DataFrame, html: str = "html", url: str = "url
         return clean_heading(text_of(F.get(F.filter(h1, cond), F.lit(0))))
 
     title = F.coalesce(
-        first_h1(lambda t: inside(t["path"], "main") & inside(t["path"], ".qa-headline-title")),
-        first_h1(lambda t: inside(t["path"], "main")),
-        first_h1(lambda t: inside(t["path"], "article")),
+        first_h1(lambda t: inside(t, "main") & inside(t, ".qa-headline-title")),
+        first_h1(lambda t: inside(t, "main")),
+        first_h1(lambda t: inside(t, "article")),
         F.nullif(trim_all(text_of(F.get(any_h1, F.lit(0)))), F.lit("")),
         fallback_title if fallback_title is not None else F.lit(None).cast("string"),
         F.nullif(F.try_element_at(F.split(F.col(url), "/"), F.lit(-2)), F.lit("")),
         F.lit("DAAD Page"),
     )
-    rows = computed(rows, {"_root": first_root(tokens, ["main", "body"]), "title_de": title})
+    rows = computed(rows, {"_root": selectors.first_root(tokens, F.col("_roots"), "main", "body"), "title_de": title})
     dialogs = F.filter(
         "_tokens",
         lambda t: t["tag"].isin("dialog", "aside", "nav") & contains_any(F.lower(text_of(t)), ["cookie", "einwilligung"])
-        & under(t["path"], F.col("_root")),
+        & under(t, F.col("_root")),
     )
-    rows = computed(rows, {"_cookie": F.transform(dialogs, lambda t: F.substring_index(t["path"], "/", -1))})
+    rows = computed(rows, {"_cookie": F.transform(dialogs, lambda t: F.struct(t["i"].alias("i"), t["until"].alias("until")))})
     nodes = F.filter(
-        "_tokens",
-        lambda t: (t["tag"] == TEXT) & under(t["path"], F.col("_root"))
-        & ~F.exists("_cookie", lambda step: under(t["path"], step)),
+        "_tokens", lambda t: (t["tag"] == TEXT) & under(t, F.col("_root")) & ~F.exists("_cookie", lambda dialog: within(t, dialog))
     )
     text = clean_text(F.array_join(F.transform(nodes, lambda t: trim_all(text_of(t))), "\n"))
     text = F.replace(text, F.lit("­"), F.lit(""))
@@ -313,14 +310,18 @@ CAPITAL_OFFICE = OfficeConfig()
 OFFICE_SKIPPED = ["script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"]
 
 
+def office_selectors(cfg: OfficeConfig) -> Selectors:
+    """Roots of the content, and page furniture."""
+    skipped = "|".join(step_pattern(t) for t in OFFICE_SKIPPED)
+    return Selectors(*cfg.root, furniture=rf"{skipped}|[^@]*\.[^@]*({'|'.join(cfg.skip_classes)}).*")
+
+
 def with_office_lines(rows: DataFrame, cfg: OfficeConfig) -> DataFrame:
     """Adds ``_lines``: content lines of more than 15 characters, outside page furniture."""
-    skip = "|".join(path_step(t) for t in OFFICE_SKIPPED)
-    classes = "|".join(cfg.skip_classes)
-    banned = rf"(^|/)({skip})(/|$)|(^|/)[^/@]*\.[^/@]*({classes})[^/]*(/|$)"
-    rows = computed(rows, {"_kept": F.filter("_tokens", lambda t: (t["tag"] == TEXT) & ~t["path"].rlike(banned))})
-    rows = computed(rows, {"_root": first_root(F.col("_kept"), list(cfg.root))})
-    nodes = F.filter("_kept", lambda t: F.col("_root").isNull() | under(t["path"], F.col("_root")))
+    selectors = office_selectors(cfg)
+    rows = computed(rows, {"_kept": F.filter("_tokens", lambda t: (t["tag"] == TEXT) & ~selectors.inside(t, "furniture"))})
+    rows = computed(rows, {"_root": selectors.first_root(F.col("_kept"), F.col("_roots"), *cfg.root)})
+    nodes = F.filter("_kept", lambda t: F.col("_root").isNull() | under(t, F.col("_root")))
     lines = F.flatten(F.transform(nodes, lambda t: F.split(text_of(t), "\n")))
     lines = F.filter(F.transform(lines, trim_all), lambda x: F.length(x) > 15)
     return computed(rows, {"_lines": lines})
@@ -330,7 +331,7 @@ def office_page(pages: DataFrame, cfg: OfficeConfig = CAPITAL_OFFICE, html: str
     """City office guides with topic, fee line, duration line and contact lines."""
     head = trim_all(text_of(F.get(_texts(F.col("_tokens"), ["h1"]), F.lit(0))))
     rows = computed(
-        with_office_lines(_tokenised(pages, html), cfg),
+        with_office_lines(_tokenised(pages, html, office_selectors(cfg)), cfg),
         {"title": F.coalesce(F.nullif(head, F.lit("")), F.lit(cfg.default_title))},
     )
     title, source = F.col("title"), F.col(url)
@@ -388,12 +389,13 @@ def news_page(pages: DataFrame, html: str = "html", static: bool = False) -> Dat
     The rendered variant reads the main (or article, or body) element, keeps paragraphs over
     50 characters without cookie or privacy wording; the static one keeps any over 30.
     """
-    rows = computed(_tokenised(pages, html), {"_root": first_root(F.col("_tokens"), ["main", "article", "body"])})
+    selectors = Selectors("main", "article", "body")
+    rows = computed(_tokenised(pages, html, selectors), {"_root": selectors.first_root(F.col("_tokens"), F.col("_roots"), "main", "article", "body")})
     floor = 30 if static else 50
 
     def keep(t: Column) -> Column:
         good = t["tag"] == "p"
-        return good if static else good & (F.col("_root").isNull() | under(t["path"], F.col("_root")))
+        return good if static else good & (F.col("_root").isNull() | under(t, F.col("_root")))
 
     texts = F.transform(F.filter("_tokens", keep), lambda t: trim_all(text_of(t)))
 
@@ -409,7 +411,7 @@ def news_page(pages: DataFrame, html: str = "html", static: bool = False) -> Dat
         date = F.regexp_extract(F.col(html), r"(\d{1,2}[./]\d{1,2}[./]\d{2,4})", 1)
     out = rows.withColumns({"news_title": head("h1"), "news_subtitle": head("h2"), "news_date": date,
                             "paragraphs": F.filter(texts, long_enough)})
-    return out.drop("_tokens", "_texts", "_root")
+    return out.drop("_tokens", "_texts", "_roots", "_root")
 
 
 def _trimmed_first(tokens: Column, tag: str) -> Column:

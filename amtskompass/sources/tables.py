@@ -34,9 +34,3 @@ def append(df: DataFrame, path: str, schema: T.StructType | None = None) -> None
             ]
         )
     df.write.mode("append").parquet(path)
-
-
-def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a new table snapshot.  Never the path ``df`` is read from: publish by switching paths."""
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

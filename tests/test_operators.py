@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -401,7 +402,7 @@ def test_tokens_grow_with_the_page_however_many_tags_stay_open():
     from amtskompass.functions.html import _parse
 
     def size(page):
-        return sum(len(t["path"]) + 40 for t in page["tokens"]) + sum(map(len, page["texts"]))
+        return sum(4 * len(t["at"]) + 40 for t in page["tokens"]) + sum(map(len, page["texts"])) + 8 * len(page["roots"])
 
     for piece in ("<p>some text ", "<li>item ", "<td>cell ", "<span>word ", "<a href='/x'>link ", "<div class='box'>text ", "<b>bold ", "</i>x<p>"):
         small, large = (size(_parse(piece * (n // len(piece)))) for n in (100_000, 1_000_000))
@@ -410,6 +411,26 @@ def test_tokens_grow_with_the_page_however_many_tags_stay_open():
     assert size(plain) < 20_000_000 and all(t["end"] - t["begin"] == 1 for t in plain["tokens"])
 
 
+def test_structure_counts_at_any_depth(spark):
+    """Navigation below 400 elements is still navigation, and the main element above them is still the root."""
+    deep = "".join(f"<div class='d{i}'>" for i in range(400))
+    html = f"<body><nav>weg</nav><main><h1>T</h1>{deep}<nav><ul><li>Navigation ganz unten</li></ul></nav><p>Inhalt ganz unten</p>{'</div>' * 400}</main><p>ausserhalb</p></body>"
+    page = spark.createDataFrame([("https://x.de/a", html)], "url string, html string")
+    cfg = pages.GuideConfig(prefix="x", root=["main"], title_within=["main"], min_parts=1)
+    assert pages.extract_guides(page, cfg).first()["summary_zh"] == "Inhalt ganz unten"
+    assert pages.office_page(page.withColumn("html", F.replace("html", F.lit("unten"), F.lit("unten 3 Wochen"))), pages.OfficeConfig()).first()["duration_zh"] == "Inhalt ganz unten 3 Wochen"
+
+
+def test_marks_of_selectors(spark):
+    from amtskompass.functions.html import Selectors, _parse
+
+    selectors = Selectors("main", "#x", ".c", "[r]", odd="div.*y.*")
+    html = "<p id=x>a<span class='b c'>b<span>c</span></span><main class=c><div role=r class=my><p>d</main>e"
+    tokens = {t["tag"] if t["tag"] != "#text" else page["texts"][t["begin"]]: t for page in [_parse(html, tuple(map(re.compile, selectors.patterns)))] for t in page["tokens"]}
+    inside = {k: "".join(n[0] for n, at in zip(selectors.place, t["at"]) if at >= 0) for k, t in tokens.items() if len(k) == 1}
+    assert inside == {"p": "m.[o", "a": "#", "b": "#.", "c": "#.", "d": "m.[o", "e": ""}
+
+
 def test_text_split_by_tags_stays_whole(spark):
     html = "<main><h1>Ein<b>bürger</b>ung</h1><p>Die Ein<i>bürger</i>ung dauert.</p></main>"
     page = spark.createDataFrame([("https://x.de/a", html)], "url string, html string")
