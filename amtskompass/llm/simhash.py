@@ -31,6 +31,7 @@ SEED = 42
 TILE = 8192  # fingerprints in a tile on average, at most
 CELLS = 1 << 21  # comparisons at once
 CHUNK_SETS, CHUNK_NAMES = 512, 1 << 18  # shingle sets, and shingles in them, of a chunk on average
+NAME_BYTES = 5  # of a shingle's name that travel to be compared: two different shingles of a pair of sets agree with odds of 2**-40
 DEVIATIONS = 5.0  # candidates differ by the bits expected at the similarity and this many deviations
 
 
@@ -168,7 +169,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = stamp
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # a stored side lets Spark split the other one at a node with very many links
+        least = reliable_checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
@@ -218,13 +220,26 @@ def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary, key binary, n long")
 
 
+def packed(names: np.ndarray) -> bytes:
+    """Sorted lower ``NAME_BYTES`` bytes of different names, without repeats."""
+    low = np.unique(names & np.uint64((1 << 8 * NAME_BYTES) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+
+
+def unpacked(names: bytes) -> np.ndarray:
+    short = np.frombuffer(names, dtype=np.uint8).reshape(-1, NAME_BYTES)
+    out = np.zeros((len(short), 8), dtype=np.uint8)
+    out[:, :NAME_BYTES] = short
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def similar_forest(keys: list[bytes], names: list[bytes], first: int, similarity: float) -> list[tuple[bytes, bytes]]:
     """Links that connect the same sets as all pairs with a Jaccard similarity of ``similarity`` do, of pairs with one side among the ``first``.
 
     With ``first`` = all, every pair is compared; else those across the border.  Sets are sorted by size, so the partners of a
     set are one range of the other side.
     """
-    sets = [np.frombuffer(n, dtype=np.uint64) for n in names]
+    sets = [unpacked(n) for n in names]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     across = first < len(sets)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, dtype=np.int64)
@@ -270,7 +285,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: fl
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_names(t, shingle)).tobytes() for t in text_bytes(batch.column("text"))]
+            sets = [packed(shingle_names(t, shingle)) for t in text_bytes(batch.column("text"))]
             kept = [batch.column(c) for c in ("key", "root", "chunks", "chunk")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, type=pa.binary())], names=["key", "root", "chunks", "chunk", "names"])
 
@@ -303,8 +318,11 @@ def first_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, la
     rows = reliable_checkpoint(shingle_sets(docs, shingle, lanes))
     stars = components(similar_links(docs, rows, shingle, similarity, lanes))
     found = rows.join(stars.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_kept_key"))
-    keyed = docs.withColumn("_kept_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
-    one = Window.partitionBy("_kept_key").orderBy("_kept_key")
-    stays = keyed.join(kept.select("_kept_key"), "_kept_key", "left_semi").withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
-    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("key"))
+    # columns of the input are packed away, whatever their names
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn(
+        "key", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash"))
+    )
+    one = Window.partitionBy("key").orderBy("key")
+    stays = keyed.join(kept.select("key"), "key", "left_semi").withColumn("copy", F.row_number().over(one)).where("copy = 1")
+    return stays.select("row.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import collections
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -53,23 +55,6 @@ def test_quality_stage(stages):
     assert not failed & {r["doc_id"] for r in after.collect()}
 
 
-def test_near_dedup_stage(stages):
-    _, before, after = stages[1]
-    rows = pairs(before)
-    prints = [int.from_bytes(simhash.fingerprint((t or "").encode(), corpus_pipeline.SHINGLE, 4), "big") for _, t in rows]
-    radius = simhash.radius_of(corpus_pipeline.SIMILARITY, 4)
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius and group[i] != group[j]:
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = [new if g == old else g for g in group]
-    first = {}
-    for g, (doc, text) in zip(group, rows, strict=True):
-        first.setdefault(g, []).append((doc, text))
-    assert pairs(after) == sorted((min(own) for own in first.values()), key=repr)
-
-
 def shingles(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
@@ -172,3 +157,18 @@ def test_near_dedup_stage_by_all_pairs_of_sets(stages):
     for g, row in zip(group, rows, strict=True):
         first.setdefault(g, []).append(row)
     assert pairs(after) == sorted((min(own) for own in first.values()), key=repr)
+
+
+def test_columns_named_like_internal_ones_stay(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "x", 1, "k"), (2, "a b c d e f", "y", 2, "k"), (3, "other", "z", 3, "k")], "doc_id long, text string, _kept_key string, _copy int, _row_key string")
+    assert sorted(map(tuple, simhash.first_of_each(rows).collect())) == [(1, "a b c d e f", "x", 1, "k"), (3, "other", "z", 3, "k")]
+    keys = rows.where("doc_id > 1").select("doc_id", F.xxhash64("text").alias("text_hash"))
+    assert sorted(r["_row_key"] + r["_kept_key"] for r in corpus_pipeline._rows_of(rows, keys).collect()) == ["ky", "kz"]
+
+
+def test_packed_names_keep_sizes_and_overlaps():
+    rnd = np.random.default_rng(3)
+    names = rnd.integers(0, 1 << 63, 5000).astype(np.uint64)
+    a, b = (simhash.unpacked(simhash.packed(x)) for x in (names[:3000], np.append(names[1000:], names[:5])))
+    assert len(a) == 3000 and len(b) == 4005 and len(np.intersect1d(a, b)) == 2005
+    assert len(simhash.unpacked(simhash.packed(names[:0]))) == 0
