@@ -17,9 +17,9 @@ ORACLE_SQL = None  # expectation-maximisation, components and the field have no
 
 def _rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id and text are among ``keys`` (``doc_id``, ``text_hash``)."""
-    marked = docs.withColumn("_row_key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
-    wanted = keys.select(F.struct("doc_id", "text_hash").alias("_row_key"))
-    return marked.join(wanted, "_row_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # columns of the input are packed away, whatever their names
+    marked = docs.select(row).withColumn("key", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash")))
+    return marked.join(keys.select(F.struct("doc_id", "text_hash").alias("key")), "key", "left_semi").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
