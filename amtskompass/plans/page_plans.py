@@ -156,7 +156,7 @@ VISIBLE = f"regexp_replace({VISIBLE}, '(?s)<!--.*?-->', '', 'g')"
 @query(
     "H3_extract_exchange_pages",
     f"""SELECT {key_sql('daad')} AS service_key, {slug_sql('t')} AS slug, t AS title_de, t AS title_zh, md5(CASE WHEN length(body) >= 50 THEN body ELSE '' END) AS summary_md5, url AS source_url,
-  md5(array_to_string(list_transform(regexp_split_to_array(regexp_replace(replace(replace({VISIBLE}, '<article>', '<main>'), '</article>', '</main>'), '<[^>]*>', '<>', 'g'), '<>'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), '')) AS content_hash,
+  md5(array_to_string(list_transform(regexp_split_to_array(regexp_replace(replace(replace({VISIBLE}, '<article>', '<main>'), '</article>', '</main>'), '<[^>]*>', '<>', 'g'), '<>'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '')) AS content_hash,
   {', '.join(f'{q(v)} AS {k}' for k, v in C.EXCHANGE_SOURCE.items())}, {q('|'.join(C.EXCHANGE_TAGS))} AS tags, false AS translated, {STAMP} AS last_fetched_at
 FROM (SELECT url, html, CASE WHEN contains(lower({HEADING}), 'cookie') OR contains(lower({HEADING}), 'einwilligung') OR trim({HEADING}) = '' THEN coalesce(nullif(string_split(url, '/')[-2], ''), 'DAAD Page') ELSE trim({HEADING}) END AS t,
   {squeezed(EXCHANGE_CLEAN)} AS body FROM pages)""",
