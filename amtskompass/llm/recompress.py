@@ -1,17 +1,18 @@
-"""Substring dedup by recompression: repeated word windows found through locally consistent symbols.
-
-A document is a sequence of word names.  Two rounds of recompression shorten it: first a run of more equal tokens than
-a window holds is named by one window's worth of them (its further windows have the same content), then in each pair
-round every symbol belongs to the left or the right half of the alphabet by a hash of its name, and a left symbol
-followed by a right one becomes one symbol named after both.  Whether two neighbours join depends on these two alone, so
-equal word sequences have equal symbols except at their borders: of a 13-word window, every second-round border from
-its fifth to its ninth word follows from the window's own words, and at least one such border exists, since
-second-round symbols hold at most four words.  The window's *anchor* is the one with the smallest name of its next five
-words; equal windows have equal anchors.
-
-Spark deals the anchors to buckets; those that occur in two documents or more are shared.  Only windows with shared
-anchors are then named by all their words (64 bits and the bucket of a second hash) and dealt to buckets, where the
-smallest document of each window content is found and sent back.  Two scans of the text, one shuffle of it; nothing is collected.
+"""Substring dedup by recompression: repeated word windows found and verified through locally consistent symbols.
+
+A document is a sequence of word names.  Recompression shortens it: first a run of more equal tokens than
+a window holds is named by one window's worth of them (its further windows have the same content), then in each of two pair
+rounds every symbol belongs to the left or the right half of the alphabet by a hash of its name, and a left symbol
+followed by a right one becomes one symbol named after both.  Names are 64-bit hashes of what they stand for, so a symbol
+has the same name in every task.  Whether two neighbours join depends on these two alone: a second-round border at word p
+follows from words p-2 to p+1, and a symbol from its words and two on either side, its *frame*.  Second-round symbols
+hold at most four words, so every 13-word window has one that begins at its third to eighth word, with its frame inside.
+
+The *anchor* of a window is the widest of these symbols (the smallest name decides), named with its frame.  Equal windows
+have equal anchors.  A Spark round deals the anchors to buckets and tells the parts which of them several documents hold: only
+these reveal repeats.  A second round verifies them: windows with shared anchors are named by all their words (64 bits and the bucket
+of a second hash) and dealt to buckets, where the smallest document of each window content is found and sent back.
+Two scans of the text, one shuffle of it; nothing is collected.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .blocks import NOT_SPACE, Block, Words, covered, gram_names, lookup, mix, p
 from .shared import joined, layout, shared_anchors, short_key, with_part
 
 WINDOW = 13
-GRAM = 5
-FROM, TO = 4, 8  # words of the window at which its anchor may begin
+FRAME = 2  # words on either side on which a second-round symbol depends
+WIDEST = 4  # words of a second-round symbol, at most
+FROM, TO = FRAME, WINDOW - FRAME - WIDEST  # words of the window at which its anchor may begin
+SALTS = (0x51, 0xA7)  # one for each pair round
 SEVERAL = np.uint32(1 << 31)  # mark of a window that several documents of a part have
 NO_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -55,14 +58,23 @@ def pair_round(symbols: np.ndarray, text: np.ndarray, start: np.ndarray, salt: i
     return named[head], text[head], start[head]
 
 
-def borders(names: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Marks the words at which a second-round symbol begins."""
-    symbols, of, start = names, text, np.arange(len(names))
-    for salt in (0x51, 0xA7):
-        symbols, of, start = pair_round(symbols, of, start, salt)
-    out = np.zeros(len(names), dtype=bool)
-    out[start] = True
-    return out
+def symbols(names: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the second-round symbols and the word at which each begins."""
+    named, of, start = names, text, np.arange(len(names))
+    for salt in SALTS:
+        named, of, start = pair_round(named, of, start, salt)
+    return named, start
+
+
+def framed(names: np.ndarray, named: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rank of each symbol as an anchor: widest first, then by a name of the symbol and of its frame (beyond the block: its end)."""
+    end = np.append(start[1:], len(names))
+    width = np.minimum(end - start, WIDEST).astype(np.uint64)
+    padded = np.concatenate((np.zeros(FRAME, dtype=np.uint64), names, np.zeros(FRAME, dtype=np.uint64)))
+    name = named.copy()
+    for k in range(FRAME):
+        name = mix(mix(name + padded[start + k]) ^ padded[end + FRAME + k])
+    return (name >> np.uint64(2)) | ((np.uint64(WIDEST) - width) << np.uint64(62))
 
 
 def window_anchors(names: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -70,12 +82,13 @@ def window_anchors(names: np.ndarray, text: np.ndarray) -> np.ndarray:
     n = max(0, len(names) - WINDOW + 1)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    grams = gram_names(names, GRAM)
-    value = np.where(borders(names, text)[: len(grams)], grams, NO_KEY)
+    named, start = symbols(names, text)
+    value = np.full(len(names), NO_KEY)
+    value[start] = framed(names, named, start)
     out = value[FROM : FROM + n].copy()
     for j in range(FROM + 1, TO + 1):
         np.minimum(out, value[j : j + n], out=out)
-    return out
+    return mix(out)
 
 
 def _first(text: np.ndarray, texts: int) -> np.ndarray:

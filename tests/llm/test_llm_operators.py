@@ -13,6 +13,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from amtskompass.llm import crf, inverted, licenses, packing, quality, recompress, sharding, simhash, suffixes, urls
+from amtskompass.llm.blocks import mix
 
 from . import plain
 
@@ -251,6 +252,21 @@ def test_runs_and_periods(spark):
     same(recompress.removed_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), ("doc_id", "n_words", "n_removed", "kept_sha256"), plain.windows_removed(rows))
 
 
+def test_symbols_depend_on_their_frame_only():
+    rnd = np.random.default_rng(3)
+    for words in (2, 3, 30):
+        for _ in range(200):
+            own = rnd.integers(0, words, recompress.WINDOW)
+            anchors = set()
+            for _ in range(4):
+                before, behind = rnd.integers(0, words, rnd.integers(0, 9)), rnd.integers(0, words, rnd.integers(0, 9))
+                names = mix(np.concatenate((before, own, behind)).astype(np.uint64))
+                named, start = recompress.symbols(names, np.zeros(len(names), dtype=np.int64))
+                assert np.diff(np.append(start, len(names))).max() <= recompress.WIDEST and len(named) == len(start)
+                anchors.add(int(recompress.window_anchors(names, np.zeros(len(names), dtype=np.int64))[len(before)]))
+            assert len(anchors) == 1
+
+
 def test_repeated_strings(docs, nothing):
     same(suffixes.removed_strings(docs), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), plain.strings_removed(ROWS))
     assert suffixes.removed_strings(nothing).count() == 0
