@@ -47,6 +47,8 @@ def short_key(names: np.ndarray, buckets: int) -> np.ndarray:
 
 def _notes(keys: np.ndarray, units: np.ndarray, parts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """What one flush tells: kind 0 seen in one unit, 1 known to be shared, 2 to be passed on to parts."""
+    if not len(keys):  # only texts too short to have an anchor
+        return
     order = np.lexsort((units, keys))
     keys, units, parts = keys[order], units[order], parts[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
