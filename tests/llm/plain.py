@@ -142,6 +142,16 @@ def contamination(rows, items):
     return out
 
 
+def phrase_matches(rows, items):
+    tests = set()
+    for item, text in items:
+        w = ALNUM.findall(lower(text or ""))
+        tests |= {(str(item), tuple(w[i : i + 13])) for i in range(max(1, len(w) - 12))} if w and item is not None else set()
+    for doc, text in rows:
+        w = tuple(ALNUM.findall(lower(text or "")))
+        yield from {(doc, item, i, len(gram)) for item, gram in tests for i in range(len(w) - len(gram) + 1) if w[i : i + len(gram)] == gram}
+
+
 def measures(rows):
     out = []
     for doc, text in rows:

@@ -379,11 +379,23 @@ def test_contamination(spark, docs, nothing):
     same(inverted.contamination(docs, items.limit(0)), columns, plain.contamination(ROWS, []))
 
 
+def test_matches_are_returned(spark, docs, nothing):
+    items = spark.createDataFrame([(i, t, "x") for i, t in items_of()], "item_id long, text string, doc_id string")
+    want = collections.Counter(plain.phrase_matches(ROWS, items_of()))
+    for block_words in (40, 10_000):
+        found = inverted.matches(docs, items, block_words=block_words).where("kind = 'phrase'")
+        assert collections.Counter((r["doc_id"], r["item_id"], r["start"], r["length"]) for r in found.collect()) == want
+    assert inverted.matches(nothing, items).count() == inverted.matches(docs, items.limit(0)).count() == 0
+
+
 def test_proximity(spark):
     filler = " ".join(f"f{i}" for i in range(100))
     docs = spark.createDataFrame([(1, f"{filler} delta beta gamma alpha {filler}"), (2, f"alpha {filler} beta {filler} gamma {filler} delta")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    assert {(r["doc_id"], r["n_items"], r["n_near_items"]) for r in inverted.contamination(docs, items).collect()} == {(1, 0, 1), (2, 0, 0)}
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha nowhere"), (3, "f7"), (4, "")], "item_id long, text string")
+    assert {(r["doc_id"], r["n_items"], r["n_near_items"]) for r in inverted.contamination(docs, items).collect()} == {(1, 1, 2), (2, 1, 1)}
+    near = {(r["doc_id"], r["item_id"], r["start"], r["length"]) for r in inverted.matches(docs, items).where("kind = 'near'").collect()}
+    first = 103  # all four terms are equally rare; the item's first one is the start
+    assert near == {(1, "1", first, 1)} | {(1, "3", k, 1) for k in (7, 111)} | {(2, "3", k, 1) for k in (8, 109, 210)}
 
 
 # ---- quality
