@@ -1,13 +1,14 @@
 """Shards of even row counts that keep linked documents together: balanced label propagation.
 
-Documents with equal texts are linked, through their text's digest and never as pairs.  A group that is larger than a shard's
-share is first cut into units by a hash of the row, so no unit outgrows a shard.  Every row starts with a label drawn by hash.  In
-each round a unit tallies the labels of its rows (a join of the rows with the tally), proposes the most frequent one, and is
-admitted there while the label's quota lasts: of the units that ask for a label, a hash admits the part for which it has room;
-the others ask again in the next round.  After the rounds the law is made exact: each shard keeps its first rows, linked ones before single ones,
-and what is above its share fills the shards below theirs.
+Documents with equal texts are linked, through their text's digest and never as pairs.  Every row starts with a label drawn by
+hash.  A group of copies is one unit, unless it is larger than a shard's share, when a hash of the row cuts it into as few units as
+fit.  Rows meet their unit once, to tally their labels; the rounds then work on units, one row each.  In each round a waiting unit asks
+for the label that most of its rows have among the shards that still have room for all of it (if none of its labels has, for another
+shard), and is admitted while the shard's quota lasts, larger units first.  What is refused asks again, for its next best label;
+rounds end when no unit waits that fits anywhere.  Each admits at least one unit for every shard asked.  Units without room for them are
+given up: their rows fill holes like single ones.  The law is made exact at the end: what is above a shard's share fills the shards below theirs.
 
-Ranks inside a shard never need one task for a shard: rows are counted in small cells, the few counts are summed up, and only
+Ranks and running sums inside a shard never need one task for a shard: rows are counted in small cells, the few counts are summed up, and only
 rows of one cell are numbered together.
 """
 
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 from ..session import reliable_checkpoint
 
 SHARDS = 24
-ROUNDS = 3
 CELL_ROWS = 20_000  # rows numbered in one task at a time, on average
-UNITS_PER_SHARD = 8  # a unit holds at most this part of a shard's share, on average
+FILL = 0.9  # part of a shard's share that a unit of a larger group holds, on average
 
 
 def _numbered(rows: DataFrame, order: list[str], cells: int, key: Column, out: str) -> DataFrame:
@@ -34,7 +34,42 @@ def _numbered(rows: DataFrame, order: list[str], cells: int, key: Column, out: s
     return rows.join(offsets, [*order, "_cell"]).withColumn(out, F.col("_before") + F.row_number().over(within) - 1).drop("_cell", "_before")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _settled(units: DataFrame, room: list[int], cells: int) -> DataFrame | None:
+    """``unit``, ``to``: the shard of every unit that found room.  ``units`` has ``unit``, ``rows`` and ``labels`` (label to rows)."""
+    shards = len(room)
+    waiting, settled, r = units, None, 0
+    while True:
+        free = F.array(*[F.lit(n).cast("long") for n in room])
+        choices = F.transform(
+            F.sequence(F.lit(0), F.lit(shards - 1)),
+            lambda k: F.struct(F.coalesce(F.col("labels")[k], F.lit(0).cast("long")).alias("n"), F.xxhash64("unit", k, F.lit(r)).alias("tie"), k.alias("shard")),
+        )
+        choice = F.array_max(F.filter(choices, lambda c: F.get(free, c["shard"]) >= F.col("rows")))
+        asks = (
+            waiting.withColumn("to", choice["shard"])
+            .where("to is not null")
+            .withColumn("size_class", -F.ceil(F.log2("rows")).cast("int"))
+            .withColumn("cell", F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(cells)).cast("int"))
+        )
+        counts = asks.groupBy("to", "size_class", "cell").agg(F.sum("rows").alias("sum"))  # shards x classes x cells rows
+        before = Window.partitionBy("to").orderBy("size_class", "cell").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
+        within = Window.partitionBy("to", "size_class", "cell").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
+        filled = F.col("before") + F.sum("rows").over(within)
+        asked = reliable_checkpoint(
+            asks.join(offsets, ["to", "size_class", "cell"]).select("unit", "rows", "labels", "to", (filled <= F.get(free, F.col("to"))).alias("admitted"))
+        )
+        given = asked.where("admitted").groupBy("to").agg(F.sum("rows").alias("n")).collect()  # at most one row for each shard
+        if not given:
+            return settled
+        for row in given:
+            room[row["to"]] -= row["n"]
+        new = asked.where("admitted").select("unit", "to")
+        settled = new if settled is None else settled.unionByName(new)
+        waiting, r = asked.where("not admitted").drop("to", "admitted"), r + 1
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``): ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
 
     Law ``rows``: the counts of any two shards differ by one at most.  A null text is a text of no bytes and is linked to empty
@@ -53,38 +88,30 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     share = max(1, total // shards)
     quota = F.lit(total // shards) + (F.col("shard") < total % shards).cast("long")  # exact number of rows of each shard
     cells = max(1, -(-share // CELL_ROWS)) * 2
-    unit_rows = max(1, min(share // UNITS_PER_SHARD, CELL_ROWS))
 
     # a stored side lets Spark split the other one where a text has very many copies
     groups = reliable_checkpoint(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    pieces = F.when(F.col("copies") <= share, F.lit(1)).otherwise(F.ceil(F.col("copies") / (FILL * share)))
     state = (
         rows.join(groups, "digest", "left")
-        .withColumn("linked", F.col("copies").isNotNull())
-        .withColumn("unit", F.when(F.col("linked"), F.xxhash64("digest", F.pmod(F.xxhash64("rid"), F.ceil(F.col("copies") / unit_rows)))))
+        .withColumn("unit", F.when(F.col("copies").isNotNull(), F.xxhash64("digest", F.pmod(F.xxhash64("rid"), pieces))))
         .withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(shards)).cast("int"))
-        .select("rid", "doc_id", "size", "text_crc32", "unit", "linked", "shard")
+        .select("rid", "doc_id", "size", "text_crc32", "unit", "shard")
     )
     state = reliable_checkpoint(state)
-    linked = state.where("linked").select("rid", "unit", "shard")
-    for r in range(rounds):
-        tally = linked.groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = tally.groupBy("unit").agg(
-            F.sum("n").alias("rows"),
-            F.max(F.struct("n", F.xxhash64("unit", "shard", F.lit(r)).alias("tie"), "shard")).getField("shard").alias("wanted"),
-            F.max("n").alias("most"),
-        )
-        settled = F.col("most") == F.col("rows")
-        loads = best.groupBy("wanted").agg(  # one row for each shard
-            F.sum(F.when(settled, F.col("rows")).otherwise(0)).alias("load"), F.sum(F.when(~settled, F.col("rows")).otherwise(0)).alias("asked")
-        )
-        fits = loads.select("wanted", F.when(F.col("asked") > 0, (F.lit(float(share)) - F.col("load")) / F.col("asked")).otherwise(0.0).alias("part"))
-        draw = F.pmod(F.xxhash64("unit", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
-        admitted = best.join(F.broadcast(fits), "wanted").where(~settled & (draw < F.col("part"))).select("unit", F.col("wanted").alias("to"))
-        linked = reliable_checkpoint(linked.join(admitted, "unit", "left").select("rid", "unit", F.coalesce("to", "shard").alias("shard")))
-    placed = state.where("not linked").select("rid", "shard", F.lit(1).alias("class"), F.col("rid").alias("by")).unionByName(
-        linked.select("rid", "shard", F.lit(0).alias("class"), F.col("unit").alias("by"))
-    )
-    ranked = reliable_checkpoint(_numbered(placed, ["shard", "class"], cells, F.col("by"), "rank").withColumn("over", F.col("rank") >= quota))
+    tally = state.where("unit is not null").groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
+    labels = F.map_from_entries(F.collect_list(F.struct("shard", "n")))  # one entry for each shard at most
+    units = reliable_checkpoint(tally.groupBy("unit").agg(F.sum("n").alias("rows"), labels.alias("labels")))
+    settled = _settled(units, [total // shards + (k < total % shards) for k in range(shards)], cells)
+    placed = state.where("unit is null").select("rid", "shard", F.lit(1).alias("class"))
+    linked = state.where("unit is not null").select("rid", "unit", "shard")
+    if settled is not None:
+        found = F.col("to").isNotNull()
+        linked = linked.join(reliable_checkpoint(settled), "unit", "left").withColumn("shard", F.coalesce("to", "shard")).withColumn("class", F.when(found, 0).otherwise(1))
+        placed = placed.unionByName(linked.select("rid", "shard", "class"))
+    else:
+        placed = placed.unionByName(linked.select("rid", "shard", F.lit(1).alias("class")))
+    ranked = reliable_checkpoint(_numbered(placed, ["shard", "class"], cells, F.col("rid"), "rank").withColumn("over", F.col("rank") >= quota))
 
     kept = ranked.where("not over").select("rid", "shard", F.col("rank").alias("slot"))
     spare = ranked.where("over").select("rid", F.lit(0).alias("all"))

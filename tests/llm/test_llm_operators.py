@@ -317,8 +317,29 @@ def test_linked_documents_stay_together(spark):
     text = dict(rows)
     for r in found.collect():
         groups[text[r["doc_id"]]].add(r["shard"])
-    together = sum(len(groups[f"group {k}"]) == 1 for k in range(150))
-    assert together >= 140
+    assert all(len(groups[f"group {k}"]) == 1 for k in range(150))
+    assert len(groups["huge"]) == 3  # the fewest shards that hold 1300 rows
+
+
+def test_large_groups_stay_whole(spark):
+    """Groups of up to 25,000 copies that fit into a shard; what none of the labels has room for goes to another shard."""
+    sizes = [25_000, 24_000, 23_000, 22_000, 3000, 3000, 2000, 10, 2]
+    rows = spark.range(sum(sizes) + 2000).selectExpr(
+        "id as doc_id",
+        "case " + " ".join(f"when id < {sum(sizes[: k + 1])} then 'group {k}'" for k in range(len(sizes))) + " else concat('single ', id) end as text",
+    )
+    found = sharding.sharded(rows, 4).join(rows, "doc_id")
+    groups = {r["text"]: r["n"] for r in found.where("text like 'group%'").groupBy("text").agg({"shard": "approx_count_distinct"}).toDF("text", "n").collect()}
+    assert groups == {f"group {k}": 1 for k in range(len(sizes))}
+    counts = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert len(counts) == 4 and max(counts) - min(counts) <= 1
+
+
+def test_no_room_for_a_whole_group(spark):
+    """Five groups of three in three shards of five: two are cut, and the counts still hold."""
+    found = sharding.sharded(spark.createDataFrame([(i, f"group {i // 3}") for i in range(15)], "doc_id long, text string"), 3).collect()
+    assert sorted(collections.Counter(r["shard"] for r in found).values()) == [5, 5, 5]
+    assert sum(len({r["shard"] for r in found if r["doc_id"] // 3 == g}) == 1 for g in range(5)) >= 3
 
 
 # ---- personal data
