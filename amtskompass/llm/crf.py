@@ -30,6 +30,8 @@ SAMPLE = 1500  # neighbourhoods from the corpus, at most; each cut to TRAIN_WORD
 TRAIN_WORDS = 24
 FEATURES = 4096
 EPOCHS = 60
+KEPT_CHARS = 64  # features of words up to this length are remembered, those of longer ones computed each time
+MOST_DIGITS = 19  # of a span of the field
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 # Labelled examples: words with their label after a slash, "other" left out.
@@ -100,12 +102,11 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
 def shape(word: str) -> str:
-    """Letters as X and x (runs as one), digits as d (runs counted up to nine), other characters as they are."""
+    """The whole word: letters as X and x (runs as one), digits as d (runs counted up to nine), other characters as they are."""
     out: list[str] = []
     run = 0
-    for c in word[:64]:
+    for c in word:
         s = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c if c < "\x7f" else "o"
         run = run + 1 if out and out[-1] == s else 1
         if run == 1 or s == "d" and run <= 9:
@@ -113,8 +114,11 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1 << 16)
 def _word_features(word: str) -> tuple[int, ...]:
+    return _kept_features(word) if len(word) <= KEPT_CHARS else _new_features(word)
+
+
+def _new_features(word: str) -> tuple[int, ...]:
     core = word.strip(_EDGE)
     s, digits = shape(core), _digits(core)
     long_ = 13 <= len(digits) <= 19
@@ -125,6 +129,9 @@ def _word_features(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode()) % FEATURES for n in names)
 
 
+_kept_features = lru_cache(maxsize=1 << 16)(_new_features)
+
+
 def features(words: list[str]) -> np.ndarray:
     """Feature numbers of each word: its own, and its neighbours' moved to numbers of their own."""
     own = np.array([_word_features(w) for w in words], dtype=np.int64).reshape(len(words), -1)
@@ -304,8 +311,17 @@ def _valid(kind: str, text: str) -> bool:
     return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in text)
 
 
+def _trimmed(found: Located, a: int, b: int) -> tuple[int, str]:
+    """Words ``a`` to ``b`` without punctuation around them: how much goes on the left, and what is left."""
+    piece = found.data[int(found.words.start[a]) : int(found.words.end[b - 1])].decode()
+    return len(piece) - len(piece.lstrip(_EDGE)), piece.strip(_EDGE)
+
+
 def field_spans(found: Located, field: Field) -> dict[int, list[tuple[int, int, int]]]:
-    """(kind, start, end) in code points that the field finds, by text of the block."""
+    """(kind, start, end) in code points that the field finds, by text of the block.
+
+    Neighbouring words of one kind are one span where that is valid; else the run is read as several, each as long as it can be.
+    """
     out: dict[int, list[tuple[int, int, int]]] = {}
     if not found.ranges:
         return out
@@ -313,19 +329,20 @@ def field_spans(found: Located, field: Field) -> dict[int, list[tuple[int, int,
     for (a, _), words, labels in zip(found.ranges, tokens, field.viterbi([features(w) for w in tokens]), strict=True):
         k = 0
         while k < len(words):
-            stop = k + 1
-            while stop < len(words) and labels[stop] == labels[k]:
+            stop, best, digits = k, None, 0
+            while labels[k] and stop < len(words) and labels[stop] == labels[k]:
+                digits += len(_digits(words[stop]))
+                if digits > MOST_DIGITS and stop > k:
+                    break
                 stop += 1
-            if labels[k]:
-                text = int(found.words.text[a])
-                begin, end = int(found.words.start[a + k]), int(found.words.end[a + stop - 1])
-                piece = found.data[begin:end].decode()
-                lead = len(piece) - len(piece.lstrip(_EDGE))
-                core = piece.strip(_EDGE)
+                lead, core = _trimmed(found, a + k, a + stop)
                 if core and _valid(LABELS[labels[k]], core):
-                    start = found.place(begin, text) + lead
-                    out.setdefault(text, []).append((int(labels[k]) - 1, start, start + len(core)))
-            k = stop
+                    best = (stop, lead, len(core))
+            if best:
+                text = int(found.words.text[a])
+                start = found.place(int(found.words.start[a + k]), text) + best[1]
+                out.setdefault(text, []).append((int(labels[k]) - 1, start, start + best[2]))
+            k = best[0] if best else k + 1
     return out
 
 

@@ -360,6 +360,21 @@ def test_field_finds_what_patterns_miss(spark):
     assert clean[0] == ("call me at [PHONE] after noon", 29) and clean[2][0] == lines[2]
 
 
+def test_runs_of_one_kind_are_read_as_several():
+    class Fixed:
+        def viterbi(self, sequences):
+            return [np.array([0, 4, 4, 4, 4, 0, 0, 1, 1]) for _ in sequences]
+
+    line = "call 555-867-5309 (030) 5550142-17, 0171-5550199. or to jane@example.org, joe@example.net"
+    spans = crf.field_spans(crf.Located([line.encode()]), Fixed())[0]
+    assert [line[a:b] for _, a, b in spans] == ["555-867-5309 (030)", "5550142-17", "0171-5550199", "jane@example.org", "joe@example.net"]
+
+
+def test_shape_reads_whole_words():
+    assert crf.shape("a" * 100 + "7") == "xd" and crf.shape("1" * 100 + "-B") == "d" * 9 + "-X"
+    assert crf.features(["x" * 70 + "@a.de"])[0].tolist() != crf.features(["x" * 70])[0].tolist()
+
+
 def test_field_on_held_out_lines(docs):
     examples = crf._parse(crf.LABELLED)
     field = crf.train(examples[::2] + examples[1::4])
