@@ -494,7 +494,7 @@ SELECT coalesce(s.url, f.url) AS url, coalesce(f.etag, s.etag) AS etag FROM page
 )
 def n2(spark, d):
     state = A.page_state(spark, d).select("url", "etag")
-    return snapshots.save_etags(state, snapshots.stored_fetches(page_diff(spark, d)))
+    return snapshots.save_etags(state, snapshots.stored_fetches(page_diff(spark, d, once=True)))
 
 
 OUTCOME = "CASE WHEN error IS NOT NULL THEN 'network_error' WHEN status = 304 THEN 'not_modified' WHEN status <> 200 OR coalesce(body, '') = '' THEN 'http_error' ELSE 'parsed' END"
@@ -512,8 +512,10 @@ def n3(spark, d):
     return out.select("page_id", "outcome", "title", F.md5("content").alias("content_md5"), F.coalesce("short", F.lit(False)).alias("short"))
 
 
-def page_diff(spark, d):
+def page_diff(spark, d, once=False):
+    """Diff of the fetches; with ``once`` a fetch stays one row even where its page is stored more than once."""
     old = pages.basic_page(A.page_state(spark, d)).select("service_key", content_hash(F.col("content")).alias("content_hash"))
+    old = old.dropDuplicates(["service_key"]) if once else old
     return snapshots.diff_pages(old, snapshots.classify_fetch(A.fetches(spark, d)), AS_OF)
 
 

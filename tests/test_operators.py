@@ -445,3 +445,12 @@ def test_fee_lines_with_unusual_blanks_and_capitals(one):
     for line in ("10 € im Amt", "GEBÜHREN", "5,50 EUR", "gebührenpflichtig"):
         assert one({"a": f"nichts\n{line}"}, pages.first_matching_line(F.split("a", "\n"), C.FEE_PATTERNS)) == line
     assert one({"a": "etwa 3 WOCHEN"}, pages.first_matching_line(F.split("a", "\n"), C.DURATION_PATTERNS)) == "etwa 3 WOCHEN"
+
+
+def test_save_etags_of_shared_and_missing_addresses(spark):
+    def tags(*data):
+        return spark.createDataFrame(data, "url string, etag string")
+
+    got = snapshots.save_etags(tags(("a", "1"), ("b", "2"), ("c", "3"), ("c", "4"), (None, "5")), tags(("a", "6"), ("a", "7"), ("b", None), ("c", "8"), ("d", "9"), (None, "10"), (None, "11")))
+    want = [("a", "6"), ("a", "7"), ("b", "2"), ("c", "8"), ("c", "8"), ("d", "9"), (None, "5"), (None, "10"), (None, "11")]
+    assert rows(got, "url", "etag") == sorted(want, key=repr)
