@@ -252,3 +252,28 @@ def test_too_many_rules_are_refused():
 
 def test_disclaimers_are_blanked_only_where_they_occur(one):
     assert one({"a": " 不构成法律建议。 VISA  x "}, taxonomy.lookup_text(c("a"))) == " 。 visa x"
+
+
+# --- long batches go through Python helpers in pieces ---------------------------------
+
+
+def test_pieces_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from amtskompass.functions.batches import PIECE_BYTES, PIECE_ROWS, pieces
+
+    texts = ["", None, "ä" * PIECE_BYTES, "x", *["y" * 1000] * 5000, None, *["z"] * 3000]
+    found = list(pieces(pa.array(texts).slice(1)))
+    assert [t for some in found for t in some] == texts[1:]
+    assert all(len(some) == 1 or (len(some) <= PIECE_ROWS and sum(len((t or "").encode()) for t in some) <= PIECE_BYTES) for some in found)
+    assert list(pieces(pa.array([], pa.string()))) == []
+
+
+def test_helpers_keep_rows_across_pieces(spark):
+    from amtskompass.functions.html import Selectors
+
+    df = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.repeat(F.lit("ﬁ "), 400), F.lit("<a href='"), F.col("id").cast("string"), F.lit("'>"))).alias("t"))
+    page = Selectors().page(F.col("t"))["tokens"]
+    got = df.select("id", F.length(text.nfkc(F.col("t"))).alias("n"), needles.rule_bits(F.col("t"), [("a", ["ﬁ"]), ("b", ["'8'"])]).alias("bits"), F.filter(page, lambda t: t["tag"] == "a")["href"].alias("href"))
+    for r in got.collect():
+        assert (r["n"], r["bits"], r["href"]) == ((None, None, []) if r["id"] % 7 == 0 else (1200 + 11 + len(str(r["id"])), 3 if r["id"] == 8 else 1, [str(r["id"])]))
