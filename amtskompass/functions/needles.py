@@ -7,15 +7,17 @@ for each rule that has a needle in the text, from which labels follow in the JVM
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import pieces
+
 Rules = Sequence[tuple[str, Sequence[str]]]
 MOST_RULES = 62  # bits of a positive long
 
@@ -51,9 +53,11 @@ def rule_bits(text: Column, *rules: Rules) -> Column:
     if len(needles) > MOST_RULES:
         raise ValueError(f"at most {MOST_RULES} rules at once")
 
-    @F.pandas_udf(T.LongType())
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else bits_of(t, needles) for t in texts], dtype="Int64")
+    @F.arrow_udf(T.LongType())
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in batches:
+            for texts in pieces(some):
+                yield pa.array([None if t is None else bits_of(t, needles) for t in texts], pa.int64())
 
     return found(text)
 

@@ -9,15 +9,18 @@ other rows stay in the JVM.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from string import Formatter
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import pieces
+
 # Unicode white space as browsers and script engines define it (ASCII \\s is not enough).
 # Classes are written as a cheap range test intersected with the exact set: most characters
 # fail the first test, which is several times faster than a long union of ranges.
@@ -56,9 +59,11 @@ def bound(col: Column, build: Callable[[Column], Column]) -> Column:
 
 
 def _normaliser(form: str):
-    @F.pandas_udf(T.StringType())
-    def normalise(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else unicodedata.normalize(form, v))
+    @F.arrow_udf(T.StringType())
+    def normalise(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in batches:
+            for values in pieces(some):
+                yield pa.array([None if v is None else unicodedata.normalize(form, v) for v in values], pa.string())
 
     return normalise
 
