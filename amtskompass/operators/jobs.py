@@ -25,13 +25,16 @@ def first_hits(hits: DataFrame) -> DataFrame:
 def merge_job_hits(hits: DataFrame) -> DataFrame:
     """One row per reference number: the first hit in search order, with its set of keywords.
 
-    One aggregation over one parse of the payloads.  Each task sends one candidate and the
-    distinct keywords per reference number; the keywords are the fixed search list, so the set
-    stays small however often a job was found.
+    ``hits`` have their payload (``item``), or are normalised already: then columns that nobody reads afterwards are neither
+    sorted nor sent.  Each task keeps its first hit per reference number and keyword before anything is shuffled; the few
+    that are left are aggregated, each column for itself.
     """
-    keyed = computed(hits, {"refnr": hit_refnr(F.col("item"))}).where(F.col("refnr") != "")
-    return keyed.groupBy("refnr").agg(
-        F.min_by("item", F.struct(*HIT_ORDER)).alias("item"),
+    keyed = hits if "refnr" in hits.columns else computed(hits, {"refnr": hit_refnr(F.col("item"))})
+    order, key = [F.col(c).asc() for c in HIT_ORDER], ["refnr", "keyword"]
+    firsts = first_by(keyed.where(F.col("refnr") != ""), key, order)
+    carried = [c for c in firsts.columns if c not in (*key, *HIT_ORDER)]
+    return firsts.groupBy("refnr").agg(
+        *[F.min_by(c, F.struct(*HIT_ORDER)).alias(c) for c in carried],
         F.array_sort(F.collect_set("keyword")).alias("keywords"),
     )
 

@@ -83,8 +83,8 @@ SELECT f.refnr, f.title_de, f.employer, k.keywords FROM ({FIRST_HIT}) f
 JOIN (SELECT refnr, array_to_string(list_sort(list(DISTINCT keyword)), '|') AS keywords FROM hits GROUP BY refnr) k USING (refnr)"""),
 )
 def u1(spark, d):
-    merged = job_ops.merge_job_hits(explode_job_pages(A.job_pages(spark, d)))
-    return normalize_jobs(merged, AS_OF).select("refnr", "title_de", "employer", "keywords")
+    hits = normalize_jobs(explode_job_pages(A.job_pages(spark, d)), AS_OF)
+    return job_ops.merge_job_hits(hits).select("refnr", "title_de", "employer", "keywords")
 
 
 @query(

@@ -166,6 +166,14 @@ def test_merge_hits_first_wins_and_keywords_collect(spark):
     assert got.count() == 1 and (row["item"]["titel"], row["keywords"]) == ("first", ["A", "B"])
 
 
+def test_merge_of_normalised_hits_sends_only_what_is_read(spark):
+    data = [("B", 1, 1, 0, "x", "late"), ("A", 0, 2, 3, "x", "first"), ("A", 0, 3, 3, "x", "again"), (None, 0, 1, 1, "y", None), ("A", 0, 2, 4, "", "none")]
+    merged = jobs.merge_job_hits(jobs.normalize_jobs(hits(spark, data), NOW)).select("refnr", "title_de", "keywords")
+    assert rows(merged, "refnr", "title_de", "keywords") == [("x", "first", ["A", "B"]), ("y", "", [])]
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "arbeitgeber" not in plan.split("Sort [")[0] and "employer" not in plan
+
+
 def test_sync_overwrites_tags_unless_preserved(spark):
     base = job_rows(spark, [("x", True, "d", "z", "t"), ("y", True, None, None, None)])
     base = base.withColumns({"tags": F.array(F.lit("T")), "translated": F.lit(True)})
