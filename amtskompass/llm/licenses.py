@@ -6,8 +6,10 @@ a template when it holds at least ``CONTAINMENT`` of the template's distinct wor
 blocks with all templates:
 
 * words are ordered by how many documents of the whole table hold them, rarest first;
+* whole texts: the first pass over the table, the only one, notes which words of the templates each text holds; a text that holds fewer than
+  ``need`` of every template's words has no such block and is not split at all;
 * prefix: with ``need`` words of ``size`` required, one of the template's ``size - need + 1`` rarest words must be in the block, so only
-  these words are join keys, and only texts that hold one of them are split into blocks at all;
+  these words are join keys;
 * length: the block needs at least ``need`` distinct words of the templates' vocabulary;
 * position: the join keeps the pair only at the first of the template's prefix words that the block holds; with it at place p of the order,
   ``size - p`` words at most can be shared, which must reach ``need``.
@@ -42,8 +44,8 @@ TEMPLATES = (
 )
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z; keeps digits, a-z and everything beyond ASCII
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# what is between words, in any case; listed one by one, since a regular expression looks listed characters up in one table, ranges one after the other
+_GAP = "[" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]"
 
 
 def lowered(text: Column) -> Column:
@@ -55,12 +57,32 @@ def _holds_any(text: Column, words: Sequence[str]) -> Column:
     return text.rlike(r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(words) + r")(?![0-9a-z\x{80}-\x{10FFFF}])") if words else F.lit(False)
 
 
+def _split(text: Column) -> Column:
+    """Words of a text in lower case, with an empty one where the text begins or ends with a gap.
+
+    ``lower`` also changes letters beyond ASCII: the number of words stays, and words of ASCII letters are all there (a Kelvin sign adds a k).
+    """
+    return F.split(F.lower(text), _GAP + "+")
+
+
+def _held(words: Column, vocabulary: Sequence[str]) -> Column:
+    """Places (from 1) in the vocabulary of the words that an array holds, each once."""
+    known = _literal(vocabulary)
+    return F.transform(F.array_intersect(words, known), lambda w: F.array_position(known, w).cast("short"))
+
+
+def _literal(words: Sequence[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+def _frequencies(held: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
+    rows = held.select(F.explode("held").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each word
+    return {w: 0 for w in vocabulary} | {vocabulary[r["place"] - 1]: r["n"] for r in rows}
+
+
 def term_frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     """In how many documents each word of the templates' (bounded) vocabulary stands."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"({_WORD_ANY_CASE})"), 1))
-    held = F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]))
-    rows = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each word
-    return {w: 0 for w in vocabulary} | {r["word"]: r["n"] for r in rows}
+    return _frequencies(docs.select(_held(_split(F.col("text")), vocabulary).alias("held")), vocabulary)
 
 
 def template_matches(texts: DataFrame, frequency: dict[str, int], templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -103,16 +125,27 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, p
 
     ``score`` is the largest share of a template found, 1 where a base phrase stands, else 0.  A null or empty text has no words; equal
     texts get equal labels, repeated rows stay rows of their own; a null ``doc_id`` is passed on; an empty table gives an empty result.
+    Templates and phrases consist of words of ASCII digits and lower-case letters.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    frequency = term_frequencies(rows, vocabulary)
-    suspect = _holds_any(F.col("text"), sorted({w for _, t in templates for w in _prefix_words(t, frequency, containment)}))
-    for phrase, _ in phrases:
-        suspect = suspect | F.col("text").rlike("(?i)" + (_GAP + "+").join(phrase.split()))
-    rows = computed(rows, {"n_words": F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long"), "suspect": suspect})
-    # what follows needs the texts of the suspects alone: read the table once more, not twice
+    terms = {w for _, t in templates for w in t.split()}
+    watched = sorted(terms.union(*[p.split() for p, _ in phrases]))
+    place = {w: k for k, w in enumerate(watched, 1)}
+
+    def held(words: set[str]) -> Column:
+        return F.size(F.array_intersect("held", F.array(*[F.lit(place[w]) for w in words]).cast("array<smallint>")))
+
+    suspect = F.lit(False)
+    for words in [set(t.split()) for _, t in templates]:
+        suspect = suspect | (held(words) >= max(1, math.ceil(containment * len(words) - 1e-9)))
+    for words in [p.split() for p, _ in phrases]:
+        suspect = suspect | ((held(set(words)) == len(set(words))) & F.col("text").rlike("(?i)" + (_GAP + "+").join(words)))
+    rows = computed(rows, {"words": _split(F.col("text"))})
+    rows = computed(rows, {"n_words": F.size(F.array_remove("words", "")).cast("long"), "held": _held(F.col("words"), watched)}).drop("words")
+    rows = computed(rows, {"suspect": suspect})
+    # what follows needs the texts of the suspects alone, and of the others the words they hold: the table is read once
     rows = reliable_checkpoint(rows.withColumn("text", F.when(F.col("suspect"), F.col("text"))))
+    frequency = {w: n for w, n in _frequencies(rows, watched).items() if w in terms}
     texts = rows.where("suspect").select(F.sha2("text", 256).alias("key"), F.translate("text", "\n", " ").alias("text"))
     rows = computed(rows, {"words": F.when(F.col("suspect"), F.regexp_extract_all(lowered(F.col("text")), F.lit(f"({WORD})"), 1))})
     hits = [_places(p.split()) for p, _ in phrases]
@@ -138,11 +171,6 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, p
     )
 
 
-def _prefix_words(template: str, frequency: dict[str, int], containment: float) -> list[str]:
-    terms = sorted(set(template.split()), key=lambda w: (frequency[w], w))
-    return terms[: len(terms) - math.ceil(containment * len(terms) - 1e-9) + 1]
-
-
 def _places(phrase: list[str]) -> Column:
     """Starts (from 0) of the phrase in the column ``words``, which must be long enough."""
     return F.filter(F.sequence(F.lit(0), F.size("words") - len(phrase)), lambda i: _all([F.get("words", i + k) == w for k, w in enumerate(phrase)]))

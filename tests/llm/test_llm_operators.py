@@ -212,6 +212,30 @@ def test_wrapped_notices(spark):
     assert found[99] == ("", 0.0)
 
 
+def test_licence_scan_reads_the_table_once(spark):
+    """One pass, and no notice lost by what it notes about each text: any case, other gaps, neighbours beyond ASCII, too few words."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    notices = [n for _, n in licenses.TEMPLATES]
+    texts = [n.upper().replace(" ", " \x00-_\n") for n in notices] + [f"\u00e9 {n} \u212a" for n in notices] + [f"\u00e9{n}\u00e9" for n in notices]
+    texts += [" ".join(n.split()[: len(n.split()) // 2]) for n in notices] + ["All\trights/RESERVED", "all of the rights are reserved", "C\u00c7 BY \u0130 CC, by", None, "", " . "]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), "doc_id long, text string")
+    found = {r["doc_id"]: r.asDict() for r in licenses.scanned(df).collect()}
+    assert read.value == len(rows)
+    assert [tuple(found[d][c] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) for d, _ in rows] == plain.licences(rows)
+    for d, text in rows:
+        words, base = set(plain.ALNUM.findall(plain.lower(text or ""))), found[d]["base_labels"]
+        shares = {label: len(words & set(n.split())) / len(set(n.split())) for label, n in licenses.TEMPLATES}
+        near = {label: share for label, share in shares.items() if share >= licenses.CONTAINMENT}
+        assert found[d]["labels"] == ",".join(sorted({*near, *filter(None, base.split(","))}))
+        assert found[d]["score"] == (1.0 if base else max(near.values(), default=0.0))
+
+
 # ---- urls
 
 
