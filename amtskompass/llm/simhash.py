@@ -7,9 +7,10 @@ quarters of each word as well, so tile pairs whose counts differ beyond the radi
 each of its nodes (a spanning forest of the links it finds), so dense groups never become all their pairs.  Components
 come from Spark rounds of large and small stars on the links.
 
-Where a similarity is asked for (``first_of_each``), fingerprints of the distinct shingles only find candidates, within a wide
-radius.  The shingle sets of each candidate component are then compared exactly, in pairs of chunks of bounded size, and only
-pairs that reach the similarity are links.
+Where a similarity is asked for (``first_of_each``), only sets that share a shingle of their prefixes are compared at all: shingles have
+one order in the whole table, the widespread ones last, and two sets as similar as that share one of the first few of either.
+Among these, fingerprints of the distinct shingles find candidates, within a wide radius.  The shingle sets of each candidate
+component are then compared exactly, in pairs of chunks of bounded size, and only pairs that reach the similarity are links.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .blocks import mix, text_bytes
+from .blocks import NOT_SPACE, Block, Words, all_pieces, gram_names, lookup, mix, text_bytes
+from .shared import FLUSH_BYTES, joined
 
 SEED = 42
 TILE = 8192  # fingerprints in a tile on average, at most
@@ -33,6 +35,9 @@ CELLS = 1 << 21  # comparisons at once
 CHUNK_SETS, CHUNK_NAMES = 512, 1 << 18  # shingle sets, and shingles in them, of a chunk on average
 NAME_BYTES = 5  # of a shingle's name that travel to be compared: two different shingles of a pair of sets agree with odds of 2**-40
 DEVIATIONS = 5.0  # candidates differ by the bits expected at the similarity and this many deviations
+COMMON = 1 << 20  # widespread shingles that all tasks know, at most
+BUCKET_SHINGLES = 4 << 20  # shingles of the table, for each bucket that gathers prefixes
+BLOCK_SETS = 4096  # sets that share a shingle of their prefixes and are compared at once
 
 
 def shingle_names(text: bytes, shingle: int) -> np.ndarray:
@@ -201,17 +206,29 @@ def radius_of(similarity: float, lanes: int, deviations: float = 1.0) -> int:
     return round(64 * lanes * angle + deviations * sqrt(64 * lanes * angle * (1 - angle)))
 
 
+def distinct_names(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Sorted names of the distinct shingles of each text; a shorter text is one shingle, one without words has none."""
+    words = Words.of(Block.of([t.lower() for t in texts]), NOT_SPACE)
+    names = words.names()
+    grams, first = gram_names(names, shingle), words.first.tolist()
+    return [np.unique(grams[a : b - shingle + 1] if b - a >= shingle else gram_names(names[a:b], b - a) if b > a else names[:0]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def _set_key(names: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(names.tobytes())
+
+
 def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
     """``doc_id``, ``text_hash``, ``fp`` of the distinct shingles, ``key`` (equal exactly for equal sets) and ``n`` (distinct shingles) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_names(t, shingle)) for t in text_bytes(batch.column("text"))]
+        for piece in all_pieces(batches):
+            sets = distinct_names(text_bytes(piece.column("text")), shingle)
             columns = [
-                batch.column("doc_id"),
-                batch.column("text_hash"),
+                piece.column("doc_id"),
+                piece.column("text_hash"),
                 pa.array([_majority(s, lanes) for s in sets], type=pa.binary()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary()),
+                pa.array([_set_key(s) for s in sets], type=pa.binary()),
                 pa.array([len(s) for s in sets], type=pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "key", "n"])
@@ -220,6 +237,198 @@ def shingle_sets(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary, key binary, n long")
 
 
+def _different(piece: pa.RecordBatch, shingle: int) -> dict[bytes, np.ndarray]:
+    """Different sets of shingles by their keys; texts without words are left out."""
+    return {_set_key(s): s for s in distinct_names(text_bytes(piece.column("text")), shingle) if len(s)}
+
+
+def common_shingles(docs: DataFrame, shingle: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the most widespread shingles, sorted, and how widespread each is.
+
+    Counted are the different sets that hold a shingle, where a flush has several of them.  What comes of this is only the
+    order in which prefixes are taken, and any order is right: a shingle that is not known here makes larger blocks, no other links.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def heard(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+            names, count = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+            many = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(count[many])], names=["name", "n"])
+
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
+        for piece in all_pieces(batches):
+            held |= _different(piece, shingle)
+            size += piece.nbytes
+            if held and size >= FLUSH_BYTES:
+                yield heard(held)
+                held, size = {}, 0
+        if held:
+            yield heard(held)
+
+    told = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "name long, n long")
+    levels = reliable_checkpoint(told.groupBy("name").agg(F.floor(8 * F.log2(F.sum("n"))).cast("int").alias("level")))
+    total, least = 0, None
+    for r in levels.groupBy("level").agg(F.count(F.lit(1)).alias("names")).orderBy(F.desc("level")).collect():  # some hundred rows at most
+        total += r["names"]
+        if total > most:
+            break
+        least = r["level"]
+    found = levels.where(F.lit(False) if least is None else F.col("level") >= least).toArrow()
+    names = found.column("name").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return names[order], found.column("level").to_numpy()[order].astype(np.int16)
+
+
+def prefix_marks(names: np.ndarray, size: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Marks the ``names`` (sets of ``size`` names each, sorted, one after another) that belong to the prefix of their set.
+
+    A set of n names shares at least ``similarity`` * n of them with any set as similar as that.  So two such sets share one of
+    the first n - ``similarity`` * n + 1 names of either, in any order that both have in common: here the unknown ones
+    come first, then the known ones as widespread as they are.
+    """
+    table, level = common
+    own = np.repeat(np.arange(len(size)), size)
+    room = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+    at = lookup(names, table)
+    rare = at < 0
+    seen = np.append(0, np.cumsum(rare))
+    end = np.cumsum(size)
+    before = seen[end - size]
+    marks = rare & (seen[:-1] - before[own] < room[own])
+    left = room - (seen[end] - before)
+    known = np.flatnonzero(~rare)
+    known = known[np.lexsort((names[known], level[at[known]], own[known]))]
+    of = own[known]
+    marks[known[np.arange(len(of)) - np.searchsorted(of, of) < left[of]]] = True
+    return marks
+
+
+def prefix_blocks(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """``name``, ``chunk``, ``chunks``, ``ids``: the sets (first 64 bits of their keys) whose prefixes hold the same shingle.
+
+    What travels are arrays of 32 bits of a name and the id of its set; only names that several sets have come back as rows.  The
+    sets of a very frequent name are dealt to chunks, other ones for each name.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(common)
+    schema = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("ids", pa.binary())])
+    answers = pa.schema([("name", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("ids", pa.list_(pa.int64()))])
+
+    def prefixes(sets: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, sets.values()), dtype=np.int64, count=len(sets))
+        names = np.concatenate([*sets.values()])
+        marks = prefix_marks(names, size, similarity, known.value)
+        return names[marks], np.repeat(joined((k[:8] for k in sets), ">i8").astype(np.int64), size)[marks]
+
+    def dealt(names: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        bucket = ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, names, ids = bucket[order], names[order].astype(np.uint32), ids[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        spans = [*zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = {"bucket": [int(bucket[a]) for a, _ in spans], "names": [names[a:b].tobytes() for a, b in spans], "ids": [ids[a:b].tobytes() for a, b in spans]}
+        return pa.RecordBatch.from_pydict(rows, schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        told: set[bytes] = set()
+        size = 0
+        for piece in all_pieces(batches):
+            if sets := {k: s for k, s in _different(piece, shingle).items() if k not in told}:
+                held.append(prefixes(sets))
+                told |= sets.keys()
+            size += piece.nbytes
+            if held and size >= FLUSH_BYTES:
+                yield dealt(*map(np.concatenate, zip(*held, strict=True)))
+                held, told, size = [], set(), 0
+        if held:
+            yield dealt(*map(np.concatenate, zip(*held, strict=True)))
+
+    def answer(table: pa.Table) -> pa.Table:
+        names, ids = joined(table.column("names").to_pylist(), np.uint32), joined(table.column("ids").to_pylist(), np.int64)
+        order = np.lexsort((ids, names))
+        names, ids = names[order], ids[order]
+        new = np.append(True, (names[1:] != names[:-1]) | (ids[1:] != ids[:-1]))  # exact copies come from several flushes
+        names, ids = names[new].astype(np.int64) + (table.column("bucket")[0].as_py() << 32), ids[new]
+        head = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        count = np.diff(np.append(head, len(names)))
+        chunks = -(-count // BLOCK_SETS)
+        entry = np.repeat(chunks, count)
+        part = np.where(entry > 1, (mix(ids.view(np.uint64) ^ mix(names.view(np.uint64))) % entry.astype(np.uint64)).astype(np.int64), 0)
+        kept = np.flatnonzero(np.repeat(count > 1, count))
+        kept = kept[np.lexsort((part[kept], names[kept]))]
+        names, ids, part, entry = names[kept], ids[kept], part[kept], entry[kept]
+        head = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (part[1:] != part[:-1]))[: len(names)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(names)).astype(np.int32)), pa.array(ids))
+        return pa.Table.from_arrays([pa.array(names[head]), pa.array(part[head].astype(np.int32)), pa.array(entry[head].astype(np.int32)), lists], schema=answers)
+
+    notes = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, names binary, ids binary")
+    return notes.groupBy("bucket").applyInArrow(answer, "name long, chunk int, chunks int, ids array<long>")
+
+
+def near_forest(words: np.ndarray, size: np.ndarray, side: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect the same sets as all pairs within ``radius`` bits, and of sizes that allow the similarity, do; of pairs
+    whose ``side`` differs, or where none does of all pairs."""
+    across = len(side) > 0 and bool((side != side[0]).any())
+    label, out = np.arange(len(words)), []
+    for i in range(len(words) - 1):
+        if len(out) == len(words) - 1:  # all are connected
+            break
+        fits = label[i + 1 :] != label[i]
+        fits &= (size[i + 1 :] >= size[i] * similarity - 1) & (size[i + 1 :] * similarity - 1 <= size[i])
+        if across:
+            fits &= side[i + 1 :] != side[i]
+        other = np.flatnonzero(fits) + i + 1
+        if len(other):
+            for j in other[np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int64) <= radius].tolist():
+                x, y = label[i], label[j]
+                if x != y:
+                    out.append((i, j))
+                    label[label == max(x, y)] = min(x, y)
+    return out
+
+
+def _compared(nodes: DataFrame, blocks: DataFrame, radius: int, similarity: float, lanes: int) -> DataFrame:
+    """``a``, ``b``: links between keys of ``nodes`` (``id``, ``key``, ``fp``, ``n``) within each of the ``blocks`` (``ids``, of which the first ``left`` are compared with the others, if any)."""
+    members = blocks.distinct().select(F.xxhash64("ids", "left").alias("block"), "left", F.posexplode("ids").alias("at", "id"))
+    held = members.join(nodes, "id").groupBy("block").agg(F.collect_list(F.struct("key", "fp", "n", (F.col("at") < F.col("left")).alias("side"))).alias("sets"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                sets = batch.column("sets")[k].values
+                keys, n, side = sets.field("key").to_pylist(), sets.field("n").to_numpy(), sets.field("side").to_numpy(zero_copy_only=False)
+                for i, j in near_forest(_words(sets.field("fp").to_pylist(), lanes), n, side, radius, similarity):
+                    a.append(keys[i])
+                    b.append(keys[j])
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return held.select("sets").mapInArrow(compare, "a binary, b binary")
+
+
+def candidate_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, lanes: int) -> DataFrame:
+    """``a``, ``b``: links between the keys of ``nodes`` (``key``, ``fp``, ``n`` of all sets of ``docs``) that connect all sets whose prefixes
+    share a shingle, whose sizes allow the similarity and whose fingerprints are within the candidates' radius."""
+    radius = radius_of(similarity, lanes, DEVIATIONS)
+    own = nodes.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("id"), "key", "fp", "n")
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    blocks = reliable_checkpoint(prefix_blocks(docs, shingle, similarity, common_shingles(docs, shingle), max(1, -(-total // BUCKET_SHINGLES))))
+    within = _compared(own, blocks.select("ids", F.lit(0).alias("left")), radius, similarity, lanes)
+    wide = blocks.where("chunks > 1")
+    if wide.isEmpty():
+        return within
+    # chunks of one name are compared only if their sets are not connected yet; chunks of other names join those of near copies
+    within = reliable_checkpoint(within)
+    roots = own.join(components(within).withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("root", "key").alias("root"))
+    apart = wide.select("name", F.explode("ids").alias("id")).join(roots, "id").groupBy("name").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    wide = reliable_checkpoint(wide.join(apart.select("name"), "name"))
+    left = wide.where("chunk + 1 < chunks").select("name", F.col("ids").alias("a"), F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"))
+    pairs = left.join(wide.select("name", "chunk", "ids"), ["name", "chunk"]).select(F.concat("a", "ids").alias("ids"), F.size("a").alias("left"))
+    return within.unionByName(_compared(own, pairs, radius, similarity, lanes))
+
+
 def packed(names: np.ndarray) -> bytes:
     """Sorted lower ``NAME_BYTES`` bytes of different names, without repeats."""
     low = np.unique(names & np.uint64((1 << 8 * NAME_BYTES) - 1))
@@ -276,16 +485,16 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: fl
     of sets with at least this Jaccard similarity do, up to pairs whose fingerprints are beyond the candidates' radius."""
     member = F.min(F.struct("doc_id", "text_hash")).alias("member")  # one row whose text stands for the set
     nodes = reliable_checkpoint(rows.groupBy("key", "fp", "n").agg(member))
-    stars = components(links(nodes.select("fp").distinct(), radius_of(similarity, lanes, DEVIATIONS), lanes))
-    rooted = reliable_checkpoint(nodes.join(stars.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    stars = components(candidate_links(docs, nodes, shingle, similarity, lanes))
+    rooted = reliable_checkpoint(nodes.join(stars.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     sums = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("names")).where("sets > 1")
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("names") / CHUNK_NAMES)).cast("int")
     sums = reliable_checkpoint(sums.select("root", chunks.alias("chunks")))
     wanted = rooted.join(sums, "root").select("member", "key", "root", "chunks", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [packed(shingle_names(t, shingle)) for t in text_bytes(batch.column("text"))]
+        for batch in all_pieces(batches):
+            sets = [packed(s) for s in distinct_names(text_bytes(batch.column("text")), shingle)]
             kept = [batch.column(c) for c in ("key", "root", "chunks", "chunk")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, type=pa.binary())], names=["key", "root", "chunks", "chunk", "names"])
 

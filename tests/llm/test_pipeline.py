@@ -172,3 +172,106 @@ def test_packed_names_keep_sizes_and_overlaps():
     a, b = (simhash.unpacked(simhash.packed(x)) for x in (names[:3000], np.append(names[1000:], names[:5])))
     assert len(a) == 3000 and len(b) == 4005 and len(np.intersect1d(a, b)) == 2005
     assert len(simhash.unpacked(simhash.packed(names[:0]))) == 0
+
+
+def some_texts(seed, unrelated, copies):
+    """Unrelated texts, all with the same two lines, and chains of near copies of some of them."""
+    rnd = random.Random(seed)
+    line = "\n".join(" ".join(f"c{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(2))
+    rows = [(k, "\n".join([" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(40, 120))), line])) for k in range(unrelated)]
+    for k in range(copies):
+        words = rows[rnd.randrange(5)][1].split(" ")
+        for at in rnd.sample(range(len(words)), k % 3):
+            words[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((10_000 + k, " ".join(words)))
+    return rows
+
+
+def first_by_all_pairs(rows, similarity=0.8):
+    sets = [shingles(t or "") for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, (d, _) in zip(group, rows, strict=True):
+        least[g] = min(least.get(g, d), d)
+    return set(least.values())
+
+
+def test_candidates_do_not_grow_with_all_pairs(spark):
+    """Of 400 texts that all share two lines only those with a near copy are compared with anything."""
+    rows = some_texts(31, 400, 30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    blocks = simhash.prefix_blocks(docs, 5, 0.8, simhash.common_shingles(docs, 5), 3).collect()
+    compared = {i for r in blocks for i in r["ids"]}
+    assert all(1 < len(r["ids"]) <= 35 and r["chunks"] == 1 for r in blocks)
+    assert 5 < len(compared) <= 35
+    kept = {r["doc_id"] for r in simhash.first_of_each(docs).collect()}
+    assert kept == first_by_all_pairs(rows)
+
+
+def test_frequent_prefix_shingles_are_compared_in_chunks(spark, monkeypatch):
+    rows = some_texts(32, 60, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 3)
+    nothing = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int16)
+    assert max(r["chunks"] for r in simhash.prefix_blocks(docs, 5, 0.8, nothing, 2).collect()) > 3
+    monkeypatch.setattr(simhash, "common_shingles", lambda docs, shingle: nothing)  # any order of shingles gives the same groups
+    assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == first_by_all_pairs(rows)
+
+
+def test_common_shingles_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "a b c d e f h"), (4, None), (5, "a b c d e f")], "doc_id long, text string").coalesce(1)
+    names, level = simhash.common_shingles(docs, 5)
+    first, second = simhash.distinct_names([b"a b c d e"], 5)[0][0], simhash.distinct_names([b"b c d e f"], 5)[0][0]
+    assert dict(zip(names.tolist(), level.tolist(), strict=True)) == {int(first): 12, int(second): 8}
+    assert simhash.common_shingles(docs, 5, 1)[0].tolist() == [first]
+    assert len(simhash.common_shingles(docs, 5, 0)[0]) == 0
+
+
+def test_prefixes_of_similar_sets_share_a_name():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rnd.integers(1, 80))
+        common = int(rnd.integers(1, n + 1))
+        pool = rnd.permutation(rnd.integers(0, 1 << 63, 200).astype(np.uint64))
+        a, b = np.sort(pool[:n]), np.sort(np.append(pool[:common], pool[n : n + int(rnd.integers(0, 20))]))
+        table = np.sort(rnd.choice(pool[: n + 20], int(rnd.integers(0, n)), replace=False))
+        level = rnd.integers(8, 11, len(table)).astype(np.int16)
+        marks = simhash.prefix_marks(np.append(a, b), np.array([len(a), len(b)]), 0.8, (table, level))
+        both = len(np.intersect1d(a, b))
+        own, other = a[marks[: len(a)]], b[marks[len(a) :]]
+        assert len(own) == len(a) - int(np.ceil(0.8 * len(a) - 1e-6)) + 1 and len(other) == len(b) - int(np.ceil(0.8 * len(b) - 1e-6)) + 1
+        if both >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(own, other))
+
+
+def test_near_forest_connects_what_all_pairs_do():
+    rnd = np.random.default_rng(6)
+    for across in (False, True):
+        words = rnd.integers(0, 1 << 63, (6, 4)).astype(np.uint64)[rnd.integers(0, 6, 60)] ^ (np.uint64(1) << rnd.integers(0, 64, (60, 4)).astype(np.uint64))
+        size, side = rnd.integers(80, 120, 60), (np.arange(60) < 25) & across
+        found = simhash.near_forest(words, size, side, 6, 0.8)
+        label = list(range(60))
+        for i in range(60):
+            for j in range(i):
+                near = int(np.bitwise_count(words[i] ^ words[j]).sum()) <= 6 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1
+                if near and (not across or side[i] != side[j]):
+                    label = [label[j] if x == label[i] else x for x in label]
+        own = list(range(60))
+        for i, j in found:
+            own = [own[j] if x == own[i] else x for x in own]
+        assert {tuple(k for k in range(60) if label[k] == x) for x in label} == {tuple(k for k in range(60) if own[k] == x) for x in own}
+
+
+def test_distinct_names_tell_what_shingle_names_tell():
+    texts = [b"", b" \n\t", b"a", b"A b", b"a  B", b"a b c d e", b"a b c d e f\x0bg", b"x a b c d e", b"a b c d e a b c d e", "Ä b c d e f".encode(), "ä b c d e f".encode(), b"ab c d e f", b"a bc d e f"]
+    old = [np.unique(simhash.shingle_names(t, 5)) for t in texts]
+    new = simhash.distinct_names(texts, 5)
+    assert [len(s) for s in old] == [len(s) for s in new]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(old[i], old[j])) == len(np.intersect1d(new[i], new[j]))
